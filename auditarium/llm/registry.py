@@ -1,10 +1,13 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from . import html_extraction, media, sharding
+from . import decontamination, html_extraction, language_id, media, sharding, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
+    "op2_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
+    "op6_decontamination": decontamination.query,
+    "op8_language_id": language_id.query,
     "op10_media": media.query,
 }
 ORACLES = {"op4_sharding": sharding.ORACLE}
