@@ -33,14 +33,14 @@ FOLDS, HELD_OUT = 5, 0
 
 @dataclass(frozen=True)
 class Settings:
-    bits: int = 20
-    prefix: int = 5
+    bits: int = 22
+    prefix: int = 4
     skips: tuple[int, ...] = (1, 2)
     per_class: int = 12_000
-    passes: int = 4
-    alpha: float = 0.3
+    passes: int = 3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.6
+    l1: float = 4.0
     l2: float = 0.1
 
 
