@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import lowered, slices, split_of, table
 
@@ -240,8 +241,7 @@ def predict(docs: DataFrame, model: Model | None, window: int = Settings.window)
                 best = np.where(letters, np.clip(p.max(1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(best, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(labelled, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(labelled, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,67 @@
-"""The corpus pipeline (filled in below as its operators arrive)."""
+"""Corpus pipeline: documents of known language, without near copies, repeated passages and benchmark text, packed.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps; stages are written as Parquet between.
+
+- language: documents without a letter go, and those whose language is less likely than LEAST_SCORE (means over all positions).
+  Without any labelled language to learn from, all stay.
+- near_duplicates: of each class of documents linked by a Jaccard similarity of 0.8 or more of their word five-grams, the least id stays;
+  repeated rows become one.
+- repeated_passages: words covered by a window of 20 words that occurs earlier go out of the text; documents of which nothing is left go.
+- benchmark: documents with a window of 10 words of a benchmark item go.
+- packing: what is left becomes sequences of 2048 ids.
+
+Nulls: a document with a null id is kept by the second stage (it has no class). Documents with null texts have no letter and go first.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditarium.llm import decontamination, language_id, near_duplicates, packing, substring_dedup
+from auditarium.llm.shared import table, written
+
+LEAST_SCORE = 0.35
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs.select("text", "lang"))
+    if model is None:
+        return docs
+    return language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    heads = near_duplicates.join(docs).where("doc_id = class_id").select("doc_id").distinct()
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    nameless = docs.where("doc_id is null")
+    return docs.join(heads.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.rewritten(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text")
+    found = decontamination.find(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = found.where(F.size("begins") > 0).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(hit, "__key", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_copies), ("repeated_passages", repeated_passages), ("benchmark", benchmark), ("packing", pack)]
 
-STAGES: list = []
+#: SQL has no recurrent networks, hashes of this kind or linear programs: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
