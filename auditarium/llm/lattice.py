@@ -2,9 +2,11 @@
 
 The vocabulary is a public tokenizer's (its pieces and their order; never trained here). A word, with a mark before it for the space, is
 a lattice: every piece that matches some of its bytes is an arc, and each single byte has an arc of its own, so nothing is out of vocabulary.
-The forward recursion in log space sums all paths; pieces don't cross words, so a text's log probability is the sum over its words and
-one end. The pieces' weights start from their order in the vocabulary and are then re-estimated on the training words by
-expectation maximisation (`rounds` times) with the exact posterior counts of forward and backward recursions.
+A word of the training texts also has one arc over all of it, with its count less a discount (from the numbers of words seen once and twice);
+what the discounts leave is the mass of the paths through pieces. The forward recursion in log space sums all paths; pieces don't cross
+words, so a text's log probability is the sum over its words and one end. The pieces' weights start from their order in the vocabulary and are
+then re-estimated on the training texts' distinct words by expectation maximisation (`rounds` times) with the exact posterior counts of forward
+and backward recursions. Probabilities of all texts sum to one.
 
 The base score is the add-one unigram score of the words.
 
@@ -94,16 +96,16 @@ def vocabulary(path: str) -> Pieces:
 
 
 class Weights:
-    """Log weights of pieces, of the 256 bytes, and of the end."""
+    """Log weights of pieces and of the 256 bytes."""
 
     def __init__(self, counts: np.ndarray):
         logs = np.log(counts / counts.sum())
-        self.piece, self.byte, self.end = logs[:-257], logs[-257:-1], float(logs[-1])
+        self.piece, self.byte = logs[:-256], logs[-256:]
 
     @staticmethod
     def first(pieces: Pieces) -> Weights:
         n = len(pieces.pieces)
-        return Weights(np.concatenate([1 / (np.arange(n) + 10.0), np.full(256, 1e-4), [0.05]]))
+        return Weights(np.concatenate([1 / (np.arange(n) + 10.0), np.full(256, 1e-4)]))
 
 
 @lru_cache(4096)
@@ -166,8 +168,8 @@ def _forward_long(x: np.ndarray, pieces: Pieces, weights: Weights) -> float:
     return float(alpha[-1])
 
 
-def expected(x: np.ndarray, count: np.ndarray, pieces: Pieces, weights: Weights, into: np.ndarray) -> None:
-    """Adds the expected counts of pieces and bytes in words x, each seen count times."""
+def expected(x: np.ndarray, pieces: Pieces, weights: Weights, into: np.ndarray) -> None:
+    """Adds the expected counts of pieces and bytes in words x."""
     n, size = x.shape
     begin, end, by_end, by_begin, starts = _spans(size, pieces.longest)
     found, log = _arcs(x, begin, end, pieces, weights)
@@ -178,13 +180,13 @@ def expected(x: np.ndarray, count: np.ndarray, pieces: Pieces, weights: Weights,
     for i in range(size - 1, -1, -1):
         at = by_begin[starts[i] : starts[i + 1]]
         beta[:, i] = _log_sum(beta[:, end[at]] + log[:, at])
-    share = np.exp(alpha[:, begin] + log + beta[:, end] - alpha[:, size:]) * count[:, None]
+    share = np.exp(alpha[:, begin] + log + beta[:, end] - alpha[:, size:])
     single = np.flatnonzero(end - begin == 1)
     letters = x[:, begin[single]]
     by_byte = share[:, single] * np.exp(weights.byte[letters] - log[:, single])
     share[:, single] -= by_byte
     into[: len(pieces.pieces)] += np.bincount(found[found >= 0], share[found >= 0], len(pieces.pieces))
-    into[-257:-1] += np.bincount(letters.ravel(), by_byte.ravel(), 256)
+    into[-256:] += np.bincount(letters.ravel(), by_byte.ravel(), 256)
 
 
 def _by_size(column: pa.Array):
@@ -232,44 +234,48 @@ def word_table(docs: DataFrame) -> DataFrame:
     return written(rows.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "words")
 
 
-def fit(table_of_words: DataFrame, training_rows: int, path: str, rounds: int = ROUNDS) -> Weights:
-    """Weights after rounds of expectation maximisation over the training words."""
+def fit(table_of_words: DataFrame, path: str, rounds: int = ROUNDS) -> Weights:
+    """Weights after rounds of expectation maximisation over the distinct training words."""
     spark = table_of_words.sparkSession
     pieces = vocabulary(path)
     weights = Weights.first(pieces)
-    seen = table_of_words.where("c > 0").select("word", "c")
-    for _ in range(rounds if training_rows else 0):
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
 
         def counted(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = vocabulary(path)
-            into = np.zeros(len(own.pieces) + 257)
+            into = np.zeros(len(own.pieces) + 256)
             for batch in batches:
-                count = np.asarray(batch.column("c"), dtype=float)
-                for rows, x in _by_size(batch.column("word")) if batch.num_rows else ():
+                for _, x in _by_size(batch.column("word")) if batch.num_rows else ():
                     for at in range(0, x.shape[1], PART):
-                        expected(x[:, at : at + PART], count[rows], own, sent.value, into)
+                        expected(x[:, at : at + PART], own, sent.value, into)
             used = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(into[used])], names=["piece", "count"])
 
-        total = np.full(len(pieces.pieces) + 257, PRIOR)
-        total[-1] += training_rows
-        for r in seen.mapInArrow(counted, "piece long, count double").groupBy("piece").agg(F.sum("count")).collect():
+        total = np.full(len(pieces.pieces) + 256, PRIOR)
+        rows = table_of_words.where("c > 0").select("word").mapInArrow(counted, "piece long, count double").groupBy("piece").agg(F.sum("count")).collect()
+        if not rows:
+            return weights
+        for r in rows:
             total[r[0]] += r[1]
         weights = Weights(total)
     return weights
 
 
-def priced(table_of_words: DataFrame, weights: Weights, path: str) -> DataFrame:
-    """h, n, c and log10 probability of every word, as a stored table."""
+def priced(table_of_words: DataFrame, weights: Weights, path: str, tokens: int, discount: float, distinct: int) -> DataFrame:
+    """h, n, c and log10 probability of every word, as a stored table. tokens: of training; distinct: their words."""
     sent = table_of_words.sparkSession.sparkContext.broadcast(weights)
+    rest = np.log((discount * distinct + 1) / (tokens + 2))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
             out = np.zeros(batch.num_rows)
+            count = np.asarray(batch.column("c"), dtype=float)
             for rows, x in _by_size(batch.column("word")) if batch.num_rows else ():
-                out[rows] = forward(x, own, sent.value)
+                whole = np.maximum(count[rows] - discount, 0) / (tokens + 2)
+                with np.errstate(divide="ignore"):
+                    out[rows] = np.logaddexp(np.log(whole), rest + forward(x, own, sent.value))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), batch.column("c"), pa.array(out / np.log(10))], names=["h", "n", "c", "p"])
 
     return written(table_of_words.mapInArrow(scored, "h long, n long, c long, p double"), "priced")
@@ -281,14 +287,14 @@ def scores(docs: DataFrame, path: str, head: int = HEAD, rounds: int = ROUNDS) -
     docs = docs.withColumn("train", ~F.col("held_out"))
     training_rows = docs.where("train").count()
     found = word_table(docs)
-    total, learnt, distinct = found.agg(F.sum("n"), F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    total, learnt, distinct, once, twice = found.agg(F.sum("n"), F.sum("c"), *(F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))).first()
     train_tokens = (learnt or 0) + training_rows
     scale = float(np.log10(train_tokens + distinct + bool(training_rows) + 1))
-    weights = fit(found, training_rows, path, rounds)
-    prices = priced(found, weights, path)
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
+    prices = priced(found, fit(found, path, rounds), path, train_tokens, discount, distinct)
     often = sorted(tuple(r) for r in prices.where(F.col("n") * head >= (total or 0)).select("h", "c", "p").collect())
     sent = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64), np.array([r[2] for r in often])))
-    end = (float(np.log10(training_rows + 1)), weights.end / np.log(10))
+    end = (float(np.log10(training_rows + 1)), float(np.log10((training_rows + 1) / (train_tokens + 2))))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with what the broadcast words give (times 0: it needs no other word), and one for each other word."""
