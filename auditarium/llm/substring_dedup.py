@@ -3,18 +3,19 @@
 A word is removed if a window of `window` neighbouring words that covers it begins earlier elsewhere (at a smaller document id, or earlier in
 the same document). Every occurrence is found, and equal means equal words.
 
+0. Documents with the same text as an earlier one lose all words that a window covers, and take no further part.
 1. Phrases. Each window is named by the least hash among the runs of PHRASE words in it, so equal windows have equal names, and one
-   phrase names some neighbouring windows (about one phrase in eight words is a name). Names are counted, combined before the shuffle; only
+   phrase names some neighbouring windows (about one phrase in nine words is a name). Names are counted, combined before the shuffle; only
    windows of phrases that occur again go on. This passes over all documents; hashes only select.
-2. Units. A phrase's windows in a document are one short run of text. Equal runs are combined to the earliest and a count before they
-   meet. A phrase with over HOT different runs is cut into single windows, which are combined again and salted by their
-   text, so no phrase's runs fill a task however many documents hold it.
-3. Automata. The units of a phrase meet in a shard (a run of phrases of bounded size in a task). Windows that recur
-   are compiled into an Aho-Corasick automaton over word numbers, the shard's units are streamed through it, and what it finds gives each
-   window's occurrences and the earliest.
-4. Back. Units' results go back to their occurrences as runs (rows, not windows), and on to their documents, where covered words fall.
+2. Units. A phrase's windows in a document are one short run of text, and the runs of a phrase meet in a shard. A phrase that occurs over
+   HOT times is cut into single windows instead, which are combined to counts and earliest places before they are shuffled,
+   and salted by their text, so no phrase's runs fill a task however many documents hold it.
+3. Automata. Windows of a shard (a run of phrases of bounded size in a task) that recur are compiled into an Aho-Corasick automaton over
+   word numbers, the shard's units are streamed through it, and what it finds gives every occurrence and the earliest.
+4. Back. Later occurrences go to their documents as spans, where covered words fall. Hot phrases' windows are joined to their occurrences.
 
-Hot units and documents only meet in joins whose other side has one row for each key, which the planner can split. Nothing is capped.
+Hot windows and documents only meet in joins whose other side has one row for each key, which the planner can split. Nothing is capped.
+Documents are shuffled once, by their key; both joins that need texts use that.
 
 Words are runs of bytes other than white space. Nulls: a null text has no words; a null doc_id counts as smaller than all. Repeated rows are one
 document, each row returned; rows with one id and different texts are told apart by text and ordered by its hash. An empty table
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE_WORDS, U64, gram_hashes, signed, slices, table, word_hashes, words
 
-WINDOW, PHRASE = 20, 6
-HOT = 1000
+WINDOW, PHRASE = 20, 4
+HOT = 2000
 #: A shard's automaton is compiled when so many words of units are gathered.
 SHARD_WORDS = 200_000
 NO_ID = -(1 << 63)
+WHITE = " \t\n\v\f\r"
 
 
 def names(h: np.ndarray, at: np.ndarray, window: int, phrase: int):
@@ -81,20 +83,18 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.select("dk", "text").mapInArrow(found, "h long, dk long, lo int, hi int")
 
 
-def units(rows: DataFrame, window: int) -> DataFrame:
-    """h, unit (its words, joined by spaces), id, dk, lo of documents (id, dk, text) with found (an array of h, lo, hi)."""
+def units(rows: DataFrame, window: int, single: bool) -> DataFrame:
+    """h, unit (its words, joined by spaces), id, dk, lo of documents (id, dk, text) with found (an array of h, lo, hi); single: a unit for each window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("id").to_pylist(), batch.column("dk").to_pylist()
             for k, (text, found) in enumerate(zip(batch.column("text"), batch.column("found").to_pylist(), strict=True)):
-                if not found:
-                    continue
-                data = text.as_buffer().to_pybytes()
-                w = data.split()  # bytes.split() splits at the same six bytes
-                found = [f for f in found if f["hi"] + window <= len(w)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f["h"] for f in found]), pa.array([b" ".join(w[f["lo"] : f["hi"] + window]) for f in found], pa.binary()), pa.array([ids[k]] * len(found)), pa.array([keys[k]] * len(found)), pa.array([f["lo"] for f in found], pa.int32())], names=["h", "unit", "id", "dk", "lo"])
+                w = text.as_buffer().to_pybytes().split()  # bytes.split() splits at the same six bytes
+                out = [(f["h"], b" ".join(w[at : end + window]), at) for f in found for at, end in (((j, j) for j in range(f["lo"], f["hi"] + 1)) if single else ((f["lo"], f["hi"]),)) if end + window <= len(w)]
+                if out:
+                    h, unit, lo = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(unit, pa.binary()), pa.array([ids[k]] * len(h), pa.int64()), pa.array([keys[k]] * len(h), pa.int64()), pa.array(lo, pa.int32())], names=["h", "unit", "id", "dk", "lo"])
 
     return rows.select("id", "dk", "text", "found").mapInArrow(_merged(cut), "h long, unit binary, id long, dk long, lo int")
 
@@ -116,24 +116,6 @@ def _merged(work, rows: int = 5000):
     return run
 
 
-def _windows_of(rows: DataFrame, window: int) -> DataFrame:
-    """Hot phrases' units as single windows, each with the salt of its text: h, salt, unit, id, dk, lo."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for h, unit, m, ident, dk, lo in zip(*(batch.column(c).to_pylist() for c in ("h", "unit", "m", "id", "dk", "lo")), strict=True):
-                w = unit.split()
-                for k in range(len(w) - window + 1):
-                    text = b" ".join(w[k : k + window])
-                    out.append((h, int.from_bytes(hashlib.blake2b(text, digest_size=6).digest(), "little") % m, text, ident, dk, lo + k))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "salt", "unit", "id", "dk", "lo"])
-
-    return rows.select("h", "unit", "m", "id", "dk", "lo").mapInArrow(cut, "h long, salt long, unit binary, id long, dk long, lo int")
-
-
 def recurring(shard: list[tuple[bytes, int, tuple[int, int, int]]], window: int) -> list[list[tuple[int, int, int, int, int]]]:
     """For each unit (text, count, earliest occurrence) of a shard, runs (offset, windows, and the earliest occurrence of the first)
     of its windows that occur more than once; in a run, earliest occurrences move on with the windows."""
@@ -182,69 +164,89 @@ def recurring(shard: list[tuple[bytes, int, tuple[int, int, int]]], window: int)
     return out
 
 
-_RUN = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("dk", pa.int64()), ("lo", pa.int32())])
+def _sharded(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """work(columns) on runs of whole groups of rows, each of about SHARD_WORDS words of units."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n_words = 0
+        unit, by = columns.index("unit"), [columns.index(k) for k in keys]
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if n_words >= SHARD_WORDS and any(held[-1][k] != row[k] for k in by):
+                    yield from work(held)
+                    held, n_words = [], 0
+                held.append(row)
+                n_words += row[unit].count(b" ") + 1
+        if held:
+            yield from work(held)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _spans(rows: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        ident, dk, begin, end = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ident, pa.int64()), pa.array(dk, pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["id", "dk", "begin", "end"])
 
 
 def automata(rows: DataFrame, window: int) -> DataFrame:
-    """h, unit, runs of units h, salt, unit, n, id, dk, lo (n occurrences, the earliest of them)."""
+    """id, dk, begin, end of what later occurrences cover, of the units h, unit, id, dk, lo of whole phrases."""
 
-    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple] = []
-        shard: list[tuple] = []
-        n_words = 0
+    def work(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        places: dict[bytes, list[tuple]] = {}
+        for _, unit, ident, dk, lo in held:
+            places.setdefault(unit, []).append((ident, dk, lo))
+        found = recurring([(unit, len(set(at)), min(at)) for unit, at in places.items()], window)
+        yield from _spans([(ident, dk, lo + at, lo + at + n + window - 1) for runs, all_at in zip(found, places.values(), strict=True) for at, n, *first in runs for ident, dk, lo in set(all_at) if (ident, dk, lo + at) != tuple(first)])
 
-        def done() -> pa.RecordBatch:
-            found = recurring(shard, window)
-            keep = [k for k, r in enumerate(found) if r]
-            return pa.RecordBatch.from_arrays([pa.array([keys[k][0] for k in keep], pa.int64()), pa.array([shard[k][0] for k in keep], pa.binary()), pa.array([[dict(zip(("at", "n", "id", "dk", "lo"), r, strict=True)) for r in found[k]] for k in keep], pa.list_(_RUN))], names=["h", "unit", "runs"])
+    return _sharded(rows.select("h", "unit", "id", "dk", "lo"), ["h"], work, "id long, dk long, begin int, end int")
 
-        for batch in batches:
-            for h, salt, unit, n, ident, dk, lo in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "unit", "n", "id", "dk", "lo")), strict=True):
-                if n_words >= SHARD_WORDS and keys[-1] != (h, salt):
-                    yield done()
-                    keys, shard, n_words = [], [], 0
-                keys.append((h, salt))
-                shard.append((unit, n, (ident, dk, lo)))
-                n_words += unit.count(b" ") + 1
-        if shard:
-            yield done()
 
-    rows = rows.select("h", "salt", "unit", "n", "id", "dk", "lo").repartition("h", "salt").sortWithinPartitions("h", "salt", "unit")
-    return rows.mapInArrow(compiled, "h long, unit binary, runs array<struct<at int, n int, id long, dk long, lo int>>")
+def hot_automata(rows: DataFrame, window: int, hot: int) -> DataFrame:
+    """The same of single windows of hot phrases: windows are combined first, and what the automata find is joined to all occurrences."""
+    mark = F.xxhash64("unit").alias("mark")
+    distinct = rows.groupBy("h", "unit").agg(F.count("*").alias("n"), F.min(F.struct("id", "dk", "lo")).alias("e")).where("n > 1")
 
+    def work(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = recurring([(unit, n, (ident, dk, lo)) for _, _, unit, n, ident, dk, lo in held], window)
+        keep = [(row[0], row[2], *runs[0][2:]) for row, runs in zip(held, found, strict=True) if runs]
+        if keep:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*keep, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["h", "unit", "id", "dk", "lo"])
 
-def _combined(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("id", "dk", "lo")).alias("e")).select(*keys, "n", "e.id", "e.dk", "e.lo")
+    salted = distinct.select("h", F.pmod(F.xxhash64(F.lit(3), "unit"), F.lit(hot)).alias("salt"), "unit", "n", "e.id", "e.dk", "e.lo")
+    first = _sharded(salted, ["h", "salt"], work, "h long, unit binary, id long, dk long, lo int").select("h", mark, F.col("id").alias("fid"), F.col("dk").alias("fdk"), F.col("lo").alias("flo"))
+    met = rows.select("h", mark, "id", "dk", "lo").join(first, ["h", "mark"]).where("not (fid = id and fdk = dk and flo = lo)")
+    return met.select("id", "dk", F.col("lo").alias("begin"), (F.col("lo") + window).alias("end"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """id, dk, spans (array of begin, end in words) of documents (id, dk, text) that have words to remove."""
+    """dk, own (the document's id), copy (all its windows occur earlier) and spans (array of begin, end in words) of documents (id, dk, text)."""
+    text = docs.select("id", "dk", F.md5(F.col("text").cast("binary")).alias("sum"))
+    first = text.groupBy("sum").agg(F.min(F.struct("id", "dk")).alias("f"), F.count("*").alias("n")).where("n > 1").select("sum", "f")
+    copies = text.join(first, "sum").where("f.dk <> dk").select("dk", "id").distinct()
     named = phrases(docs, window, phrase)
-    again = named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    kept = named.join(again.hint("shuffle_hash"), "h", "left_semi").groupBy("dk").agg(F.collect_set(F.struct("h", "lo", "hi")).alias("found"))
-    cut = units(docs.join(kept.hint("shuffle_hash"), "dk"), window).select("h", "unit", "id", "dk", "lo")
-    distinct = _combined(cut, "h", "unit")
-    many = distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("h", F.ceil(F.col("m") * window / F.lit(hot)).alias("m"))
-    # units of hot phrases become windows, which take the units' way from here on
-    cold = distinct.join(many, "h", "left_anti").withColumn("salt", F.lit(-1).cast("long"))
-    windows = _windows_of(cut.join(many, "h"), window)
-    shards = cold.unionByName(_combined(windows, "h", "salt", "unit"))
-    results = automata(shards, window)
-    places = cut.select("h", "unit", "id", "dk", "lo").unionByName(windows.select("h", "unit", "id", "dk", "lo"))
-    met = places.join(results, ["h", "unit"]).select("id", "dk", "lo", F.explode("runs").alias("r"))
-    later = met.where("not (r.id = id and r.dk = dk and r.lo = lo + r.at)")
-    spans = later.select("id", "dk", F.struct((F.col("lo") + F.col("r.at")).alias("begin"), (F.col("lo") + F.col("r.at") + F.col("r.n") + F.lit(window - 1)).alias("end")).alias("span"))
-    return spans.groupBy("dk", "id").agg(F.collect_set("span").alias("spans"))
+    again = named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
+    kept = named.join(again.hint("shuffle_hash"), "h").groupBy("dk").agg(F.collect_set(F.struct("h", "lo", "hi", "hot")).alias("found")).join(copies.hint("shuffle_hash"), "dk", "left_anti")
+    own = lambda hot: kept.select("dk", F.filter("found", lambda f: f["hot"] if hot else ~f["hot"]).alias("found")).where(F.size("found") > 0)
+    cold = automata(units(docs.join(own(False).hint("shuffle_hash"), "dk"), window, False), window)
+    warm = hot_automata(units(docs.join(own(True).hint("shuffle_hash"), "dk"), window, True), window, hot)
+    spans = cold.unionByName(warm).groupBy("dk", "id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    return spans.select("dk", F.col("id").alias("own"), F.lit(False).alias("copy"), "spans").unionByName(copies.select("dk", F.col("id").alias("own"), F.lit(True).alias("copy"), F.array(F.struct(F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))).alias("spans")))
 
 
 def marked(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """id, dk, text, spans (null: none) of each of docs' rows. docs: doc_id, text."""
+    """id, dk, text, copy and spans (null: none) of each of docs' rows. docs: doc_id, text."""
     keyed = _keyed(docs)
-    found = repeats(keyed, window, phrase, hot).withColumnRenamed("id", "own").hint("shuffle_hash")
-    return keyed.join(found, "dk", "left").where("own is null or own = id").drop("own")
+    found = repeats(keyed, window, phrase, hot).withColumnRenamed("dk", "__dk").hint("shuffle_hash")
+    # partitioned by dk alone, as in the other joins of texts, so that one shuffle of them serves all
+    return keyed.join(found, (F.col("dk") == F.col("__dk")) & F.col("own").between(F.col("id"), F.col("id")), "left").drop("own", "__dk")
 
 
-def _kept_mask(spans: list | None, n: int) -> np.ndarray:
+def _kept_mask(spans: list | None, copy: bool | None, n: int, window: int) -> np.ndarray:
+    if copy:
+        return np.full(n, n < window)
     edge = np.zeros(n + 1, np.int64)
     for s in spans or ():
         edge[s["begin"]] += 1
@@ -252,49 +254,44 @@ def _kept_mask(spans: list | None, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def kept_words(text: bytes, spans: list | None) -> list[bytes]:
-    w = text.split()
-    return [x for x, k in zip(w, _kept_mask(spans, len(w)).tolist(), strict=True) if k] if spans else w
-
-
-def kept_text(text: str, spans: list | None) -> str:
+def kept_text(text: str, spans: list | None, copy: bool | None, window: int) -> str:
     """text without the covered words and the white space behind them; what stays is as it was."""
     if not spans:
         return text
     data = text.encode()
     raw = np.frombuffer(data, np.uint8)
     starts, _, _ = words(raw, np.array([0, len(raw)]), SPACE_WORDS)
-    keep = _kept_mask(spans, len(starts))
+    keep = _kept_mask(spans, copy, len(starts), window)
     size = np.diff(np.append(starts, len(raw)))
     mask = np.concatenate((np.ones(starts[0], bool), np.repeat(keep, size))) if len(starts) else np.ones(len(raw), bool)
     return raw[mask].tobytes().decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        total, removed, digest = [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-            w = text.as_buffer().to_pybytes().split()
-            kept = [x for x, k in zip(w, _kept_mask(spans, len(w)).tolist(), strict=True) if k] if spans else w
-            total.append(len(w))
-            removed.append(len(w) - len(kept))
-            digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        ids = [None if x == NO_ID else x for x in batch.column("id").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
 def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
     """For each document: words, words removed, and the digest of what is kept."""
-    return marked(docs, window, phrase, hot).select("id", "text", "spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, removed, digest = [], [], []
+            for text, spans, copy in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True):
+                w = text.as_buffer().to_pybytes().split()
+                kept = [x for x, k in zip(w, _kept_mask(spans, copy, len(w), window).tolist(), strict=True) if k] if spans else w
+                total.append(len(w))
+                removed.append(len(w) - len(kept))
+                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            ids = [None if x == NO_ID else x for x in batch.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return marked(docs, window, phrase, hot).select("id", "text", "spans", "copy").mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def rewritten(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
     """docs with repeated words taken out of text and n_chars (if there) counted anew; documents of which no word is left go.
-    Other columns stay. A column named __spans isn't kept."""
+    Other columns stay, but for ones named __spans and __copy."""
     ident, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = repeats(_keyed(docs), window, phrase, hot).select(F.col("dk").alias("__dk"), F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.drop("__spans").withColumn("__dk", F.xxhash64(ident, text)).join(found.hint("shuffle_hash"), "__dk", "left").where(F.col("__id").isNull() | (F.col("__id") == ident)).drop("__dk", "__id")
-    names = docs.drop("__spans").columns
+    found = repeats(_keyed(docs), window, phrase, hot).select(F.col("dk").alias("__dk"), F.col("own").alias("__id"), F.col("spans").alias("__spans"), F.col("copy").alias("__copy"))
+    joined = docs.drop("__spans", "__copy").withColumn("__key", F.xxhash64(ident, text)).join(found.hint("shuffle_hash"), (F.col("__key") == F.col("__dk")) & F.col("__id").between(ident, ident), "left")
+    names = docs.drop("__spans", "__copy").columns
     place = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,19 +299,21 @@ def rewritten(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot:
             spans = batch.column("__spans")
             texts = batch.column(place).to_pylist()
             keep = []
-            for k, found in enumerate(spans.to_pylist()):
-                if found:
-                    texts[k] = kept_text(texts[k], found)
-                keep.append(not found or bool(texts[k].strip(" \t\n\v\f\r")))
+            for k, (found, copy) in enumerate(zip(spans.to_pylist(), batch.column("__copy").to_pylist(), strict=True)):
+                if found and texts[k] and texts[k].strip(WHITE):
+                    texts[k] = kept_text(texts[k], found, copy, window)
+                    keep.append(bool(texts[k].strip(WHITE)))
+                else:
+                    keep.append(True)
             columns = [batch.column(k) for k in range(len(names))]
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             if "n_chars" in names:
                 k = names.index("n_chars")
                 old = columns[k].to_pylist()
-                columns[k] = pa.array([len(t) if found else n for t, found, n in zip(texts, spans.to_pylist(), old, strict=True)], batch.schema.field(k).type)
+                columns[k] = pa.array([len(t) if found and t is not None else n for t, found, n in zip(texts, spans.to_pylist(), old, strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*names, "__spans").mapInArrow(cut, docs.drop("__spans").schema)
+    return joined.select(*names, "__spans", "__copy").mapInArrow(cut, docs.drop("__spans", "__copy").schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
