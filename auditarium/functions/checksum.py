@@ -82,7 +82,7 @@ def rolling(data: Column, window: int) -> Column:
 
 def composite(first: Column, second: Column) -> Column:
     """Two checksums in one number: the first above, the second's low 32 bits below."""
-    return F.shiftleft(first, 32).bitwiseOR(second.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.shiftleft(first.cast("long"), 32).bitwiseOR(second.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 ALGORITHMS = {"CRC32": lambda c: F.crc32(c), "CRC32C": crc32c, "CRC64": crc64, "XXHash64": xxh64}
