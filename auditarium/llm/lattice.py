@@ -6,7 +6,11 @@ A word of the training texts also has one arc over all of it, with its count les
 what the discounts leave is the mass of the paths through pieces. The forward recursion in log space sums all paths; pieces don't cross
 words, so a text's log probability is the sum over its words and one end. The pieces' weights start from their order in the vocabulary and are
 then re-estimated on the training texts' distinct words by expectation maximisation (`rounds` times) with the exact posterior counts of forward
-and backward recursions. Probabilities of all texts sum to one.
+and backward recursions.
+
+A text is a mixture over classes of training texts (their most frequent languages, at most CLASSES, and one for all): a class has its own discounted
+counts of words above the probabilities of all texts. A text's own language is never looked at; the sum over classes is its marginal. Classes that
+the frequent words leave with less than 10^-PRUNE of the mixture are left out of the sum. So scores are probabilities: over all texts they sum to at most one.
 
 The base score is the add-one unigram score of the words.
 
@@ -37,6 +41,7 @@ from .shared import SPACE_WORDS, U64, lowered, powers, signed, slices, split_of,
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY = "piece_bpe_32k.model"
 HEAD, ROUNDS, PART = 200_000, 3, 512
+CLASSES, PRUNE = 6, 12
 #: Added to each piece's expected count, so that unseen pieces keep some weight.
 PRIOR = 0.02
 _CELLS = 1 << 19
@@ -210,28 +215,30 @@ def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-def word_table(docs: DataFrame) -> DataFrame:
-    """Rows h, word, n, c (all its tokens; those in training rows) of docs' text and train, as a stored table."""
+def word_table(docs: DataFrame, classes: int) -> DataFrame:
+    """Rows h, word, n, c, c1, c2, ... (all its tokens; those in training rows; those in training rows of each class) of docs' text, train and class
+    (0: none), as a stored table."""
+    sums = ["n", "c", *(f"c{k}" for k in range(1, classes + 1))]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train = np.asarray(batch.column("train"), dtype=bool) if batch.num_rows else np.zeros(0, bool)
+            kind = np.where(np.asarray(batch.column("train"), dtype=bool), np.asarray(batch.column("class"), dtype=np.int64), -1) if batch.num_rows else np.zeros(0, np.int64)
             parts: list[tuple] = []
             for row, data, offsets in slices(batch.column("text")):
                 data = lowered(data)
                 starts, ends, at = words(data, offsets, SPACE_WORDS)
                 h, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-                learnt = np.repeat(train[row : row + len(at) - 1], np.diff(at))
-                parts.append((h, word_array(data, starts[first], ends[first]), np.bincount(inverse, minlength=len(h)), np.bincount(inverse, learnt, len(h)).astype(np.int64)))
+                own = np.repeat(kind[row : row + len(at) - 1], np.diff(at))
+                parts.append((h, word_array(data, starts[first], ends[first]), np.bincount(inverse, minlength=len(h)), np.bincount(inverse, own >= 0, len(h)), *(np.bincount(inverse, own == k, len(h)) for k in range(1, classes + 1))))
             if not parts:
                 continue
             h, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
             text = pa.concat_arrays([p[1] for p in parts]).take(pa.array(first))
-            n, c = (np.bincount(inverse, np.concatenate([p[k] for p in parts]), len(h)).astype(np.int64) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), text, pa.array(n), pa.array(c)], names=["h", "word", "n", "c"])
+            total = (np.bincount(inverse, np.concatenate([p[k] for p in parts]), len(h)).astype(np.int64) for k in range(2, 2 + len(sums)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), text, *map(pa.array, total)], names=["h", "word", *sums])
 
-    rows = docs.select("text", "train").mapInArrow(counted, "h long, word binary, n long, c long")
-    return written(rows.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "words")
+    rows = docs.select("text", "train", "class").mapInArrow(counted, "h long, word binary, " + ", ".join(f"{c} long" for c in sums))
+    return written(rows.groupBy("h", "word").agg(*(F.sum(c).alias(c) for c in sums)), "words")
 
 
 def fit(table_of_words: DataFrame, path: str, rounds: int = ROUNDS) -> Weights:
@@ -262,80 +269,114 @@ def fit(table_of_words: DataFrame, path: str, rounds: int = ROUNDS) -> Weights:
     return weights
 
 
-def priced(table_of_words: DataFrame, weights: Weights, path: str, tokens: int, discount: float, distinct: int) -> DataFrame:
-    """h, n, c and log10 probability of every word, as a stored table. tokens: of training; distinct: their words."""
+def discount_of(once: int, twice: int) -> float:
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
+
+
+def priced(table_of_words: DataFrame, weights: Weights, path: str, end: float, counts: list[tuple[int, int, float]]) -> DataFrame:
+    """h, n, c and log10 probabilities p0, p1, ... of every word in all texts and in each class, as a stored table.
+
+    end: probability of the end; counts: words, distinct words and discount of all training texts and of each class."""
     sent = table_of_words.sparkSession.sparkContext.broadcast(weights)
-    rest = np.log((discount * distinct + 1) / (tokens + 2))
+    columns = ["c", *(f"c{k}" for k in range(1, len(counts)))]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            count = np.asarray(batch.column("c"), dtype=float)
+            below = np.zeros(batch.num_rows)
             for rows, x in _by_size(batch.column("word")) if batch.num_rows else ():
-                whole = np.maximum(count[rows] - discount, 0) / (tokens + 2)
+                below[rows] = forward(x, own, sent.value)
+            out = []
+            for name, (tokens, distinct, discount) in zip(columns, counts, strict=True):
+                whole = np.maximum(np.asarray(batch.column(name), dtype=float) - discount, 0)
                 with np.errstate(divide="ignore"):
-                    out[rows] = np.logaddexp(np.log(whole), rest + forward(x, own, sent.value))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), batch.column("c"), pa.array(out / np.log(10))], names=["h", "n", "c", "p"])
+                    p = np.logaddexp(np.log(whole), np.log(discount * distinct + 1) + below) - np.log(tokens + 1)
+                below = p if not out else below  # classes stand above all texts
+                out.append(pa.array((p + np.log1p(-end)) / np.log(10)))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), batch.column("c"), *out], names=["h", "n", "c", *(f"p{k}" for k in range(len(out)))])
 
-    return written(table_of_words.mapInArrow(scored, "h long, n long, c long, p double"), "priced")
+    return written(table_of_words.mapInArrow(scored, "h long, n long, c long, " + ", ".join(f"p{k} double" for k in range(len(counts)))), "priced")
 
 
-def scores(docs: DataFrame, path: str, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score (and held_out) of docs' doc_id, text, held_out."""
+def scores(docs: DataFrame, path: str, head: int = HEAD, rounds: int = ROUNDS, classes: int = CLASSES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs' doc_id, text, held_out (and lang, if there)."""
     spark = docs.sparkSession
     docs = docs.withColumn("train", ~F.col("held_out"))
-    training_rows = docs.where("train").count()
-    found = word_table(docs)
-    total, learnt, distinct, once, twice = found.agg(F.sum("n"), F.sum("c"), *(F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))).first()
-    train_tokens = (learnt or 0) + training_rows
-    scale = float(np.log10(train_tokens + distinct + bool(training_rows) + 1))
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
-    prices = priced(found, fit(found, path, rounds), path, train_tokens, discount, distinct)
-    often = sorted(tuple(r) for r in prices.where(F.col("n") * head >= (total or 0)).select("h", "c", "p").collect())
-    sent = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64), np.array([r[2] for r in often])))
-    end = (float(np.log10(training_rows + 1)), float(np.log10((training_rows + 1) / (train_tokens + 2))))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.where("train").groupBy(lang.alias("lang")).count().collect()
+    training_rows = sum(r["count"] for r in texts)
+    top = sorted((r for r in texts if r["lang"] is not None), key=lambda r: (-r["count"], r["lang"]))[:classes]
+    number = F.create_map(*(F.lit(x) for k, r in enumerate(top, 1) for x in (r["lang"], k))) if top else None
+    docs = docs.withColumn("class", F.coalesce(F.element_at(number, lang), F.lit(0)) if top else F.lit(0))
+    found = word_table(docs, len(top))
+    names = ["c", *(f"c{k}" for k in range(1, len(top) + 1))]
+    sums = found.agg(F.sum("n").alias("n"), *(x.alias(f"{c}_{k}") for c in names for k, x in enumerate((F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2))))).first()
+    counts = [(sums[f"{c}_0"] or 0, sums[f"{c}_1"], discount_of(sums[f"{c}_2"], sums[f"{c}_3"])) for c in names]
+    train_tokens = counts[0][0] + training_rows
+    scale = float(np.log10(train_tokens + counts[0][1] + bool(training_rows) + 1))
+    end = (training_rows + 1) / (train_tokens + 2)
+    prices = priced(found, fit(found, path, rounds), path, end, counts)
+    columns = [f"p{k}" for k in range(len(counts))]
+    often = sorted(tuple(r) for r in prices.where(F.col("n") * head >= (sums["n"] or 0)).select("h", "c", *columns).collect())
+    share = np.array([training_rows - sum(r["count"] for r in top), *(r["count"] for r in top)], float) + 1
+    sent = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64), np.array([r[2:] for r in often], float).reshape(len(often), len(columns)), np.log10(share / share.sum())))
+    ends = (float(np.log10(training_rows + 1)), float(np.log10(end)))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document with what the broadcast words give (times 0: it needs no other word), and one for each other word."""
-        hashes, counts, p = sent.value
-        logs = np.log10(counts + 1.0)
+        """For each document and class that counts: a row with what the broadcast words give (times 0: it needs no other word), and one for each other word."""
+        hashes, known, p, prior = sent.value
+        logs = np.log10(known + 1.0)
         base = TaskContext.get().partitionId() << 40
-        names = ["row", "h", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+        names = ["row", "class", "h", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
-                starts, ends, at = words(lowered(data), offsets, SPACE_WORDS)
-                h = signed(word_hashes(lowered(data), starts, ends))
+                data = lowered(data)
+                starts, ends_of, at = words(data, offsets, SPACE_WORDS)
+                h = signed(word_hashes(data, starts, ends_of))
                 n = len(at) - 1
                 owner = np.repeat(np.arange(n), np.diff(at))
                 k = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
                 hit = hashes[k] == h if len(hashes) else np.zeros(len(h), bool)
                 k, who = k[hit], owner[hit]
-                rows = pa.array(base + np.arange(n))
-                yield pa.RecordBatch.from_arrays([rows, pa.array(signed(np.arange(n).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(base))), pa.array(np.zeros(n, np.int64)), batch.column("doc_id").slice(row, n), batch.column("held_out").slice(row, n), pa.array(np.diff(at) + 1), pa.array(np.bincount(who, counts[k] > 0, n).astype(np.int64) + bool(training_rows)), pa.array(np.bincount(who, logs[k], n) + end[0]), pa.array(np.bincount(who, p[k], n) + end[1])], names=names)
+                by_class = np.stack([np.bincount(who, p[k, j], n) for j in range(len(prior))], 1) + prior
+                alive = by_class >= by_class.max(1, keepdims=True) - PRUNE
+                doc, kind = np.nonzero(alive)
+                one = np.flatnonzero(np.diff(doc, prepend=-1))  # numbers of words are given with a document's first class
+                first = np.zeros(len(doc), bool)
+                first[one] = True
+                only = lambda x, t: pa.array(x[doc], t, mask=~first)
+                m = len(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(base + doc), pa.array(kind.astype(np.int32)), pa.array(signed((np.arange(m).astype(U64) + U64(base)) * U64(0x9E3779B97F4A7C15))), pa.array(np.zeros(m, np.int64)), batch.column("doc_id").slice(row, n).take(pa.array(doc)), batch.column("held_out").slice(row, n).take(pa.array(doc)), only(np.diff(at) + 1, pa.int64()), only(np.bincount(who, known[k] > 0, n).astype(np.int64) + bool(training_rows), pa.int64()), only(np.bincount(who, logs[k], n) + ends[0], pa.float64()), pa.array(by_class[doc, kind] + ends[1])], names=names)
                 h, owner = h[~hit], owner[~hit]
                 if len(h):
                     order = np.lexsort((h, owner))
                     h, owner = h[order], owner[order]
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                    first = np.flatnonzero(new)
-                    m = len(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(base + owner[first]), pa.array(h[first]), pa.array(np.diff(np.append(first, len(h)))), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
+                    head_of = np.flatnonzero(new)
+                    times = np.diff(np.append(head_of, len(h)))
+                    h, owner = h[head_of], owner[head_of]
+                    pick, kind = np.nonzero(alive[owner])
+                    m = len(pick)
+                    yield pa.RecordBatch.from_arrays([pa.array(base + owner[pick]), pa.array(kind.astype(np.int32)), pa.array(h[pick]), pa.array(times[pick]), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_())), pa.array(np.zeros(m, np.int64), mask=kind != alive[owner[pick]].argmax(1)), *(pa.nulls(m, t) for t in (pa.int64(), pa.float64(), pa.float64()))], names=names)
                 base += n
 
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(looked_up, "row long, h long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    joined = rows.join(prices.select("h", "c", "p"), "h", "left")
-    times = F.col("times")
-    summed = joined.groupBy("row").agg(
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(looked_up, "row long, class int, h long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    joined = rows.join(prices.select("h", "c", *columns), "h", "left")
+    times, counts_here = F.col("times"), F.col("n_tokens").isNotNull()
+    own = F.coalesce(*(F.when(F.col("class") == k, F.col(c)) for k, c in enumerate(columns)))
+    by_class = joined.groupBy("row", "class").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.when(F.col("c") > 0, times), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base", times * F.log10(F.coalesce("c", F.lit(0)) + 1.0))).alias("base"),
-        F.sum(F.coalesce("score", times * F.col("p"))).alias("score"),
+        F.sum(F.when(counts_here, F.coalesce("n_known", F.when(F.col("c") > 0, times), F.lit(0)))).alias("n_known"),
+        F.sum(F.when(counts_here, F.coalesce("base", times * F.log10(F.coalesce("c", F.lit(0)) + 1.0)))).alias("base"),
+        F.sum(F.coalesce("score", times * own)).alias("score"),
     )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")
+    most = F.array_max("parts")
+    summed = by_class.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.array_sort(F.collect_list("score")).alias("parts"))
+    score = most + F.log10(F.aggregate("parts", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - most)))
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), score.alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (split_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (split_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
     return scores(docs, public_tokenizers.path(VOCABULARY))
