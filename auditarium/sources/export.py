@@ -52,16 +52,18 @@ def export(ev: DataFrame, path: str, fmt: str = "jsonl", compression: str = "non
         def arrays(batches):
             import pandas as pd
 
-            first = True
+            held = None  # a row is written when the one behind it is known: the last has no comma
+            begun = False
             for pdf in batches:
-                if len(pdf):
-                    body = ",\n".join(pdf["value"])
-                    yield pd.DataFrame({"value": [("[\n" if first else ",\n") + body]})
-                    first = False
-            if not first:
-                yield pd.DataFrame({"value": ["\n]"]})
-
-        table(ev).select(F.to_json(F.struct(*COLUMNS)).alias("value")).mapInPandas(arrays, "value string").write.option("compression", compression).option("lineSep", "").text(path)
+                for value in pdf["value"]:
+                    if held is not None:
+                        yield pd.DataFrame({"value": [("" if begun else "[\n") + held + ","]})
+                        begun = True
+                    held = value
+            if held is not None:
+                yield pd.DataFrame({"value": [("" if begun else "[\n") + held + "\n]"]})
+
+        table(ev).select(F.to_json(F.struct(*COLUMNS)).alias("value")).mapInPandas(arrays, "value string").write.option("compression", compression).text(path)
 
 
 def write_days(ev: DataFrame, path: str) -> None:

@@ -124,6 +124,8 @@ def journal(data: bytes) -> Iterator[tuple[int, int, int, bytes, str | None]]:
 def flipped_header(data: bytes, at: int, most: int = MAX_PAYLOAD) -> Record | None:
     """The record at a place whose header has one wrong bit, if setting it right makes the whole record valid but for the header."""
     part = bytearray(data[at : at + OVERHEAD + most])
+    if len(part) < OVERHEAD:
+        return None
     for bit in range(160):
         part[bit >> 3] ^= 1 << (bit & 7)
         got = record_at(bytes(part), 0, most)

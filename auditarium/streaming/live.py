@@ -12,14 +12,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from auditarium.functions.model import ERROR
 
 
+def _timed(ev: DataFrame) -> DataFrame:
+    """ev with a time that has a zone (UTC sessions): watermarks ask for one."""
+    return ev.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def counts(ev: DataFrame, interval: str = "10 seconds", late: str = "1 minute") -> DataFrame:
     """Events and errors of each interval and segment; a closed interval is final after late. Partial sums combine before the shuffle."""
-    return ev.withWatermark("ts", late).groupBy(F.window("ts", interval), "segment").agg(F.count("*").alias("events"), F.count_if(F.col("level") >= ERROR).alias("errors")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "segment", "events", "errors")
+    return _timed(ev).withWatermark("ts", late).groupBy(F.window("ts", interval), "segment").agg(F.count("*").alias("events"), F.count_if(F.col("level") >= ERROR).alias("errors")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "segment", "events", "errors")
 
 
 def sessions(ev: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each entity: events no more than gap apart (an extension)."""
-    return ev.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "entity_id").agg(F.count("*").alias("events")).select("session_window.start", "session_window.end", "entity_id", "events")
+    return _timed(ev).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "entity_id").agg(F.count("*").alias("events")).select("session_window.start", "session_window.end", "entity_id", "events")
 
 
 def alerts(ev: DataFrame, threshold: int) -> DataFrame:
