@@ -1,0 +1,63 @@
+"""Guards for calls to outside stores, made by the driver or by a task: retries with backoff, a circuit breaker, a bounded bulk run.
+
+Spark repeats tasks itself; these are for single calls whose failure should not cost a task. `monitor.breaker` computes the same states from logs.
+"""
+
+from __future__ import annotations
+
+import random
+import time
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+
+
+def retry(call: Callable, attempts: int = 3, first: float = 0.1, factor: float = 2.0, most: float = 10.0, jitter: float = 0.1, on: tuple[type[Exception], ...] = (Exception,), sleep: Callable[[float], None] = time.sleep):
+    """call's result, tried again after growing waits; the last error is raised. Errors that aren't of `on` are raised at once."""
+    wait = first
+    for k in range(attempts):
+        try:
+            return call()
+        except on:
+            if k == attempts - 1:
+                raise
+            sleep(min(most, wait) * (1 + jitter * random.uniform(-1, 1)))
+            wait *= factor
+
+
+class Open(RuntimeError):
+    """The breaker refuses calls."""
+
+
+class Breaker:
+    def __init__(self, max_failures: int = 5, reset: float = 60.0, clock: Callable[[], float] = time.monotonic):
+        self.max_failures, self.reset, self.clock = max_failures, reset, clock
+        self.state, self.failures, self.opened = "closed", 0, 0.0
+
+    def call(self, f: Callable):
+        if self.state == "open":
+            if self.clock() - self.opened < self.reset:
+                raise Open(f"open for {self.reset} s after {self.max_failures} failures")
+            self.state = "half-open"
+        try:
+            out = f()
+        except Exception:
+            self.failures += 1
+            if self.state == "half-open" or self.failures >= self.max_failures:
+                self.state, self.opened, self.failures = "open", self.clock(), 0
+            raise
+        self.state, self.failures = "closed", 0
+        return out
+
+
+def bulk(calls: Iterable[Callable], at_once: int = 8, least_rate: float = 0.0) -> tuple[int, int]:
+    """Calls run and failed; after a quarter of them it ends early if fewer than least_rate succeeded."""
+    calls = list(calls)
+    done = failed = 0
+    with ThreadPoolExecutor(at_once) as pool:
+        for at in range(0, len(calls), at_once):
+            for f in [pool.submit(c) for c in calls[at : at + at_once]]:
+                done += 1
+                failed += f.exception() is not None
+            if done >= len(calls) / 4 and (done - failed) / done < least_rate:
+                break
+    return done, failed
