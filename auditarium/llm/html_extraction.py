@@ -61,7 +61,6 @@ def blocks_of(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, in
     stack: list[tuple[str, int, bool]] = []  # block-level elements: tag, number, furniture
     links = 0
     count = 0
-    skip = ""  # a raw element's tag
     parts: list[str] = []
     linked: list[str] = []
     out = []
@@ -95,8 +94,7 @@ def blocks_of(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, in
             if tag == "a":
                 links = 0 if closing else 1
             if not closing and not attributes.endswith("/") and attributes and _furniture(tag, attributes, frozenset()):
-                skip = tag
-                end = re.compile(rf"</{skip}\s*>", re.I).search(page, at)
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else at
             continue
         if tag in VOID:

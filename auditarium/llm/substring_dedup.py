@@ -8,14 +8,15 @@ the same document). Every occurrence is found, and equal means equal words.
    phrase names some neighbouring windows (about one phrase in nine words is a name). Names are counted, combined before the shuffle; only
    windows of phrases that occur again go on. This passes over all documents; hashes only select.
 2. Units. A phrase's windows in a document are one short run of text, and the runs of a phrase meet in a shard. A phrase that occurs over
-   HOT times is cut into single windows instead, which are combined to counts and earliest places before they are shuffled,
-   and salted by their text, so no phrase's runs fill a task however many documents hold it.
+   HOT times is treated otherwise: equal runs are combined to a count and the earliest place before they are shuffled, then cut into single
+   windows, which are combined again and salted by their text, so no phrase's runs fill a task however many documents hold it.
 3. Automata. Windows of a shard (a run of phrases of bounded size in a task) that recur are compiled into an Aho-Corasick automaton over
    word numbers, the shard's units are streamed through it, and what it finds gives every occurrence and the earliest.
-4. Back. Later occurrences go to their documents as spans, where covered words fall. Hot phrases' windows are joined to their occurrences.
+4. Back. Later occurrences go to their documents as spans, where covered words fall. What is found of a hot phrase's different runs is joined
+   to their occurrences, one row for each.
 
 Hot windows and documents only meet in joins whose other side has one row for each key, which the planner can split. Nothing is capped.
-Documents are shuffled once, by their key; both joins that need texts use that.
+Documents are shuffled once, by their key and compressed; both joins that need texts use that.
 
 Words are runs of bytes other than white space. Nulls: a null text has no words; a null doc_id counts as smaller than all. Repeated rows are one
 document, each row returned; rows with one id and different texts are told apart by text and ordered by its hash. An empty table
@@ -30,10 +31,13 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import SPACE_WORDS, U64, gram_hashes, signed, slices, table, word_hashes, words
+from .shared import SPACE_WORDS, U64, gram_hashes, signed, slices, table, word_hashes, words, written
 
 WINDOW, PHRASE = 20, 4
 HOT = 2000
@@ -68,6 +72,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("dk"), text.alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with text compressed, for the way through a shuffle."""
+    place = docs.columns.index("text")
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[place] = pa.array([None if not t.is_valid else pack.compress(t.as_buffer()) for t in batch.column(place)], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(shrink, T.StructType([T.StructField("text", T.BinaryType()) if k == place else f for k, f in enumerate(docs.schema)]))
+
+
+def unpacked(data: pa.Scalar, by: zstandard.ZstdDecompressor) -> bytes | None:
+    return by.decompress(data.as_buffer()) if data.is_valid else None
+
+
 def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     """h, dk, lo, hi: each phrase that names windows of a document, and the first and last of them."""
 
@@ -83,37 +105,76 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.select("dk", "text").mapInArrow(found, "h long, dk long, lo int, hi int")
 
 
-def units(rows: DataFrame, window: int, single: bool) -> DataFrame:
-    """h, unit (its words, joined by spaces), id, dk, lo of documents (id, dk, text) with found (an array of h, lo, hi); single: a unit for each window."""
+def _cut(rows: DataFrame, window: int, schema: str, names: list[str], emit) -> DataFrame:
+    """emit(runs of a batch: h, text, id, dk, lo) of packed documents (id, dk, text) with found (an array of h, lo, hi). A text is its words, joined by spaces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, keys = batch.column("id").to_pylist(), batch.column("dk").to_pylist()
-            for k, (text, found) in enumerate(zip(batch.column("text"), batch.column("found").to_pylist(), strict=True)):
-                w = text.as_buffer().to_pybytes().split()  # bytes.split() splits at the same six bytes
-                out = [(f["h"], b" ".join(w[at : end + window]), at) for f in found for at, end in (((j, j) for j in range(f["lo"], f["hi"] + 1)) if single else ((f["lo"], f["hi"]),)) if end + window <= len(w)]
-                if out:
-                    h, unit, lo = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(unit, pa.binary()), pa.array([ids[k]] * len(h), pa.int64()), pa.array([keys[k]] * len(h), pa.int64()), pa.array(lo, pa.int32())], names=["h", "unit", "id", "dk", "lo"])
+            out: list[tuple] = []
+            for ident, dk, text, found in zip(batch.column("id").to_pylist(), batch.column("dk").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
+                w = unpacked(text, by).split()  # bytes.split() splits at the same six bytes
+                out += [(f["h"], b" ".join(w[f["lo"] : f["hi"] + window]), ident, dk, f["lo"]) for f in found if f["hi"] + window <= len(w)]
+                if len(out) > 20_000:
+                    yield _batch(emit(out), names)
+                    out = []
+            if out:
+                yield _batch(emit(out), names)
 
-    return rows.select("id", "dk", "text", "found").mapInArrow(_merged(cut), "h long, unit binary, id long, dk long, lo int")
+    return rows.select("id", "dk", "text", "found").mapInArrow(cut, schema)
 
 
-def _merged(work, rows: int = 5000):
-    """work, with its small batches put together."""
+_KINDS = {"h": pa.int64(), "unit": pa.binary(), "mark": pa.int64(), "n": pa.int64(), "id": pa.int64(), "dk": pa.int64(), "lo": pa.int32()}
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, _KINDS[n]) for x, n in zip(zip(*rows, strict=True), names, strict=True)], names=names)
+
+
+def mark_of(text: bytes) -> int:
+    x = xxhash.xxh64_intdigest(text)
+    return x - (1 << 64) if x >> 63 else x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in work(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return run
+def units(rows: DataFrame, window: int) -> DataFrame:
+    """h, unit, id, dk, lo of every run."""
+    return _cut(rows, window, "h long, unit binary, id long, dk long, lo int", ["h", "unit", "id", "dk", "lo"], lambda out: out)
+
+
+def combined_units(rows: DataFrame, window: int) -> DataFrame:
+    """h, unit, n, id, dk, lo: runs combined to a count and the earliest, within each batch."""
+
+    def emit(out: list[tuple]) -> list[tuple]:
+        found: dict[tuple, list] = {}
+        for h, unit, *here in out:
+            got = found.setdefault((h, unit), [0, here])
+            got[0] += 1
+            got[1] = min(got[1], here)
+        return [(h, unit, n, *here) for (h, unit), (n, here) in found.items()]
+
+    return _cut(rows, window, "h long, unit binary, n long, id long, dk long, lo int", ["h", "unit", "n", "id", "dk", "lo"], emit)
+
+
+def marked_units(rows: DataFrame, window: int) -> DataFrame:
+    """h, mark (of its text), id, dk, lo of every run."""
+    return _cut(rows, window, "h long, mark long, id long, dk long, lo int", ["h", "mark", "id", "dk", "lo"], lambda out: [(h, mark_of(unit), *here) for h, unit, *here in out])
+
+
+def windows_of(rows: DataFrame, window: int) -> DataFrame:
+    """h, mark (the unit's hash), at, text, n, id, dk, lo of each window of units (h, unit, n, id, dk, lo)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, unit, n, ident, dk, lo in zip(*(batch.column(c).to_pylist() for c in ("h", "unit", "n", "id", "dk", "lo")), strict=True):
+                w = unit.split()
+                mark = mark_of(unit)
+                out += [(h, mark, k, b" ".join(w[k : k + window]), n, ident, dk, lo + k) for k in range(len(w) - window + 1)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "mark", "at", "text", "n", "id", "dk", "lo"])
+
+    return rows.select("h", "unit", "n", "id", "dk", "lo").mapInArrow(cut, "h long, mark long, at int, text binary, n long, id long, dk long, lo int")
 
 
 def recurring(shard: list[tuple[bytes, int, tuple[int, int, int]]], window: int) -> list[list[tuple[int, int, int, int, int]]]:
@@ -205,43 +266,49 @@ def automata(rows: DataFrame, window: int) -> DataFrame:
 
 
 def hot_automata(rows: DataFrame, window: int, hot: int) -> DataFrame:
-    """The same of single windows of hot phrases: windows are combined first, and what the automata find is joined to all occurrences."""
-    mark = F.xxhash64("unit").alias("mark")
-    distinct = rows.groupBy("h", "unit").agg(F.count("*").alias("n"), F.min(F.struct("id", "dk", "lo")).alias("e")).where("n > 1")
+    """id, dk, spans of what later occurrences of hot phrases' runs cover. rows: as units takes them."""
+    least = F.min(F.struct("id", "dk", "lo")).alias("e")
+    runs = combined_units(rows, window).groupBy("h", "unit").agg(F.sum("n").alias("n"), least).select("h", "unit", "n", "e.id", "e.dk", "e.lo")
+    each = windows_of(runs, window)
+    distinct = each.groupBy("h", "text").agg(F.sum("n").alias("n"), least).where("n > 1")
 
     def work(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = recurring([(unit, n, (ident, dk, lo)) for _, _, unit, n, ident, dk, lo in held], window)
-        keep = [(row[0], row[2], *runs[0][2:]) for row, runs in zip(held, found, strict=True) if runs]
+        found = recurring([(text, n, (ident, dk, lo)) for _, _, text, n, ident, dk, lo in held], window)
+        keep = [(row[0], row[2], *first[0][2:]) for row, first in zip(held, found, strict=True) if first]
         if keep:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*keep, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["h", "unit", "id", "dk", "lo"])
 
-    salted = distinct.select("h", F.pmod(F.xxhash64(F.lit(3), "unit"), F.lit(hot)).alias("salt"), "unit", "n", "e.id", "e.dk", "e.lo")
-    first = _sharded(salted, ["h", "salt"], work, "h long, unit binary, id long, dk long, lo int").select("h", mark, F.col("id").alias("fid"), F.col("dk").alias("fdk"), F.col("lo").alias("flo"))
-    met = rows.select("h", mark, "id", "dk", "lo").join(first, ["h", "mark"]).where("not (fid = id and fdk = dk and flo = lo)")
-    return met.select("id", "dk", F.col("lo").alias("begin"), (F.col("lo") + window).alias("end"))
+    salted = distinct.select("h", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(hot)).alias("salt"), F.col("text").alias("unit"), "n", "e.id", "e.dk", "e.lo")
+    first = _sharded(salted, ["h", "salt"], work, "h long, unit binary, id long, dk long, lo int").select("h", F.xxhash64("unit").alias("word"), F.struct("id", "dk", "lo").alias("first"))
+    by_run = each.select("h", "mark", "at", F.xxhash64("text").alias("word")).join(first, ["h", "word"]).groupBy("h", "mark").agg(F.collect_list(F.struct("at", "first")).alias("firsts"))
+    met = marked_units(rows, window).join(by_run, ["h", "mark"])
+    later = F.filter("firsts", lambda x: ~((x["first"]["id"] == F.col("id")) & (x["first"]["dk"] == F.col("dk")) & (x["first"]["lo"] == F.col("lo") + x["at"])))
+    return met.select("id", "dk", F.transform(later, lambda x: F.struct((F.col("lo") + x["at"]).alias("begin"), (F.col("lo") + x["at"] + window).alias("end"))).alias("spans")).where(F.size("spans") > 0)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """dk, own (the document's id), copy (all its windows occur earlier) and spans (array of begin, end in words) of documents (id, dk, text)."""
+def repeats(docs: DataFrame, texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
+    """dk, own (the document's id), copy (all its windows occur earlier) and spans (array of begin, end in words) of documents (id, dk, text). texts: the same, packed."""
     text = docs.select("id", "dk", F.md5(F.col("text").cast("binary")).alias("sum"))
     first = text.groupBy("sum").agg(F.min(F.struct("id", "dk")).alias("f"), F.count("*").alias("n")).where("n > 1").select("sum", "f")
     copies = text.join(first, "sum").where("f.dk <> dk").select("dk", "id").distinct()
     named = phrases(docs, window, phrase)
-    again = named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
+    # a table of its own, so that the join below has a plain shuffle on either side, which can be split where a phrase is hot
+    again = written(named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")), "phrases")
     kept = named.join(again.hint("shuffle_hash"), "h").groupBy("dk").agg(F.collect_set(F.struct("h", "lo", "hi", "hot")).alias("found")).join(copies.hint("shuffle_hash"), "dk", "left_anti")
     own = lambda hot: kept.select("dk", F.filter("found", lambda f: f["hot"] if hot else ~f["hot"]).alias("found")).where(F.size("found") > 0)
-    cold = automata(units(docs.join(own(False).hint("shuffle_hash"), "dk"), window, False), window)
-    warm = hot_automata(units(docs.join(own(True).hint("shuffle_hash"), "dk"), window, True), window, hot)
-    spans = cold.unionByName(warm).groupBy("dk", "id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    cold = automata(units(texts.join(own(False).hint("shuffle_hash"), "dk"), window), window).select("id", "dk", F.array(F.struct("begin", "end")).alias("spans"))
+    warm = hot_automata(texts.join(own(True).hint("shuffle_hash"), "dk"), window, hot)
+    spans = cold.unionByName(warm).groupBy("dk", "id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     return spans.select("dk", F.col("id").alias("own"), F.lit(False).alias("copy"), "spans").unionByName(copies.select("dk", F.col("id").alias("own"), F.lit(True).alias("copy"), F.array(F.struct(F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))).alias("spans")))
 
 
 def marked(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """id, dk, text, copy and spans (null: none) of each of docs' rows. docs: doc_id, text."""
+    """id, dk, text (packed), copy and spans (null: none) of each of docs' rows. docs: doc_id, text."""
     keyed = _keyed(docs)
-    found = repeats(keyed, window, phrase, hot).withColumnRenamed("dk", "__dk").hint("shuffle_hash")
+    texts = packed(keyed)
+    found = repeats(keyed, texts, window, phrase, hot).withColumnRenamed("dk", "__dk").hint("shuffle_hash")
     # partitioned by dk alone, as in the other joins of texts, so that one shuffle of them serves all
-    return keyed.join(found, (F.col("dk") == F.col("__dk")) & F.col("own").between(F.col("id"), F.col("id")), "left").drop("own", "__dk")
+    return texts.join(found, (F.col("dk") == F.col("__dk")) & F.col("own").between(F.col("id"), F.col("id")), "left").drop("own", "__dk")
 
 
 def _kept_mask(spans: list | None, copy: bool | None, n: int, window: int) -> np.ndarray:
@@ -271,10 +338,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int
     """For each document: words, words removed, and the digest of what is kept."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = zstandard.ZstdDecompressor()
         for batch in batches:
             total, removed, digest = [], [], []
             for text, spans, copy in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True):
-                w = text.as_buffer().to_pybytes().split()
+                w = unpacked(text, by).split()
                 kept = [x for x, k in zip(w, _kept_mask(spans, copy, len(w), window).tolist(), strict=True) if k] if spans else w
                 total.append(len(w))
                 removed.append(len(w) - len(kept))
@@ -289,15 +357,17 @@ def rewritten(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot:
     """docs with repeated words taken out of text and n_chars (if there) counted anew; documents of which no word is left go.
     Other columns stay, but for ones named __spans and __copy."""
     ident, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = repeats(_keyed(docs), window, phrase, hot).select(F.col("dk").alias("__dk"), F.col("own").alias("__id"), F.col("spans").alias("__spans"), F.col("copy").alias("__copy"))
-    joined = docs.drop("__spans", "__copy").withColumn("__key", F.xxhash64(ident, text)).join(found.hint("shuffle_hash"), (F.col("__key") == F.col("__dk")) & F.col("__id").between(ident, ident), "left")
+    keyed = _keyed(docs)
+    found = repeats(keyed, packed(keyed), window, phrase, hot).select(F.col("dk").alias("__dk"), F.col("own").alias("__id"), F.col("spans").alias("__spans"), F.col("copy").alias("__copy"))
+    joined = packed(docs.drop("__spans", "__copy").withColumn("__key", F.xxhash64(ident, text)).withColumn("__own", ident)).join(found.hint("shuffle_hash"), (F.col("__key") == F.col("__dk")) & F.col("__id").between(F.col("__own"), F.col("__own")), "left")
     names = docs.drop("__spans", "__copy").columns
     place = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = zstandard.ZstdDecompressor()
         for batch in batches:
             spans = batch.column("__spans")
-            texts = batch.column(place).to_pylist()
+            texts = [None if t is None else t.decode() for t in (unpacked(t, by) for t in batch.column(place))]
             keep = []
             for k, (found, copy) in enumerate(zip(spans.to_pylist(), batch.column("__copy").to_pylist(), strict=True)):
                 if found and texts[k] and texts[k].strip(WHITE):
@@ -306,7 +376,7 @@ def rewritten(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot:
                 else:
                     keep.append(True)
             columns = [batch.column(k) for k in range(len(names))]
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
+            columns[place] = pa.array(texts, pa.string())
             if "n_chars" in names:
                 k = names.index("n_chars")
                 old = columns[k].to_pylist()
