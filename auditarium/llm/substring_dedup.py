@@ -298,7 +298,7 @@ def repeats(docs: DataFrame, texts: DataFrame, window: int = WINDOW, phrase: int
     own = lambda hot: kept.select("dk", F.filter("found", lambda f: f["hot"] if hot else ~f["hot"]).alias("found")).where(F.size("found") > 0)
     cold = automata(units(texts.join(own(False).hint("shuffle_hash"), "dk"), window), window).select("id", "dk", F.array(F.struct("begin", "end")).alias("spans"))
     warm = hot_automata(texts.join(own(True).hint("shuffle_hash"), "dk"), window, hot)
-    spans = cold.unionByName(warm).groupBy("dk", "id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = cold.unionByName(warm).groupBy("dk", "id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return spans.select("dk", F.col("id").alias("own"), F.lit(False).alias("copy"), "spans").unionByName(copies.select("dk", F.col("id").alias("own"), F.lit(True).alias("copy"), F.array(F.struct(F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))).alias("spans")))
 
 
