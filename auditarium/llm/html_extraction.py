@@ -5,7 +5,7 @@ tags don't count. For each path the lengths and punctuation marks of its blocks
 (characters a block) and a punctuation ratio (marks a block). Both are given to the blocks in page order,
 smoothed by a Gaussian so that a heading is judged with the text it stands by, fused to one product with the
 share of text outside links, and paths whose best block is over a share of the page's deviation are content paths.
-The smallest element that holds nearly all content text is the article; its blocks are the result, short ones too.
+The smallest element that holds all blocks of content paths is the article; its blocks are the result, short ones too.
 Elements that are furniture by tag, role, class or id (menus, asides, forms, comments, ...) never count.
 
 Rows are independent: there is no shuffle, and a page of any size is one linear scan. A null html and a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-SMOOTHING, THRESHOLD, COVER = 1.0, 0.1, 0.85
+SMOOTHING, THRESHOLD = 1.0, 0.1
 
 #: Fixed values of HTML: elements without content, of raw text, of running text, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -165,19 +165,13 @@ def main_text(page: str | None) -> str:
     for x, (_, path, _, _) in zip(fused, blocks, strict=True):
         best[path] = max(best[path], x)
     content = [best[path] >= border for _, path, _, _ in blocks]
-    # down from the root, as long as one child holds nearly all content text
-    weight = sum(len(text) for keep, (_, _, text, _) in zip(content, blocks, strict=True) if keep)
-    depth, inside = 0, list(range(len(blocks)))
-    while True:
-        children: dict[int, int] = defaultdict(int)
-        for i in inside:
-            if content[i] and len(blocks[i][0]) > depth + 1:  # a leaf block is no article
-                children[blocks[i][0][depth]] += len(blocks[i][2])
-        child = max(children, key=children.get, default=None)
-        if child is None or children[child] < COVER * weight:
-            break
-        inside = [i for i in inside if len(blocks[i][0]) > depth and blocks[i][0][depth] == child]
+    # the article: down from the root, as long as one child holds every block of a content path (a leaf block is no article)
+    chains = [ids for keep, (ids, _, _, _) in zip(content, blocks, strict=True) if keep]
+    low, high = min(chains), max(chains)
+    depth = 0
+    while depth < min(map(len, chains)) - (len(chains) == 1) and low[depth] == high[depth]:
         depth += 1
+    inside = [i for i, (ids, _, _, _) in enumerate(blocks) if ids[:depth] == low[:depth]]
     kept = [blocks[i][2] for i in inside if content[i] or blocks[i][3] < 0.5 * len(blocks[i][2])]
     return " ".join(kept)
 

@@ -46,6 +46,21 @@ def test_main_text(page, text):
     assert html_extraction.main_text(page) == text
 
 
+LONG = "Many long words, and some marks; here they are. " * 40
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1>T</h1><p>lead</p><div class=body><p>{0}</p><p>{0}</p></div><p>The end.</p></article>", "T lead {0} {0} The end."),
+        ("<main><section><h2>One</h2><p>{0}</p><p>{0}</p></section><section><h2>Two</h2><p>Short, but text.</p></section></main>", "One {0} {0} Two Short, but text."),
+        ("<body><div><a href=/>Home</a></div><div><h1>T</h1><div><p>{0}</p></div></div><div><a href=/>Terms</a></div></body>", "T {0}"),
+    ],
+)
+def test_main_text_has_all_blocks_of_content_paths(page, text):
+    assert html_extraction.main_text(page.format(LONG)) == text.format(LONG.strip())
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_extraction.extract(pages).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
