@@ -6,7 +6,10 @@ tags don't count. For each path the lengths and punctuation marks of its blocks
 smoothed by a Gaussian so that a heading is judged with the text it stands by, fused to one product with the
 share of text outside links, and paths whose best block is over a share of the page's deviation are content paths.
 The smallest element that holds all blocks of content paths is the article; its blocks are the result, short ones too.
-Elements that are furniture by tag, role, class or id (menus, asides, forms, comments, ...) never count.
+Elements that are furniture by tag (menus, asides, forms, ...) or hidden never count. Names of furniture in role, class and id
+are weaker: an element with one as a whole name goes out, and one with one inside a longer name counts less, unless
+the elements of this name hold most of the page's text (whole names outside an article or main element stay out, though, where
+the page has one). Ids made from headings name a topic and say nothing.
 
 Rows are independent: there is no shuffle, and a page of any size is one linear scan. A null html and a
 page without content give an empty text; a null page_id or url stays null; repeated rows are each returned;
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .shared import table
 
 SMOOTHING, THRESHOLD = 1.0, 0.1
+#: Weight of blocks with a furniture word inside a longer name; share of the page's text that no furniture holds.
+NAMED, MOST = 0.25, 0.5
 
 #: Fixed values of HTML: elements without content, of raw text, of running text, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,31 +44,46 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 SCOPE = frozenset("html body article section div table td th main aside nav header footer form ul ol".split())
 #: Furniture by tag, and by the words of role, class and id.
 FURNITURE_TAGS = frozenset("nav aside footer form button menu dialog select input label fieldset legend head".split())
-FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|sponsor(?:ed)?|promos?|promotion|banner|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side|rail|footer|foot|masthead|topbar|toolbar|header|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|tags?|pagination|pager|comments?|respond|replies|reply|disqus|discussion|complementary|contentinfo|dialog|hidden|skip)(?:$|[\s_-])", re.I)
+FURNITURE = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|adbox|sponsor(?:ed)?|promos?|promotion|banner|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side|rail|footer|foot|masthead|topbar|toolbar|header|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|tags?|pagination|pager|comments?|respond|replies|reply|disqus|discussion|complementary|contentinfo|dialog|hidden|skip)(?:$|[_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MARK = re.compile(r"[.,;:!?、。，！？]")
 
 
 def _furniture(tag: str, attributes: str, inside: frozenset | set) -> bool:
+    """Whether an element is furniture whatever it holds."""
     if tag in FURNITURE_TAGS or tag == "header" and not inside & {"article", "main"}:
         return True
-    if not attributes:
-        return False
-    if any(FURNITURE.search(a or b or c) for a, b, c in _NAMES.findall(attributes)) and tag not in ("html", "body", "article", "main"):
-        return True
-    return bool(_HIDDEN.search(attributes)) and tag not in ("html", "body")
+    return bool(attributes and _HIDDEN.search(attributes)) and tag not in ("html", "body")
+
+
+def _named(tag: str, attributes: str) -> list[tuple[str, str, str, bool]]:
+    """The furniture names of an element: its tag, attribute, name, and whether the whole name is such a word."""
+    if not attributes or tag in ("html", "body", "article", "main", "header"):
+        return []
+    out = []
+    for kind, a, b, c in _NAMES.findall(attributes):
+        kind = kind.lower()
+        if kind != "id" or tag not in _HEADING and tag not in INLINE:
+            for name in (a or b or c).lower().split():
+                if m := FURNITURE.search(name):
+                    out.append((tag, kind, name, len(m[0]) == len(name)))
+    return out
 
 
-def blocks_of(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, int]]:
-    """Text blocks in page order: the numbers of the elements around it, their tags, its text, its characters in links."""
+def _blocks(page: str, inline_names: bool) -> tuple[list, list[list], int]:
+    """Text blocks in page order (numbers of the elements around it, their tags, its text, its characters in links), the furniture
+    names of each element, and the characters of inline elements left out by their names."""
     stack: list[tuple[str, int, bool]] = []  # block-level elements: tag, number, furniture
     links = 0
     count = 0
     parts: list[str] = []
     linked: list[str] = []
     out = []
+    names: list[list] = [[]]  # by number
+    left_out = 0
 
     def end_block() -> None:
         if parts:
@@ -93,9 +113,15 @@ def blocks_of(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, in
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
-            if not closing and not attributes.endswith("/") and attributes and _furniture(tag, attributes, frozenset()):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
+            if not closing and not attributes.endswith("/") and attributes:
+                hidden = _furniture(tag, attributes, frozenset())
+                if hidden or inline_names and any(whole for *_, whole in _named(tag, attributes)):
+                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    if end and not hidden:
+                        left_out += len(" ".join(re.sub(r"<[^>]*+>", " ", page[at : end.start()]).split()))
+                    at = end.end() if end else at
+                    if end and tag == "a":
+                        links = 0
             continue
         if tag in VOID:
             parts.append(" ")
@@ -130,9 +156,50 @@ def blocks_of(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, in
             stack.pop()
         if not attributes.endswith("/"):
             count += 1
+            names.append(_named(tag, attributes))
             stack.append((tag, count, _furniture(tag, attributes, {t for t, _, _ in stack})))
     end_block()
-    return out
+    return out, names, left_out
+
+
+def blocks_of(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, int, int]]:
+    """Text blocks in page order without furniture: the numbers of the elements around it, their tags, its text, its characters in links,
+    and the outermost element around it with a furniture word inside a name (0: none)."""
+    found, names, left_out = _blocks(page, True)
+    total = sum(len(text) for _, _, text, _ in found)
+    if left_out > MOST * (total + left_out):
+        found, names, _ = _blocks(page, False)
+        total = sum(len(text) for _, _, text, _ in found)
+    if not any(names):
+        return [(*block, 0) for block in found]
+    before: tuple[int, ...] = ()
+    topics: set[int] = set()  # elements whose id is their heading's
+    for ids, tags, text, _ in found:
+        heading = next((k for k, t in enumerate(tags) if t in _HEADING), 0)
+        if heading:
+            for k in range(heading):
+                if ids[k] not in before[k : k + 1] and (tags[k] == "section" or any(kind == "id" and name == _slug(text) for _, kind, name, _ in names[ids[k]])):
+                    topics.add(ids[k])
+        before = ids
+    for k in topics:
+        names[k] = [x for x in names[k] if x[1] != "id"]
+    held: dict[tuple, int] = defaultdict(int)
+    for ids, _, text, _ in found:
+        for name in {name for k in ids for name in names[k]}:
+            held[name] += len(text)
+    article = lambda tags: "article" in tags or "main" in tags
+    told = any(article(tags) for _, tags, _, _ in found)  # the page itself tells where its article is
+    out, all_named = [], []
+    for ids, tags, text, linked in found:
+        counts = [(k, name) for k in ids for name in names[k] if held[name] <= MOST * total or name[3] and told and not article(tags)]
+        marked = {k for k, _ in counts}
+        tags = tuple(f"{t}~" if k in marked else t for k, t in zip(ids, tags, strict=True))  # paths of named elements are judged apart
+        (all_named if any(whole for _, (*_, whole) in counts) else out).append((ids, tags, text, linked, counts[0][0] if counts else 0))
+    return out or all_named
+
+
+def _slug(text: str) -> str:
+    return "-".join(re.findall(r"\w+", text.lower()))
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -151,28 +218,31 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     total: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for _, path, text, _ in blocks:
+    for _, path, text, _, _ in blocks:
         t = total[path]
         t[0] += 1
         t[1] += len(text)
         t[2] += len(_MARK.findall(text))
-    lengths = _smoothed([total[path][1] / total[path][0] for _, path, _, _ in blocks])
-    marks = _smoothed([total[path][2] / total[path][0] for _, path, _, _ in blocks])
-    fused = [a * (1 + b) * (1 - linked / max(1, len(text))) for a, b, (_, _, text, linked) in zip(lengths, marks, blocks, strict=True)]
+    ratios = [[total[path][k] / total[path][0] for _, path, *_ in blocks] for k in (1, 2)]
+    fused = []
+    for near, own, (_, _, text, linked, named) in zip(zip(*map(_smoothed, ratios), strict=True), zip(*ratios, strict=True), blocks, strict=True):
+        length, marks = own if named else near  # no neighbour speaks for a named element
+        fused.append(length * (1 + marks) * (1 - linked / max(1, len(text))) * (NAMED if named else 1))
     mean = sum(fused) / len(fused)
     border = THRESHOLD * max(mean, math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)))
     best: dict[tuple, float] = defaultdict(float)
-    for x, (_, path, _, _) in zip(fused, blocks, strict=True):
+    for x, (_, path, *_) in zip(fused, blocks, strict=True):
         best[path] = max(best[path], x)
-    content = [best[path] >= border for _, path, _, _ in blocks]
+    content = [best[path] >= border for _, path, *_ in blocks]
     # the article: down from the root, as long as one child holds every block of a content path (a leaf block is no article)
-    chains = [ids for keep, (ids, _, _, _) in zip(content, blocks, strict=True) if keep]
+    chains = [ids for keep, (ids, *_) in zip(content, blocks, strict=True) if keep]
     low, high = min(chains), max(chains)
     depth = 0
     while depth < min(map(len, chains)) - (len(chains) == 1) and low[depth] == high[depth]:
         depth += 1
-    inside = [i for i, (ids, _, _, _) in enumerate(blocks) if ids[:depth] == low[:depth]]
-    kept = [blocks[i][2] for i in inside if content[i] or blocks[i][3] < 0.5 * len(blocks[i][2])]
+    inside = [i for i, (ids, *_) in enumerate(blocks) if ids[:depth] == low[:depth]]
+    judged = {0, *(block[4] for keep, block in zip(content, blocks, strict=True) if keep)}
+    kept = [blocks[i][2] for i in inside if content[i] or blocks[i][4] in judged and blocks[i][3] < 0.5 * len(blocks[i][2])]
     return " ".join(kept)
 
 

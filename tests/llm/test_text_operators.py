@@ -61,6 +61,25 @@ def test_main_text_has_all_blocks_of_content_paths(page, text):
     assert html_extraction.main_text(page.format(LONG)) == text.format(LONG.strip())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class=x><div class='content no-sidebar'><p>{0}</p><p>{0}</p></div></body>", "{0} {0}"),
+        ("<div class='has-sidebar'><div class=main><p>{0}</p></div><div class=sidebar><p>Side text, some of it.</p></div></div>", "{0}"),
+        ("<article><p>{0}</p><section id='related-work'><h2>Related work</h2><p>Others did, too.</p></section><div id=discussion><h2>Discussion</h2><p>We talk.</p></div></article>", "{0} Related work Others did, too. Discussion We talk."),
+        ("<article><h2 id='side-effects'>Side effects</h2><p>{0}</p><h2><span id=Tags>Tags</span></h2><p>{0}</p></article>", "Side effects {0} Tags {0}"),
+        ("<div><div class=reply><p>{0}</p></div><div class=reply><p>{0}</p></div><div class=reply><p>{0}</p></div></div>", "{0} {0} {0}"),
+        ("<p><span class=share>{0}</span></p>", "{0}"),
+        ("<div><p>{0}</p><div class='my-related-work'><h2>More</h2><p>{0}</p></div></div>", "{0} More {0}"),
+        ("<div class=ad><p>{0}</p></div><article><p>Short text.</p></article>", "Short text."),
+        ("<div class=comments><p>One.</p></div><div class=related><p>Two.</p></div>", "One. Two."),
+        ("<div><p>{0}</p></div><div class='site-footer'><p>All rights reserved.</p></div><div class=ads><p>Buy this, now.</p></div>", "{0}"),
+    ],
+)
+def test_names_of_furniture_do_not_outweigh_the_text(page, text):
+    assert html_extraction.main_text(page.format(LONG)) == text.format(LONG.strip())
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_extraction.extract(pages).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
