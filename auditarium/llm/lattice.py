@@ -9,15 +9,15 @@ then re-estimated on the training texts' distinct words by expectation maximisat
 and backward recursions.
 
 A text is a mixture over classes of training texts (their most frequent languages, at most CLASSES, and one for all): a class has its own discounted
-counts of words above the probabilities of all texts. A text's own language is never looked at; the sum over classes is its marginal. Classes that
-the frequent words leave with less than 10^-PRUNE of the mixture are left out of the sum. So scores are probabilities: over all texts they sum to at most one.
+counts of words above the probabilities of all texts. A text's own language is never looked at; the sum over classes is its marginal,
+and all classes are summed: no part of a text can tell that a class doesn't count. So scores are probabilities: over all texts they sum to at most one.
 
 The base score is the add-one unigram score of the words.
 
 Work is done once for each distinct word of the corpus: a table of words with their counts (combined before the shuffle) goes
 through the recursions, in tasks, and only the sums for each piece (tens of thousands of rows) go to the driver. Texts then need their words'
 counts and scores. Words with at least 1/HEAD of all tokens are at most HEAD, by arithmetic, so those are broadcast; a document's other words
-are joined as rows, and none of them can be a hot key, since each has less than 1/HEAD of all tokens.
+are joined as rows (one a word, with its prices in all classes), and none of them can be a hot key, since each has less than 1/HEAD of all tokens.
 
 Nulls: a null text counts as empty: no words, one end. A null doc_id counts as an empty text for the fold and stays null. Repeated rows are each
 counted, scored and returned. Without training rows every count is 0 and the pieces keep the vocabulary's order. An empty table gives no rows.
@@ -41,7 +41,7 @@ from .shared import SPACE_WORDS, U64, lowered, powers, signed, slices, split_of,
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY = "piece_bpe_32k.model"
 HEAD, ROUNDS, PART = 200_000, 3, 512
-CLASSES, PRUNE = 6, 12
+CLASSES = 6
 #: Added to each piece's expected count, so that unseen pieces keep some weight.
 PRIOR = 0.02
 _CELLS = 1 << 19
@@ -323,11 +323,11 @@ def scores(docs: DataFrame, path: str, head: int = HEAD, rounds: int = ROUNDS, c
     ends = (float(np.log10(training_rows + 1)), float(np.log10(end)))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each document and class that counts: a row with what the broadcast words give (times 0: it needs no other word), and one for each other word."""
+        """For each document: a row with what the broadcast words give in each class (times 0: it needs no other word), and one for each other word."""
         hashes, known, p, prior = sent.value
         logs = np.log10(known + 1.0)
         base = TaskContext.get().partitionId() << 40
-        names = ["row", "class", "h", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+        names = ["row", "h", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "parts"]
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
                 data = lowered(data)
@@ -338,15 +338,8 @@ def scores(docs: DataFrame, path: str, head: int = HEAD, rounds: int = ROUNDS, c
                 k = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
                 hit = hashes[k] == h if len(hashes) else np.zeros(len(h), bool)
                 k, who = k[hit], owner[hit]
-                by_class = np.stack([np.bincount(who, p[k, j], n) for j in range(len(prior))], 1) + prior
-                alive = by_class >= by_class.max(1, keepdims=True) - PRUNE
-                doc, kind = np.nonzero(alive)
-                one = np.flatnonzero(np.diff(doc, prepend=-1))  # numbers of words are given with a document's first class
-                first = np.zeros(len(doc), bool)
-                first[one] = True
-                only = lambda x, t: pa.array(x[doc], t, mask=~first)
-                m = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(base + doc), pa.array(kind.astype(np.int32)), pa.array(signed((np.arange(m).astype(U64) + U64(base)) * U64(0x9E3779B97F4A7C15))), pa.array(np.zeros(m, np.int64)), batch.column("doc_id").slice(row, n).take(pa.array(doc)), batch.column("held_out").slice(row, n).take(pa.array(doc)), only(np.diff(at) + 1, pa.int64()), only(np.bincount(who, known[k] > 0, n).astype(np.int64) + bool(training_rows), pa.int64()), only(np.bincount(who, logs[k], n) + ends[0], pa.float64()), pa.array(by_class[doc, kind] + ends[1])], names=names)
+                parts = np.stack([np.bincount(who, p[k, j], n) for j in range(len(prior))], 1) + prior + ends[1]
+                yield pa.RecordBatch.from_arrays([pa.array(base + np.arange(n)), pa.array(signed((np.arange(n).astype(U64) + U64(base)) * U64(0x9E3779B97F4A7C15))), pa.array(np.zeros(n, np.int64)), batch.column("doc_id").slice(row, n), batch.column("held_out").slice(row, n), pa.array(np.diff(at) + 1, pa.int64()), pa.array(np.bincount(who, known[k] > 0, n).astype(np.int64) + bool(training_rows), pa.int64()), pa.array(np.bincount(who, logs[k], n) + ends[0], pa.float64()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(prior), pa.int32()), pa.array(parts.ravel()))], names=names)
                 h, owner = h[~hit], owner[~hit]
                 if len(h):
                     order = np.lexsort((h, owner))
@@ -356,23 +349,20 @@ def scores(docs: DataFrame, path: str, head: int = HEAD, rounds: int = ROUNDS, c
                     head_of = np.flatnonzero(new)
                     times = np.diff(np.append(head_of, len(h)))
                     h, owner = h[head_of], owner[head_of]
-                    pick, kind = np.nonzero(alive[owner])
-                    m = len(pick)
-                    yield pa.RecordBatch.from_arrays([pa.array(base + owner[pick]), pa.array(kind.astype(np.int32)), pa.array(h[pick]), pa.array(times[pick]), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_())), pa.array(np.zeros(m, np.int64), mask=kind != alive[owner[pick]].argmax(1)), *(pa.nulls(m, t) for t in (pa.int64(), pa.float64(), pa.float64()))], names=names)
+                    m = len(h)
+                    yield pa.RecordBatch.from_arrays([pa.array(base + owner), pa.array(h), pa.array(times), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names=names)
                 base += n
 
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(looked_up, "row long, class int, h long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(looked_up, "row long, h long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, parts array<double>")
     joined = rows.join(prices.select("h", "c", *columns), "h", "left")
-    times, counts_here = F.col("times"), F.col("n_tokens").isNotNull()
-    own = F.coalesce(*(F.when(F.col("class") == k, F.col(c)) for k, c in enumerate(columns)))
-    by_class = joined.groupBy("row", "class").agg(
+    times = F.col("times")
+    summed = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(counts_here, F.coalesce("n_known", F.when(F.col("c") > 0, times), F.lit(0)))).alias("n_known"),
-        F.sum(F.when(counts_here, F.coalesce("base", times * F.log10(F.coalesce("c", F.lit(0)) + 1.0)))).alias("base"),
-        F.sum(F.coalesce("score", times * own)).alias("score"),
-    )
+        F.sum(F.coalesce("n_known", F.when(F.col("c") > 0, times), F.lit(0))).alias("n_known"),
+        F.sum(F.coalesce("base", times * F.log10(F.coalesce("c", F.lit(0)) + 1.0))).alias("base"),
+        *(F.sum(F.coalesce(F.col("parts")[k], times * F.col(c))).alias(c) for k, c in enumerate(columns)),
+    ).withColumn("parts", F.array(*columns))
     most = F.array_max("parts")
-    summed = by_class.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.array_sort(F.collect_list("score")).alias("parts"))
     score = most + F.log10(F.aggregate("parts", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - most)))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), score.alias("score"))
 

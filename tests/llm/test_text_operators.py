@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from auditarium.llm import html_extraction, language_id, lattice, media, shared, sharding, toxicity
 
@@ -245,3 +246,13 @@ def test_lattice_scores(spark):
     assert lattice.scores(docs.limit(0), public_tokenizers.path(lattice.VOCABULARY), 10, 1).count() == 0
     unlearnt = lattice.scores(docs.withColumn("held_out", docs.held_out | True), public_tokenizers.path(lattice.VOCABULARY), 10, 1).first()
     assert unlearnt["n_known"] == 0 and unlearnt["train_tokens"] == 0 and unlearnt["base_score"] == 0
+
+
+def test_lattice_sums_all_classes_whatever_words_are_frequent(spark):
+    rare = [f"selten{k}" for k in range(40)]
+    rows = [(k, "usual words of the first class " * 20, "en") for k in range(30)] + [(100 + k, " ".join(rare), "de") for k in range(10)]
+    rows += [(200, "usual words " * 10 + " ".join(rare), None)]
+    docs = documents(spark, rows).withColumn("held_out", F.col("doc_id") == 200)
+    scores = lambda head: {r["doc_id"]: r["score"] for r in lattice.scores(docs, public_tokenizers.path(lattice.VOCABULARY), head, 1).collect()}
+    some, every = scores(20), scores(1_000_000)
+    assert all(abs(some[k] - every[k]) < 1e-6 for k in every)
