@@ -8,7 +8,8 @@ terms of the benchmark are stored, unless there are more of them than MAX_TERMS;
 `search` looks windows up in each segment. A window's terms are ordered by their counts over the whole index,
 rarest first: the rarest term's list, moved by its offset, gives candidate starts; each further term's list, moved
 by its own offset, is intersected with them. What is left are exact phrases. With slop > 0 matches are instead
-places where all terms stand within the window's length plus slop words, in any order.
+the shortest runs of at most the window's length plus slop words of one document that hold all terms, in any order and each
+as often as the window does: those that neither end can leave out. They are found by two pointers over the terms' merged lists.
 
 Windows are a query set that is gone through in blocks of at most BLOCK_BYTES of benchmark text, and that bound is what
 is sent to tasks, whatever the size of the benchmark; blocks read the same stored index.
@@ -122,13 +123,20 @@ def _lists(windows: Windows, terms: np.ndarray, counts: np.ndarray, positions: n
     return (np.repeat(at, counts) << 32) | positions, positions, first, size
 
 
-def _hits(windows: Windows, keys: np.ndarray, positions: np.ndarray, first: np.ndarray, size: np.ndarray, slop: int):
-    """(window, start) of all matches in a segment."""
+def _alive(windows: Windows, size: np.ndarray) -> np.ndarray:
+    """Windows of which a segment has all terms."""
     probe = windows.order[:, 0]
     alive = np.flatnonzero(size[probe] > 0) if len(probe) else probe
-    for k in range(1, windows.order.shape[1]):  # a window with a term that the segment lacks can't match
+    for k in range(1, windows.order.shape[1]):
         t = windows.order[alive, k]
         alive = alive[(t < 0) | (size[np.maximum(t, 0)] > 0)]
+    return alive
+
+
+def _hits(windows: Windows, keys: np.ndarray, positions: np.ndarray, first: np.ndarray, size: np.ndarray):
+    """(window, start, end) of all matches in a segment."""
+    probe = windows.order[:, 0]
+    alive = _alive(windows, size)
     n = size[probe[alive]]
     cuts = np.searchsorted(np.cumsum(n), np.arange(STEP, int(n.sum()) + STEP, STEP))
     for part in np.split(np.arange(len(alive)), np.minimum(cuts + 1, len(alive))):
@@ -140,16 +148,47 @@ def _hits(windows: Windows, keys: np.ndarray, positions: np.ndarray, first: np.n
         start = place - windows.offset[w, 0]
         keep = start >= 0
         for k in range(1, windows.order.shape[1]):
-            w, start, place = w[keep], start[keep], place[keep]
+            w, start = w[keep], start[keep]
             t = windows.order[w, k]
-            if slop:
-                reach = windows.length[w] - 1 + slop
-                lo = np.searchsorted(keys, (np.maximum(t, 0) << 32) | np.maximum(place - reach, 0))
-                keep = (t < 0) | (keys[np.minimum(lo, len(keys) - 1)] <= ((np.maximum(t, 0) << 32) | (place + reach)))
-            else:
-                want = (t << 32) | (start + windows.offset[w, k])
-                keep = (t < 0) | (keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want)
-        yield w[keep], (place if slop else start)[keep]
+            want = (t << 32) | (start + windows.offset[w, k])
+            keep = (t < 0) | (keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want)
+        w, start = w[keep], start[keep]
+        yield w, start, start + windows.length[w]
+
+
+def _near(windows: Windows, positions: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray, slop: int):
+    """(window, start, end) of all proximity matches in a segment whose documents begin at at."""
+    for w in _alive(windows, size).tolist():
+        terms, needs = np.unique(windows.order[w, : windows.length[w]], return_counts=True)
+        span = int(windows.length[w]) + slop
+        lists = [positions[first[t] : first[t] + size[t]].astype(np.int64) for t in terms]
+        rare = lists[int(np.argmin([len(x) for x in lists]))]
+        rare_docs = np.searchsorted(at, rare, "right") - 1
+        lo, hi = np.maximum(at[rare_docs], rare - span + 1), np.minimum(at[rare_docs + 1], rare + span)
+        merged = []
+        for k, x in enumerate(lists):  # only places that stand near the rarest term, in its document
+            i = np.searchsorted(rare, x)
+            after, before = np.minimum(i, len(rare) - 1), np.maximum(i - 1, 0)
+            x = x[(x >= lo[after]) & (x < hi[after]) | (x >= lo[before]) & (x < hi[before])]
+            merged.append(np.stack([x, np.full(len(x), k)]))
+        place, kind = np.concatenate(merged, 1)
+        order = np.argsort(place)
+        place, kind = place[order].tolist(), kind[order].tolist()
+        docs = (np.searchsorted(at, place, "right") - 1).tolist()
+        have, lacking, left, starts, ends = [0] * len(terms), len(terms), 0, [], []
+        for right, k in enumerate(kind):
+            have[k] += 1
+            lacking -= have[k] == needs[k]
+            while left <= right and (docs[left] != docs[right] or place[right] - place[left] >= span or have[kind[left]] > needs[kind[left]]):
+                have[kind[left]] -= 1
+                lacking += have[kind[left]] == needs[kind[left]] - 1
+                left += 1
+            # the left end is needed; so is the right one, if this run isn't the last one made longer
+            if not lacking and not (starts and starts[-1] == place[left]):
+                starts.append(place[left])
+                ends.append(place[right] + 1)
+        if starts:
+            yield np.full(len(starts), w), np.array(starts), np.array(ends)
 
 
 def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
@@ -163,9 +202,8 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                 at = np.frombuffer(seg["doc_starts"], np.int32).astype(np.int64)
                 lists = _lists(own, np.frombuffer(seg["terms"], U64), np.frombuffer(seg["counts"], np.int32).astype(np.int64), np.frombuffer(seg["positions"], np.int32))
                 got: dict[int, tuple[list, list, set]] = {}
-                for w, start in _hits(own, *lists, slop) if len(lists[0]) else ():
+                for w, start, end in (_near(own, *lists[1:], at, slop) if slop else _hits(own, *lists)) if len(lists[0]) else ():
                     doc = np.searchsorted(at, start, "right") - 1
-                    end = start + (1 if slop else own.length[w])
                     for d, k, s, e in zip(*(x[end <= at[doc + 1]].tolist() for x in (doc, w, start, end)), strict=True):
                         begins, ends, items = got.setdefault(d, ([], [], set()))
                         begins.append(s - int(at[d]))

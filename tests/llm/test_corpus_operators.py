@@ -137,6 +137,24 @@ def test_proximity(spark):
     assert hits(0) == set() and hits(1) == {2} and hits(3) == {1, 2}
 
 
+@pytest.mark.parametrize("slop", [1, 3])
+def test_proximity_is_one_run_of_one_document(spark, slop):
+    rng = random.Random(slop)
+    rows = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 14)))) for k in range(200)] + [(200, "q"), (201, "r s"), (202, "q x x x r x x x s"), (203, "s q r")]
+    items = [("1", "a b a"), ("2", "q r s"), ("3", "c d e f")]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id string, text string")
+    want = {}
+    for d, text in rows:
+        w, found = text.split(), []
+        for name, item in items:
+            need = Counter(item.split())
+            holds = lambda i, j: not need - Counter(w[i:j])  # noqa: B023, E731
+            found += [(i, j, name) for i in range(len(w)) for j in range(i + 1, min(len(w), i + need.total() + slop) + 1) if holds(i, j) and not holds(i + 1, j) and not holds(i, j - 1)]
+        want[d] = (sorted(x[:2] for x in found), sorted({x[2] for x in found}))
+    got = {r["doc_id"]: (sorted(zip(r["begins"], r["ends"], strict=True)), r["items"]) for r in decontamination.find(docs, wanted, 10, slop).collect()}
+    assert got == want and not want[200][1] and want[203][1] == ["2"]
+
+
 def brute_links(rows, threshold=0.8):
     sets = {}
     for d, t in rows:
