@@ -56,7 +56,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, count = sent.value, TaskContext.get().partitionId() << 32
+        wanted, count = sent.value, TaskContext.get().partitionId() << 40  # the number of the segment's first row
         for batch in batches:
             for row, h, at in hashed_words(batch.column("text"), SEGMENT_BYTES):
                 place = np.arange(len(h), dtype=np.int32)
@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
                 found, counts = np.unique(h[place], return_counts=True)
                 ids = batch.column("doc_id").slice(row, len(at) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), found, counts.astype(np.int32), place))], schema=_INDEX_ARROW)
-                count += 1
+                count += len(ids)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(docs.mapInArrow(segments, _INDEX), "postings")
@@ -211,7 +211,7 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                         items.update(own.items[k])
                 none: tuple = ([], [], ())
                 rows = range(len(at) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([(seg["segment"] << 20) + d for d in rows], pa.int64()), pa.array(seg["doc_ids"], pa.int64()), pa.array(np.diff(at)), *(pa.array([list(got.get(d, none)[k]) for d in rows], pa.list_(pa.int64())) for k in (0, 1)), pa.array([sorted(got.get(d, none)[2]) for d in rows], pa.list_(pa.string()))], names=["row", "doc_id", "n_words", "begins", "ends", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([seg["segment"] + d for d in rows], pa.int64()), pa.array(seg["doc_ids"], pa.int64()), pa.array(np.diff(at)), *(pa.array([list(got.get(d, none)[k]) for d in rows], pa.list_(pa.int64())) for k in (0, 1)), pa.array([sorted(got.get(d, none)[2]) for d in rows], pa.list_(pa.string()))], names=["row", "doc_id", "n_words", "begins", "ends", "items"])
 
     return index.mapInArrow(matches, "row long, doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>")
 

@@ -155,6 +155,22 @@ def test_proximity_is_one_run_of_one_document(spark, slop):
     assert got == want and not want[200][1] and want[203][1] == ["2"]
 
 
+def test_rows_of_high_partitions_have_numbers(spark, monkeypatch):
+    class High:
+        @staticmethod
+        def get():
+            return High()
+
+        def partitionId(self):  # noqa: N802
+            return 5000
+
+    monkeypatch.setattr(decontamination, "TaskContext", High)
+    monkeypatch.setattr(decontamination, "SEGMENT_BYTES", 8)
+    docs = spark.createDataFrame([(k, "one two three") for k in range(50)], "doc_id long, text string").coalesce(1)
+    rows = [r["row"] for r in decontamination.find(docs, spark.createDataFrame([("1", "two three")], "item_id string, text string")).collect()]
+    assert sorted(rows) == [(5000 << 40) + k for k in range(50)]
+
+
 def brute_links(rows, threshold=0.8):
     sets = {}
     for d, t in rows:
