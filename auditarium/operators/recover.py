@@ -52,10 +52,7 @@ def salvage(spark: SparkSession, path: str, max_bytes: int = records.MAX_PAYLOAD
                 with store.open_input_file(file) as handle:
                     handle.seek(at)
                     data = handle.read(size)
-                got = records.flipped_header(data, 0, max_bytes)
-                if got:
-                    out.append((file, at, "header", got.event_data))
-                out += [(file, at + k, "json", piece) for k, piece in records.json_objects(data) if not got]
+                out += [(file, at + k, kind, piece) for k, kind, piece in records.salvaged(data, max_bytes)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["path", "offset", "kind", "data"])
 

@@ -15,6 +15,7 @@ from typing import NamedTuple
 # Fixed values of the format.
 MAGIC, FOOTER, VERSION = 0x4D544C47, 0x454E4452, 1
 MARK = struct.pack("<I", MAGIC)
+FOOT = struct.pack("<I", FOOTER)
 HEAD = struct.Struct("<IHHIqI Q32s".replace(" ", ""))
 OVERHEAD = HEAD.size + 8
 JOURNAL_MAGIC, JOURNAL_HEAD = 0x4A524E4C, struct.Struct("<IBqII")
@@ -135,6 +136,33 @@ def flipped_header(data: bytes, at: int, most: int = MAX_PAYLOAD) -> Record | No
     return None
 
 
+def salvaged(data: bytes, most: int = MAX_PAYLOAD) -> Iterator[tuple[int, str, bytes]]:
+    """Offset, kind and data of all that a damaged run holds: records with one wrong header bit, wherever they begin, and balanced braces between them."""
+    done = 0
+    for at in _begins(data):
+        if at < done:
+            continue
+        n = int.from_bytes(data[at + 8 : at + 12], "little")
+        for size in (OVERHEAD + m for m in (n, *(n ^ (1 << bit) for bit in range(32))) if m <= most):
+            if at + size <= len(data) and data[at + size - 4 : at + size] == FOOT and (got := flipped_header(data[at : at + size], 0, most)) and got.size == size:
+                yield from ((done + k, "json", piece) for k, piece in json_objects(data[done:at]))
+                yield at, "header", got.event_data
+                done = at + size
+                break
+    yield from ((done + k, "json", piece) for k, piece in json_objects(data[done:]))
+
+
+def _begins(data: bytes) -> list[int]:
+    """Places where all but at most one bit of a record's mark stand, so one of its halves does."""
+    found = set()
+    for k in (0, 2):
+        at = data.find(MARK[k : k + 2])
+        while at >= 0:
+            found.add(at - k)
+            at = data.find(MARK[k : k + 2], at + 1)
+    return sorted(at for at in found if at >= 0 and (int.from_bytes(data[at : at + 4], "little") ^ MAGIC).bit_count() <= 1)
+
+
 def json_objects(data: bytes, least: int = 2) -> list[tuple[int, bytes]]:
     """Runs of bytes with balanced braces outside strings: what may be events in damaged bytes."""
     out, depth, begin, quoted, escaped = [], 0, 0, False, False

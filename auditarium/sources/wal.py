@@ -77,9 +77,12 @@ class _WalReader(DataSourceReader):
             begin = data.find(records.MARK)
             while begin >= 0 and not isinstance(records.record_at(data, begin, self.most), records.Record):
                 begin = data.find(records.MARK, begin + 1)
-            if begin < 0:
-                return
         rows: list[tuple] = []
+        lost = (len(data) if begin < 0 else begin) - more  # the split before read no further
+        if split.start and lost > 0 and not self.tests:
+            rows.append((split.path, split.start + more, lost, None, None, None, None, None, None, "magic"))
+        if begin < 0:
+            begin = len(data)
         for got in records.split(data, self.mode, self.most, begin, split.end - split.start):
             if isinstance(got, records.Damage):
                 if not self.tests:

@@ -168,6 +168,15 @@ def test_header_repair_and_json_carving():
     assert records.json_objects(b'xx{"a":"}"}yy{"b":{"c":1}}{') == [(2, b'{"a":"}"}'), (13, b'{"b":{"c":1}}')]
 
 
+def test_salvage_goes_on_within_a_run():
+    raws = [bytearray(records.encode(k, 9, b'{"a":%d}' % k)) for k in range(4)]
+    for raw, place in zip(raws, (13, 1, 60, 9), strict=True):
+        raw[place] ^= 4
+    run = b"??" + b"".join(map(bytes, raws))
+    size = len(raws[0])
+    assert [tuple(x) for x in records.salvaged(run)] == [(2, "header", b'{"a":0}'), (2 + size, "header", b'{"a":1}'), (2 + 2 * size + records.HEAD.size, "json", b'{"a":2}'), (2 + 3 * size, "header", b'{"a":3}')]
+
+
 def test_journal():
     data = b"".join(records.journal_entry(at, b"x" * 5, k == 1) for k, at in enumerate((0, 100, 200)))
     assert [(s, p, e) for _, s, p, _, e in records.journal(data)] == [(0, 0, None), (1, 100, None), (0, 200, None)]

@@ -80,6 +80,16 @@ def test_damage_is_found_and_repaired(spark, folder):
     assert wal.read_log(spark, folder, "STOP_AT_ERROR").where("parse_error is null").count() == 9 + 100
 
 
+def test_long_damage_is_reported_by_each_split(spark, tmp_path):
+    from auditarium.sources import records
+
+    raw = records.encode(1, 9, b"{}")
+    (tmp_path / "a.wal").write_bytes(raw + b"x" * 5000 + raw)
+    rows = wal.read_log(spark, str(tmp_path), max_record_size=100, split_bytes=1000).orderBy("offset").collect()
+    assert sum(r["size"] for r in rows if r["parse_error"]) == 5000 and sum(r["size"] for r in rows) == 5000 + 2 * len(raw)
+    assert sorted({k for r in rows for k in range(r["offset"], r["offset"] + r["size"])}) == list(range(5000 + 2 * len(raw)))
+
+
 def test_journal_source(spark, folder):
     with open(f"{folder}/a.journal", "wb") as f:
         f.write(b"".join(records.journal_entry(at, b"data", k == 1) for k, at in enumerate((0, 100, 200))))
