@@ -1,19 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text blocks; a block's path is the chain of block-level tags from the root to it, and inline
-tags don't count. For each path the lengths and punctuation marks of its blocks are aggregated to a text ratio
-(characters a block) and a punctuation ratio (marks a block). Both are given to the blocks in page order,
-smoothed by a Gaussian so that a heading is judged with the text it stands by, fused to one product with the
-share of text outside links, and paths whose best block is over a share of the page's deviation are content paths.
+A page is cut into text blocks; a block's path is the chain of block-level tags from the root to it (inline tags don't count). For each
+path the lengths and punctuation marks of its blocks are aggregated to a text ratio (characters a block) and a punctuation ratio (marks a
+block). Both are given to the blocks in page order and smoothed by a Gaussian, in which neighbours in another
+element count less (NEAR where one's element is around the other's, else FAR), so a heading is judged with the text it stands by and a teaser isn't. They are fused to one product with the share of text outside
+links and the weight of the elements around; paths whose best block reaches THRESHOLD of the page's mean or deviation are content paths.
 The smallest element that holds all blocks of content paths is the article; its blocks are the result, short ones too.
-Elements that are furniture by tag (menus, asides, forms, ...) or hidden never count. Names of furniture in role, class and id
-are weaker: an element with one as a whole name goes out, and one with one inside a longer name counts less, unless
-the elements of this name hold most of the page's text (whole names outside an article or main element stay out, though, where
-the page has one). Ids made from headings name a topic and say nothing.
-
-Rows are independent: there is no shuffle, and a page of any size is one linear scan. A null html and a
-page without content give an empty text; a null page_id or url stays null; repeated rows are each returned;
-other columns are left out; an empty table gives no rows.
+
+Elements that are scripts, forms, menus, footers and the like by their tag, or hidden, never count. Names in role, class and id only lower weights:
+WHOLE for a name that is such a word, NAMED for one that holds it, none at all for a name whose elements hold most of the page's text, and
+a whole name outside the article or main element of a page that has one weighs nothing. Elements with a name have paths of their own, and their short
+blocks only stay if one of their paths is content. Ids made from headings name a topic and say nothing. Inside running text only adverts
+and hidden elements are left out.
+
+Rows are independent: there is no shuffle. Time and memory are linear in the page, whatever its nesting: a block holds its element's number,
+elements hold their parent's. A null html and a page without content give an empty text; a null page_id or url stays null; repeated rows are
+each returned, ties (blocks of equal ratios) share their fate; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from .shared import table
 
 SMOOTHING, THRESHOLD = 1.0, 0.1
-#: Weight of blocks with a furniture word inside a longer name; share of the page's text that no furniture holds.
-NAMED, MOST = 0.25, 0.5
+#: What neighbours count whose parent elements differ by one level, and by more.
+NEAR, FAR = 0.5, 0.1
+#: Weights of elements with a furniture word inside a name, and as a whole name; share of the page's text that no furniture holds.
+NAMED, WHOLE, MOST = 0.25, 0.05, 0.5
 
 #: Fixed values of HTML: elements without content, of raw text, of running text, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +49,7 @@ SCOPE = frozenset("html body article section div table td th main aside nav head
 #: Furniture by tag, and by the words of role, class and id.
 FURNITURE_TAGS = frozenset("nav aside footer form button menu dialog select input label fieldset legend head".split())
 FURNITURE = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|adbox|sponsor(?:ed)?|promos?|promotion|banner|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side|rail|footer|foot|masthead|topbar|toolbar|header|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|tags?|pagination|pager|comments?|respond|replies|reply|disqus|discussion|complementary|contentinfo|dialog|hidden|skip)(?:$|[_-])", re.I)
+ADVERT = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|adbox|sponsor(?:ed)?)(?:$|[_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.S)
 _NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -52,11 +57,127 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MARK = re.compile(r"[.,;:!?、。，！？]")
 
 
-def _furniture(tag: str, attributes: str, inside: frozenset | set) -> bool:
-    """Whether an element is furniture whatever it holds."""
-    if tag in FURNITURE_TAGS or tag == "header" and not inside & {"article", "main"}:
-        return True
-    return bool(attributes and _HIDDEN.search(attributes)) and tag not in ("html", "body")
+class Page:
+    """The block-level elements of a page, numbered as they begin (0: the page itself), and its text blocks."""
+
+    def __init__(self, page: str):
+        self.parent, self.depth, self.tag, self.end = [0], [0], [""], [0]
+        self.out, self.article = [False], [False]  # furniture whatever it holds; inside an article or main element
+        self.names: list[list[tuple[str, str, str, bool]]] = [[]]
+        #: Element, text, text without adverts inside it, characters in links.
+        self.blocks: list[tuple[int, str, str, int]] = []
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        stack = [0]
+        opened: dict[str, int] = defaultdict(int)  # open elements by tag
+        inline: list[tuple[str, int, bool]] = []  # open inline elements left out: tag, block-level element around, hidden
+        last_end: dict[str, int] = {}  # where the next end of a raw element is (the page's size: there is none)
+        parts: list[tuple[str, bool, int]] = []
+        links, nested, at, size = False, defaultdict(int), 0, len(page)
+
+        def end_block() -> None:
+            if parts:
+                if not self.out[stack[-1]]:
+                    text = _plain(p for p, _, kind in parts if kind < 2)
+                    if text:
+                        clean = text if all(kind == 0 for *_, kind in parts) else _plain(p for p, _, kind in parts if not kind)
+                        self.blocks.append((stack[-1], text, clean, len(_plain(p for p, link, kind in parts if link and not kind))))
+                parts.clear()
+
+        def close(depth: int) -> None:
+            for e in stack[depth:]:
+                self.end[e] = len(self.parent) - 1
+                opened[self.tag[e]] -= 1
+            del stack[depth:]
+            while inline and inline[-1][1] > stack[-1]:
+                inline.pop()
+                nested.clear()
+
+        while at < size:
+            m = _TOKEN.match(page, at)
+            at = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                if page[m.start()] != "<" or m.end() == m.start() + 1:
+                    parts.append((m[0], links, 0 if not inline else 2 if any(hidden for *_, hidden in inline[-1:]) else 1))
+                continue
+            closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+            if tag in RAW and not closing:
+                if not attributes.endswith("/"):
+                    if last_end.get(tag, 0) <= at:
+                        found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+                        last_end[tag] = found.end() if found else size + 1
+                    at = last_end[tag] if last_end[tag] <= size else size if tag in ("script", "style") else at
+                continue
+            if tag in INLINE:
+                if tag == "a":
+                    links = not closing
+                if inline and tag == inline[-1][0] and not attributes.endswith("/"):  # its own end, not that of one inside it
+                    nested[tag] += -1 if closing else 1
+                    if nested[tag] < 0:
+                        inline.pop()
+                        nested.clear()
+                elif not closing and attributes and not attributes.endswith("/") and not inline:
+                    hidden = bool(_HIDDEN.search(attributes))
+                    if hidden or any(ADVERT.search(name) for kind, *values in _NAMES.findall(attributes) if kind.lower() != "id" for name in "".join(values).split()):
+                        inline.append((tag, stack[-1], hidden))
+                        nested.clear()
+                continue
+            if tag in VOID:
+                parts.append((" ", False, 0))
+                if tag == "hr":
+                    end_block()
+                continue
+            end_block()
+            if closing:
+                if opened[tag]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if self.tag[stack[k]] == tag:
+                            close(k)
+                            break
+                        if tag == "p" and self.tag[stack[k]] in SCOPE:
+                            break
+                continue
+            if tag in CLOSES_P and opened["p"]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[k]] == "p":
+                        close(k)
+                        break
+                    if self.tag[stack[k]] in SCOPE:
+                        break
+            if tag in SIBLINGS:
+                ends, border = SIBLINGS[tag]
+                if any(opened[t] for t in ends):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if self.tag[stack[k]] in border:
+                            break
+                        if self.tag[stack[k]] in ends:
+                            close(k)
+                            break
+            if tag == "body" and self.tag[stack[-1]] == "head":
+                close(len(stack) - 1)
+            if not attributes.endswith("/"):
+                up = stack[-1]
+                e = len(self.parent)
+                inside = self.article[up] or tag in ("article", "main")
+                hidden = bool(attributes and _HIDDEN.search(attributes)) and tag not in ("html", "body")
+                self.parent.append(up)
+                self.depth.append(self.depth[up] + 1)
+                self.tag.append(tag)
+                self.end.append(e)
+                self.out.append(self.out[up] or hidden or tag in FURNITURE_TAGS or tag == "header" and not inside)
+                self.article.append(inside)
+                self.names.append(_named(tag, attributes))
+                stack.append(e)
+                opened[tag] += 1
+        end_block()
+        close(1)
+        self.end[0] = len(self.parent) - 1
+
+
+def _plain(parts) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
 
 
 def _named(tag: str, attributes: str) -> list[tuple[str, str, str, bool]]:
@@ -66,184 +187,102 @@ def _named(tag: str, attributes: str) -> list[tuple[str, str, str, bool]]:
     out = []
     for kind, a, b, c in _NAMES.findall(attributes):
         kind = kind.lower()
-        if kind != "id" or tag not in _HEADING and tag not in INLINE:
+        if kind != "id" or tag not in _HEADING:
             for name in (a or b or c).lower().split():
                 if m := FURNITURE.search(name):
                     out.append((tag, kind, name, len(m[0]) == len(name)))
     return out
 
 
-def _blocks(page: str, inline_names: bool) -> tuple[list, list[list], int]:
-    """Text blocks in page order (numbers of the elements around it, their tags, its text, its characters in links), the furniture
-    names of each element, and the characters of inline elements left out by their names."""
-    stack: list[tuple[str, int, bool]] = []  # block-level elements: tag, number, furniture
-    links = 0
-    count = 0
-    parts: list[str] = []
-    linked: list[str] = []
-    out = []
-    names: list[list] = [[]]  # by number
-    left_out = 0
-
-    def end_block() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text and not any(f for _, _, f in stack):
-                out.append((tuple(n for _, n, _ in stack), tuple(t for t, _, _ in stack), text, len(" ".join(html.unescape("".join(linked)).split()))))
-            parts.clear()
-            linked.clear()
-
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            if page[m.start()] != "<" or m.end() == m.start() + 1:
-                parts.append(m[0])
-                if links:
-                    linked.append(m[0])
-            continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if tag in RAW and not closing:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (size if tag in ("script", "style") else at)
-            continue
-        if tag in INLINE:
-            if tag == "a":
-                links = 0 if closing else 1
-            if not closing and not attributes.endswith("/") and attributes:
-                hidden = _furniture(tag, attributes, frozenset())
-                if hidden or inline_names and any(whole for *_, whole in _named(tag, attributes)):
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    if end and not hidden:
-                        left_out += len(" ".join(re.sub(r"<[^>]*+>", " ", page[at : end.start()]).split()))
-                    at = end.end() if end else at
-                    if end and tag == "a":
-                        links = 0
-            continue
-        if tag in VOID:
-            parts.append(" ")
-            if tag == "hr":
-                end_block()
-            continue
-        end_block()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag == "p" and stack[k][0] in SCOPE:
-                    break
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        if tag in SIBLINGS:
-            ends, border = SIBLINGS[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in border:
-                    break
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-        if tag == "body" and stack and stack[-1][0] == "head":
-            stack.pop()
-        if not attributes.endswith("/"):
-            count += 1
-            names.append(_named(tag, attributes))
-            stack.append((tag, count, _furniture(tag, attributes, {t for t, _, _ in stack})))
-    end_block()
-    return out, names, left_out
-
-
-def blocks_of(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, int, int]]:
-    """Text blocks in page order without furniture: the numbers of the elements around it, their tags, its text, its characters in links,
-    and the outermost element around it with a furniture word inside a name (0: none)."""
-    found, names, left_out = _blocks(page, True)
-    total = sum(len(text) for _, _, text, _ in found)
-    if left_out > MOST * (total + left_out):
-        found, names, _ = _blocks(page, False)
-        total = sum(len(text) for _, _, text, _ in found)
-    if not any(names):
-        return [(*block, 0) for block in found]
-    before: tuple[int, ...] = ()
-    topics: set[int] = set()  # elements whose id is their heading's
-    for ids, tags, text, _ in found:
-        heading = next((k for k, t in enumerate(tags) if t in _HEADING), 0)
-        if heading:
-            for k in range(heading):
-                if ids[k] not in before[k : k + 1] and (tags[k] == "section" or any(kind == "id" and name == _slug(text) for _, kind, name, _ in names[ids[k]])):
-                    topics.add(ids[k])
-        before = ids
-    for k in topics:
-        names[k] = [x for x in names[k] if x[1] != "id"]
-    held: dict[tuple, int] = defaultdict(int)
-    for ids, _, text, _ in found:
-        for name in {name for k in ids for name in names[k]}:
-            held[name] += len(text)
-    article = lambda tags: "article" in tags or "main" in tags
-    told = any(article(tags) for _, tags, _, _ in found)  # the page itself tells where its article is
-    out, all_named = [], []
-    for ids, tags, text, linked in found:
-        counts = [(k, name) for k in ids for name in names[k] if held[name] <= MOST * total or name[3] and told and not article(tags)]
-        marked = {k for k, _ in counts}
-        tags = tuple(f"{t}~" if k in marked else t for k, t in zip(ids, tags, strict=True))  # paths of named elements are judged apart
-        (all_named if any(whole for _, (*_, whole) in counts) else out).append((ids, tags, text, linked, counts[0][0] if counts else 0))
-    return out or all_named
-
-
 def _slug(text: str) -> str:
     return "-".join(re.findall(r"\w+", text.lower()))
 
 
-def _smoothed(values: list[float]) -> list[float]:
+def weighed(page: Page) -> tuple[list[tuple[int, str, int]], list[float], list[int], list[int]]:
+    """The blocks (element, text, characters in links), and of each element its weight, the number of its path, and the outermost element around it
+    that has a furniture name (0: none)."""
+    use = 2 if any(clean for *_, clean, _ in page.blocks) else 1  # a page that is an advert as a whole keeps its text
+    blocks = [(e, block[use], linked) for block in page.blocks for e, linked in [(block[0], block[3])] if block[use]]
+    before = 0
+    for e, text, _ in blocks:  # ids that are made from the heading an element begins with
+        heading, up = e, e
+        while page.tag[heading] not in _HEADING and heading > before:
+            heading = page.parent[heading]
+        if page.tag[heading] in _HEADING and heading > before:
+            slug = _slug(text)
+            while up > before:
+                page.names[up] = [x for x in page.names[up] if x[1] != "id" or page.tag[up] != "section" and x[2] != slug]
+                up = page.parent[up]
+        before = max(before, e)
+    n = len(page.parent)
+    chars = [0] * (n + 1)
+    for e, text, _ in blocks:
+        chars[e + 1] += len(text)
+    for e in range(n):
+        chars[e + 1] += chars[e]
+    total, held, until = chars[n], defaultdict(int), {}
+    for e in range(n):
+        for name in set(page.names[e]):
+            if until.get(name, -1) < e:  # not inside another of this name
+                held[name] += chars[page.end[e] + 1] - chars[e]
+                until[name] = page.end[e]
+    told = any(page.article[e] for e, *_ in blocks)  # the page itself tells where its article is
+    weight, path, around = [1.0] * n, [0] * n, [0] * n
+    number: dict[tuple[int, str], int] = {}
+    for e in range(1, n):
+        up = page.parent[e]
+        outside = told and not page.article[e]
+        own = [0.0 if whole and outside else WHOLE if whole else NAMED for *_, whole in (x for x in page.names[e] if held[x] <= MOST * total or x[3] and outside)]
+        weight[e] = min([weight[up], *own])
+        around[e] = around[up] or (e if own else 0)
+        path[e] = number.setdefault((path[up], page.tag[e] + "~" * bool(own)), len(number) + 1)
+    return blocks, weight, path, around
+
+
+def _smoothed(values: list[float], parents: list[int], above: list[int]) -> list[float]:
+    """above: parents of the parents."""
     reach = max(1, round(2 * SMOOTHING))
     kernel = [math.exp(-k * k / (2 * SMOOTHING**2)) for k in range(-reach, reach + 1)]
     out = []
     for i in range(len(values)):
-        near = [(kernel[j - i + reach], values[j]) for j in range(max(0, i - reach), min(len(values), i + reach + 1))]
+        p, up = parents[i], above[i]
+        near = [(kernel[j - i + reach] * (1 if parents[j] == p else NEAR if up == parents[j] or p == above[j] else FAR), values[j]) for j in range(max(0, i - reach), min(len(values), i + reach + 1))]
         out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(html_text: str | None, threshold: float = THRESHOLD) -> str:
     """The page's main text; blocks in page order, joined by one space."""
-    blocks = blocks_of(page or "")
+    page = Page(html_text or "")
+    blocks, weight, path, around = weighed(page)
     if not blocks:
         return ""
-    total: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for _, path, text, _, _ in blocks:
-        t = total[path]
+    total: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for e, text, _ in blocks:
+        t = total[path[e]]
         t[0] += 1
         t[1] += len(text)
         t[2] += len(_MARK.findall(text))
-    ratios = [[total[path][k] / total[path][0] for _, path, *_ in blocks] for k in (1, 2)]
+    ratios = [[total[path[e]][k] / total[path[e]][0] for e, *_ in blocks] for k in (1, 2)]
+    parents = [page.parent[e] for e, *_ in blocks]
+    above = [page.parent[p] for p in parents]
     fused = []
-    for near, own, (_, _, text, linked, named) in zip(zip(*map(_smoothed, ratios), strict=True), zip(*ratios, strict=True), blocks, strict=True):
-        length, marks = own if named else near  # no neighbour speaks for a named element
-        fused.append(length * (1 + marks) * (1 - linked / max(1, len(text))) * (NAMED if named else 1))
+    for near, own, (e, text, linked) in zip(zip(*(_smoothed(r, parents, above) for r in ratios), strict=True), zip(*ratios, strict=True), blocks, strict=True):
+        length, marks = own if around[e] else near  # no neighbour speaks for a named element
+        fused.append(length * (1 + marks) * (1 - min(1.0, linked / len(text))) * weight[e])
     mean = sum(fused) / len(fused)
-    border = THRESHOLD * max(mean, math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)))
-    best: dict[tuple, float] = defaultdict(float)
-    for x, (_, path, *_) in zip(fused, blocks, strict=True):
-        best[path] = max(best[path], x)
-    content = [best[path] >= border for _, path, *_ in blocks]
-    # the article: down from the root, as long as one child holds every block of a content path (a leaf block is no article)
-    chains = [ids for keep, (ids, *_) in zip(content, blocks, strict=True) if keep]
-    low, high = min(chains), max(chains)
-    depth = 0
-    while depth < min(map(len, chains)) - (len(chains) == 1) and low[depth] == high[depth]:
-        depth += 1
-    inside = [i for i, (ids, *_) in enumerate(blocks) if ids[:depth] == low[:depth]]
-    judged = {0, *(block[4] for keep, block in zip(content, blocks, strict=True) if keep)}
-    kept = [blocks[i][2] for i in inside if content[i] or blocks[i][4] in judged and blocks[i][3] < 0.5 * len(blocks[i][2])]
-    return " ".join(kept)
+    border = threshold * max(mean, math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)))
+    best: dict[int, float] = defaultdict(float)
+    for x, (e, *_) in zip(fused, blocks, strict=True):
+        best[path[e]] = max(best[path[e]], x)
+    content = [best[path[e]] >= border for e, *_ in blocks]
+    # the article: the smallest element around every block of a content path; for a single block the one around its own element
+    found = [e for keep, (e, *_) in zip(content, blocks, strict=True) if keep]
+    low, high = found[0] if len(found) > 1 else page.parent[found[0]], found[-1]
+    while not low <= high <= page.end[low]:
+        low = page.parent[low]
+    judged = {0, *(around[e] for e in found)}
+    return " ".join(text for keep, (e, text, linked) in zip(content, blocks, strict=True) if low <= e <= page.end[low] and (keep or around[e] in judged and linked < 0.5 * len(text)))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

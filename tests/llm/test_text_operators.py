@@ -3,6 +3,7 @@
 import hashlib
 import math
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -81,6 +82,66 @@ def test_names_of_furniture_do_not_outweigh_the_text(page, text):
     assert html_extraction.main_text(page.format(LONG)) == text.format(LONG.strip())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Text. <span class='ad'><span>Buy</span> now cheap</span> End.</p></article>", "Text. End."),
+        ("<article><p>Some <span class='tags'>important words</span> and a <b class='search'>hit</b>.</p></article>", "Some important words and a hit."),
+        ("<article><p>One <span hidden>two <span>three</span></span>four.</p><p>Five <i class=ad>six.</p><p>Seven.</p></article>", "One four. Five Seven."),
+        ("<p><span class=ad>{0}</span></p>", "{0}"),
+    ],
+)
+def test_only_adverts_leave_running_text(page, text):
+    assert html_extraction.main_text(page.format(LONG)) == text.format(LONG.strip())
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div>x", "<div class='ad nav'>x", "<span class=ad>x ", "<p class=ad>x", "<title>", "<ul><li>a", "<p><dl>", "<div></section>", "<div id=a><h2>A</h2>", "<!--", "<a '", '<a ">'])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        html_extraction.main_text(part * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5  # eight times the page; the square would be 64 times
+
+
+class Articles(HTMLParser):
+    """The text blocks of article elements by a plain walk over events: what the pages' makers call content."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks[-1] += " " if tag == "br" else ""
+        if tag in ("article", "p", "h1", "h2"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("article", "p", "h1", "h2"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_give_their_articles(sf):
+    import pyarrow.parquet as pq
+
+    pages = [p for p in pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist() if p]
+    assert len(pages) > 20
+    for page in pages:
+        assert html_extraction.main_text(page) == " ".join(filter(None, (" ".join(b.split()) for b in Articles(page).blocks)))
+    assert sum(html_extraction.main_text(p) != html_extraction.main_text(p, 0.0) for p in pages) > len(pages) / 2  # ratios decide
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, html_extraction.extract(pages).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
