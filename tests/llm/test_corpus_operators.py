@@ -278,7 +278,7 @@ def test_ids_are_the_tokenizers():
 def test_plan_places_every_piece(n):
     rng = np.random.default_rng(n)
     counts = dict(Counter(rng.integers(1, 129, n).tolist()))
-    patterns = packing.plan(counts, 128, 300)
+    patterns = packing.plan(counts, 128)
     used = Counter()
     for pattern, times in patterns:
         assert sum(k * m for k, m in pattern.items()) <= 128
@@ -289,9 +289,40 @@ def test_plan_places_every_piece(n):
 
 
 def test_knapsack():
-    prices = np.array([0.1, 0.25, 0.3, 0.9])
-    worth, pattern = packing.knapsack(prices, 7)
+    sizes, prices = np.array([1, 2, 3, 4]), np.array([0.1, 0.25, 0.3, 0.9])
+    worth, pattern = packing.knapsack(sizes, prices, 7)
     assert abs(worth - (0.9 + 0.25 + 0.1)) < 1e-9 and sum(k * n for k, n in pattern.items()) <= 7
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes = np.sort(rng.choice(np.arange(1, 40), 8, replace=False))
+        prices = rng.random(8)
+        best = [0.0] * 61
+        for room in range(1, 61):
+            best[room] = max([best[room - 1], *(best[room - k] + p for k, p in zip(sizes, prices, strict=True) if k <= room)])
+        worth, pattern = packing.knapsack(sizes, prices, 60)
+        assert abs(worth - best[60]) < 1e-9 and sum(k * n for k, n in pattern.items()) <= 60
+        assert abs(sum(prices[sizes.searchsorted(k)] * n for k, n in pattern.items()) - worth) < 1e-9
+
+
+@pytest.mark.parametrize(("length", "lo", "hi", "n"), [(128, 32, 64, 20_000), (256, 60, 130, 5_000), (2048, 300, 1100, 50_000)])
+def test_columns_beat_first_fit(length, lo, hi, n):
+    counts = dict(Counter(np.random.default_rng(1).integers(lo, hi, n).tolist()))
+    used = sum(times for _, times in packing.plan(counts, length))
+    assert used < 0.98 * sum(times for _, times in packing.first_fit(counts, length))
+    if len(counts) <= packing.CLASSES:  # each length is a class: most sequences have a pattern of the basis
+        program, bound = packing.solved(counts, length)
+        assert bound <= program.needs() + 1e-6 and used <= 1.01 * program.needs() + len(counts) / 4
+        basis = [dict(sorted(p.items())) for p in program.basis]
+        assert all(sum(k * m for k, m in p.items()) <= length for p in basis)
+        assert np.allclose([sum(p.get(k, 0) * x for p, x in zip(basis, program.value, strict=True)) for k in program.sizes.tolist()], program.demand, rtol=1e-4)
+
+
+def test_hot_lengths_are_ranked_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 16)
+    rows = [(k, "one two three") for k in range(400)] + [(1000 + k, "w " * (k % 90)) for k in range(300)] + [(5000, "x " * 3000)]
+    got = packing.pack(frame(spark, rows), 64).collect()
+    assert check_packed(rows, got, 64) > 0.9
+    assert len({r["sequence_id"] for r in got if r["sequence_id"] >= packing.WHOLE}) == sum(r["length"] == 64 for r in got)
 
 
 def test_pipeline(spark):
