@@ -7,13 +7,13 @@ read by its offset.
 
 `format("imagearchive")` writes one archive a task and a new one after `archiveBytes`; names are unique for
 each attempt, and only archives of committed tasks get into the manifest, so retried or lost tasks leave no
-rows. Reading plans partitions from the manifest as byte ranges of at most `rangeBytes`: the driver sees
+rows. Each commit has a manifest of its own: appending adds one, overwriting removes those before. Reading plans partitions from the manifests as byte ranges of at most `rangeBytes`: the driver sees
 archives, never members. A task reads the archive's directory, takes the members that begin in its range and
 sends them on as Arrow batches of at most `batchBytes`. A member that can't be read is tried again by its
 offset, on a new handle, `tries` times; then its row has `error` instead of `media`, and the others go on.
 
-Nulls: a null text counts as empty (one row of 192 spaces), a null doc_id stays null. Repeated rows: one
-member and one row for each. An empty table gives an empty manifest and no rows. Other columns are left out.
+Nulls: a null text counts as empty (one row of 192 spaces), a null doc_id stays null. Repeated rows, ties and all: one
+member and one row for each. A very long text is one image, held by one task. An empty table gives an empty manifest and no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from .shared import shared_dir, table
 WIDTH = 192
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-MANIFEST = "_archives.json"
+MANIFEST = "_archives.json"  #: End of the names of manifests, one for each commit.
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -104,8 +104,18 @@ class Written(WriterCommitMessage):
     archives: list
 
 
+def _manifests(store, base: str) -> list[str]:
+    return sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.endswith(MANIFEST))
+
+
+def _listed(store, path: str) -> list:
+    with store.open_input_stream(path) as handle:
+        return json.loads(handle.read())
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options):
+    def __init__(self, options, overwrite: bool):
+        self.overwrite = overwrite
         self.path, self.limit = options["path"], int(options.get("archiveBytes", 64 << 20))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -134,8 +144,14 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, base = _open(self.path)
         store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/{MANIFEST}") as out:
+        before = _manifests(store, base) if self.overwrite else []
+        with store.open_output_stream(f"{base}/{uuid.uuid4().hex}{MANIFEST}") as out:
             out.write(json.dumps(sorted(a for m in messages if m for a in m.archives)).encode())
+        for path in before:
+            archives = _listed(store, path)
+            store.delete_file(path)  # first: archives that no manifest names are never read
+            for name, *_ in archives:
+                store.delete_file(f"{base}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, base = _open(self.path)
@@ -163,8 +179,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         store, base = _open(self.path)
-        with store.open_input_stream(f"{base}/{MANIFEST}") as handle:
-            archives = json.loads(handle.read())
+        archives = [a for path in _manifests(store, base) for a in _listed(store, path)]
         return [Range(name, at, at + self.range) for name, size, _ in archives for at in range(0, size, self.range)] or [Range("", 0, 0)]
 
     def _member(self, archive, store, path: str, info) -> tuple[bytes | None, str | None]:
@@ -217,13 +232,13 @@ class ImageArchive(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
-def write_archives(docs: DataFrame, path: str, **options) -> None:
-    """docs' doc_id and text as archives in the folder path."""
+def write_archives(docs: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """docs' doc_id and text as archives in the folder path, beside what is there (append) or in its place (overwrite)."""
     docs.sparkSession.dataSource.register(ImageArchive)
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).write.format("imagearchive").options(path=path, **options).mode("append").save()
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).write.format("imagearchive").options(path=path, **options).mode(mode).save()
 
 
 def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:

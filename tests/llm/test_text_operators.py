@@ -191,6 +191,16 @@ def test_media_round_trip(spark):
     assert media.read_archives(spark, empty).count() == 0
 
 
+def test_appended_archives_are_all_read(spark):
+    path = shared.shared_dir(spark, "media-append")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(5)], "doc_id long, text string")
+    for _ in range(2):
+        media.write_archives(docs, path)
+    assert sorted(r["doc_id"] for r in media.read_archives(spark, path).collect()) == [k for k in range(5) for _ in range(2)]
+    media.write_archives(docs.where("doc_id < 2"), path, "overwrite")
+    assert sorted(r["doc_id"] for r in media.read_archives(spark, path).collect()) == [0, 1]
+
+
 def test_damaged_member_is_reported_alone(spark):
     path = shared.shared_dir(spark, "media-damaged")
     media.write_archives(spark.createDataFrame([(k, f"text {k}" * 20) for k in range(5)], "doc_id long, text string").coalesce(1), path)
