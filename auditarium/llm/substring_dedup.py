@@ -3,30 +3,31 @@
 A word is removed if a window of `window` neighbouring words that covers it begins earlier elsewhere (at a smaller document id, or earlier in
 the same document). Every occurrence is found, and equal means equal words.
 
-0. Documents with the same text as an earlier one lose all words that a window covers, and take no further part.
 1. Phrases. Each window is named by the least hash among the runs of PHRASE words in it, so equal windows have equal names, and one
-   phrase names some neighbouring windows (about one phrase in nine words is a name). Names are counted, combined before the shuffle; only
-   windows of phrases that occur again go on. This passes over all documents; hashes only select.
-2. Units. A phrase's windows in a document are one short run of text, and the runs of a phrase meet in a shard. A phrase that occurs over
-   HOT times is treated otherwise: equal runs are combined to a count and the earliest place before they are shuffled, then cut into single
-   windows, which are combined again and salted by their text, so no phrase's runs fill a task however many documents hold it.
-3. Automata. Windows of a shard (a run of phrases of bounded size in a task) that recur are compiled into an Aho-Corasick automaton over
-   word numbers, the shard's units are streamed through it, and what it finds gives every occurrence and the earliest.
-4. Back. Later occurrences go to their documents as spans, where covered words fall. What is found of a hot phrase's different runs is joined
-   to their occurrences, one row for each.
-
-Hot windows and documents only meet in joins whose other side has one row for each key, which the planner can split. Nothing is capped.
-Documents are shuffled once, by their key and compressed; both joins that need texts use that.
+   phrase names some neighbouring windows (about one phrase in nine words is a name). Names are counted, combined before the shuffle; this passes over
+   all documents, and hashes only select: a passage can only recur where a name does.
+2. Confirming. Documents are dealt to shards of about SHARD_BYTES. There the runs of text that recurring names stand for are cut out, and equal runs
+   are combined to a count and the earliest place before they leave, then once more by (name, run). The different runs of a name meet in one task, which confirms those
+   windows that occur again and their earliest place; a name with over HOT different runs is cut into windows first, which are counted one by one. Neighbouring
+   windows whose earliest places are neighbours, too, are one passage.
+3. Automata. Each shard gets the passages that its documents hold, each once (a join of (name, run) with one row a run on one side), compiles them to an Aho-Corasick
+   automaton over word numbers, and streams the whole texts of all its documents through it. So each document meets one automaton, however many
+   there are, every occurrence of every passage is located in the text itself, and a passage that all documents share costs each shard one pattern.
+   Where a match isn't the passage's earliest place, its words go.
+
+Documents with the same text as an earlier one lose all words that a window covers, and take no part in step 2. Nothing is capped. A shard's automaton
+is bounded by the shard's text; its documents are read one after another.
 
 Words are runs of bytes other than white space. Nulls: a null text has no words; a null doc_id counts as smaller than all. Repeated rows are one
-document, each row returned; rows with one id and different texts are told apart by text and ordered by its hash. An empty table
-gives no rows; other columns are left out.
+document, each row returned; rows with one id and different texts are told apart by text and ordered by its hash (ties have no other order). A very long text
+is one document of one shard, held as a whole by its task. An empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -37,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE_WORDS, U64, gram_hashes, signed, slices, table, word_hashes, words, written
+from .shared import SPACE_WORDS, U64, gram_hashes, mixed, signed, slices, table, word_hashes, words, written
 
 WINDOW, PHRASE = 20, 4
 HOT = 2000
-#: A shard's automaton is compiled when so many words of units are gathered.
-SHARD_WORDS = 200_000
+#: Text of a shard of documents; words of runs whose windows are confirmed together.
+SHARD_BYTES, CONFIRM_WORDS = 8 << 20, 200_000
 NO_ID = -(1 << 63)
 WHITE = " \t\n\v\f\r"
+#: Kinds of a shard's rows, in the order in which they come.
+COPY, PART, DOCUMENT = 0, 1, 2
 
 
 def names(h: np.ndarray, at: np.ndarray, window: int, phrase: int):
@@ -66,7 +69,7 @@ def names(h: np.ndarray, at: np.ndarray, window: int, phrase: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """id (never null), dk (a hash that tells documents apart) and text of documents."""
+    """docs with id (never null), dk (a hash that tells documents apart) and a text that isn't null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     return docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("dk"), text.alias("text"))
@@ -91,44 +94,18 @@ def unpacked(data: pa.Scalar, by: zstandard.ZstdDecompressor) -> bytes | None:
 
 
 def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """h, dk, lo, hi: each phrase that names windows of a document, and the first and last of them."""
+    """h, id, dk, lo, hi: each phrase that names windows of a document, and the first and last of them."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column("dk"))
+            ids, keys = np.asarray(batch.column("id")), np.asarray(batch.column("dk"))
             for row, data, offsets in slices(batch.column("text")):
                 starts, ends, at = words(data, offsets, SPACE_WORDS)
                 h, owner, lo, hi = names(word_hashes(data, starts, ends), at, window, phrase)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[row + owner]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["h", "dk", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[row + owner]), pa.array(keys[row + owner]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["h", "id", "dk", "lo", "hi"])
 
-    return docs.select("dk", "text").mapInArrow(found, "h long, dk long, lo int, hi int")
-
-
-def _cut(rows: DataFrame, window: int, schema: str, names: list[str], emit) -> DataFrame:
-    """emit(runs of a batch: h, text, id, dk, lo) of packed documents (id, dk, text) with found (an array of h, lo, hi). A text is its words, joined by spaces."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out: list[tuple] = []
-            for ident, dk, text, found in zip(batch.column("id").to_pylist(), batch.column("dk").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
-                w = unpacked(text, by).split()  # bytes.split() splits at the same six bytes
-                out += [(f["h"], b" ".join(w[f["lo"] : f["hi"] + window]), ident, dk, f["lo"]) for f in found if f["hi"] + window <= len(w)]
-                if len(out) > 20_000:
-                    yield _batch(emit(out), names)
-                    out = []
-            if out:
-                yield _batch(emit(out), names)
-
-    return rows.select("id", "dk", "text", "found").mapInArrow(cut, schema)
-
-
-_KINDS = {"h": pa.int64(), "unit": pa.binary(), "mark": pa.int64(), "n": pa.int64(), "id": pa.int64(), "dk": pa.int64(), "lo": pa.int32()}
-
-
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, _KINDS[n]) for x, n in zip(zip(*rows, strict=True), names, strict=True)], names=names)
+    return docs.select("id", "dk", "text").mapInArrow(found, "h long, id long, dk long, lo int, hi int")
 
 
 def mark_of(text: bytes) -> int:
@@ -136,254 +113,321 @@ def mark_of(text: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def units(rows: DataFrame, window: int) -> DataFrame:
-    """h, unit, id, dk, lo of every run."""
-    return _cut(rows, window, "h long, unit binary, id long, dk long, lo int", ["h", "unit", "id", "dk", "lo"], lambda out: out)
-
-
-def combined_units(rows: DataFrame, window: int) -> DataFrame:
-    """h, unit, n, id, dk, lo: runs combined to a count and the earliest, within each batch."""
-
-    def emit(out: list[tuple]) -> list[tuple]:
-        found: dict[tuple, list] = {}
-        for h, unit, *here in out:
-            got = found.setdefault((h, unit), [0, here])
-            got[0] += 1
-            got[1] = min(got[1], here)
-        return [(h, unit, n, *here) for (h, unit), (n, here) in found.items()]
-
-    return _cut(rows, window, "h long, unit binary, n long, id long, dk long, lo int", ["h", "unit", "n", "id", "dk", "lo"], emit)
-
-
-def marked_units(rows: DataFrame, window: int) -> DataFrame:
-    """h, mark (of its text), id, dk, lo of every run."""
-    return _cut(rows, window, "h long, mark long, id long, dk long, lo int", ["h", "mark", "id", "dk", "lo"], lambda out: [(h, mark_of(unit), *here) for h, unit, *here in out])
+def by_shard(parts: dict[int, DataFrame], shards: int, begin: Callable, schema: str | T.StructType) -> DataFrame:
+    """The rows of parts (by kind; each with dk, which tells the shard) as they come to shards: begin(shard) makes what takes them, with take(kind, batch) and
+    end(), both of which yield batches of schema. A shard's rows come kind by kind to one task, which may get several shards, one after another."""
+    rows = None
+    for kind, df in parts.items():
+        part = df.withColumn("__shard", F.pmod("dk" if kind != PART or "shard" not in df.columns else "shard", F.lit(shards)) * 4 + kind)
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taker = None, None
+        for batch in batches:
+            key = np.asarray(batch.column("__shard"))
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                shard, kind = divmod(int(key[a]), 4)
+                if shard != now:
+                    if taker is not None:
+                        yield from taker.end()
+                    now, taker = shard, begin(shard)
+                yield from taker.take(kind, batch.slice(a, b - a))
+        if taker is not None:
+            yield from taker.end()
+
+    return rows.repartition(F.floor(F.col("__shard") / 4)).sortWithinPartitions("__shard").mapInArrow(run, schema)
+
+
+_UNIT = pa.schema([("h", pa.int64()), ("mark", pa.int64()), ("unit", pa.binary()), ("n", pa.int64()), ("id", pa.int64()), ("dk", pa.int64()), ("lo", pa.int32()), ("shard", pa.int64())])
+
+
+class _Units:
+    """Cuts runs of text out of a shard's documents, equal ones combined."""
+
+    def __init__(self, shard: int, window: int):
+        self.shard, self.window = shard, window
+        self.copies: set[tuple[int, int]] = set()
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.names: tuple[np.ndarray, ...] | None = None
+        self.seen: set[tuple[int, int]] = set()
+        self.found: dict[tuple[int, bytes], list] = {}
+        self.held = 0
+        self.by = zstandard.ZstdDecompressor()
+
+    def take(self, kind: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, keys = np.asarray(batch.column("id")), np.asarray(batch.column("dk"))
+        if kind == COPY:
+            self.copies.update(zip(ids.tolist(), keys.tolist(), strict=True))
+            return
+        if kind == PART:
+            self.parts.append((keys, ids, *(np.asarray(batch.column(c)) for c in ("h", "lo", "hi"))))
+            return
+        if not self.parts:
+            return
+        if self.names is None:
+            every = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+            order = np.argsort(every[0], kind="stable")
+            self.names = tuple(x[order] for x in every)
+        dk, own, h, lo, hi = self.names
+        begin, end = np.searchsorted(dk, keys, "left").tolist(), np.searchsorted(dk, keys, "right").tolist()
+        for k, (doc, key) in enumerate(zip(ids.tolist(), keys.tolist(), strict=True)):
+            if begin[k] == end[k] or (doc, key) in self.copies or (doc, key) in self.seen:
+                continue
+            self.seen.add((doc, key))
+            w = unpacked(batch.column("text")[k], self.by).split()  # bytes.split() splits at the same six bytes
+            at = slice(begin[k], end[k])
+            for who, name, first, last in zip(own[at].tolist(), h[at].tolist(), lo[at].tolist(), hi[at].tolist(), strict=True):
+                if who != doc:
+                    continue
+                unit = b" ".join(w[first : last + self.window])
+                here = (doc, key, first)
+                got = self.found.get((name, unit))
+                if got is None:
+                    self.found[name, unit] = [{here}, here]
+                    self.held += len(unit)
+                else:
+                    got[0].add(here)
+                    got[1] = min(got[1], here)
+            if self.held > 4 * SHARD_BYTES:
+                yield from self.end()
 
-def windows_of(rows: DataFrame, window: int) -> DataFrame:
-    """h, mark (the unit's hash), at, text, n, id, dk, lo of each window of units (h, unit, n, id, dk, lo)."""
+    def end(self) -> Iterator[pa.RecordBatch]:
+        rows = [(h, mark_of(unit), unit, len(places), *least, self.shard) for (h, unit), (places, least) in self.found.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _UNIT, strict=True)], schema=_UNIT)
+        self.found, self.held = {}, 0
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for h, unit, n, ident, dk, lo in zip(*(batch.column(c).to_pylist() for c in ("h", "unit", "n", "id", "dk", "lo")), strict=True):
-                w = unit.split()
-                mark = mark_of(unit)
-                out += [(h, mark, k, b" ".join(w[k : k + window]), n, ident, dk, lo + k) for k in range(len(w) - window + 1)]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "mark", "at", "text", "n", "id", "dk", "lo"])
 
-    return rows.select("h", "unit", "n", "id", "dk", "lo").mapInArrow(cut, "h long, mark long, at int, text binary, n long, id long, dk long, lo int")
+_PASSAGE = pa.schema([("h", pa.int64()), ("mark", pa.int64()), ("passage", pa.binary()), ("id", pa.int64()), ("dk", pa.int64()), ("lo", pa.int32())])
+_PASSAGES = "h long, mark long, passage binary, id long, dk long, lo int"
 
 
-def recurring(shard: list[tuple[bytes, int, tuple[int, int, int]]], window: int) -> list[list[tuple[int, int, int, int, int]]]:
-    """For each unit (text, count, earliest occurrence) of a shard, runs (offset, windows, and the earliest occurrence of the first)
-    of its windows that occur more than once; in a run, earliest occurrences move on with the windows."""
+def confirmed_of(units: list[tuple], window: int) -> list[tuple]:
+    """Passages (h, mark, text, earliest place) of units (h, mark, text, count, id, dk, lo) of whole names: the runs of their windows that occur more than once."""
     number: dict[bytes, int] = {}
-    texts = [tuple(number.setdefault(w, len(number)) for w in unit.split()) for unit, _, _ in shard]
+    texts = [u[2].split() for u in units]
     size = np.array([len(t) for t in texts])
-    flat = np.fromiter((x for t in texts for x in t), np.int64, int(size.sum()))
-    begin = np.cumsum(size) - size
+    flat = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64, int(size.sum()))
     n = size - window + 1
-    start = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     owner = np.repeat(np.arange(len(texts)), n)
-    grams = gram_hashes((flat.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15), window)[start]
-    _, head, inverse = np.unique(grams, return_index=True, return_inverse=True)
-    weight = np.bincount(inverse, np.array([c for _, c, _ in shard])[owner])
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for k in np.flatnonzero(weight > 1).tolist():
-        unit = owner[head[k]]
-        at = int(start[head[k]] - begin[unit])
-        automaton.add_word(texts[unit][at : at + window], k)
-    if not len(automaton):
-        return [[] for _ in shard]
-    automaton.make_automaton()
-    seen: list[list[tuple[int, int]]] = []
-    earliest: dict[int, tuple[int, int, int]] = {}
-    times: dict[int, int] = {}
-    for text, (_, count, (ident, dk, lo)) in zip(texts, shard, strict=True):
-        matches = [(end - window + 1, k) for end, k in automaton.iter(text)]
-        seen.append(matches)
-        for at, k in matches:
-            here = (ident, dk, lo + at)
-            times[k] = times.get(k, 0) + count
-            if k not in earliest or here < earliest[k]:
-                earliest[k] = here
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h, count, ident, dk, lo = (np.array([u[k] for u in units], np.int64)[owner] for k in (0, 3, 4, 5, 6))
+    lo = lo + at
+    grams = gram_hashes(mixed(flat.astype(U64) + U64(1)), window)[(np.cumsum(size) - size)[owner] + at]
+    key = mixed(grams ^ (h.view(U64) * U64(0x9FB21C651E98DF25)))
+    order = np.lexsort((lo, dk, ident, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first = order[new][group]  # the earliest of equal windows
+    again = np.bincount(group, count)[group] > 1
+    ident, dk, lo = ident[first], dk[first], lo[first]
+    goes_on = np.zeros(len(order), bool)
+    goes_on[1:] = again[:-1] & (owner[1:] == owner[:-1]) & (ident[1:] == ident[:-1]) & (dk[1:] == dk[:-1]) & (lo[1:] == lo[:-1] + 1)
+    heads = np.flatnonzero(again & ~goes_on)
+    ends = np.append(heads[1:], len(order)) if len(heads) else heads
     out = []
-    for matches in seen:
-        runs: list[list[int]] = []
-        for at, k in matches:
-            if times[k] < 2:
-                continue
-            ident, dk, lo = earliest[k]
-            if runs and runs[-1][0] + runs[-1][1] == at and (runs[-1][2], runs[-1][3], runs[-1][4] + runs[-1][1]) == (ident, dk, lo):
-                runs[-1][1] += 1
-            else:
-                runs.append([at, 1, ident, dk, lo])
-        out.append([tuple(r) for r in runs])
+    for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
+        many = int(again[a:b].sum())  # what isn't again ends the run
+        u, k = int(owner[a]), int(at[a])
+        out.append((units[u][0], units[u][1], b" ".join(texts[u][k : k + many + window - 1]), int(ident[a]), int(dk[a]), int(lo[a])))
     return out
 
 
-def _sharded(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
-    """work(columns) on runs of whole groups of rows, each of about SHARD_WORDS words of units."""
-    columns = rows.columns
+def confirmed(units: DataFrame, window: int, hot: int) -> DataFrame:
+    """h, mark, passage, id, dk, lo: what recurs of each run (h, mark) of units (h, mark, unit, n, id, dk, lo), and its earliest place."""
+    least = F.min(F.struct("id", "dk", "lo")).alias("e")
+    runs = written(units.groupBy("h", "mark", "unit").agg(F.sum("n").alias("n"), least).select("h", "mark", "unit", "n", "e.id", "e.dk", "e.lo"), "runs")
+    many = written(runs.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("h"), "hot")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n_words = 0
-        unit, by = columns.index("unit"), [columns.index(k) for k in keys]
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if n_words >= SHARD_WORDS and any(held[-1][k] != row[k] for k in by):
-                    yield from work(held)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "mark", "unit", "n", "id", "dk", "lo")), strict=True):
+                if n_words >= CONFIRM_WORDS and held[-1][0] != row[0]:
+                    yield from done(held)
                     held, n_words = [], 0
                 held.append(row)
-                n_words += row[unit].count(b" ") + 1
+                n_words += row[2].count(b" ") + 1
         if held:
-            yield from work(held)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
+            yield from done(held)
 
-def _spans(rows: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        ident, dk, begin, end = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ident, pa.int64()), pa.array(dk, pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["id", "dk", "begin", "end"])
+    def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows := confirmed_of(held, window):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PASSAGE, strict=True)], schema=_PASSAGE)
 
+    plain = runs.join(many, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(grouped, _PASSAGES)
+    # a name with many different runs: its windows are counted one by one
+    each = windows_of(runs.join(many, "h", "left_semi"), window)
+    first = each.groupBy("h", "text").agg(F.sum("n").alias("n"), least).where("n > 1").select("h", F.xxhash64("text").alias("word"), F.md5("text").alias("sum"), "e.id", "e.dk", "e.lo")
+    single = each.select("h", "mark", F.col("text").alias("passage"), F.xxhash64("text").alias("word"), F.md5("text").alias("sum")).join(first, ["h", "word", "sum"]).select("h", "mark", "passage", "id", "dk", "lo")
+    return plain.unionByName(single)
 
-def automata(rows: DataFrame, window: int) -> DataFrame:
-    """id, dk, begin, end of what later occurrences cover, of the units h, unit, id, dk, lo of whole phrases."""
 
-    def work(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        places: dict[bytes, list[tuple]] = {}
-        for _, unit, ident, dk, lo in held:
-            places.setdefault(unit, []).append((ident, dk, lo))
-        found = recurring([(unit, len(set(at)), min(at)) for unit, at in places.items()], window)
-        yield from _spans([(ident, dk, lo + at, lo + at + n + window - 1) for runs, all_at in zip(found, places.values(), strict=True) for at, n, *first in runs for ident, dk, lo in set(all_at) if (ident, dk, lo + at) != tuple(first)])
+def windows_of(rows: DataFrame, window: int) -> DataFrame:
+    """h, mark, text, n, id, dk, lo of each window of units."""
 
-    return _sharded(rows.select("h", "unit", "id", "dk", "lo"), ["h"], work, "id long, dk long, begin int, end int")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, mark, unit, n, ident, dk, lo in zip(*(batch.column(c).to_pylist() for c in ("h", "mark", "unit", "n", "id", "dk", "lo")), strict=True):
+                w = unit.split()
+                out += [(h, mark, b" ".join(w[k : k + window]), n, ident, dk, lo + k) for k in range(len(w) - window + 1)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "mark", "text", "n", "id", "dk", "lo"])
+
+    return rows.select("h", "mark", "unit", "n", "id", "dk", "lo").mapInArrow(cut, "h long, mark long, text binary, n long, id long, dk long, lo int")
+
+
+class Automaton:
+    """Passages (text, earliest place) as one Aho-Corasick automaton. Words are numbers, written as digits so that no node has more than BASE branches;
+    digits of each place have letters of their own, so a match begins and ends with a word."""
+
+    BASE = 64
+
+    def __init__(self, passages: dict[bytes, tuple[int, int, int]]):
+        number: dict[bytes, int] = {}
+        texts = [[number.setdefault(w, len(number)) for w in p.split()] for p in passages]
+        self.width = 1
+        while self.BASE**self.width < len(number):
+            self.width += 1
+        letters = []
+        for k in range(len(number)):
+            digits = ""
+            for place in range(self.width):
+                k, digit = divmod(k, self.BASE)
+                digits += chr(1 + place * self.BASE + digit)
+            letters.append(digits)
+        self.code = {w: letters[k] for w, k in number.items()}
+        self.size, self.place = [len(t) for t in texts], list(passages.values())
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, t in enumerate(texts):
+            self.automaton.add_word("".join([letters[x] for x in t]), k)
+        if texts:
+            self.automaton.make_automaton()
+
+    def found(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+        """Begin, end and the passage's earliest place of every occurrence in words."""
+        if self.size:
+            get, none, width = self.code.get, "\0" * self.width, self.width
+            for last, k in self.automaton.iter("".join([get(w, none) for w in words])):
+                end = (last + 1) // width
+                yield end - self.size[k], end, self.place[k]
+
+
+class _Streamed:
+    """Compiles a shard's passages and streams its documents through them; emit(batch, kept words of each row or None, words) makes batches of results."""
+
+    def __init__(self, window: int, emit: Callable):
+        self.window, self.emit = window, emit
+        self.copies: set[tuple[int, int]] = set()
+        self.passages: dict[bytes, tuple[int, int, int]] = {}
+        self.automaton: Automaton | None = None
+        self.by = zstandard.ZstdDecompressor()
+
+    def take(self, kind: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, keys = batch.column("id").to_pylist(), batch.column("dk").to_pylist()
+        if kind == COPY:
+            self.copies.update(zip(ids, keys, strict=True))
+            return
+        if kind == PART:
+            self.passages.update(zip(batch.column("passage").to_pylist(), zip(ids, keys, batch.column("lo").to_pylist(), strict=True), strict=True))
+            return
+        if self.automaton is None:
+            self.automaton, self.passages = Automaton(self.passages), {}
+        texts, masks = [], []
+        for doc, dk, text in zip(ids, keys, batch.column("text"), strict=True):
+            texts.append(unpacked(text, self.by))
+            masks.append(self._kept(doc, dk, texts[-1].split()))
+        yield self.emit(batch, texts, masks)
+
+    def _kept(self, doc: int, dk: int, w: list[bytes]) -> np.ndarray | None:
+        """Which words stay; None: all."""
+        if (doc, dk) in self.copies:
+            return np.full(len(w), len(w) < self.window)
+        edge = None
+        for begin, end, place in self.automaton.found(w):
+            if place != (doc, dk, begin):
+                if edge is None:
+                    edge = np.zeros(len(w) + 1, np.int64)
+                edge[begin] += 1
+                edge[end] -= 1
+        return None if edge is None else np.cumsum(edge[:-1]) == 0
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def streamed(docs: DataFrame, emit: Callable, schema: str | T.StructType, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """emit's batches for all rows of docs (id, dk, text and others), with what stays of their words."""
+    keyed = docs.select("id", "dk", "text")
+    sums = written(keyed.select("id", "dk", F.md5(F.col("text").cast("binary")).alias("sum"), F.octet_length("text").cast("long").alias("size")), "documents")
+    shards = max(1, math.ceil((sums.agg(F.sum("size")).first()[0] or 0) / shard_bytes))
+    first = sums.groupBy("sum").agg(F.min(F.struct("id", "dk")).alias("f"), F.count("*").alias("n")).where("n > 1").select("sum", "f")
+    copies = written(sums.join(first, "sum").where("f.dk <> dk or f.id <> id").select("id", "dk").distinct(), "copies")
+    named = phrases(keyed, window, phrase)
+    # a table of its own, so that the join below has a plain shuffle on either side, which can be split where a phrase is hot
+    again = written(named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "phrases")
+    parts = {COPY: copies, PART: named.join(again.hint("shuffle_hash"), "h"), DOCUMENT: packed(keyed)}
+    units = written(by_shard(parts, shards, lambda shard: _Units(shard, window), "h long, mark long, unit binary, n long, id long, dk long, lo int, shard long"), "units")
+    passages = units.select("h", "mark", "shard").join(confirmed(units, window, hot), ["h", "mark"]).select("shard", "passage", "id", "dk", "lo")
+    return by_shard({COPY: copies, PART: passages, DOCUMENT: packed(docs)}, shards, lambda shard: _Streamed(window, emit), schema)
 
 
-def hot_automata(rows: DataFrame, window: int, hot: int) -> DataFrame:
-    """id, dk, spans of what later occurrences of hot phrases' runs cover. rows: as units takes them."""
-    least = F.min(F.struct("id", "dk", "lo")).alias("e")
-    runs = combined_units(rows, window).groupBy("h", "unit").agg(F.sum("n").alias("n"), least).select("h", "unit", "n", "e.id", "e.dk", "e.lo")
-    each = windows_of(runs, window)
-    distinct = each.groupBy("h", "text").agg(F.sum("n").alias("n"), least).where("n > 1")
-
-    def work(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = recurring([(text, n, (ident, dk, lo)) for _, _, text, n, ident, dk, lo in held], window)
-        keep = [(row[0], row[2], *first[0][2:]) for row, first in zip(held, found, strict=True) if first]
-        if keep:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*keep, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["h", "unit", "id", "dk", "lo"])
-
-    salted = distinct.select("h", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(hot)).alias("salt"), F.col("text").alias("unit"), "n", "e.id", "e.dk", "e.lo")
-    first = _sharded(salted, ["h", "salt"], work, "h long, unit binary, id long, dk long, lo int").select("h", F.xxhash64("unit").alias("word"), F.struct("id", "dk", "lo").alias("first"))
-    by_run = each.select("h", "mark", "at", F.xxhash64("text").alias("word")).join(first, ["h", "word"]).groupBy("h", "mark").agg(F.collect_list(F.struct("at", "first")).alias("firsts"))
-    met = marked_units(rows, window).join(by_run, ["h", "mark"])
-    later = F.filter("firsts", lambda x: ~((x["first"]["id"] == F.col("id")) & (x["first"]["dk"] == F.col("dk")) & (x["first"]["lo"] == F.col("lo") + x["at"])))
-    return met.select("id", "dk", F.transform(later, lambda x: F.struct((F.col("lo") + x["at"]).alias("begin"), (F.col("lo") + x["at"] + window).alias("end"))).alias("spans")).where(F.size("spans") > 0)
-
-
-def repeats(docs: DataFrame, texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """dk, own (the document's id), copy (all its windows occur earlier) and spans (array of begin, end in words) of documents (id, dk, text). texts: the same, packed."""
-    text = docs.select("id", "dk", F.md5(F.col("text").cast("binary")).alias("sum"))
-    first = text.groupBy("sum").agg(F.min(F.struct("id", "dk")).alias("f"), F.count("*").alias("n")).where("n > 1").select("sum", "f")
-    copies = text.join(first, "sum").where("f.dk <> dk").select("dk", "id").distinct()
-    named = phrases(docs, window, phrase)
-    # a table of its own, so that the join below has a plain shuffle on either side, which can be split where a phrase is hot
-    again = written(named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")), "phrases")
-    kept = named.join(again.hint("shuffle_hash"), "h").groupBy("dk").agg(F.collect_set(F.struct("h", "lo", "hi", "hot")).alias("found")).join(copies.hint("shuffle_hash"), "dk", "left_anti")
-    own = lambda hot: kept.select("dk", F.filter("found", lambda f: f["hot"] if hot else ~f["hot"]).alias("found")).where(F.size("found") > 0)
-    cold = automata(units(texts.join(own(False).hint("shuffle_hash"), "dk"), window), window).select("id", "dk", F.array(F.struct("begin", "end")).alias("spans"))
-    warm = hot_automata(texts.join(own(True).hint("shuffle_hash"), "dk"), window, hot)
-    spans = cold.unionByName(warm).groupBy("dk", "id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return spans.select("dk", F.col("id").alias("own"), F.lit(False).alias("copy"), "spans").unionByName(copies.select("dk", F.col("id").alias("own"), F.lit(True).alias("copy"), F.array(F.struct(F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))).alias("spans")))
-
-
-def marked(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """id, dk, text (packed), copy and spans (null: none) of each of docs' rows. docs: doc_id, text."""
-    keyed = _keyed(docs)
-    texts = packed(keyed)
-    found = repeats(keyed, texts, window, phrase, hot).withColumnRenamed("dk", "__dk").hint("shuffle_hash")
-    # partitioned by dk alone, as in the other joins of texts, so that one shuffle of them serves all
-    return texts.join(found, (F.col("dk") == F.col("__dk")) & F.col("own").between(F.col("id"), F.col("id")), "left").drop("own", "__dk")
-
-
-def _kept_mask(spans: list | None, copy: bool | None, n: int, window: int) -> np.ndarray:
-    if copy:
-        return np.full(n, n < window)
-    edge = np.zeros(n + 1, np.int64)
-    for s in spans or ():
-        edge[s["begin"]] += 1
-        edge[min(s["end"], n)] -= 1
-    return np.cumsum(edge[:n]) == 0
-
-
-def kept_text(text: str, spans: list | None, copy: bool | None, window: int) -> str:
-    """text without the covered words and the white space behind them; what stays is as it was."""
-    if not spans:
-        return text
-    data = text.encode()
+def kept_text(data: bytes, keep: np.ndarray | None) -> str:
+    """A text without the words that don't stay and the white space behind them; what stays is as it was."""
+    if keep is None:
+        return data.decode()
     raw = np.frombuffer(data, np.uint8)
     starts, _, _ = words(raw, np.array([0, len(raw)]), SPACE_WORDS)
-    keep = _kept_mask(spans, copy, len(starts), window)
+    if not len(starts):
+        return data.decode()
     size = np.diff(np.append(starts, len(raw)))
-    mask = np.concatenate((np.ones(starts[0], bool), np.repeat(keep, size))) if len(starts) else np.ones(len(raw), bool)
-    return raw[mask].tobytes().decode()
+    return raw[np.concatenate((np.ones(starts[0], bool), np.repeat(keep, size)))].tobytes().decode()
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """For each document: words, words removed, and the digest of what is kept."""
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = zstandard.ZstdDecompressor()
-        for batch in batches:
-            total, removed, digest = [], [], []
-            for text, spans, copy in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True):
-                w = unpacked(text, by).split()
-                kept = [x for x, k in zip(w, _kept_mask(spans, copy, len(w), window).tolist(), strict=True) if k] if spans else w
-                total.append(len(w))
-                removed.append(len(w) - len(kept))
-                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            ids = [None if x == NO_ID else x for x in batch.column("id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return marked(docs, window, phrase, hot).select("id", "text", "spans", "copy").mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def rewritten(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """docs with repeated words taken out of text and n_chars (if there) counted anew; documents of which no word is left go.
-    Other columns stay, but for ones named __spans and __copy."""
-    ident, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = _keyed(docs)
-    found = repeats(keyed, packed(keyed), window, phrase, hot).select(F.col("dk").alias("__dk"), F.col("own").alias("__id"), F.col("spans").alias("__spans"), F.col("copy").alias("__copy"))
-    joined = packed(docs.drop("__spans", "__copy").withColumn("__key", F.xxhash64(ident, text)).withColumn("__own", ident)).join(found.hint("shuffle_hash"), (F.col("__key") == F.col("__dk")) & F.col("__id").between(F.col("__own"), F.col("__own")), "left")
-    names = docs.drop("__spans", "__copy").columns
-    place = names.index("text")
+    def digests(batch: pa.RecordBatch, texts: list[bytes], masks: list) -> pa.RecordBatch:
+        total, removed, digest = [], [], []
+        for text, mask in zip(texts, masks, strict=True):
+            w = text.split()
+            kept = w if mask is None else [x for x, k in zip(w, mask.tolist(), strict=True) if k]
+            total.append(len(w))
+            removed.append(len(w) - len(kept))
+            digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        ids = [None if x == NO_ID else x for x in batch.column("id").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = zstandard.ZstdDecompressor()
-        for batch in batches:
-            spans = batch.column("__spans")
-            texts = [None if t is None else t.decode() for t in (unpacked(t, by) for t in batch.column(place))]
-            keep = []
-            for k, (found, copy) in enumerate(zip(spans.to_pylist(), batch.column("__copy").to_pylist(), strict=True)):
-                if found and texts[k] and texts[k].strip(WHITE):
-                    texts[k] = kept_text(texts[k], found, copy, window)
-                    keep.append(bool(texts[k].strip(WHITE)))
-                else:
-                    keep.append(True)
-            columns = [batch.column(k) for k in range(len(names))]
-            columns[place] = pa.array(texts, pa.string())
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                old = columns[k].to_pylist()
-                columns[k] = pa.array([len(t) if found and t is not None else n for t, found, n in zip(texts, spans.to_pylist(), old, strict=True)], batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select(*names, "__spans", "__copy").mapInArrow(cut, docs.drop("__spans", "__copy").schema)
+    return streamed(_keyed(docs), digests, "doc_id long, n_words long, n_removed long, kept_sha256 string", window, phrase, hot, shard_bytes)
+
+
+def rewritten(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """docs with repeated words taken out of text and n_chars (if there) counted anew; documents of which no word is left go. Other columns stay."""
+    names = docs.columns
+    place = names.index("text")
+    ident, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("others"), F.col("text").isNull().alias("none"), ident.alias("id"), F.xxhash64(ident, text).alias("dk"), text.alias("text"))
+
+    def cut(batch: pa.RecordBatch, texts: list[bytes], masks: list) -> pa.RecordBatch:
+        none = batch.column("none").to_pylist()
+        left = [None if null else kept_text(t, m) for t, m, null in zip(texts, masks, none, strict=True)]
+        keep = [m is None or not len(m) or bool(t.strip(WHITE)) for t, m in zip(left, masks, strict=True)]
+        columns = batch.column("others").flatten()
+        if "n_chars" in names:
+            k = [c for c in names if c != "text"].index("n_chars")
+            columns[k] = pa.array([n if m is None or t is None else len(t) for t, m, n in zip(left, masks, columns[k].to_pylist(), strict=True)], columns[k].type)
+        columns.insert(place, pa.array(left, pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return streamed(rows, cut, docs.schema, window, phrase, hot, shard_bytes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

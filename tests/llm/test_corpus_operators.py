@@ -56,17 +56,38 @@ def brute_dedup(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_substring_dedup(spark, hot):
+@pytest.mark.parametrize(("hot", "shard"), [(2000, 8 << 20), (3, 8 << 20), (3, 5000), (2000, 2000)])
+def test_substring_dedup(spark, hot, shard):
     rows = collection()
     want = brute_dedup(rows, 20)
-    got = substring_dedup.dedup(frame(spark, rows), hot=hot).collect()
+    got = substring_dedup.dedup(frame(spark, rows), hot=hot, shard_bytes=shard).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]][:3], r["doc_id"]
     assert substring_dedup.dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, "other " + text), (1, text), (2, "x " * 50), (2, text + " end")]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(frame(spark, rows)).collect())
+    assert sum(got.values()) == 5 and got[2, 61, 60] == 1 and got[2, 50, 49] == 1  # of x only the first word begins no later window
+    assert sum((n - r) * c for (d, n, r), c in got.items() if d == 1) in (60 * 2 + 1, 61)  # which of the id's texts is first, its hash tells
+
+
+def test_automaton_finds_whole_words_everywhere():
+    rng = random.Random(3)
+    for n_words in (5, 200, 9000):
+        vocabulary = [f"{k:x}".encode() for k in range(n_words)]
+        text = [rng.choice(vocabulary) for _ in range(3000)]
+        passages = {b" ".join(text[a : a + rng.randint(2, 30)]): (k, k, k) for k, a in enumerate(rng.sample(range(2900), 400))}
+        automaton = substring_dedup.Automaton(passages)
+        text += [b"unknown", *text[:500]]
+        want = {(i, i + len(p), place) for q, place in passages.items() for p in [q.split()] for i in range(len(text)) if text[i] == p[0] and text[i : i + len(p)] == p}
+        assert set(automaton.found(text)) == want and len(want) >= 400
+    assert list(substring_dedup.Automaton({}).found([b"a"])) == []
+
+
 def test_substring_dedup_rewrites_texts(spark):
     rows = collection(2)
     want = brute_dedup(rows, 20)
