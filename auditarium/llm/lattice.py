@@ -1,27 +1,26 @@
 """Language-model scores by subword lattices: a text's marginal probability over all its segmentations.
 
-The vocabulary is a public tokenizer's (its pieces and their order; never trained here). A word, with a mark before it for the space, is
-a lattice: every piece that matches some of its bytes is an arc, and each single byte has an arc of its own, so nothing is out of vocabulary.
-A word of the training texts also has one arc over all of it, with its count less a discount (from the numbers of words seen once and twice);
-what the discounts leave is the mass of the paths through pieces. The forward recursion in log space sums all paths; pieces don't cross
-words, so a text's log probability is the sum over its words and one end. The pieces' weights start from their order in the vocabulary and are
-then re-estimated on the training texts' distinct words by expectation maximisation (`rounds` times) with the exact posterior counts of forward
-and backward recursions.
-
-A text is a mixture over classes of training texts (their most frequent languages, at most CLASSES, and one for all): a class has its own discounted
-counts of words above the probabilities of all texts. A text's own language is never looked at; the sum over classes is its marginal,
-and all classes are summed: no part of a text can tell that a class doesn't count. So scores are probabilities: over all texts they sum to at most one.
+The vocabulary is a public tokenizer's unigram one: its pieces and their scores (never trained here). Where the scores are mere ranks, as in vocabularies
+of merges, a piece's first weight is 1 / (rank + 10). A word, with a mark before it for the space, is a lattice: every piece that matches some of its
+bytes is an arc, and each single byte has an arc of its own, so nothing is out of vocabulary. The forward recursion in log space sums all paths. Only
+the first piece of a word has a mark, so the next mark ends it, and the probabilities of all words sum to at most one; pieces don't cross
+words, so a text's log probability is the sum over its words and one end.
+
+The weights are re-estimated on the words of all training texts by expectation maximisation (`rounds` times), with the exact posterior counts of forward and backward
+recursions, each word as often as it occurs. That is done for classes of training texts: the `classes` most frequent languages, one class for all other
+texts, and one for all texts together, whose counts are the sums of the others' and towards which those are smoothed. A text is a mixture
+of all classes; its own language is never looked at, none is left out, and the sum is its marginal. So scores are probabilities: over all texts they sum to at most one.
 
 The base score is the add-one unigram score of the words.
 
 Work is done once for each distinct word of the corpus: a table of words with their counts (combined before the shuffle) goes
-through the recursions, in tasks, and only the sums for each piece (tens of thousands of rows) go to the driver. Texts then need their words'
+through the recursions, in tasks, and only the sums for each piece and class (at most 32,000 times `classes` + 2 rows) go to the driver. Texts then need their words'
 counts and scores. Words with at least 1/HEAD of all tokens are at most HEAD, by arithmetic, so those are broadcast; a document's other words
 are joined as rows (one a word, with its prices in all classes), and none of them can be a hot key, since each has less than 1/HEAD of all tokens.
 
 Nulls: a null text counts as empty: no words, one end. A null doc_id counts as an empty text for the fold and stays null. Repeated rows are each
-counted, scored and returned. Without training rows every count is 0 and the pieces keep the vocabulary's order. An empty table gives no rows.
-Other columns are left out. Very long words are one lattice like others; in training they are learnt from in parts of PART bytes.
+counted, scored and returned; ties (languages as frequent as each other) go by name. Without training rows every count is 0 and the pieces keep the vocabulary's order. An
+empty table gives no rows. Other columns are left out. A very long word is one lattice like others, worked on in runs of PART bytes that pass their borders' values on.
 """
 
 from __future__ import annotations
@@ -42,8 +41,8 @@ FOLDS, HELD_OUT = 7, 2
 VOCABULARY = "piece_bpe_32k.model"
 HEAD, ROUNDS, PART = 200_000, 3, 512
 CLASSES = 6
-#: Added to each piece's expected count, so that unseen pieces keep some weight.
-PRIOR = 0.02
+#: Added to each piece's expected count, so that unseen pieces keep some weight; counts by which a class is drawn to the weights of all texts.
+PRIOR, DRAWN = 0.02, 2000.0
 _CELLS = 1 << 19
 
 
@@ -127,65 +126,56 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return np.log(np.exp(x - top[:, None]).sum(1)) + top
 
 
-def _arcs(x: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces, weights: Weights):
-    """Piece of each arc (-1: none) and its log weight, for words x (one a row) of the same size."""
+def _matched(x: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Piece of each arc (-1: none) for words x (one a row) of the same size."""
     size = x.shape[1]
     h = np.zeros((len(x), size + 1), U64)
     np.cumsum((x.astype(U64) + U64(1)) * _place(size), axis=1, out=h[:, 1:])
-    found = pieces.find((h[:, end] - h[:, begin]) * _unplace(size)[begin])
+    return pieces.find((h[:, end] - h[:, begin]) * _unplace(size)[begin])
+
+
+def _logs(x: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray, weights: Weights) -> np.ndarray:
+    """Log weight of each arc."""
     log = np.where(found >= 0, weights.piece[found], -np.inf)
     single = np.flatnonzero(end - begin == 1)
     log[:, single] = np.logaddexp(log[:, single], weights.byte[x[:, begin[single]]])
-    return found, log
+    return log
 
 
-def forward(x: np.ndarray, pieces: Pieces, weights: Weights) -> np.ndarray:
-    """Log probability of words x of the same size, each with its mark."""
-    n, size = x.shape
-    if size > PART:
-        return np.array([_forward_long(row, pieces, weights) for row in x])
-    begin, end, by_end, _, _ = _spans(size, pieces.longest)
-    _, log = _arcs(x, begin, end, pieces, weights)
-    alpha = np.zeros((n, size + 1))
+def _alpha(log: np.ndarray, begin: np.ndarray, by_end: np.ndarray, size: int) -> np.ndarray:
+    alpha = np.zeros((len(log), size + 1))
     for j in range(1, size + 1):
         at = slice(by_end[j], by_end[j + 1])
         alpha[:, j] = _log_sum(alpha[:, begin[at]] + log[:, at])
-    return alpha[:, size]
-
-
-def _forward_long(x: np.ndarray, pieces: Pieces, weights: Weights) -> float:
-    """The same for one long word, by runs of PART ends."""
-    m = pieces.longest
-    alpha = np.zeros(1)  # of the last positions
-    done = 0
-    while done < len(x):
-        lo = max(0, done - m)  # arcs into this run begin here or later
-        part = x[lo : done + PART]
-        begin, end, by_end, _, _ = _spans(len(part), m)
-        _, log = _arcs(part[None], begin, end, pieces, weights)
-        value = np.full(len(part) + 1, -np.inf)
-        value[: done - lo + 1] = alpha[len(alpha) - (done - lo + 1) :]
-        for j in range(done - lo + 1, len(part) + 1):
-            at = slice(by_end[j], by_end[j + 1])
-            value[j] = _log_sum((value[begin[at]] + log[0, at])[None])[0]
-        alpha = value
-        done = lo + len(part)
-    return float(alpha[-1])
+    return alpha
 
 
-def expected(x: np.ndarray, pieces: Pieces, weights: Weights, into: np.ndarray) -> None:
-    """Adds the expected counts of pieces and bytes in words x."""
+def forward(x: np.ndarray, pieces: Pieces, weights: list[Weights]) -> np.ndarray:
+    """Log probabilities of words x of the same size, each with its mark, under each of weights."""
     n, size = x.shape
-    begin, end, by_end, by_begin, starts = _spans(size, pieces.longest)
-    found, log = _arcs(x, begin, end, pieces, weights)
-    alpha, beta = np.zeros((n, size + 1)), np.zeros((n, size + 1))
-    for j in range(1, size + 1):
-        at = slice(by_end[j], by_end[j + 1])
-        alpha[:, j] = _log_sum(alpha[:, begin[at]] + log[:, at])
-    for i in range(size - 1, -1, -1):
-        at = by_begin[starts[i] : starts[i + 1]]
-        beta[:, i] = _log_sum(beta[:, end[at]] + log[:, at])
-    share = np.exp(alpha[:, begin] + log + beta[:, end] - alpha[:, size:])
+    if size > PART:
+        return np.array([[_alpha_long(row, pieces, w)[-1] for w in weights] for row in x])
+    begin, end, by_end, _, _ = _spans(size, pieces.longest)
+    found = _matched(x, begin, end, pieces)
+    return np.stack([_alpha(_logs(x, begin, end, found, w), begin, by_end, size)[:, size] for w in weights], 1)
+
+
+def _alpha_long(x: np.ndarray, pieces: Pieces, weights: Weights) -> np.ndarray:
+    """The forward values of one long word, by runs of PART ends."""
+    m, n = pieces.longest, len(x)
+    alpha = np.zeros(n + 1)
+    for done in range(0, n, PART):
+        lo, hi = max(0, done - m), min(n, done + PART)  # arcs into this run begin at lo or later
+        begin, end, by_end, _, _ = _spans(hi - lo, m)
+        log = _logs(x[None, lo:hi], begin, end, _matched(x[None, lo:hi], begin, end, pieces), weights)[0]
+        for j in range(done - lo + 1, hi - lo + 1):
+            at = slice(by_end[j], by_end[j + 1])
+            alpha[lo + j] = _log_sum((alpha[lo + begin[at]] + log[at])[None])[0]
+    return alpha
+
+
+def _add(share: np.ndarray, x: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray, log: np.ndarray, weights: Weights, pieces: Pieces, into: np.ndarray) -> None:
+    """Adds the arcs' posterior counts to those of pieces and bytes."""
     single = np.flatnonzero(end - begin == 1)
     letters = x[:, begin[single]]
     by_byte = share[:, single] * np.exp(weights.byte[letters] - log[:, single])
@@ -194,6 +184,46 @@ def expected(x: np.ndarray, pieces: Pieces, weights: Weights, into: np.ndarray)
     into[-256:] += np.bincount(letters.ravel(), by_byte.ravel(), 256)
 
 
+def expected(x: np.ndarray, times: np.ndarray, pieces: Pieces, weights: list[Weights], into: np.ndarray) -> None:
+    """Adds the expected counts of pieces and bytes in words x to into (a row a class). times: how often each word occurs in each class."""
+    n, size = x.shape
+    if size > PART:
+        for row, own in zip(x, times, strict=True):
+            for k in np.flatnonzero(own):
+                _expected_long(row, float(own[k]), pieces, weights[k], into[k])
+        return
+    begin, end, by_end, by_begin, starts = _spans(size, pieces.longest)
+    found = _matched(x, begin, end, pieces)
+    for k, own in enumerate(weights):
+        rows = np.flatnonzero(times[:, k])
+        if not len(rows):
+            continue
+        f, words = found[rows], x[rows]
+        log = _logs(words, begin, end, f, own)
+        alpha, beta = _alpha(log, begin, by_end, size), np.zeros((len(rows), size + 1))
+        for i in range(size - 1, -1, -1):
+            at = by_begin[starts[i] : starts[i + 1]]
+            beta[:, i] = _log_sum(beta[:, end[at]] + log[:, at])
+        share = np.exp(alpha[:, begin] + log + beta[:, end] - alpha[:, size:]) * times[rows, k][:, None]
+        _add(share, words, begin, end, f, log, own, pieces, into[k])
+
+
+def _expected_long(x: np.ndarray, times: float, pieces: Pieces, weights: Weights, into: np.ndarray) -> None:
+    """The same for one long word, by runs of PART begins from its end."""
+    m, n = pieces.longest, len(x)
+    alpha, beta = _alpha_long(x, pieces, weights), np.zeros(n + 1)
+    for lo in range((n - 1) // PART * PART, -1, -PART):
+        part = x[None, lo : min(n, lo + PART + m)]
+        begin, end, _, by_begin, starts = _spans(part.shape[1], m)
+        found = _matched(part, begin, end, pieces)
+        log = _logs(part, begin, end, found, weights)
+        for i in range(min(PART, n - lo) - 1, -1, -1):
+            at = by_begin[starts[i] : starts[i + 1]]
+            beta[lo + i] = _log_sum((beta[lo + end[at]] + log[0, at])[None])[0]
+        share = np.where(begin < PART, np.exp(alpha[lo + begin] + log + beta[lo + end] - alpha[n]), 0.0) * times
+        _add(share, part, begin, end, found, log, weights, pieces, into)
+
+
 def _by_size(column: pa.Array):
     """(rows, words with their mark as a matrix) of words of the same size, in parts of bounded work."""
     _, data, offsets = next(slices(column.cast(pa.large_binary()).view(pa.large_string()), 1 << 62))
@@ -241,61 +271,51 @@ def word_table(docs: DataFrame, classes: int) -> DataFrame:
     return written(rows.groupBy("h", "word").agg(*(F.sum(c).alias(c) for c in sums)), "words")
 
 
-def fit(table_of_words: DataFrame, path: str, rounds: int = ROUNDS) -> Weights:
-    """Weights after rounds of expectation maximisation over the distinct training words."""
+def fit(table_of_words: DataFrame, path: str, classes: int, rounds: int = ROUNDS) -> list[Weights]:
+    """Weights of all texts and of each class, after rounds of expectation maximisation over the training words."""
     spark = table_of_words.sparkSession
     pieces = vocabulary(path)
-    weights = Weights.first(pieces)
+    weights = [Weights.first(pieces)] * (classes + 1)
+    names = [f"c{k}" for k in range(1, classes + 1)]
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
 
         def counted(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = vocabulary(path)
-            into = np.zeros(len(own.pieces) + 256)
+            into = np.zeros((classes, len(own.pieces) + 256))
             for batch in batches:
-                for _, x in _by_size(batch.column("word")) if batch.num_rows else ():
-                    for at in range(0, x.shape[1], PART):
-                        expected(x[:, at : at + PART], own, sent.value, into)
-            used = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(into[used])], names=["piece", "count"])
-
-        total = np.full(len(pieces.pieces) + 256, PRIOR)
-        rows = table_of_words.where("c > 0").select("word").mapInArrow(counted, "piece long, count double").groupBy("piece").agg(F.sum("count")).collect()
+                times = np.stack([np.asarray(batch.column(c), dtype=float) for c in names], 1)
+                for rows, x in _by_size(batch.column("word")) if batch.num_rows else ():
+                    expected(x, times[rows], own, sent.value[1:], into)
+            k, used = np.nonzero(into)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(used), pa.array(into[k, used])], names=["class", "piece", "count"])
+
+        rows = table_of_words.where("c > 0").select("word", *names).mapInArrow(counted, "class long, piece long, count double").groupBy("class", "piece").agg(F.sum("count").alias("count")).collect()
         if not rows:
             return weights
+        found = np.zeros((classes, len(pieces.pieces) + 256))
         for r in rows:
-            total[r[0]] += r[1]
-        weights = Weights(total)
+            found[r[0], r[1]] = r[2]
+        every = found.sum(0) + PRIOR
+        weights = [Weights(every), *(Weights(own + DRAWN * every / every.sum()) for own in found)]
     return weights
 
 
-def discount_of(once: int, twice: int) -> float:
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
-
-
-def priced(table_of_words: DataFrame, weights: Weights, path: str, end: float, counts: list[tuple[int, int, float]]) -> DataFrame:
-    """h, n, c and log10 probabilities p0, p1, ... of every word in all texts and in each class, as a stored table.
-
-    end: probability of the end; counts: words, distinct words and discount of all training texts and of each class."""
+def priced(table_of_words: DataFrame, weights: list[Weights], path: str, end: float) -> DataFrame:
+    """h, n, c and log10 probabilities p0, p1, ... of every word in all texts and in each class, as a stored table. end: probability of the end."""
     sent = table_of_words.sparkSession.sparkContext.broadcast(weights)
-    columns = ["c", *(f"c{k}" for k in range(1, len(counts)))]
+    names = ["h", "n", "c", *(f"p{k}" for k in range(len(weights)))]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
-            below = np.zeros(batch.num_rows)
+            out = np.zeros((batch.num_rows, len(names) - 3))
             for rows, x in _by_size(batch.column("word")) if batch.num_rows else ():
-                below[rows] = forward(x, own, sent.value)
-            out = []
-            for name, (tokens, distinct, discount) in zip(columns, counts, strict=True):
-                whole = np.maximum(np.asarray(batch.column(name), dtype=float) - discount, 0)
-                with np.errstate(divide="ignore"):
-                    p = np.logaddexp(np.log(whole), np.log(discount * distinct + 1) + below) - np.log(tokens + 1)
-                below = p if not out else below  # classes stand above all texts
-                out.append(pa.array((p + np.log1p(-end)) / np.log(10)))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), batch.column("c"), *out], names=["h", "n", "c", *(f"p{k}" for k in range(len(out)))])
+                out[rows] = forward(x, own, sent.value)
+            out = (out + np.log1p(-end)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), batch.column("c"), *map(pa.array, out.T.copy())], names=names)
 
-    return written(table_of_words.mapInArrow(scored, "h long, n long, c long, " + ", ".join(f"p{k} double" for k in range(len(counts)))), "priced")
+    return written(table_of_words.mapInArrow(scored, "h long, n long, c long, " + ", ".join(f"{c} double" for c in names[3:])), "priced")
 
 
 def scores(docs: DataFrame, path: str, head: int = HEAD, rounds: int = ROUNDS, classes: int = CLASSES) -> DataFrame:
@@ -307,19 +327,21 @@ def scores(docs: DataFrame, path: str, head: int = HEAD, rounds: int = ROUNDS, c
     training_rows = sum(r["count"] for r in texts)
     top = sorted((r for r in texts if r["lang"] is not None), key=lambda r: (-r["count"], r["lang"]))[:classes]
     number = F.create_map(*(F.lit(x) for k, r in enumerate(top, 1) for x in (r["lang"], k))) if top else None
-    docs = docs.withColumn("class", F.coalesce(F.element_at(number, lang), F.lit(0)) if top else F.lit(0))
-    found = word_table(docs, len(top))
-    names = ["c", *(f"c{k}" for k in range(1, len(top) + 1))]
-    sums = found.agg(F.sum("n").alias("n"), *(x.alias(f"{c}_{k}") for c in names for k, x in enumerate((F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2))))).first()
-    counts = [(sums[f"{c}_0"] or 0, sums[f"{c}_1"], discount_of(sums[f"{c}_2"], sums[f"{c}_3"])) for c in names]
-    train_tokens = counts[0][0] + training_rows
-    scale = float(np.log10(train_tokens + counts[0][1] + bool(training_rows) + 1))
+    # the languages beyond the first ones, and texts without one, are a class, too
+    others = len(top) + 1
+    docs = docs.withColumn("class", F.coalesce(F.element_at(number, lang), F.lit(others)) if top else F.lit(others))
+    found = word_table(docs, others)
+    sums = found.agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("distinct")).first()
+    train_tokens = (sums["c"] or 0) + training_rows
+    scale = float(np.log10(train_tokens + sums["distinct"] + bool(training_rows) + 1))
     end = (training_rows + 1) / (train_tokens + 2)
-    prices = priced(found, fit(found, path, rounds), path, end, counts)
-    columns = [f"p{k}" for k in range(len(counts))]
+    prices = priced(found, fit(found, path, others, rounds), path, end)
+    columns = [f"p{k}" for k in range(others + 1)]
     often = sorted(tuple(r) for r in prices.where(F.col("n") * head >= (sums["n"] or 0)).select("h", "c", *columns).collect())
-    share = np.array([training_rows - sum(r["count"] for r in top), *(r["count"] for r in top)], float) + 1
-    sent = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64), np.array([r[2:] for r in often], float).reshape(len(often), len(columns)), np.log10(share / share.sum())))
+    # prior shares of the classes: a twentieth for that of all texts, the rest by their numbers of texts
+    own = np.array([*(r["count"] for r in top), training_rows - sum(r["count"] for r in top)], float) + 0.5
+    share = np.append(0.05, 0.95 * own / own.sum())
+    sent = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64), np.array([r[2:] for r in often], float).reshape(len(often), len(columns)), np.log10(share)))
     ends = (float(np.log10(training_rows + 1)), float(np.log10(end)))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,17 +280,78 @@ def brute_forward(word, pieces, weights):
     return total[-1]
 
 
+def segmentations(text, pieces):
+    """Every way to cut text into pieces and single bytes, one by one."""
+    if not text:
+        yield ()
+    for n in range(1, len(text) + 1):
+        for kind in (["byte"] if n == 1 else []) + (["piece"] if text[:n] in pieces else []):
+            for rest in segmentations(text[n:], pieces):
+                yield ((kind, text[:n]), *rest)
+
+
+def test_lattice_is_the_sum_over_all_segmentations():
+    pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
+    index = {p: k for k, p in enumerate(pieces.pieces)}
+    rng = np.random.default_rng(4)
+    weights = [lattice.Weights(rng.random(len(pieces.pieces) + 256) ** 4) for _ in range(2)]
+    for word in (b"the", b"inner", "für".encode(), b"?"):
+        x = np.frombuffer(b" " + word, np.uint8)[None]
+        into = np.zeros((2, len(pieces.pieces) + 256))
+        lattice.expected(x, np.array([[2.0, 0.0]]), pieces, weights, into)
+        got = lattice.forward(x, pieces, weights)[0]
+        for k, own in enumerate(weights):
+            price = lambda step, own=own: own.byte[step[1][0]] if step[0] == "byte" else own.piece[index[step[1]]]
+            paths = {path: math.exp(sum(map(price, path))) for path in segmentations(b" " + word, index)}
+            assert abs(got[k] - math.log(sum(paths.values()))) < 1e-9 and len(paths) > 1
+            if not k:
+                counts = np.zeros(len(into[0]))
+                for path, p in paths.items():
+                    for kind, part in path:
+                        counts[index[part] if kind == "piece" else len(pieces.pieces) + part[0]] += 2 * p / sum(paths.values())
+                assert np.allclose(counts, into[0]) and not into[1].any()
+
+
+def test_probabilities_of_words_sum_to_one_at_most():
+    pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
+    counts = np.full(len(pieces.pieces) + 256, 1e-9)
+    letters = [x for x in range(256) if x not in b" \t\n\v\f\r"]
+    counts[len(pieces.pieces) + np.array([*letters[:60], 0x20])] = 1.0  # mass on few short pieces, so that words of two letters are much of it
+    index = {p: k for k, p in enumerate(pieces.pieces)}
+    for p in (b" ", b"th", b"in", b" a", b" i"):
+        if p in index:
+            counts[index[p]] = 20.0
+    weights = [lattice.Weights(counts)]
+    one = np.array([[0x20, a] for a in letters], np.uint8)
+    two = np.array([[0x20, a, b] for a in letters for b in letters], np.uint8)
+    total = sum(np.exp(lattice.forward(x, pieces, weights)).sum() for x in (one, *np.array_split(two, 20)))
+    assert 0.2 < total < 1
+
+
+def test_long_words_are_one_lattice(monkeypatch):
+    pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
+    weights = [lattice.Weights.first(pieces)]
+    x = np.frombuffer(b" " + b"thereforeandinternational" * 9, np.uint8)[None]
+    results = []
+    for part in (512, 40):
+        monkeypatch.setattr(lattice, "PART", part)
+        into = np.zeros((1, len(pieces.pieces) + 256))
+        lattice.expected(x, np.array([[3.0]]), pieces, weights, into)
+        results.append((lattice.forward(x, pieces, weights), into))
+    assert np.allclose(results[0][0], results[1][0]) and np.allclose(results[0][1], results[1][1])
+
+
 def test_lattice_recursions():
     pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
     weights = lattice.Weights.first(pieces)
     found = [b"the", b"internationalization", "éèê".encode(), b"%", b"ab" * 700]
     for rows, x in lattice._by_size(pa.array(found, pa.binary())):
-        for k, p in zip(rows, lattice.forward(x, pieces, weights), strict=True):
+        for k, p in zip(rows, lattice.forward(x, pieces, [weights])[:, 0], strict=True):
             assert abs(p - brute_forward(found[k], pieces, weights)) < 1e-6 * abs(p)
-    into = np.zeros(len(pieces.pieces) + 256)
+    into = np.zeros((1, len(pieces.pieces) + 256))
     x = np.frombuffer(b" internationalization", np.uint8)[None]
-    lattice.expected(x, pieces, weights, into)
-    assert abs(sum(into[k] * len(p) for k, p in enumerate(pieces.pieces)) + into[-256:].sum() - x.size) < 1e-6  # every byte is covered once
+    lattice.expected(x, np.ones((1, 1)), pieces, [weights], into)
+    assert abs(sum(into[0, k] * len(p) for k, p in enumerate(pieces.pieces)) + into[0, -256:].sum() - x.size) < 1e-6  # every byte is covered once
 
 
 def test_lattice_scores(spark):
@@ -319,6 +380,32 @@ def test_lattice_scores(spark):
     assert unlearnt["n_known"] == 0 and unlearnt["train_tokens"] == 0 and unlearnt["base_score"] == 0
 
 
+def test_scores_are_the_mixture_of_lattices(spark):
+    """The score by a plain walk over words with the fitted weights."""
+    path = public_tokenizers.path(lattice.VOCABULARY)
+    pieces = lattice.vocabulary(path)
+    rows = [(k, f"the cat and dog {k % 3}", "en") for k in range(12)] + [(20 + k, "der hund und die katze", "de") for k in range(6)] + [(40, "le chat", "fr"), (41, "the hund", None), (42, "unseen zebra", "en")]
+    docs = documents(spark, rows).withColumn("held_out", F.col("doc_id") >= 41)
+    got = {r["doc_id"]: r["score"] for r in lattice.scores(docs, path, 5, 2, 2).collect()}
+    learnt = [r for r in rows if r[0] < 41]
+    classes = {"en": 1, "de": 2, "fr": 3}
+    words = sorted({w.encode() for _, t, _ in rows for w in t.split()})
+    times = {k: [sum(t.split().count(w.decode()) for _, t, lang in learnt if classes[lang] == k) for w in words] for k in (1, 2, 3)}
+    weights = [lattice.Weights.first(pieces)] * 4
+    for _ in range(2):
+        into = np.zeros((3, len(pieces.pieces) + 256))
+        for j, w in enumerate(words):
+            lattice.expected(np.frombuffer(b" " + w, np.uint8)[None], np.array([[times[k][j] for k in (1, 2, 3)]], float), pieces, weights[1:], into)
+        every = into.sum(0) + lattice.PRIOR
+        weights = [lattice.Weights(every), *(lattice.Weights(x + lattice.DRAWN * every / every.sum()) for x in into)]
+    end = (len(learnt) + 1) / (sum(len(t.split()) + 1 for _, t, _ in learnt) + 2)
+    share = np.array([12.5, 6.5, 1.5])
+    share = np.append(0.05, 0.95 * share / share.sum())
+    for d, t, _ in rows:
+        parts = [math.log(share[k]) + math.log(end) + sum(brute_forward(w.encode(), pieces, weights[k]) + math.log(1 - end) for w in t.split()) for k in range(4)]
+        assert abs(got[d] - math.log10(sum(math.exp(p - max(parts)) for p in parts)) - max(parts) / math.log(10)) < 1e-6
+
+
 def test_lattice_sums_all_classes_whatever_words_are_frequent(spark):
     rare = [f"selten{k}" for k in range(40)]
     rows = [(k, "usual words of the first class " * 20, "en") for k in range(30)] + [(100 + k, " ".join(rare), "de") for k in range(10)]
