@@ -2,8 +2,8 @@
 
 `build_index` stores postings of the training text: one row for each segment of documents (about SEGMENT_BYTES
 of text) with its terms, and for each term its sorted word positions. Segments are built where the
-documents are read, so nothing is shuffled and neither a long document nor a common word gathers anywhere. Only
-terms of the benchmark are stored, unless there are more of them than MAX_TERMS; then all are.
+documents are read, so nothing is shuffled and neither a long document nor a common word gathers anywhere. All terms
+are stored, so an index (`build_index` makes a table) serves any benchmark, by `find(..., index=...)`.
 
 `search` looks windows up in each segment. A window's terms are ordered by their counts over the whole index,
 rarest first: the rarest term's list, moved by its offset, gives candidate starts; each further term's list, moved
@@ -12,12 +12,12 @@ the shortest runs of at most the window's length plus slop words of one document
 as often as the window does: those that neither end can leave out. They are found by two pointers over the terms' merged lists.
 
 Windows are a query set that is gone through in blocks of at most BLOCK_BYTES of benchmark text, and that bound is what
-is sent to tasks, whatever the size of the benchmark; blocks read the same stored index.
+is sent to tasks, whatever the size of the benchmark; blocks read the same stored index, and each is collected once.
 
 Words are runs of letters, digits and non-ASCII bytes, after A-Z became a-z. A window is `window` neighbouring words of an item;
 an item of fewer words, but not none, is one window. Null texts have no words; null ids stay null (as an item id: the text
-"null"). Repeated document rows are each returned; items with equal texts each count; repeated item ids count once. Empty tables
-give no hits or no rows. Other columns are left out.
+"null"). Repeated document rows are each returned; items with equal texts (ties) each count; repeated item ids count once. A very long document
+is a segment of its own. Empty tables give no hits or no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import ALNUM_WORDS, U64, lowered, slices, table, word_hashes, words, written
 
 WINDOW = 10
-SEGMENT_BYTES, BLOCK_BYTES, MAX_TERMS = 2 << 20, 8 << 20, 4_000_000
+SEGMENT_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 #: Candidates that are looked at together.
 STEP = 1 << 20
 
@@ -51,43 +51,49 @@ def hashed_words(column: pa.Array, max_bytes: int):
         yield row, word_hashes(data, starts, ends), at
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
-    """The stored index of docs' doc_id and text. terms: the sorted hashes of the words to store, or None for all."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs' doc_id and text."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, count = sent.value, TaskContext.get().partitionId() << 40  # the number of the segment's first row
+        count = TaskContext.get().partitionId() << 40  # the number of the segment's first row
         for batch in batches:
             for row, h, at in hashed_words(batch.column("text"), SEGMENT_BYTES):
-                place = np.arange(len(h), dtype=np.int32)
-                if wanted is not None:
-                    place = place[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h] if len(wanted) else place[:0]
-                order = np.argsort(h[place], kind="stable")
-                place = place[order]
-                found, counts = np.unique(h[place], return_counts=True)
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = h[1:] != h[:-1]
+                first = np.flatnonzero(new)
                 ids = batch.column("doc_id").slice(row, len(at) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), found, counts.astype(np.int32), place))], schema=_INDEX_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), h[first], np.diff(np.append(first, len(h))).astype(np.int32), order.astype(np.int32)))], schema=_INDEX_ARROW)
                 count += len(ids)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(docs.mapInArrow(segments, _INDEX), "postings")
 
 
-def term_counts(index: DataFrame) -> DataFrame:
-    """Rows term, n of the whole index."""
+def term_counts(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
+    """How often each of the wanted terms (sorted hashes) occurs in the whole index."""
+    sent = index.sparkSession.sparkContext.broadcast(wanted)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        total = np.zeros(len(own), np.int64)
         for batch in batches:
             for terms, n in zip(batch.column("terms"), batch.column("counts"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_py(), np.int64)), pa.array(np.frombuffer(n.as_py(), np.int32).astype(np.int64))], names=["term", "n"])
+                terms, n = np.frombuffer(terms.as_buffer(), U64), np.frombuffer(n.as_buffer(), np.int32)
+                at = np.minimum(np.searchsorted(terms, own), max(0, len(terms) - 1))
+                hit = terms[at] == own if len(terms) else np.zeros(len(own), bool)
+                total[hit] += n[at[hit]]
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own[used].view(np.int64)), pa.array(total[used])], names=["term", "n"])
 
-    return index.select("terms", "counts").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r[0]: r[1] for r in index.select("terms", "counts").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
 
 
 class Windows:
-    """The windows of some items, ready to be sent: terms, and for each window its terms by rarity with their offsets."""
+    """The windows of some items, ready to be sent: terms, and for each window its terms with their offsets, by rarity once counts are known."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, total: dict[int, int] | None = None):
+    def __init__(self, items: list[tuple[str, str]], window: int):
         found: dict[bytes, set[str]] = {}
         for _, h, at in hashed_words(pa.array([t for _, t in items], pa.string()), 1 << 62):
             for k, (name, _) in enumerate(items):
@@ -97,15 +103,18 @@ class Windows:
         keys = sorted(found)
         self.items = [sorted(found[k]) for k in keys]
         self.length = np.array([len(k) // 8 for k in keys], np.int64)
-        self.terms = np.unique(np.frombuffer(b"".join(keys), U64)) if keys else np.zeros(0, U64)
+        self.terms, ids = np.unique(np.frombuffer(b"".join(keys), U64), return_inverse=True) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
         width = int(self.length.max(initial=1))
         self.order = np.full((len(keys), width), -1, np.int64)
-        self.offset = np.zeros((len(keys), width), np.int64)
-        rarity = np.array([(total or {}).get(t, 0) for t in self.terms.view(np.int64).tolist()], np.int64)
-        for k, key in enumerate(keys):
-            ids = np.searchsorted(self.terms, np.frombuffer(key, U64))
-            by = np.argsort(rarity[ids], kind="stable")
-            self.order[k, : len(ids)], self.offset[k, : len(ids)] = ids[by], by
+        self.order[np.arange(width) < self.length[:, None]] = ids
+        self.offset = np.zeros_like(self.order) + np.arange(width)
+
+    def by_rarity(self, total: dict[int, int]) -> Windows:
+        rarity = np.array([total.get(t, 0) for t in self.terms.view(np.int64).tolist()], np.int64)
+        key = np.where(self.order >= 0, rarity[self.order] if len(rarity) else 0, np.iinfo(np.int64).max)
+        by = np.argsort(key, 1, kind="stable")
+        self.order, self.offset = np.take_along_axis(self.order, by, 1), np.take_along_axis(self.offset, by, 1)
+        return self
 
 
 def _lists(windows: Windows, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray):
@@ -216,29 +225,15 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
     return index.mapInArrow(matches, "row long, doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>")
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """Matches of the items' windows in docs, one row a document row, as search gives them."""
-    spark = docs.sparkSession
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = max(1, math.ceil(size / BLOCK_BYTES))
-
-    def block(k: int) -> list[tuple[str, str]]:
-        return sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
-
-    terms: np.ndarray | None = np.zeros(0, U64)
-    for k in range(n):
-        if terms is not None:
-            terms = np.union1d(terms, Windows(block(k), window).terms)
-            terms = terms if len(terms) <= MAX_TERMS else None
-    index = build_index(docs, terms)
-    total = term_counts(index)
+def find(docs: DataFrame | None, items: DataFrame, window: int = WINDOW, slop: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """Matches of the items' windows in docs (or in an index of them), one row a document row, as search gives them."""
+    items = written(items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "items")
+    index = build_index(docs) if index is None else index
+    n = max(1, math.ceil((items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) / BLOCK_BYTES))
     found = None
     for k in range(n):
-        rows = block(k)
-        wanted = spark.createDataFrame([(int(t),) for t in Windows(rows, window).terms.view(np.int64)], "term long") if n > 1 else None
-        counts = total.join(F.broadcast(wanted), "term") if n > 1 else total
-        part = search(index, Windows(rows, window, {r[0]: r[1] for r in counts.collect()} if terms is not None or n > 1 else None), slop)
+        windows = Windows(sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), window)
+        part = search(index, windows.by_rarity(term_counts(index, windows.terms)), slop)
         found = part if found is None else found.unionByName(part)
     if n > 1:
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))

@@ -140,7 +140,6 @@ def test_decontamination(spark, monkeypatch, block):
     items = [(1, " ".join((rows[9][1] or "x").split()[:14]).upper()), (2, "one"), (3, None), (4, ""), (5, "never anywhere " * 6), (10, rows[20][1]), (11, rows[20][1]), (None, "one")]
     if block:
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
-        monkeypatch.setattr(decontamination, "MAX_TERMS", 5)
     table = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contamination(frame(spark, rows), table).collect()
     want = brute_hits(rows, items, 10)
@@ -151,6 +150,17 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontamination.contamination(frame(spark, rows).limit(0), table).count() == 0
 
 
+def test_an_index_serves_any_benchmark(spark):
+    rows = collection(4, 40)
+    index = decontamination.build_index(frame(spark, rows))
+    total = sum(len(ALNUM(t)) for _, t in rows)
+    assert sum(int(np.frombuffer(r["counts"], np.int32).sum()) for r in index.collect()) == total  # postings of every word
+    for items in ([(1, rows[9][1])], [(2, "one"), (3, rows[11][1])]):
+        found = decontamination.find(None, spark.createDataFrame(items, "item_id long, text string"), index=index)
+        want = brute_hits(rows, items, 10)
+        assert sorted((r["doc_id"] or -1, len(r["items"])) for r in found.collect()) == sorted((d or -1, want[d][2]) for d, _ in rows)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a quick and brown little fox"), (2, "fox brown quick"), (3, "quick brown " + "x " * 9 + "fox")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
