@@ -278,5 +278,18 @@ def with_sets(rows: DataFrame, n: int) -> DataFrame:
     return out
 
 
+#: Exact similarities of all pairs that share an n-gram, and components by recursion: right for any table, for small ones only in time.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+  grams AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+  sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  pairs AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8),
+  links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  reached(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+  classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM classes LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) USING (doc_id)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_near_duplicates": near_duplicates.query,
     "op10_media": media.query,
 }
-ORACLES = {"op4_sharding": sharding.ORACLE}
+ORACLES = {"op3_substring_dedup": substring_dedup.ORACLE, "op4_sharding": sharding.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_near_duplicates": near_duplicates.ORACLE}

@@ -430,5 +430,15 @@ def rewritten(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot:
     return streamed(rows, cut, docs.schema, window, phrase, hot, shard_bytes)
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+  later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+  covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM later),
+  every AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM d),
+  kept AS (SELECT e.doc_id, count(c.k) AS n_removed, string_agg(x, ' ' ORDER BY e.k) FILTER (c.k IS NULL) AS left_over FROM every e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.k = c.k GROUP BY e.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
