@@ -43,7 +43,7 @@ from .shared import SPACE_WORDS, U64, gram_hashes, mixed, signed, slices, table,
 WINDOW, PHRASE = 20, 4
 HOT = 2000
 #: Text of a shard of documents; words of runs whose windows are confirmed together.
-SHARD_BYTES, CONFIRM_WORDS = 8 << 20, 200_000
+SHARD_BYTES, CONFIRM_WORDS, MOST_TASKS = 8 << 20, 200_000, 100_000
 NO_ID = -(1 << 63)
 WHITE = " \t\n\v\f\r"
 #: Kinds of a shard's rows, in the order in which they come.
@@ -138,7 +138,9 @@ def by_shard(parts: dict[int, DataFrame], shards: int, begin: Callable, schema:
         if taker is not None:
             yield from taker.end()
 
-    return rows.repartition(F.floor(F.col("__shard") / 4)).sortWithinPartitions("__shard").mapInArrow(run, schema)
+    # a few shards a task, so that tasks don't grow with the input; so many tasks at most that a driver can plan them
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards // 4, MOST_TASKS))
+    return rows.repartition(tasks, F.floor(F.col("__shard") / 4)).sortWithinPartitions("__shard").mapInArrow(run, schema)
 
 
 _UNIT = pa.schema([("h", pa.int64()), ("mark", pa.int64()), ("unit", pa.binary()), ("n", pa.int64()), ("id", pa.int64()), ("dk", pa.int64()), ("lo", pa.int32()), ("shard", pa.int64())])
@@ -322,7 +324,7 @@ class Automaton:
 
 
 class _Streamed:
-    """Compiles a shard's passages and streams its documents through them; emit(batch, kept words of each row or None, words) makes batches of results."""
+    """Compiles a shard's passages and streams its documents through them; emit(batch, texts, their words, which of these stay or None) makes batches of results."""
 
     def __init__(self, window: int, emit: Callable):
         self.window, self.emit = window, emit
@@ -341,11 +343,9 @@ class _Streamed:
             return
         if self.automaton is None:
             self.automaton, self.passages = Automaton(self.passages), {}
-        texts, masks = [], []
-        for doc, dk, text in zip(ids, keys, batch.column("text"), strict=True):
-            texts.append(unpacked(text, self.by))
-            masks.append(self._kept(doc, dk, texts[-1].split()))
-        yield self.emit(batch, texts, masks)
+        texts = [unpacked(text, self.by) for text in batch.column("text")]
+        words = [t.split() for t in texts]
+        yield self.emit(batch, texts, words, [self._kept(*x) for x in zip(ids, keys, words, strict=True)])
 
     def _kept(self, doc: int, dk: int, w: list[bytes]) -> np.ndarray | None:
         """Which words stay; None: all."""
@@ -395,10 +395,9 @@ def kept_text(data: bytes, keep: np.ndarray | None) -> str:
 def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """For each document: words, words removed, and the digest of what is kept."""
 
-    def digests(batch: pa.RecordBatch, texts: list[bytes], masks: list) -> pa.RecordBatch:
+    def digests(batch: pa.RecordBatch, texts: list[bytes], words: list[list[bytes]], masks: list) -> pa.RecordBatch:
         total, removed, digest = [], [], []
-        for text, mask in zip(texts, masks, strict=True):
-            w = text.split()
+        for w, mask in zip(words, masks, strict=True):
             kept = w if mask is None else [x for x, k in zip(w, mask.tolist(), strict=True) if k]
             total.append(len(w))
             removed.append(len(w) - len(kept))
@@ -416,7 +415,7 @@ def rewritten(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot:
     ident, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("others"), F.col("text").isNull().alias("none"), ident.alias("id"), F.xxhash64(ident, text).alias("dk"), text.alias("text"))
 
-    def cut(batch: pa.RecordBatch, texts: list[bytes], masks: list) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, texts: list[bytes], words: list[list[bytes]], masks: list) -> pa.RecordBatch:
         none = batch.column("none").to_pylist()
         left = [None if null else kept_text(t, m) for t, m, null in zip(texts, masks, none, strict=True)]
         keep = [m is None or not len(m) or bool(t.strip(WHITE)) for t, m in zip(left, masks, strict=True)]
