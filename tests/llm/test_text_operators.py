@@ -239,6 +239,36 @@ def test_language_gradients():
             assert abs((up - down) / 2e-3 - grad[at]) < 2e-3
 
 
+def test_language_probabilities_by_a_plain_recurrence():
+    rng = np.random.default_rng(5)
+    h, n = 4, 3
+    value = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+    model = language_id.Model(["a", "b", "c"], language_id.Layer(value(256, 3 * h), value(h, 3 * h)), language_id.Layer(value(256, 3 * h), value(h, 3 * h)), value(2 * h, n), value(n))
+    texts = ["", "x", "Some Text, ünd mehr", "long " * 30, None]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def run(layer, data):
+        state, out = np.zeros(h), []
+        for byte in data:
+            a, r = layer.table[byte].astype(float), state @ layer.recurrent
+            update, reset = sigmoid(a[:h] + r[:h]), sigmoid(a[h : 2 * h] + r[h : 2 * h])
+            state = update * state + (1 - update) * np.tanh(a[2 * h :] + reset * r[2 * h :])
+            out.append(state)
+        return out
+
+    def pooled(data):
+        z = [np.concatenate(pair) @ model.out + model.bias for pair in zip(run(model.ahead, data), run(model.back, data[::-1])[::-1], strict=True)]
+        p = [np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in z]
+        return np.mean(p, 0) if p else np.zeros(n)
+
+    data = [bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()) for t in texts]
+    whole = language_id.scores(model, pa.array(texts), 1 << 10, 0)
+    assert np.allclose(whole, [pooled(d) for d in data], atol=1e-5)
+    for columns in (1, 1000):  # with as much context as there is text, windows change nothing
+        assert np.allclose(language_id.scores(model, pa.array(texts), 16, 200, columns), whole, atol=1e-5)
+    assert np.abs(language_id.scores(model, pa.array(texts), 16, 16) - whole).max() < np.abs(language_id.scores(model, pa.array(texts), 16, 0) - whole).max()
+
+
 def test_language_id(spark):
     rows = [(k, " ".join(("the water and other", "das wasser und andere")[k % 2] for _ in range(1 + k % 7)), ("en", "de")[k % 2]) for k in range(200)]
     docs = documents(spark, [*rows, (None, None, None), (900, "", "en"), (901, "123 !!", "en"), (902, "das wasser " * 30_000, None), (903, "the water", None)])
