@@ -6,8 +6,9 @@ weight), pairs of neighbours, and pairs with one or two words left out between (
 
 Training: follow-the-regularised-leader, proximal, with a learning rate for each coordinate and L1, several passes over
 a sample in the order of a hash. The sample is bounded by a parameter: at most about `per_class` rows of each label, picked by hash of the id; the
-labels' ids are broadcast to find their texts, and that is bounded by the same parameter. Rates of sampling are put back into the
-intercept. The update is sequential by nature, so the bounded sample is one task's work.
+labels' ids are broadcast to find their texts, and that is bounded by the same parameter. Texts become feature numbers where they are read, so none travels; a very
+long text has at most 2^bits features. Rates of sampling are put back into the intercept. The update is sequential by nature, so the bounded sample's numbers (flat
+arrays) are one task's work, ordered by hash, label and length (ties are repeated rows), and the weights come back as one value.
 
 Scoring: the non-zero weights (at most 2^bits) go to every task, which scores its rows without a shuffle.
 
@@ -98,31 +99,37 @@ def fit(docs: DataFrame, labels: DataFrame, own: Settings | None = None) -> tupl
     own = own or Settings()
     rows, shift = sample(docs, labels, own)
 
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, toxic = batch.column("key").to_pylist(), batch.column("toxic").to_pylist()
             for row, found, owner, n in features(batch.column("text"), own):
                 both = np.unique((owner << own.bits) | found)
                 cuts = np.searchsorted(both, np.arange(n + 1) << own.bits)
-                both = (both & ((1 << own.bits) - 1)).astype(np.int32)
-                seen += [(keys[row + k], toxic[row + k], np.append(both[cuts[k] : cuts[k + 1]], np.int32(1 << own.bits))) for k in range(n)]
-        if not seen:
+                flat = (both & ((1 << own.bits) - 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, n), batch.column("toxic").slice(row, n), pa.array([flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["key", "toxic", "places"])
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, toxic, parts = [], [], []
+        for batch in batches:
+            keys.append(np.asarray(batch.column("key")))
+            toxic.append(np.asarray(batch.column("toxic")))
+            parts += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("places")]
+        if not parts:
             return
-        seen.sort(key=lambda x: (x[0], x[1], len(x[2])))
+        keys, toxic, size = np.concatenate(keys), np.concatenate(toxic), np.array(list(map(len, parts)))
         model = FTRL(own)
+        order = np.lexsort((size, toxic, keys))
         for _ in range(own.passes):
-            for _, label, at in seen:
-                model.learn(at, label)
+            for k in order.tolist():
+                model.learn(np.append(parts[k], np.int32(1 << own.bits)), float(toxic[k]))
         w = model.weights()
         kept = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(w[kept])], names=["place", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([kept.astype(np.int32).tobytes()], pa.binary()), pa.array([w[kept].tobytes()], pa.binary())], names=["places", "weights"])
 
-    found = sorted((r[0], r[1]) for r in rows.repartition(1).mapInArrow(trained, "place long, weight double").collect())
-    if not found:
+    found = rows.mapInArrow(hashed, "key long, toxic int, places binary").repartition(1).mapInArrow(trained, "places binary, weights binary").first()
+    if found is None:
         return None
-    places, weights = np.array([p for p, _ in found]), np.array([w for _, w in found])
-    if places[-1] != 1 << own.bits:
+    places, weights = np.frombuffer(found["places"], np.int32).astype(np.int64), np.frombuffer(found["weights"], np.float64).copy()
+    if not len(places) or places[-1] != 1 << own.bits:
         places, weights = np.append(places, 1 << own.bits), np.append(weights, 0.0)
     weights[-1] -= shift
     return places, weights

@@ -298,6 +298,47 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), None, own).count() == 0
 
 
+def test_ftrl_by_a_plain_loop(spark):
+    """Weights by the published update, one coordinate after another, over features made of words as text."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choice(("sun", "Rain", "hill", "fool", "idiot", "tree")) for _ in range(rng.randint(0, 9)))) for k in range(60)]
+    labels = [(k, int("fool" in t or "idiot" in t)) for k, t in rows if k % 3]
+    own = toxicity.Settings(bits=18, l1=0.3, l2=0.2, alpha=0.7, beta=0.9, passes=2, per_class=1000)
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    places, weights = toxicity.fit(docs, marked, own)
+    order = [(r["key"], r["toxic"], r["text"]) for r in toxicity.sample(docs, marked, own)[0].collect()]
+    z, n = {}, {}
+    sets = {}
+    for _, found, owner, count in toxicity.features(pa.array([t for *_, t in order]), own):
+        sets |= {i: set(found[owner == i].tolist()) | {1 << own.bits} for i in range(count)}
+    for i, (*_, text) in enumerate(order):  # as many features as there are different words, beginnings, pairs and skip-grams
+        w = text.lower().split()
+        kinds = {("w", x) for x in w} | {("w", x[:4]) for x in w} | {(0, *p) for p in zip(w, w[1:], strict=False)} | {(s, a, b) for s in (1, 2) for a, b in zip(w, w[s + 1 :], strict=False)}
+        assert len(sets[i]) == len(kinds) + 1
+    value = lambda k: 0.0 if abs(z.get(k, 0.0)) <= own.l1 else -(z[k] - math.copysign(own.l1, z[k])) / ((own.beta + math.sqrt(n[k])) / own.alpha + own.l2)
+    for _ in range(own.passes):
+        for i in sorted(range(len(order)), key=lambda i: (order[i][0], order[i][1], len(sets[i]))):
+            w = {k: value(k) for k in sets[i]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - order[i][1]
+            for k in w:
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / own.alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    want = {k: value(k) for k in z if value(k) or k == 1 << own.bits}
+    assert dict(zip(places.tolist(), weights.tolist(), strict=True)).keys() == want.keys()
+    assert np.allclose(weights, [want[k] for k in places.tolist()])
+
+
+def test_toxicity_with_labels_of_one_kind(spark):
+    docs = documents(spark, [(k, f"some words {k}", "en") for k in range(30)])
+    own = toxicity.Settings(bits=12)
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(k, kind) for k in range(20)], "doc_id long, toxic int")
+        scores = [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels, own), own).collect()]
+        assert len(scores) == 30 and all(0 <= s <= 1 and (s >= 0.5) == bool(kind) for s in scores)
+
+
 def brute_forward(word, pieces, weights):
     index = {p: k for k, p in enumerate(pieces.pieces)}
     text = b" " + word
