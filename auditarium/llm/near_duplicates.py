@@ -4,10 +4,10 @@ Documents are sets of word n-grams (five words, as 64-bit hashes; a text of fewe
 the Jaccard similarity of their sets reaches the threshold. Result: a row for each document with its class (the least id that links lead
 to) and its number of links.
 
-1. Each document's set becomes MinHash values, in bands of rows; `bands_for` takes the most selective shape that finds a pair at the
-   threshold with the target recall. Documents with equal sets are one representative with a weight from here on, so copies are never paired.
+1. Each document's set becomes MinHash values, in bands of rows; `shape_for` takes the most selective shape that finds a pair at the
+   threshold with the target recall (pairs above it more surely). Documents with equal sets are one representative with a weight from here on, so copies are never paired.
 2. Representatives are shuffled on band hashes. Buckets larger than BLOCK are met block by block, so no task holds a bucket of any size. Pairs
-   whose values agree well below what the threshold needs are passed over; of the others, a spanning forest goes on, never all pairs.
+   of which fewer values agree than a pair at the threshold has, but for a chance that is part of the target recall, are passed over; of the others, a spanning forest goes on, never all pairs.
 3. Connected candidates are verified together on full n-gram sets, again by blocks: every pair's intersection is counted exactly, the number
    of links is summed for each representative, and a spanning forest of verified links gives the classes.
 
@@ -15,11 +15,13 @@ No bucket, candidate or partner is capped. Counting links of a group without equ
 blocks that many tasks share; only the forest and the sums leave a task.
 
 Nulls: a null text has no words; a document without words has no links and is its own class; a row with a null doc_id gets a null class and no links.
-Repeated rows of one id and text give one row; one id with several texts gives a row for each. An empty table gives no rows. Other columns are left out.
+Repeated rows of one id and text give one row; one id with several texts gives a row for each; of equal ids (ties) it doesn't matter which names a class. A very long
+text is one set, held by one task. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,8 +33,6 @@ from .components import components
 from .shared import ALNUM_WORDS, U64, gram_hashes, lowered, mixed, signed, slices, table, word_hashes, words, written
 
 GRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 64
-#: A pair goes on if so much less of its values agree than the threshold: four standard deviations of 64 values.
-MARGIN = 0.2
 BLOCK, VERIFY_BLOCK = 1024, 512
 
 
@@ -44,6 +44,16 @@ def bands_for(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
     return hashes, 1
 
 
+def shape_for(threshold: float, recall: float, hashes: int) -> tuple[int, int, int]:
+    """Bands, rows, and how many values must agree, so that a pair at the threshold goes on with the target recall: half of what may be lost is the
+    bands', half the binomial chance of fewer agreeing values."""
+    lost = (1 - recall) / 2
+    bands, rows = bands_for(threshold, 1 - lost, hashes)
+    chance = [math.comb(hashes, k) * threshold**k * (1 - threshold) ** (hashes - k) for k in range(hashes)]
+    least = max(k for k in range(hashes) if sum(chance[:k]) <= lost)
+    return bands, rows, least
+
+
 def gram_sets(column: pa.Array, n: int, max_bytes: int = 1 << 20):
     """(first row, n-gram hashes, sorted and distinct in each row, where each row's begin) of runs of rows."""
     for row, data, offsets in slices(column, max_bytes):
@@ -227,7 +237,7 @@ def _verified(unit: dict[str, list], threshold: float) -> Iterator[tuple]:
 
 def join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """doc_id, class_id, n_links of docs' doc_id and text."""
-    bands, rows = bands_for(threshold, recall, hashes)
+    bands, rows, least = shape_for(threshold, recall, hashes)
     found = signatures(docs, n, hashes)
     whole = found.where("doc_id is not null")
     # copies are counted before values travel
@@ -238,7 +248,6 @@ def join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: f
     placed = values.select("rep", F.explode(F.array(*(band(k) for k in range(bands)))).alias("bucket"))
     full = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     candidates = placed.join(full, "bucket").join(values.select("rep", "mins"), "rep")
-    least = int(np.floor((threshold - MARGIN) * hashes))
     likely = by_unit(in_blocks(candidates, "n", "rep", BLOCK), ["bucket", "i", "j"], "a long, b long", lambda unit: _likely(unit, least))
     groups = components(likely)
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))

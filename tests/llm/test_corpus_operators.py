@@ -252,6 +252,21 @@ def test_bands():
     assert 1 - (1 - 0.8 ** (rows + 1)) ** (64 // (rows + 1)) < 0.9995
 
 
+@pytest.mark.parametrize(("threshold", "recall", "hashes"), [(0.8, 0.9995, 64), (0.5, 0.99, 128), (0.9, 0.999, 32)])
+def test_shapes_reach_the_recall(threshold, recall, hashes):
+    bands, rows, least = near_duplicates.shape_for(threshold, recall, hashes)
+    agree = np.random.default_rng(1).random((200_000, hashes)) < threshold
+    found = agree[:, : bands * rows].reshape(len(agree), bands, rows).all(2).any(1) & (agree.sum(1) >= least)
+    assert found.mean() > recall - 3 * (recall * (1 - recall) / len(agree)) ** 0.5 - 1e-4
+
+
+def test_one_id_with_several_texts_has_a_row_for_each(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b + " end"), (1, a)]
+    got = sorted(map(tuple, near_duplicates.join(frame(spark, rows)).collect()))
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(100, 160)] + [(0, k) for k in range(1, 50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
