@@ -2,15 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; stages are written as Parquet between.
 
-- language: documents without a letter go, and those whose language is less likely than LEAST_SCORE (means over all positions).
-  Without any labelled language to learn from, all stay.
-- near_duplicates: of each class of documents linked by a Jaccard similarity of 0.8 or more of their word five-grams, the least id stays;
-  repeated rows become one.
+- language: documents without a letter go, and those whose language is little more likely than any other (the mean probability over all positions is
+  below LEAST times an even share). Without any labelled language to learn from, all stay.
+- near_duplicates: of each class of documents linked by a Jaccard similarity of 0.8 or more of their word five-grams, the one with the least id stays
+  (null ids come last; of one id's several texts that with the least hash); repeated rows (one id and text) become one.
 - repeated_passages: words covered by a window of 20 words that occurs earlier go out of the text; documents of which nothing is left go.
 - benchmark: documents with a window of 10 words of a benchmark item go.
 - packing: what is left becomes sequences of 2048 ids.
 
-Nulls: a document with a null id is kept by the second stage (it has no class). Documents with null texts have no letter and go first.
+All stages but the last return the columns of docs as they came (but for the texts, and n_chars, of repeated_passages), whatever their names: rows travel as one
+struct beside what a stage computes. Nulls: documents with null texts have no letter and go first; null ids are ids like others. Very long texts are worked on whole, by one task each. Empty tables give
+empty tables, of pieces at the end.
 """
 
 from __future__ import annotations
@@ -21,22 +23,30 @@ from pyspark.sql import functions as F
 from auditarium.llm import decontamination, language_id, near_duplicates, packing, substring_dedup
 from auditarium.llm.shared import table, written
 
-LEAST_SCORE = 0.35
+LEAST = 1.4
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), text, and key: a hash of id and text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("key"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.select("text", "lang"))
     if model is None:
         return docs
-    return language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return language_id.predict(keyed(docs), model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST / max(2, len(model.languages)))).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    heads = near_duplicates.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    nameless = docs.where("doc_id is null")
-    return docs.join(heads.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
+    rows = keyed(docs)
+    classes = near_duplicates.join(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "class_id")
+    names = rows.select("key", F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("id"), "key").alias("name"))
+    heads = classes.join(names, "key").groupBy("class_id").agg(F.min("name").alias("name")).select(F.col("name.key").alias("key")).distinct()
+    kept = rows.join(heads.hint("shuffle_hash"), "key", "left_semi")
+    if rows.groupBy("key").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["key"])
+    return kept.select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +54,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text")
-    found = decontamination.find(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.size("begins") > 0).select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(hit, "__key", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    found = decontamination.find(rows.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.where(F.size("begins") > 0).select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
