@@ -410,3 +410,42 @@ def test_pipeline(spark):
     packed = spark.read.parquet(f"{folder}/packing").collect()
     check_packed([(d, t) for d, t in after.items() if d != 8], packed, 2048)
     assert len(corpus_pipeline.run(spark, folder).collect()) == len(packed)
+
+
+def staged(spark, docs, items, folder, names=None):
+    """What each stage keeps, by name."""
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        if names is None or name in names:
+            stage(spark, docs, folder).write.parquet(f"{folder}/{name}")
+            docs = out[name] = spark.read.parquet(f"{folder}/{name}")
+    return out
+
+
+def test_pipeline_keeps_columns_whatever_their_names(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(("the", "of", "and", "water", "stone", "river")) + str(rng.randint(0, 999)) for _ in range(60))
+    rows = [(k, text(), "en", 123.0, "mine", k, "r", f"k{k}") for k in range(40)]
+    schema = "doc_id long, text string, lang string, score double, lang_pred string, __key long, row string, key string"
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    kept = staged(spark, docs, [(1, "none of these words at all, not one of them here")], str(tmp_path), {"language", "near_duplicates", "repeated_passages", "benchmark"})
+    for df in kept.values():
+        assert df.columns == docs.columns and sorted(map(tuple, df.collect())) == sorted(rows)
+
+
+def test_pipeline_with_one_id_of_two_texts_and_null_ids(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in ("river", "stone", "water"))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, c), (4, c + " end"), (1, a), (None, a), (None, None)]
+    docs = spark.createDataFrame([(d, t, None) for d, t in rows], "doc_id long, text string, lang string")
+    kept = staged(spark, docs, [], str(tmp_path), {"language", "near_duplicates"})
+    assert kept["language"].count() == len(rows)  # nothing to learn a language from
+    got = Counter((r["doc_id"], r["text"]) for r in kept["near_duplicates"].collect())
+    assert got == Counter([(1, a), (1, b), (4, c + " end"), (None, None)])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = staged(spark, docs, [(1, "an item")], str(tmp_path))
+    assert {n: df.count() for n, df in kept.items()} == dict.fromkeys(kept, 0) and set(kept) == {n for n, _ in corpus_pipeline.STAGES}
+    assert kept["packing"].columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
