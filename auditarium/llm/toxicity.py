@@ -84,6 +84,16 @@ class FTRL:
         self.n[at] = n + g * g
 
 
+def packed(places: np.ndarray, bits: int) -> bytes:
+    """Sorted places in two bytes each: how many have each high part, then their low 16 bits."""
+    return np.bincount(places >> 16, minlength=1 << max(0, bits - 16)).astype(np.uint32).tobytes() + (places & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def unpacked(data: bytes, bits: int) -> np.ndarray:
+    high = 1 << max(0, bits - 16)
+    return np.repeat(np.arange(high) << 16, np.frombuffer(data, np.uint32, high)) | np.frombuffer(data, np.uint16, offset=4 * high)
+
+
 def sample(docs: DataFrame, labels: DataFrame, own: Settings) -> tuple[DataFrame, float]:
     """Rows text, toxic, key for training, and what the intercept needs for having sampled."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -105,14 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, own: Settings | None = None) -> tupl
                 both = np.unique((owner << own.bits) | found)
                 cuts = np.searchsorted(both, np.arange(n + 1) << own.bits)
                 flat = (both & ((1 << own.bits) - 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, n), batch.column("toxic").slice(row, n), pa.array([flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["key", "toxic", "places"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, n), batch.column("toxic").slice(row, n), pa.array([packed(flat[a:b], own.bits) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["key", "toxic", "places"])
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, toxic, parts = [], [], []
         for batch in batches:
             keys.append(np.asarray(batch.column("key")))
             toxic.append(np.asarray(batch.column("toxic")))
-            parts += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("places")]
+            parts += batch.column("places").to_pylist()
         if not parts:
             return
         keys, toxic, size = np.concatenate(keys), np.concatenate(toxic), np.array(list(map(len, parts)))
@@ -120,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, own: Settings | None = None) -> tupl
         order = np.lexsort((size, toxic, keys))
         for _ in range(own.passes):
             for k in order.tolist():
-                model.learn(np.append(parts[k], np.int32(1 << own.bits)), float(toxic[k]))
+                model.learn(np.append(unpacked(parts[k], own.bits), 1 << own.bits), float(toxic[k]))
         w = model.weights()
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([kept.astype(np.int32).tobytes()], pa.binary()), pa.array([w[kept].tobytes()], pa.binary())], names=["places", "weights"])
