@@ -1,4 +1,4 @@
-"""Commands over audit logs: verify, replay, export, stats, compact, recover, monitor, torture, version.
+"""Commands over audit logs: verify, replay, export, stats, compact, vacuum, recover, monitor, version.
 
     python -m auditarium.cli stats --wal DIR --format json
 
@@ -8,6 +8,7 @@ A log is a folder of segments (or one file). Times are RFC 3339, now, "24h ago",
 from __future__ import annotations
 
 import argparse
+import csv
 import json
 import sys
 import time
@@ -15,10 +16,10 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditarium.functions.model import LEVEL_CODES, RECORD_OVERHEAD, CompactionPolicy
+from auditarium.functions.model import LEVEL_CODES, CompactionPolicy
 from auditarium.functions.timeexpr import parse_range
 from auditarium.operators import maintain, recover, replay, stats
-from auditarium.sources import export, wal
+from auditarium.sources import catalog, export, wal
 
 VERSION = "0.1.0"
 PAYLOAD = "Timestamp string, Level int, MessageTemplate string, Properties map<string,string>, Exception string"
@@ -41,11 +42,15 @@ def _emit(ev: DataFrame, fmt: str, output: str | None) -> None:
     if output:
         export.export(ev, output, fmt)
         return
-    table = export.lines(ev) if fmt == "text" else export.table(ev)
+    table = export.lines(ev) if fmt == "text" else export.replay_table(ev) if fmt == "csv" else export.table(ev)
+    write = csv.writer(sys.stdout, lineterminator="\n").writerow
     if fmt == "csv":
-        print(",".join(table.columns))
+        write(table.columns)
     for row in table.toLocalIterator():
-        print(row[0] if fmt == "text" else ",".join(json.dumps(x) for x in row) if fmt == "csv" else json.dumps(row.asDict()))
+        if fmt == "csv":
+            write(row)
+        else:
+            print(row[0] if fmt == "text" else json.dumps(row.asDict()))
 
 
 def verify(spark: SparkSession, a) -> int:
@@ -60,14 +65,16 @@ def verify(spark: SparkSession, a) -> int:
 def do_replay(spark: SparkSession, a) -> int:
     ev = decode(wal.read_log(spark, a.wal))
     if a.filter:
-        ev = ev.where(a.filter)
+        ev = ev.where(replay.condition(a.filter))
     _emit(replay.replay(ev, *parse_range(a.start, a.end)).orderBy("sequence"), a.format, a.output)
     return 0
 
 
 def do_stats(spark: SparkSession, a) -> int:
     ev = decode(wal.read_log(spark, a.wal))
-    row = stats.log_stats(ev, replay.segments(ev)).first().asDict()
+    rec = wal.read_log(spark, a.wal)
+    files = catalog.with_records(catalog.discover(spark, a.wal), rec)
+    row = {"path": a.wal, "compression": "none"} | stats.log_stats(ev, files.withColumn("damaged", F.coalesce("damaged", F.lit(False)))).first().asDict()
     print(json.dumps(row, default=str) if a.format == "json" else "\n".join(f"{k:>14}  {v}" for k, v in row.items()))
     if a.verbose:
         replay.segments(ev).orderBy("start_seq").show(1000, False)
@@ -83,17 +90,33 @@ def do_compact(spark: SparkSession, a) -> int:
         return 0
     if not a.output:
         raise SystemExit("compact writes a new log: name it by --output")
-    rows = maintain.compacted(ev)
-    if not a.force:
+    if a.start is not None or a.end is not None:
+        rows = maintain.compact_range(ev, replay.segments(ev), a.start or 0, a.end if a.end is not None else 2**63 - 1)
+    elif a.force:
+        rows = maintain.compacted(ev)
+    else:
         low = ratios.where(F.col("ratio") < policy.ratio).select("segment")
         rows = maintain.compacted(ev.join(low, "segment", "left_semi")).unionByName(ev.join(low, "segment", "left_anti"))
     wal.write_log(rows, a.output)
     return 0
 
 
+def do_vacuum(spark: SparkSession, a) -> int:
+    ev = decode(wal.read_log(spark, a.wal))
+    wal.write_log(maintain.vacuumed(ev, replay.segments(ev).withColumn("sealed", F.lit(True)), a.threshold), a.output)
+    return 0
+
+
 def do_recover(spark: SparkSession, a) -> int:
     rec = recover.recover(spark, a.wal, a.max_record_size)
-    print(json.dumps(recover.report(rec).first().asDict()))
+    report = recover.report(rec).first().asDict()
+    if a.forensic:
+        report["methods"] = {r["method"]: r["pieces"] for r in recover.forensic_report(recover.forensic(spark, a.wal, a.shadow, a.max_record_size)).collect()}
+    if a.verify_checksum:
+        report["broken_links"] = {r["kind"]: r["count"] for r in recover.broken_links(rec).groupBy("kind").count().collect()}
+    print(json.dumps(report))
+    if report["corrupted"] and not a.skip_corrupted:
+        return 1
     if a.output:
         wal.write_log(recover.repaired(rec), a.output)
     return 0
@@ -113,38 +136,13 @@ def do_monitor(spark: SparkSession, a) -> int:
     return 0
 
 
-def do_torture(spark: SparkSession, a) -> int:
-    """Logs with random damage: what is read must be what was written."""
-    import random
-
-    from auditarium.sources import records
-
-    bad = 0
-    for n in range(a.iterations):
-        rng = random.Random(n)
-        whole = [records.encode(k + 1, k, b"%d" % k * rng.randint(0, 30)) for k in range(50)]
-        data = bytearray(b"".join(whole))
-        if a.scenario == "kill":
-            del data[rng.randint(0, len(data)) :]
-        else:
-            for _ in range(rng.randint(1, 5)):
-                data[rng.randrange(len(data))] ^= 1 << rng.randrange(8)
-        got = [x for x in records.split(bytes(data)) if isinstance(x, records.Record)]
-        ok = all(bytes(data[x.offset : x.offset + x.size]) in whole for x in got)
-        bad += not ok
-        if not ok and a.stop_on_failure:
-            break
-    print(json.dumps({"scenario": a.scenario, "iterations": n + 1, "failed": bad, "overhead": RECORD_OVERHEAD}))
-    return 1 if bad else 0
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="auditarium")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name, run, *options):
         c = sub.add_parser(name)
-        if name not in ("version", "torture"):
+        if name != "version":
             c.add_argument("--wal", required=True)
         for names, kw in options:
             c.add_argument(*names.split(), **kw)
@@ -155,10 +153,10 @@ def parser() -> argparse.ArgumentParser:
     command("replay", do_replay, *times, ("--format", {"choices": ["text", "json", "csv"], "default": "text"}), ("--output", {}), ("--filter", {}))
     command("export", do_replay, *times, ("--format", {"choices": list(export.FORMATS), "default": "jsonl"}), ("--output", {"required": True}), ("--filter", {}))
     command("stats", do_stats, ("--format", {"choices": ["table", "json"], "default": "table"}), ("--verbose", {"action": "store_true"}))
-    command("compact", do_compact, ("--threshold", {"type": float, "default": 0.5}), ("--dry-run", {"action": "store_true"}), ("--force", {"action": "store_true"}), ("--output", {}))
-    command("recover", do_recover, ("--output", {}), ("--max-record-size", {"type": int, "default": 10 << 20}))
+    command("compact", do_compact, ("--threshold", {"type": float, "default": 0.5}), ("--dry-run", {"action": "store_true"}), ("--force", {"action": "store_true"}), ("--output", {}), ("--start", {"type": int}), ("--end", {"type": int}))
+    command("vacuum", do_vacuum, ("--threshold", {"type": float, "default": 0.1}), ("--output", {"required": True}))
+    command("recover", do_recover, ("--output", {}), ("--skip-corrupted", {"action": argparse.BooleanOptionalAction, "default": True}), ("--verify-checksum", {"action": "store_true"}), ("--forensic", {"action": "store_true"}), ("--shadow", {}), ("--max-record-size", {"type": int, "default": 10 << 20}))
     command("monitor", do_monitor, ("--interval", {"type": float, "default": 10}), ("--threshold", {"type": int, "default": 10}), ("--checks", {"type": int}))
-    command("torture", do_torture, ("--iterations", {"type": int, "default": 100}), ("--scenario", {"choices": ["corruption", "kill"], "default": "corruption"}), ("--stop-on-failure", {"action": "store_true"}))
     command("version", None)
     return p
 

@@ -19,21 +19,44 @@ CRC32C, CRC64_ISO = 0x82F63B78, 0xD800000000000000
 
 
 @lru_cache(4)
-def _table(polynomial: int) -> list[int]:
-    out = []
-    for byte in range(256):
-        for _ in range(8):
-            byte = byte >> 1 ^ (polynomial if byte & 1 else 0)
-        out.append(byte)
-    return out
+def _tables(polynomial: int) -> np.ndarray:
+    """Eight tables of 256: what a byte does to the register, and what it does with k zero bytes behind it."""
+    first = np.arange(256, dtype=np.uint64)
+    for _ in range(8):
+        first = np.where(first & 1, first >> np.uint64(1) ^ np.uint64(polynomial), first >> np.uint64(1))
+    out = [first]
+    for _ in range(7):
+        out.append(first[out[-1] & np.uint64(255)] ^ out[-1] >> np.uint64(8))
+    return np.stack(out)
+
+
+def crcs(rows: list[bytes], polynomial: int, bits: int) -> np.ndarray:
+    """The checksums of all rows, eight bytes of each at a time: rows are columns of one register array, so the loop runs over the longest row's eighths only."""
+    tables, ones = _tables(polynomial), np.uint64((1 << bits) - 1)
+    size = np.array([len(r) for r in rows], np.int64)
+    out = np.full(len(rows), ones, np.uint64)
+    order = np.argsort(-size, kind="stable")
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    start = np.cumsum(size) - size
+    begin, size, value = start[order], size[order], out[order]
+    for at in range(0, int(size.max(initial=0)), 8):
+        n = int(np.searchsorted(-size, -(at + 8), "right"))  # rows with eight bytes more
+        if n:
+            block = data[begin[:n, None] + np.arange(at, at + 8)].astype(np.uint64)
+            block ^= value[:n, None] >> np.arange(0, 64, 8, dtype=np.uint64) & np.uint64(255)
+            value[:n] = np.bitwise_xor.reduce(tables[np.arange(7, -1, -1), block], 1)
+        few = np.arange(n, int(np.searchsorted(-size, -at, "left")))  # rows that end before
+        for k in range(7):
+            few = few[size[few] > at + k]
+            if not len(few):
+                break
+            value[few] = tables[0][(value[few] ^ data[begin[few] + at + k]) & np.uint64(255)] ^ value[few] >> np.uint64(8)
+    out[order] = value
+    return out ^ ones
 
 
 def crc(data: bytes, polynomial: int, bits: int) -> int:
-    table, ones = _table(polynomial), (1 << bits) - 1
-    value = ones
-    for byte in data:
-        value = table[(value ^ byte) & 255] ^ value >> 8
-    return value ^ ones
+    return int(crcs([data], polynomial, bits)[0])
 
 
 def adler(data: bytes, window: int) -> np.ndarray:
@@ -65,8 +88,20 @@ def _numbers(of: Callable[[bytes], int]) -> Callable[[Column], Column]:
     return apply
 
 
-crc32c = _numbers(lambda b: crc(b, CRC32C, 32))
-crc64 = _numbers(lambda b: crc(b, CRC64_ISO, 64))
+def _crc_column(polynomial: int, bits: int) -> Callable[[Column], Column]:
+    def apply(data: Column) -> Column:
+        def each(column: pd.Series) -> pd.Series:
+            known = column.notna()
+            out = pd.Series(pd.NA, index=column.index, dtype="Int64")
+            out[known] = crcs([bytes(b) for b in column[known]], polynomial, bits).view(np.int64)
+            return out
+
+        return F.pandas_udf(each, "long")(data)
+
+    return apply
+
+
+crc32c, crc64 = _crc_column(CRC32C, 32), _crc_column(CRC64_ISO, 64)
 #: XXH64 with seed 0 (Spark's xxhash64 has seed 42).
 xxh64 = _numbers(xxhash.xxh64_intdigest)
 

@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors see: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors see, below spark.checkpoint.dir. Where that is unset, only a local session may use a folder of this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +20,31 @@ def eligible(seg: DataFrame, policy: CompactionPolicy, as_of: str) -> DataFrame:
 def pack(seg: DataFrame, policy: CompactionPolicy) -> DataFrame:
     """Groups of neighbouring segments up to the target size, in order; the last one only if it has enough segments or bytes.
 
-    Greedy filling is a fold over an ordered list. It runs over segments (one row for each file of some 64 MiB), not records; logs of one key
-    are folded each on their own if seg has a column log."""
-    keys = ["log"] if "log" in seg.columns else []
-    listed = seg.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_seq", "segment", "size"))).alias("all"))
-    zero = "named_struct('done', cast(array() as array<struct<segments:array<bigint>,bytes:bigint>>), 'cur', cast(array() as array<bigint>), 'bytes', 0L)"
-    step = f"""
-        CASE WHEN size(a.cur) > 0 AND a.bytes + x.size > {policy.target_size}
-        THEN named_struct('done', concat(a.done, array(named_struct('segments', a.cur, 'bytes', a.bytes))), 'cur', array(cast(x.segment as bigint)), 'bytes', cast(x.size as bigint))
-        ELSE named_struct('done', a.done, 'cur', concat(a.cur, array(cast(x.segment as bigint))), 'bytes', a.bytes + cast(x.size as bigint)) END"""
-    last = f"""CASE WHEN size(a.cur) > 0 AND (size(a.cur) >= {policy.min_segments} OR a.bytes >= {policy.min_segment_size})
-        THEN concat(a.done, array(named_struct('segments', a.cur, 'bytes', a.bytes))) ELSE a.done END"""
-    folded = listed.withColumn("groups", F.expr(f"aggregate(all, {zero}, (a, x) -> {step}, a -> {last})"))
-    return folded.select(*keys, F.posexplode("groups").alias("group_no", "g")).select(*keys, "group_no", "g.segments", "g.bytes", F.size("g.segments").alias("n"))
+    Greedy filling needs the segments in order: one row for each file of some 64 MiB, not records. They pass through one task as a stream that keeps
+    two numbers; logs of one key are each on their own if seg has a column log."""
+    keyed = "log" in seg.columns
+    rows = seg.select(*(["log"] if keyed else [F.lit(0).alias("log")]), "start_seq", F.col("segment").cast("long").alias("segment"), F.col("size").cast("long").alias("size"))
+    kind = rows.schema["log"].dataType.simpleString()
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, group, held = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for own, size in zip(batch.column("log").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if own != log:
+                    log, group, held = own, 0, 0
+                elif held + size > policy.target_size:
+                    group, held = group + 1, 0
+                held += size
+                numbers.append(group)
+            yield pa.RecordBatch.from_arrays([batch.column("log"), batch.column("segment"), batch.column("size"), pa.array(numbers, pa.int32())], names=["log", "segment", "size", "group_no"])
+
+    dealt = rows.repartition("log") if keyed else rows.coalesce(1)
+    groups = dealt.sortWithinPartitions("log", "start_seq", "segment").mapInArrow(numbered, f"log {kind}, segment long, size long, group_no int")
+    groups = groups.groupBy("log", "group_no").agg(F.array_sort(F.collect_list("segment")).alias("segments"), F.sum("size").alias("bytes"), F.count("*").cast("int").alias("n"))
+    last = groups.groupBy("log").agg(F.max("group_no").alias("last"))
+    kept = groups.join(last, "log").where((F.col("group_no") < F.col("last")) | (F.col("n") >= policy.min_segments) | (F.col("bytes") >= policy.min_segment_size))
+    return kept.select(*(["log"] if keyed else []), "group_no", "segments", "bytes", "n")
 
 
 def compacted(ev: DataFrame) -> DataFrame:
@@ -38,6 +53,21 @@ def compacted(ev: DataFrame) -> DataFrame:
     return ev.withColumn("__n", first).where("__n = 1").drop("__n").where(F.col("flags").bitwiseAND(FLAG_DELETED) == 0)
 
 
+def compact_range(ev: DataFrame, seg: DataFrame, first: int, last: int) -> DataFrame:
+    """ev with the segments that overlap the sequences first to last made one (the least of their numbers) by compaction; others, and a single one, stay as they are."""
+    inside = seg.where((F.col("end_seq") >= first) & (F.col("start_seq") <= last)).select("segment")
+    one = inside.agg(F.min("segment").alias("__into"), F.count("*").alias("__n"))
+    marked = ev.join(inside.withColumn("__in", F.lit(True)), "segment", "left").crossJoin(F.broadcast(one)).withColumn("__in", F.coalesce("__in", F.lit(False)) & (F.col("__n") > 1))
+    merged = compacted(marked.where("__in")).withColumn("segment", F.col("__into"))
+    return merged.select(ev.columns).union(marked.where("not __in").select(ev.columns))
+
+
+def vacuumed(ev: DataFrame, seg: DataFrame, share: float = 0.1) -> DataFrame:
+    """ev without the deleted records of sealed segments of which at least a share is deleted. Sequences and other records stay."""
+    chosen = vacuum_candidates(seg.where("sealed"), share).select("segment", F.lit(True).alias("__hit"))
+    return ev.join(chosen, "segment", "left").where(F.col("__hit").isNull() | (F.col("flags").bitwiseAND(FLAG_DELETED) == 0)).select(ev.columns)
+
+
 def vacuum_candidates(seg: DataFrame, share: float = 0.1) -> DataFrame:
     """Segments of whose records at least a share is deleted; empty ones are none."""
     return seg.where((F.col("record_count") > 0) & (F.col("deleted") / F.col("record_count") >= share))

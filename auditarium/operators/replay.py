@@ -5,23 +5,37 @@ Predicates are plain comparisons of columns, so they reach the scan (row groups
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditarium.functions.model import ERROR, FLAG_DELETED
+from auditarium.functions.model import ERROR, FLAG_DELETED, LEVEL_CODES
 
 
 def _at(x: datetime | str) -> Column:
     return F.lit(x).cast("timestamp_ntz")
 
 
+def _time(x: datetime | str) -> datetime:
+    return x if isinstance(x, datetime) else datetime.fromisoformat(x)
+
+
+_LEVEL_NAMES = {n: k for k, n in enumerate(("VERBOSE", "DEBUG", "INFORMATION", "WARNING", "ERROR", "FATAL"))} | {n: k for k, n in enumerate(LEVEL_CODES)} | {"INFO": 2, "WARN": 3}
+
+
+def condition(text: str) -> Column:
+    """A filter as users write it: SQL over the event's columns, in which a level may be named (level >= ERROR, level = 'warning')."""
+    named = re.sub(r"(\blevel\s*(?:[<>]=?|=|==|!=|<>)\s*)'?([A-Za-z]+)'?", lambda m: m[1] + str(_LEVEL_NAMES.get(m[2].upper(), m[2])), text, flags=re.I)
+    return F.expr(named)
+
+
 def replay(ev: DataFrame, start=None, end=None, bounds: str = "inclusive") -> DataFrame:
     """Events between start and end, both optional. bounds: inclusive (logs) or exclusive (backends), at both ends."""
     if bounds not in ("inclusive", "exclusive"):
         raise ValueError(f"bounds must be inclusive or exclusive, not {bounds}")
-    if start is not None and end is not None and str(start) > str(end):
+    if start is not None and end is not None and _time(start) > _time(end):
         raise ValueError("start is after end")
     ts, closed = F.col("ts"), bounds == "inclusive"
     if start is not None:
@@ -50,10 +64,10 @@ def found(ev: DataFrame, sequence: int, only_live: bool = False):
 
 
 def query(ev: DataFrame, start=None, end=None, filters: list[str] | tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
-    """Events of a range that pass all filters (SQL expressions), the first by sequence if there is a limit."""
+    """Events of a range that pass all filters (see condition), the first by sequence if there is a limit."""
     ev = replay(ev, start, end)
     for f in filters:
-        ev = ev.where(f)
+        ev = ev.where(condition(f))
     return ev if limit is None else ev.orderBy("sequence").limit(limit)
 
 

@@ -18,15 +18,27 @@ def level_counts(ev: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def log_stats(ev: DataFrame, seg: DataFrame, ideal: int = IDEAL) -> DataFrame:
-    """One row for a whole log. Both sides of the join are single rows."""
-    one = level_counts(ev).crossJoin(F.broadcast(ev.agg(F.min_by("ts", "sequence").alias("first_time"), F.max_by("ts", "sequence").alias("last_time"), F.min("sequence").alias("first_seq"), F.max("sequence").alias("last_seq"))))
-    two = seg.agg(F.count("*").alias("segments"), F.sum("size").alias("bytes"))
-    row = one.crossJoin(F.broadcast(two))
-    return row.select(
-        "*", F.expr("bytes div nullif(total, 0)").alias("avg_record"), F.expr("bytes div nullif(segments, 0)").alias("avg_segment"),
+def log_stats(ev: DataFrame, catalog: DataFrame | None = None, ideal: int = IDEAL) -> DataFrame:
+    """One row for a whole log, from one scan: aggregates of segments are aggregated. catalog (path, created_at, size, sealed, damaged: one row a segment file)
+    adds when the log was created and last grew, whether its last file is sealed, and whether any is damaged."""
+    level, sums = F.col("level"), ("total", "errors", "warnings", "infos", "debugs", "bytes")
+    by_segment = ev.groupBy("segment").agg(
+        F.count("*").alias("total"), F.count_if(level >= ERROR).alias("errors"), F.count_if(level == WARNING).alias("warnings"), F.count_if(level == INFORMATION).alias("infos"), F.count_if(level <= DEBUG).alias("debugs"),
+        F.sum("size").alias("bytes"), F.min("sequence").alias("first_seq"), F.max("sequence").alias("last_seq"), F.min_by("ts", "sequence").alias("first_time"), F.max_by("ts", "sequence").alias("last_time"),
+    )
+    row = by_segment.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) if c != "bytes" else F.sum(c).alias(c) for c in sums), F.min_by("first_time", "first_seq").alias("first_time"), F.max_by("last_time", "last_seq").alias("last_time"),
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.count("*").alias("segments"),
+    )
+    row = row.select(
+        "total", "errors", "warnings", "infos", "debugs", "first_time", "last_time", "first_seq", "last_seq", "segments", "bytes", F.expr("bytes div nullif(total, 0)").alias("avg_record"), F.expr("bytes div nullif(segments, 0)").alias("avg_segment"),
         F.round(F.greatest(F.lit(0.0), (F.col("segments") - F.expr(f"bytes div {ideal} + 1")) / F.expr(f"bytes div {ideal} + 1") * 100.0), 6).alias("fragmentation"),
+        (F.unix_micros(F.col("last_time").cast("timestamp")) - F.unix_micros(F.col("first_time").cast("timestamp"))).alias("duration_micros"),
     )
+    if catalog is None:
+        return row
+    files = catalog.agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("modified_at"), F.coalesce(F.max_by("sealed", F.struct("created_at", "path")), F.lit(False)).alias("is_sealed"), F.coalesce(F.bool_or("damaged"), F.lit(False)).alias("has_corruption"), F.count("*").alias("files"))
+    return row.crossJoin(F.broadcast(files))
 
 
 def segment_stats(seg: DataFrame, ideal: int = IDEAL) -> DataFrame:

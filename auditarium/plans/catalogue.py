@@ -93,11 +93,11 @@ simple("level_counts", f"SELECT segment, {_LEVELS} FROM ev GROUP BY segment", la
 simple("level_counts_range", f"SELECT segment, {_LEVELS} FROM ev WHERE ts BETWEEN '{START}' AND '{END}' GROUP BY segment", lambda ev: stats.level_counts(replay.replay(ev, START, END), "segment"))
 simple(
     "log_stats",
-    f"""SELECT *, bytes // total AS avg_record, bytes // segments AS avg_segment,
+    f"""SELECT *, date_diff('microsecond', first_time, last_time) AS duration_micros, bytes // total AS avg_record, bytes // segments AS avg_segment,
   round(greatest(0.0, (segments - (bytes // 67108864 + 1)) / (bytes // 67108864 + 1)::DOUBLE * 100.0), 6) AS fragmentation FROM (
   SELECT {_LEVELS}, arg_min(ts, sequence) AS first_time, arg_max(ts, sequence) AS last_time, min(sequence) AS first_seq, max(sequence) AS last_seq FROM ev),
   (SELECT count(*) AS segments, sum(size)::BIGINT AS bytes FROM seg)""",
-    lambda ev: stats.log_stats(ev, replay.segments(ev)),
+    stats.log_stats,
     SEG,
 )
 simple(

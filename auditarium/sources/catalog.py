@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+from fnmatch import fnmatch
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditarium.operators.replay import replay
+from auditarium.sources.wal import store_of
 
 
 def discover(spark: SparkSession, path: str, pattern: str = "*.wal") -> DataFrame:
@@ -51,9 +57,28 @@ def remove(catalog: DataFrame, paths: DataFrame) -> DataFrame:
     return catalog.join(paths.select("path").distinct(), "path", "left_anti")
 
 
+_NAME_TIME = re.compile(r"audit-(\d{8}-\d{6})")
+
+
+def lines_until(path: str, end=None, pattern: str = "audit-*.json*") -> list[str]:
+    """A backend's files that may hold events up to end: those that name a later beginning (audit-YYYYMMDD-HHMMSS) don't."""
+    store, base = store_of(path)
+    until = None if end is None else end if isinstance(end, datetime) else datetime.fromisoformat(str(end))
+    out = []
+    for f in store.get_file_info(fs.FileSelector(base)):
+        if f.type != fs.FileType.File or not fnmatch(f.base_name, pattern):
+            continue
+        m = _NAME_TIME.match(f.base_name)
+        if until is None or not m or datetime.strptime(m[1], "%Y%m%d-%H%M%S") <= until:
+            out.append(f"{path.rstrip('/')}/{f.base_name}")
+    return sorted(out)
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, start=None, end=None, pattern: str = "audit-*.json*") -> DataFrame:
-    """JSON lines of a backend (gzip by name), between start and end, both exclusive; lines that are no JSON have _corrupt."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", pattern).json(path)
+    """JSON lines of a backend (gzip by name), between start and end, both exclusive; files that begin later are not read, lines that are no JSON have _corrupt."""
+    paths = lines_until(path, end, pattern)
+    full = f"{schema}, _corrupt string"
+    rows = spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt").json(paths) if paths else spark.createDataFrame([], full)
     return replay(rows, start, end, "exclusive")
 
 

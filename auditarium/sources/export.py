@@ -12,8 +12,10 @@ COLUMNS = ("Timestamp", "Level", "MessageTemplate", "RenderedMessage", "Properti
 
 
 def render(template: Column, props: Column) -> Column:
-    """template with {Name} (or {Name:format}) replaced by the property's text; unknown names stay."""
-    fill = F.reduce(F.map_entries(props), template, lambda text, e: F.regexp_replace(text, F.concat(F.lit(r"\{"), e["key"], F.lit(r"(?::[^}]*)?\}")), F.regexp_replace(e["value"], F.lit(r"([\\$])"), F.lit(r"\\$1"))))
+    """template with {Name} (or {Name:format}) replaced by the property's text; unknown names stay. One pass: what a value holds is never filled again."""
+    parts = F.split(template, r"(?=\{)|(?<=\})")  # holes are parts of their own; a part that is none stays
+    name = lambda part: F.regexp_extract(part, r"^\{([^{}:]*)(?::[^{}]*)?\}$", 1)
+    fill = F.array_join(F.transform(parts, lambda part: F.coalesce(F.when(part.startswith("{"), F.element_at(props, name(part))), part)), "")
     return F.when(props.isNull(), template).otherwise(fill)
 
 
@@ -32,6 +34,11 @@ def table(ev: DataFrame) -> DataFrame:
     return ev.select(rfc3339(F.col("ts")).alias("Timestamp"), level_code(F.col("level")).alias("Level"), F.col("message_template").alias("MessageTemplate"), render(F.col("message_template"), F.col("properties")).alias("RenderedMessage"), sorted_json(F.col("properties")).alias("Properties"), F.coalesce("exception", F.lit("")).alias("Exception"))
 
 
+def replay_table(ev: DataFrame) -> DataFrame:
+    """The four columns of a replay as CSV."""
+    return table(ev).select("Timestamp", "Level", F.col("RenderedMessage").alias("Message"), "Properties")
+
+
 def lines(ev: DataFrame) -> DataFrame:
     """A line of text for each event: time, level, message."""
     t = table(ev)
@@ -72,6 +79,20 @@ def write_days(ev: DataFrame, path: str) -> None:
     ev.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)}).write.partitionBy("year", "month", "day", "hour").option("compression", "gzip").mode("append").json(path)
 
 
+def manifest(spark, path: str) -> DataFrame:
+    """name, size, records, first and last ts, and md5_b64 of each object that write_days wrote: what stores keep as its metadata."""
+    objects = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(path)
+    sums = objects.select(_name("path").alias("name"), F.col("length").alias("size"), F.base64(F.unhex(F.md5("content"))).alias("md5_b64"))
+    events = spark.read.schema("ts timestamp_ntz").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(path)
+    counts = events.groupBy(_name(F.input_file_name()).alias("name")).agg(F.count("*").alias("records"), F.min("ts").alias("first_time"), F.max("ts").alias("last_time"))
+    return sums.join(counts, "name", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+
+
+def _name(path) -> Column:
+    """An object's path from its year on."""
+    return F.regexp_extract(path, r"(year=[^?]*)$", 1)
+
+
 def read_days(spark, path: str, schema: str, start=None, end=None) -> DataFrame:
     """What write_days wrote, between start and end (exclusive, as backends do); days outside are not read."""
     from auditarium.operators.replay import replay

@@ -152,6 +152,17 @@ def salvaged(data: bytes, most: int = MAX_PAYLOAD) -> Iterator[tuple[int, str, b
     yield from ((done + k, "json", piece) for k, piece in json_objects(data[done:]))
 
 
+def partial(data: bytes, most: int = MAX_PAYLOAD) -> tuple[int, bytes] | None:
+    """Place and payload, as far as it goes, of a record whose header holds and whose end is missing; None if there is none."""
+    at = data.find(MARK)
+    while 0 <= at <= len(data) - HEAD.size:
+        _, _, _, n, _, head_sum, _, _ = HEAD.unpack_from(data, at)
+        if n <= most and zlib.crc32(data[at : at + 20]) == head_sum and at + OVERHEAD + n > len(data):
+            return at, data[at + HEAD.size : min(len(data), at + HEAD.size + n)]
+        at = data.find(MARK, at + 1)
+    return None
+
+
 def _begins(data: bytes) -> list[int]:
     """Places where all but at most one bit of a record's mark stand, so one of its halves does."""
     found = set()

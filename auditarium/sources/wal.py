@@ -1,10 +1,11 @@
 """Spark data sources for binary audit logs: `auditwal` (read and write) and `auditjournal` (read).
 
-Reading plans one partition for each `splitBytes` of a file (whole files for modes that depend on what came before); a
+Reading plans one split for each `splitBytes` of a file (whole files for modes that depend on what came before), and small files share partitions; a
 split begins at the first place where a whole record holds (header and data checksums, footer), so splits need no index. Filters on ts_nanos and sequence
 are taken over by the reader, which drops records before they become rows. Files are opened through pyarrow's file systems, in the tasks.
 
-Writing: each task writes the segments it holds, in order; a segment's records are chained from its first one on. Files
+Writing: each task writes the segments it holds, in order, from Arrow batches; a segment's records are chained from its first one on, so segments can be written
+at once. `continue_log` goes on with an existing log: its numbers follow, and its first record names the log's last one. Files
 of tasks that didn't commit are never listed.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from . import records
 
@@ -51,6 +52,23 @@ class Split(InputPartition):
     size: int
 
 
+@dataclass
+class Group(InputPartition):
+    splits: list[Split]
+
+
+def grouped(splits: list[Split], most: int) -> list[Group]:
+    """Splits in order, several small ones together: at least 32 groups if there is work for them, each of about a 32nd of all bytes or `most`."""
+    target, out, held = max(1 << 20, min(most, sum(s.end - s.start for s in splits) // 32)), [], 0
+    for s in splits:
+        if not out or held >= target:
+            out.append(Group([]))
+            held = 0
+        out[-1].splits.append(s)
+        held += min(s.end, s.size) - s.start
+    return out or [Group([])]
+
+
 class _WalReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.mode = options["path"], options.get("mode", "RESYNC").upper()
@@ -59,13 +77,15 @@ class _WalReader(DataSourceReader):
         if self.mode not in records.MODES:
             raise ValueError(f"no mode {self.mode}")
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Group]:
         step = self.step if self.mode == "RESYNC" else 1 << 62
-        return [Split(path, at, min(size, at + step), size) for path, size in files(self.path, ".wal") for at in range(0, size, step)] or [Split("", 0, 0, 0)]
+        return grouped([Split(path, at, min(size, at + step), size) for path, size in files(self.path, ".wal") for at in range(0, size, step)], self.step)
+
+    def read(self, group: Group) -> Iterator[pa.RecordBatch]:
+        for split in group.splits:
+            yield from self._split(split)
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        if not split.path:
-            return
+    def _split(self, split: Split) -> Iterator[pa.RecordBatch]:
         store, _ = store_of(self.path)
         more = self.most + records.OVERHEAD
         with store.open_input_file(split.path) as handle:
@@ -116,29 +136,37 @@ class _Files(WriterCommitMessage):
     paths: list
 
 
-class _WalWriter(DataSourceWriter):
+class _WalWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.path, self.most = options["path"], int(options.get("segmentBytes", 64 << 20))
+        self.first, self.prev = options.get("firstSegment"), bytes.fromhex(options.get("prevHash", records.ZERO.hex()))
 
-    def write(self, rows) -> _Files:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Files:
         store, base = store_of(self.path)
         store.create_dir(base, recursive=True)
         done: list[str] = []
-        out, segment, prev = None, None, records.ZERO
-        for row in rows:
-            if out is None or row.segment != segment or out.tell() >= self.most:
-                if out is not None:
-                    out.close()
-                if row.segment != segment:
-                    prev = records.ZERO
-                segment = row.segment
-                name = f"{base}/_{segment if segment is not None else 0:012d}-{row.sequence:020d}-{uuid.uuid4().hex[:8]}.wal"
-                out = store.open_output_stream(name)
-                done.append(name)
-            raw = records.encode(row.sequence, row.ts_nanos, bytes(row.event_data), prev, row.flags or 0)
-            prev = records.hashlib.sha256(raw).digest()
-            out.write(raw)
+        out, segment, prev, held, parts = None, None, records.ZERO, 0, []
+        for batch in batches:
+            for sequence, ts, data, flags, own in zip(*(batch.column(c).to_pylist() for c in ("sequence", "ts_nanos", "event_data", "flags", "segment")), strict=True):
+                if out is None or own != segment or held >= self.most:
+                    if out is not None:
+                        out.write(b"".join(parts))
+                        out.close()
+                    if out is None or own != segment:
+                        prev = self.prev if self.first is not None and own == int(self.first) else records.ZERO
+                    segment, held, parts = own, 0, []
+                    name = f"{base}/_{segment if segment is not None else 0:012d}-{sequence:020d}-{uuid.uuid4().hex[:8]}.wal"
+                    out = store.open_output_stream(name)
+                    done.append(name)
+                raw = records.encode(sequence, ts, data, prev, flags or 0)
+                prev = records.hashlib.sha256(raw).digest()
+                parts.append(raw)
+                held += len(raw)
+                if len(parts) >= 4096:
+                    out.write(b"".join(parts))
+                    parts = []
         if out is not None:
+            out.write(b"".join(parts))
             out.close()
         return _Files(done)
 
@@ -206,12 +234,54 @@ def read_log(spark: SparkSession, path: str, mode: str = "RESYNC", include_delet
     return rec if include_deleted else rec.where(F.col("parse_error").isNotNull() | (F.col("flags").bitwiseAND(1) == 0))
 
 
-def write_log(ev: DataFrame, path: str, segment_bytes: int = 64 << 20) -> None:
+def write_log(ev: DataFrame, path: str, segment_bytes: int = 64 << 20, **options) -> None:
     """Events (sequence, ts, event_data, flags, segment) as a log; one shuffle, by segment, since a segment is chained in order."""
     spark = ev.sparkSession
     spark.dataSource.register(AuditWal)
     rows = ev.select("sequence", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_nanos"), F.col("event_data").cast("binary").alias("event_data"), F.col("flags").cast("int").alias("flags"), F.col("segment").cast("long").alias("segment"))
-    rows.repartition("segment").sortWithinPartitions("segment", "sequence").write.format("auditwal").options(path=path, segmentBytes=segment_bytes).mode("append").save()
+    rows.repartition("segment").sortWithinPartitions("segment", "sequence").write.format("auditwal").options(path=path, segmentBytes=segment_bytes, **options).mode("append").save()
+
+
+def last_record(spark: SparkSession, path: str) -> tuple[int, int, str]:
+    """Segment, sequence and hash of a log's last record, from its last file alone; (-1, 0, no hash) of an empty log."""
+    try:
+        found = [p for p, _ in files(path, ".wal")]
+    except FileNotFoundError:
+        found = []
+    for name in reversed(found):
+        row = read_log(spark, f"{path.rstrip('/')}/{name.rpartition('/')[2]}").where("parse_error is null").agg(F.max_by(F.struct("sequence", "hash"), "offset").alias("last")).first()["last"]
+        if row is not None:
+            return int(name.rpartition("/")[2].split("-")[0] or 0), row["sequence"], row["hash"]
+    return -1, 0, records.ZERO.hex()
+
+
+def continue_log(ev: DataFrame, path: str, segment_bytes: int = 64 << 20) -> None:
+    """Writes events behind those of a log: sequences (which count from 1) and segments (from 0) follow the log's last ones, and the first record names the last one's hash."""
+    segment, sequence, prev = last_record(ev.sparkSession, path)
+    moved = ev.withColumn("sequence", F.col("sequence") + sequence).withColumn("segment", F.col("segment") + segment + 1)
+    write_log(moved, path, segment_bytes, prevHash=prev, firstSegment=str(segment + 1))
+
+
+def archive_segments(path: str, names: list[str], folder: str = "archive") -> list[str]:
+    """Moves segments (by path or name) to a folder beside them, where no reader lists them; their new paths."""
+    store, base = store_of(path)
+    store.create_dir(f"{base}/{folder}", recursive=True)
+    out = []
+    for name in sorted(n.rpartition("/")[2] for n in names):
+        out.append(f"{base}/{folder}/{name}")
+        store.move(f"{base}/{name}", out[-1])
+    return out
+
+
+def clean_archive(path: str, before, folder: str = "archive") -> list[str]:
+    """Deletes archived segments last changed before a time; their paths."""
+    store, base = store_of(path)
+    if store.get_file_info(f"{base}/{folder}").type == fs.FileType.NotFound:
+        return []
+    old = [f.path for f in store.get_file_info(fs.FileSelector(f"{base}/{folder}")) if f.type == fs.FileType.File and f.mtime and f.mtime.timestamp() < before.timestamp()]
+    for name in old:
+        store.delete_file(name)
+    return sorted(old)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -224,9 +294,18 @@ def incomplete(journal: DataFrame) -> DataFrame:
     return journal.where("status = 0 and error is null").select("position", "data")
 
 
-def check_records(rec: DataFrame) -> DataFrame:
-    """Records with linked: whether prev_hash is the hash of the record before in the file (the first of a file begins a chain)."""
+def check_records(rec: DataFrame, first_sequence: int | None = 1) -> DataFrame:
+    """Records with linked: whether prev_hash is the hash of the record before. Within a file that is the one before it; a file's first record may name the last one
+    of the file before it, or none if its sequence goes on from there (segments are written at once); a log's first record must be first_sequence (None: any), without a hash before it.
+    So a file that is missing, the first one too, leaves a record that isn't linked. The window over files has one row for each."""
     from pyspark.sql import Window
 
+    good = rec.where("parse_error is null")
+    files = good.groupBy("path").agg(F.min_by("sequence", "offset").alias("start"), F.max_by(F.struct("hash", "sequence"), "offset").alias("last"))
+    ends = files.select("path", F.lag("last").over(Window.orderBy("start", "path")).alias("ahead"))
     before = F.lag("hash").over(Window.partitionBy("path").orderBy("offset"))
-    return rec.where("parse_error is null").withColumn("before", before).withColumn("linked", F.col("before").isNull() | (F.col("before") == F.col("prev_hash"))).drop("before")
+    none = F.col("prev_hash") == F.lit(records.ZERO.hex())
+    opens = F.lit(True) if first_sequence is None else none & (F.col("sequence") == first_sequence)
+    begins = F.when(F.col("ahead").isNull(), opens).otherwise((F.col("ahead.hash") == F.col("prev_hash")) | none & (F.col("sequence") == F.col("ahead.sequence") + 1))
+    rows = good.withColumn("before", before).join(ends, "path", "left")
+    return rows.withColumn("linked", F.when(F.col("before").isNull(), begins).otherwise(F.col("before") == F.col("prev_hash"))).drop("before", "ahead")
