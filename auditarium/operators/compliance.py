@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditarium.functions.model import MISSING, PATTERNS, PROFILES, REDACTED, Profile, bounded
+from auditarium.functions.model import GUARDS, MISSING, PATTERNS, PROFILES, REDACTED, Profile, bounded
 
 
 def profile_of(name: str) -> Profile:
@@ -36,8 +36,12 @@ def mask_json(value: Column) -> Column:
 def redact(text: Column, terms: tuple[str, ...] | list[str]) -> Column:
     """text with what the terms stand for replaced: patterns where a term names one, else the term as a whole word, case aside."""
     for term in terms:
-        pattern = PATTERNS.get(term.upper())
-        text = F.regexp_replace(text, bounded(pattern) if pattern else "(?i)" + bounded(re.escape(term)), REDACTED.replace("[", r"[").replace("]", r"]"))
+        kind = term.upper()
+        if kind in PATTERNS:  # most texts hold nothing like it, which a plain search tells
+            guard = text.contains(GUARDS[kind]) if kind == "EMAIL" else text.rlike(GUARDS[kind])
+            text = F.when(guard, F.regexp_replace(text, bounded(PATTERNS[kind], kind), REDACTED)).otherwise(text)
+        else:
+            text = F.regexp_replace(text, "(?i)" + bounded(re.escape(term)), REDACTED)
     return text
 
 

@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditarium.functions import checksum
+from auditarium.functions import checksum, crypto
 from auditarium.functions.model import PATTERNS, CompactionPolicy, events_from_table, format_bytes, level_code, profiles
 from auditarium.functions.session import shared_dir
-from auditarium.operators import compliance, maintain, monitor, replay, stats, verify
-from auditarium.sources import export, wal
+from auditarium.operators import compliance, maintain, monitor, protect, recover, replay, stats, verify
+from auditarium.sources import catalog, export, records, wal
+from auditarium.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -293,6 +294,190 @@ simple(
 )
 simple("scenario_summary", "SELECT event_type AS scenario, count(*) FILTER (value <= 50) AS passed, count(*) FILTER (value > 50) AS failed, count(*) FILTER (value > 50) = 0 AS success FROM ev GROUP BY 1", lambda ev: ev.groupBy(F.col("event_type").alias("scenario")).agg(F.count_if(F.col("value") <= 50).alias("passed"), F.count_if(F.col("value") > 50).alias("failed"), (F.count_if(F.col("value") > 50) == 0).alias("success")))
 
+# written logs ------------------------------------------------------------------------------------------------------
+# A log of the events, each segment a file; segment 0 has a changed byte in its fifth record and a changed header bit in its tenth, the last segment ends within its last record.
+_N = "(SELECT max(segment) FROM ev)"
+_DAMAGED = EV + f""", good AS (SELECT *, sequence = 5 OR sequence = 10 OR sequence = (SELECT max(sequence) FROM ev) AS bad FROM ev)"""
+
+
+def written_log(ev: DataFrame, damage: bool = False, lose: int | None = None) -> str:
+    """The folder of a log of ev; damaged as above, or without a segment's file."""
+    spark = ev.sparkSession
+    path = shared_dir(spark, "wal")
+    wal.write_log(ev, path)
+    store, base = wal.store_of(path)
+    found = [p for p, _ in wal.files(path, ".wal")]
+    if lose is not None:
+        for p in found:
+            if int(p.rpartition("/")[2].split("-")[0]) == lose:
+                store.delete_file(p)
+    if damage:
+        for p in dict.fromkeys((found[0], found[-1])):
+            with store.open_input_file(p) as handle:
+                data = bytearray(handle.read())
+            rows = list(records.split(bytes(data)))
+            if p == found[0]:
+                data[rows[4].offset + records.HEAD.size + 1] ^= 1
+                data[rows[9].offset + 13] ^= 2
+            if p == found[-1]:
+                del data[rows[-1].offset + records.HEAD.size + 3 :]
+            with store.open_output_stream(p) as handle:
+                handle.write(bytes(data))
+    return path
+
+
+def read(ev: DataFrame, damage: bool = False, lose: int | None = None, mode: str = "RESYNC") -> DataFrame:
+    return wal.read_log(ev.sparkSession, written_log(ev, damage, lose), mode)
+
+
+simple("recovery_report", "SELECT count(*) FILTER (NOT bad) AS recovered, count(*) FILTER (bad) AS corrupted, sum(CASE WHEN NOT bad THEN 0 WHEN sequence < 11 THEN size ELSE 67 END)::BIGINT AS bytes_skipped, max(sequence) FILTER (NOT bad) AS last_good_sequence FROM good", lambda ev: recover.report(recover.recover(ev.sparkSession, written_log(ev, True))), _DAMAGED)
+simple("recovered_log", "SELECT row_number() OVER (ORDER BY sequence) AS sequence, event_data, true AS linked FROM good WHERE NOT bad", lambda ev: _recovered(ev), _DAMAGED)
+simple("broken_links", f"SELECT sequence, 'lost' AS kind FROM good WHERE sequence IN (6, 11) UNION ALL SELECT min(sequence), 'start' FROM good GROUP BY segment", lambda ev: recover.broken_links(read(ev, True)).select("sequence", "kind"), _DAMAGED)
+simple("chain_map", "SELECT sequence FROM good WHERE NOT bad", lambda ev: recover.chain_map(read(ev, True)).where(F.length("hash") == 64).select("sequence"), _DAMAGED)
+simple("forensic_report", "SELECT 'standard' AS method, count(*) FILTER (NOT bad) AS pieces, sum(size - 72) FILTER (NOT bad)::BIGINT AS bytes FROM good UNION ALL SELECT 'header', 1, size - 72 FROM good WHERE sequence = 10 UNION ALL SELECT 'tail', 1, 3 FROM range(1)", lambda ev: recover.forensic_report(recover.forensic(ev.sparkSession, written_log(ev, True)).where("method <> 'json'")), _DAMAGED)
+simple("strict_scan", "SELECT sequence, event_data FROM good WHERE NOT bad AND (segment > 0 OR sequence < 5)", lambda ev: read(ev, True, mode="STOP_AT_ERROR").where("parse_error is null").select("sequence", F.col("event_data").cast("string").alias("event_data")), _DAMAGED)
+simple("skipping_scan", "SELECT sequence, event_data FROM good WHERE NOT bad AND (segment > 0 OR sequence < 10)", lambda ev: read(ev, True, mode="SKIP").where("parse_error is null").select("sequence", F.col("event_data").cast("string").alias("event_data")), _DAMAGED)
+simple("chain_breaks_lost_segment", "SELECT min(sequence) AS sequence FROM ev WHERE segment > 0", lambda ev: wal.check_records(read(ev, lose=0)).where("not linked").groupBy().agg(F.min("sequence").alias("sequence")))
+_LOST = EV + ", left_over AS (SELECT *, segment = 1 AND sequence = (SELECT min(sequence) FROM ev WHERE segment = 1) AS first_left FROM ev WHERE segment <> 0)"
+simple("integrity_lost_first_segment", "SELECT count(*) AS total, 0::BIGINT AS damaged, count(*) FILTER (first_left) AS chain_breaks, count(*) FILTER (first_left) AS corrupted, max(sequence) AS last_sequence, count(*) FILTER (first_left) = 0 AS valid FROM left_over", lambda ev: verify.integrity_report(verify.check_chain(verify.chained(ev).where("segment <> 0"))).drop("last_time"), _LOST)
+simple("integrity_damaged_log", "SELECT count(*) FILTER (NOT bad) AS records, count(*) FILTER (bad) AS damaged, 2::BIGINT AS chain_breaks, false AS valid FROM good", lambda ev: _integrity(ev), _DAMAGED)
+simple("log_stats_files", f"SELECT count(*) AS total, count(DISTINCT segment) AS files, true AS has_corruption, false AS is_sealed, true AS in_order FROM good WHERE NOT bad", lambda ev: _file_stats(ev), _DAMAGED)
+simple("log_continued", "SELECT sequence, event_data, true AS linked FROM ev UNION ALL SELECT sequence + (SELECT max(sequence) FROM ev), event_data, true FROM ev", lambda ev: _continued(ev))
+simple("positional_scan_bytes", "SELECT sequence FROM ev WHERE segment = 0 AND sequence > 20", lambda ev: _from_offset(ev))
+simple("segment_catalog", "SELECT segment, min(sequence) AS start_seq, max(sequence) AS end_seq, count(*) AS record_count, sum(size)::BIGINT AS size, segment < (SELECT max(segment) FROM ev) AS sealed, false AS damaged FROM ev GROUP BY segment", lambda ev: _catalog(ev))
+simple("index_saved", "SELECT segment, start_seq, end_seq FROM seg", lambda ev: _index(ev), SEG)
+simple("compact_range", "SELECT CASE WHEN segment BETWEEN 1 AND 2 AND (SELECT max(segment) FROM ev) > 1 THEN 1 ELSE segment END AS segment, sequence FROM ev WHERE NOT (segment BETWEEN 1 AND 2 AND (SELECT max(segment) FROM ev) > 1 AND flags & 1 = 1)", lambda ev: maintain.compact_range(ev, replay.segments(ev), 1500, 2500).select("segment", "sequence"))
+simple("vacuum_rewrite", "SELECT sequence, segment FROM ev JOIN seg USING (segment) WHERE NOT (record_count = 1000 AND deleted::DOUBLE / record_count >= 0.1 AND flags & 1 = 1)", lambda ev: maintain.vacuumed(ev, seg_of(ev)).select("sequence", "segment"), SEG)
+simple("merkle_proofs", "SELECT sequence, sha256(event_data) AS hash, ceil(log2((SELECT count(*) FROM ev)))::INTEGER AS steps, true AS valid FROM ev WHERE sequence % 97 = 1", lambda ev: _proofs(ev))
+simple("signature_chain", "SELECT count(*) AS records, 0::BIGINT AS wrong_data, 0::BIGINT AS wrong_signatures, 0::BIGINT AS broken_links, true AS valid FROM nation", lambda spark, d: _signed(spark, d), "")
+simple("custody_entries", "SELECT n_nationkey::BIGINT AS sequence, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS entry, 64 AS signature_bytes FROM nation", lambda spark, d: protect.custody(table(spark, d, "nation").withColumn("sequence", F.col("n_nationkey").cast("long")), bytes(range(32)), ("n_name", "n_regionkey")).select("sequence", "entry", F.octet_length("signature").alias("signature_bytes")), "")
+simple("filter_named_level", "SELECT sequence, level FROM ev WHERE level >= 4 OR level = 2", lambda ev: ev.where(replay.condition("level >= ERROR or level = 'information'")).select("sequence", "level"))
+simple("journal_scan", "SELECT event_id AS position, concat_ws('|', event_id, event_type) AS data FROM events WHERE event_id % 3 = 0", lambda spark, d: _journal(spark, d), "")
+simple("backend_report", f"SELECT count(*) AS total, count(*) FILTER (sequence % 50 <> 0) AS verified, count(*) FILTER (sequence % 50 = 0) AS corrupted FROM ev", lambda ev: _backend(ev)[1])
+simple("backend_range", f"SELECT sequence FROM ev WHERE sequence % 50 <> 0 AND ts > '{START}' AND ts < '{END}'", lambda ev: _backend(ev)[0])
+simple("days_read", f"SELECT sequence FROM ev WHERE ts > '{START}' AND ts < '{END}'", lambda ev: _days(ev)[0])
+simple("days_manifest", "SELECT count(*) AS total, count(DISTINCT date_trunc('hour', ts)) AS hours, min(ts) AS first_time, max(ts) AS last_time FROM ev", lambda ev: _days(ev)[1])
+simple("csv_read_back", f"SELECT * FROM ({_EXPORT})", lambda ev: _csv(ev))
+simple("replay_csv", f"SELECT {_TIME} AS Timestamp, (['VRB','DBG','INF','WRN','ERR','FTL'])[level + 1] AS Level, {_TEXT} AS Message, '{{\"Action\":\"' || event_type || '\",\"UserId\":\"' || entity_id || '\"}}' AS Properties FROM ev", lambda ev: export.replay_table(messages(ev)))
+simple("bad_blocks", "SELECT page_id, CASE WHEN page_id % 4 = 1 AND strlen(html) > 1024 THEN 1 ELSE -1 END AS block FROM pages", lambda spark, d: table(spark, d, "pages").select("page_id", checksum.bad_block(F.when((F.col("page_id") % 4 == 1) & (F.octet_length("html") > 1024), F.concat(F.substring(F.col("html").cast("binary"), 1, 1024), F.lit(b"!"), F.substring(F.col("html").cast("binary"), 1026, 1 << 30))).otherwise(F.col("html").cast("binary")), checksum.block_sums(F.col("html").cast("binary"), 1024), 1024).alias("block")), "")
+simple("checksum_crc32", "SELECT item_id, length(text) > 0 AS any FROM benchmark", lambda spark, d: table(spark, d, "benchmark").select("item_id", (F.length("text") > 0).alias("any")).where(checksum.checksum(F.col("text"), "CRC32") == F.crc32(F.col("text").cast("binary"))), "")
+simple("stream_counts", f"WITH {EV} SELECT segment, count(*) AS events, count(*) FILTER (level >= 4) AS errors FROM ev GROUP BY segment", lambda spark, d: _streamed(spark, d), "")
+
+
+def _recovered(ev: DataFrame) -> DataFrame:
+    spark = ev.sparkSession
+    path = shared_dir(spark, "repaired")
+    wal.write_log(recover.repaired(read(ev, True)), path)
+    return wal.check_records(wal.read_log(spark, path)).select("sequence", F.col("event_data").cast("string").alias("event_data"), "linked")
+
+
+def _integrity(ev: DataFrame) -> DataFrame:
+    rec = read(ev, True)
+    checked = wal.check_records(rec).agg(F.count("*").alias("records"), F.count_if(~F.col("linked")).alias("chain_breaks"))
+    return checked.crossJoin(F.broadcast(rec.agg(F.count_if(F.col("parse_error").isNotNull()).alias("damaged")))).select("records", "damaged", "chain_breaks", (F.col("damaged") + F.col("chain_breaks") == 0).alias("valid"))
+
+
+def _file_stats(ev: DataFrame) -> DataFrame:
+    path = written_log(ev, True)
+    rec = wal.read_log(ev.sparkSession, path)
+    files = catalog.with_records(catalog.discover(ev.sparkSession, path), rec)
+    rows = rec.where("parse_error is null").select("sequence", F.lit(2).alias("level"), F.timestamp_micros(F.expr("ts_nanos div 1000")).alias("ts"), F.col("size").cast("long").alias("size"), F.col("path").alias("segment"))
+    return stats.log_stats(rows, files).select("total", "files", "has_corruption", "is_sealed", (F.col("created_at") <= F.col("modified_at")).alias("in_order"))
+
+
+def _continued(ev: DataFrame) -> DataFrame:
+    path = written_log(ev)
+    wal.continue_log(ev, path)
+    return wal.check_records(wal.read_log(ev.sparkSession, path)).select("sequence", F.col("event_data").cast("string").alias("event_data"), "linked")
+
+
+def _from_offset(ev: DataFrame) -> DataFrame:
+    """Behind the twentieth record's place in the first file."""
+    path = written_log(ev)
+    name, _ = wal.files(path, ".wal")[0]
+    rec = wal.read_log(ev.sparkSession, f"{path}/{name.rpartition('/')[2]}")
+    at = rec.where("sequence = 20").select(F.col("offset").alias("at"))
+    return rec.crossJoin(F.broadcast(at)).where("offset > at").select("sequence")
+
+
+def _catalog(ev: DataFrame) -> DataFrame:
+    path = written_log(ev)
+    rows = catalog.with_records(catalog.discover(ev.sparkSession, path), wal.read_log(ev.sparkSession, path))
+    newest = F.regexp_extract("path", r"/(\d+)-\d+-[^/]*$", 1).cast("long")  # files of one write may have one time: names tell which is the last
+    last = rows.agg(F.max(newest).alias("last"))
+    return rows.crossJoin(F.broadcast(last)).select(newest.alias("segment"), "start_seq", "end_seq", "record_count", "size", (newest < F.col("last")).alias("sealed"), "damaged")
+
+
+def _index(ev: DataFrame) -> DataFrame:
+    path = shared_dir(ev.sparkSession, "index")
+    catalog.save_index(replay.segments(ev), path)
+    return catalog.load_index(ev.sparkSession, path).select("segment", "start_seq", "end_seq")
+
+
+def _proofs(ev: DataFrame) -> DataFrame:
+    n = ev.count()
+    proofs = verify.merkle_proofs(ev, ev.where("sequence % 97 = 1").select("sequence"), n)
+    return verify.check_proofs(proofs, verify.merkle_root(ev, n).first()["root"]).select("sequence", "hash", F.size("proof").alias("steps"), "valid")
+
+
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("segment"), F.col("n_nationkey").cast("long").alias("sequence"), F.lit(AS_OF).cast("timestamp_ntz").alias("ts"), F.col("n_name").alias("event_data"))
+    key, seed = bytes(range(32)), bytes(range(1, 33))
+    keys = spark.range(1).select(F.lit(crypto.key_id(key)).alias("key_id"), F.lit(bytearray(key)).alias("key"))
+    return protect.chain_report(protect.verify(protect.protect(ev, "HIPAA", key, seed), keys, crypto.ed25519_public(seed)))
+
+
+def _journal(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the events, two of three complete, written where they are and read as journals."""
+    path = shared_dir(spark, "journal")
+
+    def write(batches):
+        store, base = wal.store_of(path)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            body = b"".join(records.journal_entry(k, f"{k}|{kind}".encode(), int(k % 3 > 0)) for k, kind in zip(batch.column("event_id").to_pylist(), batch.column("event_type").to_pylist(), strict=True))
+            if body:
+                with store.open_output_stream(f"{base}/{batch.column('event_id')[0].as_py():020d}.journal") as handle:
+                    handle.write(body)
+            yield batch.slice(0, 0).select(["event_id"])
+
+    table(spark, d, "events").select(F.col("event_id").cast("long").alias("event_id"), "event_type").mapInArrow(write, "event_id long").count()
+    return wal.incomplete(wal.read_journal(spark, path)).select("position", F.col("data").cast("string").alias("data"))
+
+
+def _backend(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events as a backend's JSON lines, of which each fiftieth is broken: those of a range, and the report."""
+    spark = ev.sparkSession
+    path = shared_dir(spark, "backend")
+    line = F.when(F.col("sequence") % 50 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("sequence", "ts")))
+    ev.select(line.alias("value")).write.text(path)
+    rows = lambda *at: catalog.read_lines(spark, path, "sequence long, ts timestamp_ntz", *at, pattern="part-*")
+    return rows(START, END).select("sequence"), catalog.line_report(rows()).where("file is null").drop("file")
+
+
+def _days(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    spark = ev.sparkSession
+    path = shared_dir(spark, "days")
+    export.write_days(ev.select("sequence", "ts", "level"), path)
+    found = export.manifest(spark, path).agg(F.sum("records").alias("total"), F.count_distinct(F.regexp_extract("name", "(.*)/", 1)).alias("hours"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
+    return export.read_days(spark, path, "sequence long, ts timestamp_ntz, level int", START, END).select("sequence"), found
+
+
+def _csv(ev: DataFrame) -> DataFrame:
+    path = shared_dir(ev.sparkSession, "csv")
+    export.export(messages(ev), path, "csv")
+    return ev.sparkSession.read.option("header", True).option("escape", "\\").schema(", ".join(f"{c} string" for c in export.COLUMNS)).csv(path).fillna("", ["Exception"])
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, counted by event time as it runs to its end."""
+    path, out = shared_dir(spark, "stream"), shared_dir(spark, "counts")
+    events(spark, d).write.parquet(path)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    live.ingest(source, out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.parquet(out).groupBy("segment").agg(F.count("*").alias("events"), F.count_if(F.col("level") >= 4).alias("errors"))
+
+
 # checksums (no SQL engine at hand has these) --------------------------------------------------------------------
 simple("checksums", None, lambda spark, d: table(spark, d, "benchmark").select("item_id", *(checksum.checksum(F.col("text"), a).alias(a.lower()) for a in checksum.ALGORITHMS), checksum.composite(checksum.crc32c(F.col("text").cast("binary")), F.crc32(F.col("text").cast("binary"))).alias("both")), "")
 simple("block_checksums", None, lambda spark, d: table(spark, d, "pages").select("page_id", checksum.block_sums(F.col("html").cast("binary"), 1024).alias("sums")), "")

@@ -73,10 +73,14 @@ def export(ev: DataFrame, path: str, fmt: str = "jsonl", compression: str = "non
         table(ev).select(F.to_json(F.struct(*COLUMNS)).alias("value")).mapInPandas(arrays, "value string").write.option("compression", compression).text(path)
 
 
+#: JSON writers cut times to milliseconds otherwise.
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_days(ev: DataFrame, path: str) -> None:
     """JSON lines by year, month, day and hour, gzipped: the layout of object stores."""
     ts = F.col("ts")
-    ev.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)}).write.partitionBy("year", "month", "day", "hour").option("compression", "gzip").mode("append").json(path)
+    ev.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)}).write.partitionBy("year", "month", "day", "hour").option("compression", "gzip").options(timestampNTZFormat=_MICROS, timestampFormat=_MICROS + "XXX").mode("append").json(path)
 
 
 def manifest(spark, path: str) -> DataFrame:
