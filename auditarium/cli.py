@@ -12,6 +12,7 @@ import csv
 import json
 import sys
 import time
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,8 +96,10 @@ def do_compact(spark: SparkSession, a) -> int:
     elif a.force:
         rows = maintain.compacted(ev)
     else:
-        low = ratios.where(F.col("ratio") < policy.ratio).select("segment")
-        rows = maintain.compacted(ev.join(low, "segment", "left_semi")).unionByName(ev.join(low, "segment", "left_anti"))
+        seg = replay.segments(ev)
+        last = seg.agg(F.max("end_seq").alias("last"))  # the segment that is still written isn't sealed
+        seg = seg.crossJoin(F.broadcast(last)).withColumn("sealed", F.col("end_seq") < F.col("last")).withColumn("created_at", F.col("start_time")).join(ratios.select("segment", "ratio"), "segment")
+        rows = maintain.compact_cycle(ev, seg, policy, str(datetime.now(UTC).replace(tzinfo=None)))
     wal.write_log(rows, a.output)
     return 0
 
@@ -125,14 +128,21 @@ def do_recover(spark: SparkSession, a) -> int:
 def do_monitor(spark: SparkSession, a) -> int:
     if a.interval < 1:
         raise SystemExit("the interval must be a second or more")
-    before = None
+    before, known = None, {}
     for k in range(a.checks or sys.maxsize):
         if k:
             time.sleep(a.interval)
-        row = wal.read_log(spark, a.wal).agg(F.count_if(F.col("parse_error").isNull()).alias("records"), F.count_if(F.col("parse_error").isNotNull()).alias("errors"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-        rate = 0.0 if before is None else (row["records"] - before) / a.interval
-        before = row["records"]
-        print(json.dumps({"records": row["records"], "errors": row["errors"], "bytes": row["bytes"], "rate": rate, "alert": row["errors"] >= a.threshold}), flush=True)
+        now = dict(wal.files(a.wal, ".wal"))
+        grown = [p for p, size in now.items() if known.get(p, (None,))[0] != size]  # files that are as they were aren't read again
+        known = {p: x for p, x in known.items() if p in now and p not in grown}
+        if grown:
+            rec = wal.read_log(spark, a.wal, files=[p.rpartition("/")[2] for p in grown])
+            found = {r["path"]: r for r in rec.groupBy("path").agg(F.count_if(F.col("parse_error").isNull()).alias("records"), F.count_if(F.col("parse_error").isNotNull()).alias("errors"), F.sum("size").alias("bytes")).collect()}
+            known |= {p: (now[p], found[p]["records"], found[p]["errors"], found[p]["bytes"]) if p in found else (now[p], 0, 0, 0) for p in grown}
+        records, errors, size = (sum(x[j] for x in known.values()) for j in (1, 2, 3))
+        rate = 0.0 if before is None else (records - before) / a.interval
+        before = records
+        print(json.dumps({"records": records, "errors": errors, "bytes": size, "rate": rate, "alert": errors >= a.threshold}), flush=True)
     return 0
 
 

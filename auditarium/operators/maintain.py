@@ -37,11 +37,11 @@ def pack(seg: DataFrame, policy: CompactionPolicy) -> DataFrame:
                     group, held = group + 1, 0
                 held += size
                 numbers.append(group)
-            yield pa.RecordBatch.from_arrays([batch.column("log"), batch.column("segment"), batch.column("size"), pa.array(numbers, pa.int32())], names=["log", "segment", "size", "group_no"])
+            yield pa.RecordBatch.from_arrays([batch.column("log"), batch.column("start_seq").cast(pa.int64()), batch.column("segment"), batch.column("size"), pa.array(numbers, pa.int32())], names=["log", "start_seq", "segment", "size", "group_no"])
 
     dealt = rows.repartition("log") if keyed else rows.coalesce(1)
-    groups = dealt.sortWithinPartitions("log", "start_seq", "segment").mapInArrow(numbered, f"log {kind}, segment long, size long, group_no int")
-    groups = groups.groupBy("log", "group_no").agg(F.array_sort(F.collect_list("segment")).alias("segments"), F.sum("size").alias("bytes"), F.count("*").cast("int").alias("n"))
+    groups = dealt.sortWithinPartitions("log", "start_seq", "segment").mapInArrow(numbered, f"log {kind}, start_seq long, segment long, size long, group_no int")
+    groups = groups.groupBy("log", "group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_seq", "segment"))), lambda x: x["segment"]).alias("segments"), F.sum("size").alias("bytes"), F.count("*").cast("int").alias("n"))
     last = groups.groupBy("log").agg(F.max("group_no").alias("last"))
     kept = groups.join(last, "log").where((F.col("group_no") < F.col("last")) | (F.col("n") >= policy.min_segments) | (F.col("bytes") >= policy.min_segment_size))
     return kept.select(*(["log"] if keyed else []), "group_no", "segments", "bytes", "n")
@@ -62,6 +62,16 @@ def compact_range(ev: DataFrame, seg: DataFrame, first: int, last: int) -> DataF
     return merged.select(ev.columns).union(marked.where("not __in").select(ev.columns))
 
 
+def compact_cycle(ev: DataFrame, seg: DataFrame, policy: CompactionPolicy, as_of: str) -> DataFrame:
+    """ev after one cycle: eligible segments (seg: sealed, created_at, size, ratio, start_seq) are grouped to the target size, and each group becomes one compacted
+    segment with the number of its first; other segments stay as they are."""
+    groups = pack(eligible(seg, policy, as_of), policy)
+    into = groups.select(F.explode("segments").alias("segment"), F.element_at("segments", 1).alias("__into"))
+    marked = ev.join(into, "segment", "left")
+    merged = compacted(marked.where("__into is not null")).withColumn("segment", F.col("__into").cast(ev.schema["segment"].dataType))
+    return merged.select(ev.columns).union(marked.where("__into is null").select(ev.columns))
+
+
 def vacuumed(ev: DataFrame, seg: DataFrame, share: float = 0.1) -> DataFrame:
     """ev without the deleted records of sealed segments of which at least a share is deleted. Sequences and other records stay."""
     chosen = vacuum_candidates(seg.where("sealed"), share).select("segment", F.lit(True).alias("__hit"))

@@ -347,6 +347,8 @@ simple("positional_scan_bytes", "SELECT sequence FROM ev WHERE segment = 0 AND s
 simple("segment_catalog", "SELECT segment, min(sequence) AS start_seq, max(sequence) AS end_seq, count(*) AS record_count, sum(size)::BIGINT AS size, segment < (SELECT max(segment) FROM ev) AS sealed, false AS damaged FROM ev GROUP BY segment", lambda ev: _catalog(ev))
 simple("index_saved", "SELECT segment, start_seq, end_seq FROM seg", lambda ev: _index(ev), SEG)
 simple("compact_range", "SELECT CASE WHEN segment BETWEEN 1 AND 2 AND (SELECT max(segment) FROM ev) > 1 THEN 1 ELSE segment END AS segment, sequence FROM ev WHERE NOT (segment BETWEEN 1 AND 2 AND (SELECT max(segment) FROM ev) > 1 AND flags & 1 = 1)", lambda ev: maintain.compact_range(ev, replay.segments(ev), 1500, 2500).select("segment", "sequence"))
+simple("index_scan", "SELECT sequence, flags, size::INTEGER AS size FROM ev", lambda ev: wal.read_headers(ev.sparkSession, written_log(ev)).select("sequence", "flags", "size"))
+simple("compact_cycle", f"SELECT e.sequence, e.event_data FROM ev e JOIN seg s USING (segment) WHERE NOT (e.flags & 1 = 1 AND s.record_count = 1000 AND s.start_time <= TIMESTAMP '{AS_OF}' - INTERVAL {POLICY.max_age_hours} HOUR)", lambda ev: maintain.compact_cycle(ev, seg_of(ev).withColumn("ratio", F.lit(0.0)), CompactionPolicy(min_segments=1, target_size=POLICY.target_size, ratio=POLICY.ratio), AS_OF).select("sequence", "event_data"), SEG)
 simple("vacuum_rewrite", "SELECT sequence, segment FROM ev JOIN seg USING (segment) WHERE NOT (record_count = 1000 AND deleted::DOUBLE / record_count >= 0.1 AND flags & 1 = 1)", lambda ev: maintain.vacuumed(ev, seg_of(ev)).select("sequence", "segment"), SEG)
 simple("merkle_proofs", "SELECT sequence, sha256(event_data) AS hash, ceil(log2((SELECT count(*) FROM ev)))::INTEGER AS steps, true AS valid FROM ev WHERE sequence % 97 = 1", lambda ev: _proofs(ev))
 simple("signature_chain", "SELECT count(*) AS records, 0::BIGINT AS wrong_data, 0::BIGINT AS wrong_signatures, 0::BIGINT AS broken_links, true AS valid FROM nation", lambda spark, d: _signed(spark, d), "")

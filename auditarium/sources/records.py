@@ -106,6 +106,31 @@ def split(data: bytes, mode: str = "RESYNC", most: int = MAX_PAYLOAD, start: int
         at = next_at
 
 
+def headers(data: bytes, most: int = MAX_PAYLOAD, start: int = 0, stop: int | None = None) -> Iterator[Record | Damage]:
+    """Records by their headers alone, from one to the next by its length: payloads are neither checked nor copied. After a header that fails, the next one that holds."""
+    stop, at = len(data) if stop is None else stop, start
+    while at < min(stop, len(data)):
+        begin = at
+        while True:
+            if at + HEAD.size > len(data):
+                yield Damage(begin, len(data) - begin, "short")
+                return
+            magic, version, flags, n, ts, head_sum, sequence, prev = HEAD.unpack_from(data, at)
+            if magic == MAGIC and n <= most and zlib.crc32(data[at : at + 20]) == head_sum:
+                break
+            at = data.find(MARK, at + 1)
+            if at < 0:
+                yield Damage(begin, len(data) - begin, "header checksum")
+                return
+        if at > begin:
+            yield Damage(begin, at - begin, "header checksum")
+        if at + OVERHEAD + n > len(data):
+            yield Damage(at, len(data) - at, "short")
+            return
+        yield Record(at, OVERHEAD + n, version, flags, ts, sequence, prev, b"", "")
+        at += OVERHEAD + n
+
+
 def journal_entry(position: int, data: bytes, status: int = 0) -> bytes:
     return JOURNAL_HEAD.pack(JOURNAL_MAGIC, status, position, len(data), zlib.crc32(data)) + data
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from auditarium.functions.model import LogConfig
+
 from . import records
 
 SCHEMA = "path string, offset long, size int, flags int, ts_nanos long, sequence long, prev_hash string, hash string, event_data binary, parse_error string"
@@ -74,12 +76,14 @@ class _WalReader(DataSourceReader):
         self.path, self.mode = options["path"], options.get("mode", "RESYNC").upper()
         self.most, self.step = int(options.get("maxRecordSize", records.MAX_PAYLOAD)), int(options.get("splitBytes", 32 << 20))
         self.tests: list[tuple[str, str, int]] = []
+        self.named = None if options.get("files") is None else frozenset(options["files"].split("/"))
+        self.headers = options.get("headers") == "true"
         if self.mode not in records.MODES:
             raise ValueError(f"no mode {self.mode}")
 
     def partitions(self) -> list[Group]:
         step = self.step if self.mode == "RESYNC" else 1 << 62
-        return grouped([Split(path, at, min(size, at + step), size) for path, size in files(self.path, ".wal") for at in range(0, size, step)], self.step)
+        return grouped([Split(path, at, min(size, at + step), size) for path, size in files(self.path, ".wal") if self.named is None or path.rpartition("/")[2] in self.named for at in range(0, size, step)], self.step)
 
     def read(self, group: Group) -> Iterator[pa.RecordBatch]:
         for split in group.splits:
@@ -103,12 +107,13 @@ class _WalReader(DataSourceReader):
             rows.append((split.path, split.start + more, lost, None, None, None, None, None, None, "magic"))
         if begin < 0:
             begin = len(data)
-        for got in records.split(data, self.mode, self.most, begin, split.end - split.start):
+        found = records.headers(data, self.most, begin, split.end - split.start) if self.headers else records.split(data, self.mode, self.most, begin, split.end - split.start)
+        for got in found:
             if isinstance(got, records.Damage):
                 if not self.tests:
                     rows.append((split.path, split.start + got.offset, min(got.size, 2**31 - 1), None, None, None, None, None, None, got.error))
             elif all(getattr(getattr(got, name), test)(value) for name, test, value in self.tests):
-                rows.append((split.path, split.start + got.offset, got.size, got.flags, got.ts_nanos, got.sequence, got.prev_hash.hex(), got.hash, got.event_data, None))
+                rows.append((split.path, split.start + got.offset, got.size, got.flags, got.ts_nanos, got.sequence, got.prev_hash.hex(), got.hash or None, None if self.headers else got.event_data, None))
             if len(rows) >= 4096:
                 yield _batch(rows)
                 rows = []
@@ -226,22 +231,41 @@ class AuditJournal(DataSource):
         return _JournalReader(self.options)
 
 
-def read_log(spark: SparkSession, path: str, mode: str = "RESYNC", include_deleted: bool = True, max_record_size: int = records.MAX_PAYLOAD, split_bytes: int = 32 << 20) -> DataFrame:
-    """Records of all segments of a log; damaged runs have parse_error."""
+def read_log(spark: SparkSession, path: str, mode: str = "RESYNC", include_deleted: bool = True, max_record_size: int = records.MAX_PAYLOAD, split_bytes: int = 32 << 20, files: list[str] | None = None) -> DataFrame:
+    """Records of all segments of a log, or of the named files; damaged runs have parse_error."""
     spark.dataSource.register(AuditWal)
     takes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    rec = spark.read.format("auditwal").options(path=path, takesFilters=takes, mode=mode, maxRecordSize=max_record_size, splitBytes=split_bytes).load()
+    rec = spark.read.format("auditwal").options(path=path, takesFilters=takes, mode=mode, maxRecordSize=max_record_size, splitBytes=split_bytes, **({} if files is None else {"files": "/".join(files)})).load()
     return rec if include_deleted else rec.where(F.col("parse_error").isNotNull() | (F.col("flags").bitwiseAND(1) == 0))
 
 
-def write_log(ev: DataFrame, path: str, segment_bytes: int = 64 << 20, **options) -> None:
-    """Events (sequence, ts, event_data, flags, segment) as a log; one shuffle, by segment, since a segment is chained in order."""
+def write_log(ev: DataFrame, path: str, segment_bytes: int = 64 << 20, config: LogConfig | None = None, **options) -> None:
+    """Events (sequence, ts, event_data, flags, segment) as a log; one shuffle, by segment, since a segment is chained in order. config: settings that were checked;
+    its size of segments counts, and its profile's transforms are the caller's (compliance.apply_profile)."""
     spark = ev.sparkSession
+    segment_bytes = config.segment_bytes if config else segment_bytes
     spark.dataSource.register(AuditWal)
     rows = ev.select("sequence", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_nanos"), F.col("event_data").cast("binary").alias("event_data"), F.col("flags").cast("int").alias("flags"), F.col("segment").cast("long").alias("segment"))
     rows.repartition("segment").sortWithinPartitions("segment", "sequence").write.format("auditwal").options(path=path, segmentBytes=segment_bytes, **options).mode("append").save()
 
 
+def read_headers(spark: SparkSession, path: str, max_record_size: int = records.MAX_PAYLOAD) -> DataFrame:
+    """path, offset, size, flags, ts_nanos, sequence, prev_hash of a log's records: an index scan that neither checks nor passes on what records hold. Files are read whole, each by one task."""
+    spark.dataSource.register(AuditWal)
+    rec = spark.read.format("auditwal").options(path=path, maxRecordSize=max_record_size, splitBytes=1 << 62, headers="true").load()
+    return rec.where("parse_error is null").select("path", "offset", "size", "flags", "ts_nanos", "sequence", "prev_hash")
+
+
+def checked_scan(rec: DataFrame, most: int = 10) -> DataFrame:
+    """The good records of rec; raises if a file has more than `most` damaged runs before its first good record, which no log of ours has."""
+    good = F.col("parse_error").isNull()
+    first = rec.groupBy("path").agg(F.min(F.when(good, F.col("offset"))).alias("first"))
+    bad = rec.where(~good).join(first, "path").where(F.col("first").isNull() | (F.col("offset") < F.col("first"))).groupBy("path").count().where(F.col("count") > most).select("path").limit(5).collect()
+    if bad:
+        raise ValueError(f"not logs: {[r['path'] for r in bad]}")
+    return rec.where(good)
+
+
 def last_record(spark: SparkSession, path: str) -> tuple[int, int, str]:
     """Segment, sequence and hash of a log's last record, from its last file alone; (-1, 0, no hash) of an empty log."""
     try:

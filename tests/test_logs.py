@@ -349,3 +349,26 @@ def test_manifest_of_days(spark, folder):
     export.write_days(ev, f"{folder}/days")
     rows = export.manifest(spark, f"{folder}/days").collect()
     assert sum(r["records"] for r in rows) == 10 and all(r["md5_b64"] and r["first_time"] <= r["last_time"] and r["name"].startswith("year=2024/month=1") for r in rows)
+
+
+def test_cycles_follow_the_policy(spark):
+    ev = log(spark, 100, 20).withColumn("size", F.lit(1000).cast("long"))
+    seg = replay.segments(ev).withColumn("sealed", F.col("segment") < 4).withColumn("created_at", F.col("start_time")).withColumn("ratio", F.when(F.col("segment") == 1, 0.9).otherwise(0.2))
+    policy = CompactionPolicy(min_segments=2, min_segment_size=1, target_size=45_000, ratio=0.5)
+    late = str(T0 + timedelta(days=3))
+    after = {(r["segment"], r["count"]) for r in maintain.compact_cycle(ev, seg, policy, late).groupBy("segment").count().collect()}
+    assert after == {(0, 36), (1, 20), (3, 18), (4, 20)}  # 0 and 2 are a group, 3 is full enough alone
+    assert maintain.compact_cycle(ev, seg, policy, str(T0)).exceptAll(ev).count() == 0
+
+
+def test_index_scan_and_checked_scan(spark, folder):
+    wal.write_log(log(spark), folder)
+    rows = wal.read_headers(spark, folder).orderBy("sequence").collect()
+    full = wal.read_log(spark, folder).orderBy("sequence").collect()
+    assert [(r["path"], r["offset"], r["size"], r["sequence"], r["prev_hash"]) for r in rows] == [(r["path"], r["offset"], r["size"], r["sequence"], r["prev_hash"]) for r in full]
+    assert wal.checked_scan(wal.read_log(spark, folder)).count() == 200
+    with open(f"{folder}/z.wal", "wb") as f:
+        f.write(b"no log at all")
+    with pytest.raises(ValueError, match="z.wal"):
+        wal.checked_scan(wal.read_log(spark, folder), 0)
+    assert wal.read_log(spark, folder, files=["z.wal"]).count() == 1
