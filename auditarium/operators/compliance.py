@@ -109,6 +109,15 @@ def unprotect(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys), "key_id", "left").withColumn("opened", F.try_aes_decrypt("sealed", "key", F.lit("GCM"), F.lit("DEFAULT"))).drop("key")
 
 
+def rotate(rows: DataFrame, keys: DataFrame, key: bytes) -> DataFrame:
+    """Sealed rows (key_id, sealed) under a new key; those that no known key opens stay as they are, with their key_id."""
+    old = rows.select(F.struct("key_id", "sealed").alias("old"), *(c for c in rows.columns if c not in ("key_id", "sealed")))
+    opened = unprotect(old.select("*", F.col("old.key_id").alias("key_id"), F.col("old.sealed").alias("sealed")), keys)
+    new = protect(opened.drop("key_id", "sealed"), key, "opened")
+    kept = F.col("opened").isNull()
+    return new.withColumn("key_id", F.when(kept, F.col("old.key_id")).otherwise(F.col("key_id"))).withColumn("sealed", F.when(kept, F.col("old.sealed")).otherwise(F.col("sealed"))).select(rows.columns)
+
+
 def needs(names: DataFrame, profiles: DataFrame) -> DataFrame:
     """For each id with an array of profile names: does any ask for encryption, for signing, and the longest retention. Unknown names count as asking nothing."""
     rows = names.select("id", F.explode_outer("names").alias("name")).join(F.broadcast(profiles), "name", "left")

@@ -17,6 +17,14 @@ def buckets(ev: DataFrame, interval: str) -> DataFrame:
     return ev.groupBy(at.alias("bucket")).agg(F.count("*").alias("events"), F.count_if(F.col("level") >= ERROR).alias("errors"))
 
 
+def silence(ev: DataFrame, interval: str, seconds: int) -> DataFrame:
+    """buckets with silent_seconds: whole seconds between a bucket's last event and its end."""
+    at = F.date_trunc(interval, "ts").cast("timestamp_ntz")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = ev.groupBy(at.alias("bucket")).agg(F.count("*").alias("events"), F.count_if(F.col("level") >= ERROR).alias("errors"), F.max("ts").alias("last"))
+    return rows.withColumn("silent_seconds", ((micros("bucket") + seconds * 1_000_000 - micros("last")) / 1_000_000).cast("long")).drop("last")
+
+
 def throughput(counts: DataFrame, seconds: int, slots: int = 60) -> DataFrame:
     """Events a second over the last slots buckets, silent ones left out."""
     last = Window.orderBy("bucket").rowsBetween(-(slots - 1), 0)

@@ -189,6 +189,18 @@ def _objects(spark: SparkSession, d: str) -> DataFrame:
     return verify.object_integrity(table(spark, d, "pages").select(F.octet_length("html").cast("long").alias("size"), (k % 3 != 0).alias("encrypted"), (k % 4 != 0).alias("locked"), F.when(k % 5 != 0, F.lit(AS_OF).cast("timestamp_ntz")).alias("retention_until")))
 
 
+@query("backend_shadow", "SELECT count(*) AS events, true AS counts_equal, 0::BIGINT AS differ FROM ev")
+def _backend_shadow(ev: DataFrame) -> DataFrame:
+    """A backend's files and their shadows: as many, and with equal digests."""
+    spark = ev.sparkSession
+    path, shadow = shared_dir(spark, "backend"), shared_dir(spark, "shadow")
+    export.write_backend(ev.select("sequence", "ts"), path, shadow)
+    listed = lambda p: spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(p).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.base64(F.unhex(F.md5("content"))).alias("md5_b64"))
+    differ = verify.manifest_mismatch(listed(shadow), listed(path)).agg(F.count("*").alias("differ"))
+    rows = spark.read.schema("sequence long").json(shadow).agg(F.count("*").alias("events"))
+    return rows.crossJoin(F.broadcast(verify.shadow_check(listed(path), listed(shadow)).select("counts_equal"))).crossJoin(F.broadcast(differ))
+
+
 @query("shadow_count_check", "SELECT count(*) FILTER (page_id % 11 <> 3) AS primary_files, count(*) FILTER (page_id % 13 <> 4) AS shadow_files, count(*) FILTER (page_id % 11 <> 3 AND page_id % 13 = 4) AS missing_in_shadow, count(*) FILTER (page_id % 11 = 3 AND page_id % 13 <> 4) AS missing_in_primary, count(*) FILTER (page_id % 11 <> 3) = count(*) FILTER (page_id % 13 <> 4) AS counts_equal FROM pages", "")
 def _shadow(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "pages").select(F.col("page_id").alias("name"))
@@ -221,9 +233,23 @@ simple(
     lambda ev: compliance.apply_profile(ev.withColumn("props", F.create_map(F.lit("PhoneNo"), F.col("entity_id"), F.lit("Action"), F.col("event_type"))), "HIPAA").select("sequence", *(F.col("props")[k].alias(n) for k, n in (("PhoneNo", "PhoneNo"), ("Action", "Action"), ("_compliance_profile", "profile"), ("_compliance_sequence", "own")))),
 )
 simple("mask_json", "SELECT sequence, '\"****\"' AS masked FROM ev", lambda ev: ev.select("sequence", compliance.mask_json(F.get_json_object("props", "$.k")).alias("masked")))
+simple(
+    "mask_json_types",
+    f"SELECT sequence, CASE sequence % 4 WHEN 1 THEN '\"****\"' WHEN 2 THEN '\"' || {_MASK.replace('x)', 'y)').replace('(x,', '(y,')} || '\"' ELSE '\"[REDACTED]\"' END AS masked FROM (SELECT sequence, event_type || '-' || sequence AS y FROM ev)",
+    lambda ev: ev.select("sequence", compliance.mask_json(F.when(F.col("sequence") % 4 == 0, F.lit("true")).when(F.col("sequence") % 4 == 1, F.col("sequence").cast("string")).when(F.col("sequence") % 4 == 2, F.concat(F.lit('"'), "event_type", F.lit("-"), F.col("sequence").cast("string"), F.lit('"'))).otherwise(F.lit("[1]"))).alias("masked")),
+)
+simple("key_rotation", "SELECT sequence, event_data AS opened FROM ev", lambda ev: _rotated(ev))
 simple("aes_round_trip", "SELECT sequence, event_data AS opened, (strlen(event_data) + 28)::INTEGER AS sealed_bytes FROM ev", lambda ev: _sealed(ev))
 
 
+def _rotated(ev: DataFrame) -> DataFrame:
+    """Events sealed under one key, then under another, and opened by that one alone."""
+    keys = [bytes(range(k, k + 32)) for k in (0, 7)]
+    table_of = lambda key: ev.sparkSession.range(1).select(F.substring(F.sha2(F.lit(bytearray(key)), 256), 1, 16).alias("key_id"), F.lit(bytearray(key)).alias("key"))
+    rows = compliance.protect(ev, keys[0]).select("sequence", "key_id", "sealed")
+    return compliance.unprotect(compliance.rotate(rows, table_of(keys[0]), keys[1]), table_of(keys[1])).select("sequence", F.col("opened").cast("string").alias("opened"))
+
+
 def _sealed(ev: DataFrame) -> DataFrame:
     key = bytes(range(32))
     keys = ev.sparkSession.range(1).select(F.substring(F.sha2(F.lit(bytearray(key)), 256), 1, 16).alias("key_id"), F.lit(bytearray(key)).alias("key"))
@@ -283,6 +309,13 @@ simple(
     lambda ev: monitor.health(hours(ev).withColumn("silent_seconds", F.col("events") % 400).withColumn("throughput", F.col("events") % 3)),
     _HOURS,
 )
+_SILENCE = "((epoch_us(bucket) + 3600000000 - epoch_us(last)) // 1000000)::BIGINT"
+simple(
+    "health_by_hour",
+    f"""SELECT bucket, errors, silent_seconds, CASE WHEN r > 0.5 THEN 'unhealthy' WHEN r > 0.05 OR silent_seconds > 300 THEN 'degraded' ELSE 'healthy' END AS status
+  FROM (SELECT bucket, errors, {_SILENCE} AS silent_seconds, errors::DOUBLE / events AS r FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*) AS events, count(*) FILTER (level >= 4) AS errors, max(ts) AS last FROM ev GROUP BY 1))""",
+    lambda ev: monitor.health(monitor.silence(ev, "hour", 3600).withColumn("throughput", F.col("events") / 3600)).select("bucket", "errors", "silent_seconds", "status"),
+)
 simple("breaker_success_rate", "SELECT segment, count(*) AS calls, count(*) FILTER (level = 4) AS failures, round(count(*) FILTER (level <> 4)::DOUBLE / count(*), 9) AS success_rate FROM ev GROUP BY segment", lambda ev: monitor.success_rates(ev.withColumn("ok", F.col("level") != 4), "segment"))
 simple("breaker_states", None, lambda ev: monitor.breaker(ev.select(F.col("entity_id").alias("component"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("level") != 4).alias("ok")).withColumn("at", F.col("at") / 1e6), 2, 3600.0))
 simple("latency_percentiles", "SELECT event_type, v[ceil(0.5 * len(v))::INTEGER] AS p50, v[ceil(0.99 * len(v))::INTEGER] AS p99, v[ceil(0.999 * len(v))::INTEGER] AS p999 FROM (SELECT event_type, list_sort(list(value)) AS v FROM ev GROUP BY event_type)", lambda ev: monitor.percentiles(ev, "value", "event_type"))

@@ -83,6 +83,29 @@ def write_days(ev: DataFrame, path: str) -> None:
     ev.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)}).write.partitionBy("year", "month", "day", "hour").option("compression", "gzip").options(timestampNTZFormat=_MICROS, timestampFormat=_MICROS + "XXX").mode("append").json(path)
 
 
+def write_backend(ev: DataFrame, path: str, shadow: str | None = None, compression: str = "none") -> None:
+    """Events as a file backend's JSON lines; with shadow, each file is copied there by the tasks, under its name."""
+    from auditarium.sources.wal import files, store_of
+
+    ev.write.option("compression", compression).options(timestampNTZFormat=_MICROS, timestampFormat=_MICROS + "XXX").mode("append").json(path)
+    if shadow is None:
+        return
+    spark = ev.sparkSession
+    names = spark.createDataFrame([(p,) for p, _ in files(path, "")], "name string").repartition("name")
+
+    def copied(batches):
+        (store, _), (other, base) = store_of(path), store_of(shadow)
+        other.create_dir(base, recursive=True)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with store.open_input_stream(name) as src, other.open_output_stream(f"{base}/{name.rpartition('/')[2]}") as out:
+                    while block := src.read(1 << 20):
+                        out.write(block)
+            yield batch
+
+    names.mapInArrow(copied, "name string").count()
+
+
 def manifest(spark, path: str) -> DataFrame:
     """name, size, records, first and last ts, and md5_b64 of each object that write_days wrote: what stores keep as its metadata."""
     objects = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(path)
