@@ -1,6 +1,6 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from . import decontamination, divergence, html_extraction, language_id, lattice, media, near_duplicates, packing, sharding, substring_dedup, toxicity
+from . import decontamination, divergence, html_extraction, language_id, lattice, media, near_duplicates, packing, sharding, substring_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_near_duplicates": near_duplicates.query,
     "op10_media": media.query,
     "op11_divergence": divergence.query,
+    "op12_whitening": whitening.query,
 }
 ORACLES = {"op3_substring_dedup": substring_dedup.ORACLE, "op4_sharding": sharding.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_near_duplicates": near_duplicates.ORACLE, "op11_divergence": divergence.ORACLE}
