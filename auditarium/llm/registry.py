@@ -1,6 +1,6 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from . import decontamination, divergence, html_extraction, language_id, lattice, media, near_duplicates, packing, sharding, substring_dedup, toxicity, whitening
+from . import decontamination, divergence, html_extraction, language_id, lattice, media, near_duplicates, packing, sharding, substring_dedup, toxicity, warc, whitening
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_media": media.query,
     "op11_divergence": divergence.query,
     "op12_whitening": whitening.query,
+    "op13_warc": warc.query,
 }
 ORACLES = {"op3_substring_dedup": substring_dedup.ORACLE, "op4_sharding": sharding.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_near_duplicates": near_duplicates.ORACLE, "op11_divergence": divergence.ORACLE}

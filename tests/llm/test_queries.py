@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__
 from auditarium.llm import registry
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings".split()
 
 
 @pytest.fixture(scope="module")
@@ -97,4 +97,4 @@ def test_packing_query(spark, sf, documents):
 
 def test_every_operator_has_one_query():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and os.path.basename(registry.__file__) == "registry.py"
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and os.path.basename(registry.__file__) == "registry.py"
