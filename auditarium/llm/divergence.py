@@ -40,6 +40,8 @@ SCALE = 1_000_000_000
 LETTERS = np.zeros(256, bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 LEAST, TOP, CELLS, SEAT = 3, 200, 1 << 17, 8
+#: Languages of several buckets that are broadcast (some 40 bytes each).
+BROADCAST = 100_000
 #: Bytes of text that are counted at once.
 SLICE = 8 << 20
 
@@ -219,7 +221,7 @@ def _met(home: pa.Table, away: pa.Table | None, top: int) -> pa.Table:
 def partner(r, i, m):
     """The seat that seat i meets in round r of m - 1 (m even): a column expression; m's last seat stays where the others turn."""
     turn = F.pmod(r - i, m - 1)
-    return F.when(i == m - 1, F.pmod(r * F.expr("m div 2"), m - 1)).when(turn == i, m - 1).otherwise(turn)
+    return F.when(i == m - 1, F.pmod(r * F.floor(m / 2), m - 1)).when(turn == i, m - 1).otherwise(turn)
 
 
 def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, cells: int = CELLS, seat: int = SEAT) -> DataFrame:
@@ -228,7 +230,10 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, cells: int =
     counts = written(counts_of(docs), "counts")
     # as many buckets as a language's counts ask for
     sizes = counts.groupBy("lang").agg(F.ceil(F.count("*") / cells).cast("int").alias("buckets"))
-    dealt = counts.where("term <> ''").join(sizes, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("bucket"), "source", "term", "n", "d")
+    # only languages of several buckets need a look-up, and there is at most one for each `cells` counts; a shuffle by language would leave a task to each
+    several = written(sizes.where("buckets > 1").withColumnRenamed("buckets", "own"), "buckets")
+    several = F.broadcast(several) if several.count() <= BROADCAST else several
+    dealt = counts.where("term <> ''").join(several, "lang", "left").select("lang", F.pmod(F.xxhash64("term"), F.coalesce("own", F.lit(1))).cast("int").alias("bucket"), "source", "term", "n", "d")
     vectors = written(dealt.groupBy("lang", "bucket").applyInArrow(_vectors(least), _VECTORS), "vectors")
     # groups: N, V and a seat for each source of a language
     kept = vectors.where("source is null").groupBy("lang").agg(F.sum("size").alias("v"), F.sum("total").alias("n_lang"))
@@ -246,7 +251,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, cells: int =
     everywhere = groups.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
     own = everywhere.join(vectors.where("source is not null").select("lang", "bucket", "source", "vector"), ["lang", "bucket", "source"], "left").join(sizes_of, ["lang", "bucket"], "left")
     own = own.select("lang", "bucket", "seat", "source", F.coalesce("size", F.lit(0)).alias("size"), "n", "v", "vector")
-    visits = groups.select("lang", "seat", F.col("n_lang").alias("n"), "v").distinct().join(whole, "lang").select("lang", "bucket", "seat", F.lit(None).cast("string").alias("source"), "size", "n", "v", F.col("lv").alias("vector"), "terms")
+    visits = everywhere.select("lang", "bucket", "seat", F.col("n_lang").alias("n"), "v").distinct().join(whole, ["lang", "bucket"]).select("lang", "bucket", "seat", F.lit(None).cast("string").alias("source"), "size", "n", "v", F.col("lv").alias("vector"), "terms")
     residents = written(own.withColumn("terms", F.lit(None).cast("binary")).unionByName(visits), "residents")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     home = residents.repartition(parts, "lang", "bucket", "seat").persist(StorageLevel.MEMORY_AND_DISK)
