@@ -106,29 +106,47 @@ def split(data: bytes, mode: str = "RESYNC", most: int = MAX_PAYLOAD, start: int
         at = next_at
 
 
-def headers(data: bytes, most: int = MAX_PAYLOAD, start: int = 0, stop: int | None = None) -> Iterator[Record | Damage]:
-    """Records by their headers alone, from one to the next by its length: payloads are neither checked nor copied. After a header that fails, the next one that holds."""
-    stop, at = len(data) if stop is None else stop, start
-    while at < min(stop, len(data)):
-        begin = at
-        while True:
-            if at + HEAD.size > len(data):
-                yield Damage(begin, len(data) - begin, "short")
+def ended(read_at, size: int, mode: str, most: int = MAX_PAYLOAD, step: int = 32 << 20) -> Iterator[Record | Damage]:
+    """split in a mode that may end a file before its end (SKIP, STOP_AT_ERROR), by blocks of step bytes; read_at: of a length and a place, the bytes."""
+    at = 0
+    while at < size:
+        data = read_at(min(size - at, step + most + OVERHEAD), at)
+        done = 0
+        for got in split(data, mode, most, 0, min(step, len(data))):
+            done = got.offset + got.size
+            if isinstance(got, Damage) and done == len(data):  # what ends a block ends the file
+                yield Damage(at + got.offset, size - at - got.offset, got.error)
                 return
-            magic, version, flags, n, ts, head_sum, sequence, prev = HEAD.unpack_from(data, at)
-            if magic == MAGIC and n <= most and zlib.crc32(data[at : at + 20]) == head_sum:
-                break
-            at = data.find(MARK, at + 1)
-            if at < 0:
-                yield Damage(begin, len(data) - begin, "header checksum")
+            yield got._replace(offset=at + got.offset)
+        at += done
+
+
+def walked(read_at, size: int, most: int = MAX_PAYLOAD, block: int = 256 << 10) -> Iterator[Record | Damage]:
+    """Records by their headers alone, from one to the next by its length. Short records come with the blocks that are read; what a long record holds beyond its block is never
+    read. After a header that fails, the next one that holds."""
+    at, held, data, begin = 0, 0, b"", -1  # data is what stands from held on; begin: of damage
+    while at < size:
+        if at + HEAD.size > size:
+            break
+        if not held <= at <= held + len(data) - HEAD.size:
+            held, data = at, read_at(min(block, size - at), at)
+        magic, version, flags, n, ts, head_sum, sequence, prev = HEAD.unpack_from(data, at - held)
+        if magic == MAGIC and n <= most and zlib.crc32(data[at - held : at - held + 20]) == head_sum:
+            if begin >= 0:
+                yield Damage(begin, at - begin, "header checksum")
+                begin = -1
+            if at + OVERHEAD + n > size:
+                yield Damage(at, size - at, "short")
                 return
-        if at > begin:
-            yield Damage(begin, at - begin, "header checksum")
-        if at + OVERHEAD + n > len(data):
-            yield Damage(at, len(data) - at, "short")
-            return
-        yield Record(at, OVERHEAD + n, version, flags, ts, sequence, prev, b"", "")
-        at += OVERHEAD + n
+            yield Record(at, OVERHEAD + n, version, flags, ts, sequence, prev, b"", "")
+            at += OVERHEAD + n
+            continue
+        begin = at if begin < 0 else begin
+        found = data.find(MARK, at + 1 - held)
+        at = held + found if found >= 0 else max(at + 1, held + len(data) - 3)
+    if begin >= 0 or at < size:
+        begin = at if begin < 0 else begin
+        yield Damage(begin, size - begin, "header checksum" if size - begin >= HEAD.size else "short")
 
 
 def journal_entry(position: int, data: bytes, status: int = 0) -> bytes:

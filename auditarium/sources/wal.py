@@ -11,29 +11,28 @@ of tasks that didn't commit are never listed.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from auditarium.functions.model import LogConfig
+from auditarium.functions.model import FLAG_DELETED, LogConfig
 
-from . import records
+from . import manifest, records
+from .manifest import store_of
 
 SCHEMA = "path string, offset long, size int, flags int, ts_nanos long, sequence long, prev_hash string, hash string, event_data binary, parse_error string"
 _FIELDS = [("path", pa.string()), ("offset", pa.int64()), ("size", pa.int32()), ("flags", pa.int32()), ("ts_nanos", pa.int64()), ("sequence", pa.int64()), ("prev_hash", pa.string()), ("hash", pa.string()), ("event_data", pa.binary()), ("parse_error", pa.string())]
 _TESTS = {EqualTo: "__eq__", GreaterThan: "__gt__", GreaterThanOrEqual: "__ge__", LessThan: "__lt__", LessThanOrEqual: "__le__"}
 
 
-def store_of(path: str):
-    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
-
-
 def files(path: str, suffix: str) -> list[tuple[str, int]]:
     """Paths and sizes of a folder's files, or of one file, by name."""
     store, base = store_of(path)
@@ -52,6 +51,7 @@ class Split(InputPartition):
     start: int
     end: int
     size: int
+    vector: str | None = None  #: a file of offsets of records that are deleted
 
 
 @dataclass
@@ -78,16 +78,44 @@ class _WalReader(DataSourceReader):
         self.tests: list[tuple[str, str, int]] = []
         self.named = None if options.get("files") is None else frozenset(options["files"].split("/"))
         self.headers = options.get("headers") == "true"
+        self.generation = options.get("generation")
         if self.mode not in records.MODES:
             raise ValueError(f"no mode {self.mode}")
 
+    def _files(self) -> list[tuple[str, int, str | None]]:
+        """Path, size and deletion vector of the files to read: a generation's, or all of the folder."""
+        if self.generation is None:
+            found = [(path, size, None) for path, size in files(self.path, ".wal")]
+        else:
+            base, sizes = store_of(self.path)[1], dict(files(self.path, ".wal"))  # as they are: a file that was changed since shows
+            found = [(f"{base}/{e['name']}", sizes.get(f"{base}/{e['name']}", e["size"]), e.get("vector")) for e in manifest.load(self.path, int(self.generation)).ordered()]
+        return [f for f in found if self.named is None or f[0].rpartition("/")[2] in self.named]
+
     def partitions(self) -> list[Group]:
-        step = self.step if self.mode == "RESYNC" else 1 << 62
-        return grouped([Split(path, at, min(size, at + step), size) for path, size in files(self.path, ".wal") if self.named is None or path.rpartition("/")[2] in self.named for at in range(0, size, step)], self.step)
+        step = self.step if self.mode == "RESYNC" and not self.headers else 1 << 62
+        return grouped([Split(path, at, min(size, at + step), size, vector) for path, size, vector in self._files() for at in range(0, size, step)], self.step)
 
     def read(self, group: Group) -> Iterator[pa.RecordBatch]:
         for split in group.splits:
-            yield from self._split(split)
+            found = self._whole(split) if self.headers or self.mode != "RESYNC" else self._split(split)
+            yield from found if split.vector is None else self._marked(split, found)
+
+    def _marked(self, split: Split, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches with the deleted flag set where the segment's vector names the record."""
+        store, base = store_of(self.path)
+        dead = read_vector(store, f"{base}/{manifest.FOLDER}/{split.vector}")
+        for batch in batches:
+            hit = np.isin(batch.column("offset").to_numpy(), dead) & batch.column("parse_error").is_null().to_numpy(zero_copy_only=False)
+            flags = batch.column("flags").to_numpy(zero_copy_only=False)
+            flags = pa.array(np.where(hit, np.nan_to_num(flags).astype(np.int32) | FLAG_DELETED, flags), pa.int32(), from_pandas=True)
+            yield batch.set_column(batch.schema.get_field_index("flags"), "flags", flags)
+
+    def _whole(self, split: Split) -> Iterator[pa.RecordBatch]:
+        """A file from its beginning, block by block: headers by seeking from one to the next, or records until a mode ends it."""
+        store, _ = store_of(self.path)
+        with store.open_input_file(split.path) as handle:
+            found = records.walked(handle.read_at, split.size, self.most) if self.headers else records.ended(handle.read_at, split.size, self.mode, self.most, self.step)
+            yield from self._rows(split, 0, found)
 
     def _split(self, split: Split) -> Iterator[pa.RecordBatch]:
         store, _ = store_of(self.path)
@@ -107,13 +135,17 @@ class _WalReader(DataSourceReader):
             rows.append((split.path, split.start + more, lost, None, None, None, None, None, None, "magic"))
         if begin < 0:
             begin = len(data)
-        found = records.headers(data, self.most, begin, split.end - split.start) if self.headers else records.split(data, self.mode, self.most, begin, split.end - split.start)
+        yield from self._rows(split, split.start, records.split(data, self.mode, self.most, begin, split.end - split.start), rows)
+
+    def _rows(self, split: Split, start: int, found, rows: list[tuple] | None = None) -> Iterator[pa.RecordBatch]:
+        """Batches of what is found from a place of the file on, behind rows."""
+        rows = rows or []
         for got in found:
             if isinstance(got, records.Damage):
                 if not self.tests:
-                    rows.append((split.path, split.start + got.offset, min(got.size, 2**31 - 1), None, None, None, None, None, None, got.error))
+                    rows.append((split.path, start + got.offset, min(got.size, 2**31 - 1), None, None, None, None, None, None, got.error))
             elif all(getattr(getattr(got, name), test)(value) for name, test, value in self.tests):
-                rows.append((split.path, split.start + got.offset, got.size, got.flags, got.ts_nanos, got.sequence, got.prev_hash.hex(), got.hash or None, None if self.headers else got.event_data, None))
+                rows.append((split.path, start + got.offset, got.size, got.flags, got.ts_nanos, got.sequence, got.prev_hash.hex(), got.hash or None, None if self.headers else got.event_data, None))
             if len(rows) >= 4096:
                 yield _batch(rows)
                 rows = []
@@ -136,57 +168,76 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
 
+def read_vector(store, name: str) -> np.ndarray:
+    """Sorted offsets of a deletion vector."""
+    with store.open_input_stream(name) as handle:
+        return np.frombuffer(handle.read(), np.int64)
+
+
 @dataclass
 class _Files(WriterCommitMessage):
-    paths: list
+    entries: list  #: of each file what a manifest says of it
 
 
 class _WalWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.path, self.most = options["path"], int(options.get("segmentBytes", 64 << 20))
         self.first, self.prev = options.get("firstSegment"), bytes.fromhex(options.get("prevHash", records.ZERO.hex()))
+        self.job = options.get("job")  # of a managed log: files get their names at once, and a list of them is left for the commit
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Files:
         store, base = store_of(self.path)
         store.create_dir(base, recursive=True)
-        done: list[str] = []
-        out, segment, prev, held, parts = None, None, records.ZERO, 0, []
+        done: list[dict] = []
+        out, segment, prev, parts, entry = None, None, records.ZERO, [], {}
+
+        def end() -> None:
+            if out is not None:
+                out.write(b"".join(parts))
+                out.close()
+                done.append(entry | {"last_hash": prev.hex()})
+
         for batch in batches:
             for sequence, ts, data, flags, own in zip(*(batch.column(c).to_pylist() for c in ("sequence", "ts_nanos", "event_data", "flags", "segment")), strict=True):
-                if out is None or own != segment or held >= self.most:
-                    if out is not None:
-                        out.write(b"".join(parts))
-                        out.close()
+                if out is None or own != segment or entry["size"] >= self.most:
+                    end()
                     if out is None or own != segment:
                         prev = self.prev if self.first is not None and own == int(self.first) else records.ZERO
-                    segment, held, parts = own, 0, []
-                    name = f"{base}/_{segment if segment is not None else 0:012d}-{sequence:020d}-{uuid.uuid4().hex[:8]}.wal"
-                    out = store.open_output_stream(name)
-                    done.append(name)
+                    segment, parts = own, []
+                    name = f"{'' if self.job else '_'}{segment if segment is not None else 0:012d}-{sequence:020d}-{uuid.uuid4().hex[:8]}.wal"
+                    out = store.open_output_stream(f"{base}/{name}")
+                    entry = {"name": name, "segment": segment, "records": 0, "size": 0, "first_sequence": sequence, "first_nanos": ts, "last_nanos": ts, "deleted": 0, "deleted_bytes": 0, "vector": None}
                 raw = records.encode(sequence, ts, data, prev, flags or 0)
                 prev = records.hashlib.sha256(raw).digest()
                 parts.append(raw)
-                held += len(raw)
+                dead = (flags or 0) & FLAG_DELETED
+                entry["records"] += 1
+                entry["size"] += len(raw)
+                entry["deleted"] += dead
+                entry["deleted_bytes"] += dead * len(raw)
+                entry["last_sequence"], entry["first_nanos"], entry["last_nanos"] = sequence, min(entry["first_nanos"], ts), max(entry["last_nanos"], ts)
                 if len(parts) >= 4096:
                     out.write(b"".join(parts))
                     parts = []
-        if out is not None:
-            out.write(b"".join(parts))
-            out.close()
+        end()
         return _Files(done)
 
     def commit(self, messages) -> None:
-        store, _ = store_of(self.path)
-        for m in messages:
-            for path in m.paths if m else ():
-                head, _, name = path.rpartition("/")
-                store.move(path, f"{head}/{name[1:]}")
+        store, base = store_of(self.path)
+        entries = [e for m in messages if m for e in m.entries]
+        if self.job:
+            store.create_dir(f"{base}/{manifest.FOLDER}", recursive=True)
+            with store.open_output_stream(f"{base}/{manifest.FOLDER}/_{self.job}.staged") as out:
+                out.write(json.dumps(entries).encode())
+            return
+        for e in entries:
+            store.move(f"{base}/{e['name']}", f"{base}/{e['name'][1:]}")
 
     def abort(self, messages) -> None:
-        store, _ = store_of(self.path)
+        store, base = store_of(self.path)
         for m in messages:
-            for path in m.paths if m else ():
-                store.delete_file(path)
+            for e in m.entries if m else ():
+                store.delete_file(f"{base}/{e['name']}")
 
 
 class AuditWal(DataSource):
@@ -231,11 +282,17 @@ class AuditJournal(DataSource):
         return _JournalReader(self.options)
 
 
-def read_log(spark: SparkSession, path: str, mode: str = "RESYNC", include_deleted: bool = True, max_record_size: int = records.MAX_PAYLOAD, split_bytes: int = 32 << 20, files: list[str] | None = None) -> DataFrame:
-    """Records of all segments of a log, or of the named files; damaged runs have parse_error."""
+def _chosen(path: str, files: list[str] | None, generation: int | None) -> dict:
+    """Options that name what is read: a managed log's generation is the newest one now, and stays so for the DataFrame."""
+    generation = manifest.newest(path) if generation is None else generation
+    return ({} if files is None else {"files": "/".join(files)}) | ({} if generation is None else {"generation": generation})
+
+
+def read_log(spark: SparkSession, path: str, mode: str = "RESYNC", include_deleted: bool = True, max_record_size: int = records.MAX_PAYLOAD, split_bytes: int = 32 << 20, files: list[str] | None = None, generation: int | None = None) -> DataFrame:
+    """Records of all segments of a log, or of the named files; damaged runs have parse_error. Of a managed log (see managed) the segments of a generation."""
     spark.dataSource.register(AuditWal)
     takes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    rec = spark.read.format("auditwal").options(path=path, takesFilters=takes, mode=mode, maxRecordSize=max_record_size, splitBytes=split_bytes, **({} if files is None else {"files": "/".join(files)})).load()
+    rec = spark.read.format("auditwal").options(path=path, takesFilters=takes, mode=mode, maxRecordSize=max_record_size, splitBytes=split_bytes, **_chosen(path, files, generation)).load()
     return rec if include_deleted else rec.where(F.col("parse_error").isNotNull() | (F.col("flags").bitwiseAND(1) == 0))
 
 
@@ -249,10 +306,11 @@ def write_log(ev: DataFrame, path: str, segment_bytes: int = 64 << 20, config: L
     rows.repartition("segment").sortWithinPartitions("segment", "sequence").write.format("auditwal").options(path=path, segmentBytes=segment_bytes, **options).mode("append").save()
 
 
-def read_headers(spark: SparkSession, path: str, max_record_size: int = records.MAX_PAYLOAD) -> DataFrame:
-    """path, offset, size, flags, ts_nanos, sequence, prev_hash of a log's records: an index scan that neither checks nor passes on what records hold. Files are read whole, each by one task."""
+def read_headers(spark: SparkSession, path: str, max_record_size: int = records.MAX_PAYLOAD, files: list[str] | None = None, generation: int | None = None) -> DataFrame:
+    """path, offset, size, flags, ts_nanos, sequence, prev_hash of a log's records: an index scan that goes from header to header and neither checks nor reads what
+    long records hold. A file is one task's, in blocks of 256 KB at most."""
     spark.dataSource.register(AuditWal)
-    rec = spark.read.format("auditwal").options(path=path, maxRecordSize=max_record_size, splitBytes=1 << 62, headers="true").load()
+    rec = spark.read.format("auditwal").options(path=path, maxRecordSize=max_record_size, headers="true", **_chosen(path, files, generation)).load()
     return rec.where("parse_error is null").select("path", "offset", "size", "flags", "ts_nanos", "sequence", "prev_hash")
 
 
@@ -319,9 +377,12 @@ def incomplete(journal: DataFrame) -> DataFrame:
 
 
 def check_records(rec: DataFrame, first_sequence: int | None = 1) -> DataFrame:
-    """Records with linked: whether prev_hash is the hash of the record before. Within a file that is the one before it; a file's first record may name the last one
-    of the file before it, or none if its sequence goes on from there (segments are written at once); a log's first record must be first_sequence (None: any), without a hash before it.
-    So a file that is missing, the first one too, leaves a record that isn't linked. The window over files has one row for each."""
+    """Records with linked: whether prev_hash is the hash of the record before; and inner: the same within a file, where its first record has none before it.
+
+    A file's first record may name the last one of the file before it, or none if its sequence goes on from there (segments are written at once); a log's first record must be
+    first_sequence (None: any), without a hash before it. So a file that is missing, the first one too, leaves a record that isn't linked. bound: whether the record's hash alone proves what is
+    before it. A first record that names none isn't bound: a file that was replaced as a whole shows only against a manifest's seals (managed.check).
+    The window over files has one row for each."""
     from pyspark.sql import Window
 
     good = rec.where("parse_error is null")
@@ -332,4 +393,5 @@ def check_records(rec: DataFrame, first_sequence: int | None = 1) -> DataFrame:
     opens = F.lit(True) if first_sequence is None else none & (F.col("sequence") == first_sequence)
     begins = F.when(F.col("ahead").isNull(), opens).otherwise((F.col("ahead.hash") == F.col("prev_hash")) | none & (F.col("sequence") == F.col("ahead.sequence") + 1))
     rows = good.withColumn("before", before).join(ends, "path", "left")
+    rows = rows.withColumn("inner", F.col("before").isNull() | (F.col("before") == F.col("prev_hash"))).withColumn("bound", F.coalesce(F.col("before") == F.col("prev_hash"), F.col("ahead.hash") == F.col("prev_hash"), F.lit(False)))
     return rows.withColumn("linked", F.when(F.col("before").isNull(), begins).otherwise(F.col("before") == F.col("prev_hash"))).drop("before", "ahead")
