@@ -376,7 +376,6 @@ simple("integrity_lost_first_segment", "SELECT count(*) AS total, 0::BIGINT AS d
 simple("integrity_damaged_log", "SELECT count(*) FILTER (NOT bad) AS records, count(*) FILTER (bad) AS damaged, 2::BIGINT AS chain_breaks, false AS valid FROM good", lambda ev: _integrity(ev), _DAMAGED)
 simple("log_stats_files", f"SELECT count(*) AS total, count(DISTINCT segment) AS files, true AS has_corruption, false AS is_sealed, true AS in_order FROM good WHERE NOT bad", lambda ev: _file_stats(ev), _DAMAGED)
 simple("log_continued", "SELECT sequence, event_data, true AS linked FROM ev UNION ALL SELECT sequence + (SELECT max(sequence) FROM ev), event_data, true FROM ev", lambda ev: _continued(ev))
-simple("positional_scan_bytes", "SELECT sequence FROM ev WHERE segment = 0 AND sequence > 20", lambda ev: _from_offset(ev))
 simple("segment_catalog", "SELECT segment, min(sequence) AS start_seq, max(sequence) AS end_seq, count(*) AS record_count, sum(size)::BIGINT AS size, segment < (SELECT max(segment) FROM ev) AS sealed, false AS damaged FROM ev GROUP BY segment", lambda ev: _catalog(ev))
 simple("index_saved", "SELECT segment, start_seq, end_seq FROM seg", lambda ev: _index(ev), SEG)
 simple("compact_range", "SELECT CASE WHEN segment BETWEEN 1 AND 2 AND (SELECT max(segment) FROM ev) > 1 THEN 1 ELSE segment END AS segment, sequence FROM ev WHERE NOT (segment BETWEEN 1 AND 2 AND (SELECT max(segment) FROM ev) > 1 AND flags & 1 = 1)", lambda ev: maintain.compact_range(ev, replay.segments(ev), 1500, 2500).select("segment", "sequence"))
@@ -426,15 +425,6 @@ def _continued(ev: DataFrame) -> DataFrame:
     return wal.check_records(wal.read_log(ev.sparkSession, path)).select("sequence", F.col("event_data").cast("string").alias("event_data"), "linked")
 
 
-def _from_offset(ev: DataFrame) -> DataFrame:
-    """Behind the twentieth record's place in the first file."""
-    path = written_log(ev)
-    name, _ = wal.files(path, ".wal")[0]
-    rec = wal.read_log(ev.sparkSession, f"{path}/{name.rpartition('/')[2]}")
-    at = rec.where("sequence = 20").select(F.col("offset").alias("at"))
-    return rec.crossJoin(F.broadcast(at)).where("offset > at").select("sequence")
-
-
 def _catalog(ev: DataFrame) -> DataFrame:
     path = written_log(ev)
     rows = catalog.with_records(catalog.discover(ev.sparkSession, path), wal.read_log(ev.sparkSession, path))

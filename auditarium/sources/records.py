@@ -122,7 +122,7 @@ def ended(read_at, size: int, mode: str, most: int = MAX_PAYLOAD, step: int = 32
 
 
 def walked(read_at, size: int, most: int = MAX_PAYLOAD, block: int = 256 << 10) -> Iterator[Record | Damage]:
-    """Records by their headers alone, from one to the next by its length. Short records come with the blocks that are read; what a long record holds beyond its block is never
+    """Records by their headers (and, as hash, the checksum at their end), from one to the next by its length. Short records come with the blocks that are read; what a long record holds beyond its block is never
     read. After a header that fails, the next one that holds."""
     at, held, data, begin = 0, 0, b"", -1  # data is what stands from held on; begin: of damage
     while at < size:
@@ -138,7 +138,9 @@ def walked(read_at, size: int, most: int = MAX_PAYLOAD, block: int = 256 << 10)
             if at + OVERHEAD + n > size:
                 yield Damage(at, size - at, "short")
                 return
-            yield Record(at, OVERHEAD + n, version, flags, ts, sequence, prev, b"", "")
+            foot = at + HEAD.size + n
+            tail = data[foot - held : foot - held + 4] if foot + 4 <= held + len(data) else read_at(4, foot)
+            yield Record(at, OVERHEAD + n, version, flags, ts, sequence, prev, b"", f"{int.from_bytes(tail, 'little'):08x}")
             at += OVERHEAD + n
             continue
         begin = at if begin < 0 else begin

@@ -78,7 +78,7 @@ class _WalReader(DataSourceReader):
         self.tests: list[tuple[str, str, int]] = []
         self.named = None if options.get("files") is None else frozenset(options["files"].split("/"))
         self.headers = options.get("headers") == "true"
-        self.generation = options.get("generation")
+        self.generation, self.begin = options.get("generation"), int(options.get("startOffset", 0))
         if self.mode not in records.MODES:
             raise ValueError(f"no mode {self.mode}")
 
@@ -93,7 +93,7 @@ class _WalReader(DataSourceReader):
 
     def partitions(self) -> list[Group]:
         step = self.step if self.mode == "RESYNC" and not self.headers else 1 << 62
-        return grouped([Split(path, at, min(size, at + step), size, vector) for path, size, vector in self._files() for at in range(0, size, step)], self.step)
+        return grouped([Split(path, at, min(size, at + step), size, vector) for path, size, vector in self._files() for at in range(self.begin, size, step)], self.step)
 
     def read(self, group: Group) -> Iterator[pa.RecordBatch]:
         for split in group.splits:
@@ -138,19 +138,23 @@ class _WalReader(DataSourceReader):
         yield from self._rows(split, split.start, records.split(data, self.mode, self.most, begin, split.end - split.start), rows)
 
     def _rows(self, split: Split, start: int, found, rows: list[tuple] | None = None) -> Iterator[pa.RecordBatch]:
-        """Batches of what is found from a place of the file on, behind rows."""
-        rows = rows or []
-        for got in found:
-            if isinstance(got, records.Damage):
-                if not self.tests:
-                    rows.append((split.path, start + got.offset, min(got.size, 2**31 - 1), None, None, None, None, None, None, got.error))
-            elif all(getattr(getattr(got, name), test)(value) for name, test, value in self.tests):
-                rows.append((split.path, start + got.offset, got.size, got.flags, got.ts_nanos, got.sequence, got.prev_hash.hex(), got.hash or None, None if self.headers else got.event_data, None))
-            if len(rows) >= 4096:
-                yield _batch(rows)
-                rows = []
-        if rows:
+        return batches(split.path, start, found, self.tests, self.headers, rows)
+
+
+def batches(path: str, start: int, found, tests=(), headers: bool = False, rows: list[tuple] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of what is found from a place of a file on, behind rows; with tests no damage. Of headers, hash is the record's checksum in hexadecimal."""
+    rows = rows or []
+    for got in found:
+        if isinstance(got, records.Damage):
+            if not tests:
+                rows.append((path, start + got.offset, min(got.size, 2**31 - 1), None, None, None, None, None, None, got.error))
+        elif all(getattr(getattr(got, name), test)(value) for name, test, value in tests):
+            rows.append((path, start + got.offset, got.size, got.flags, got.ts_nanos, got.sequence, got.prev_hash.hex(), got.hash or None, None if headers else got.event_data, None))
+        if len(rows) >= 4096:
             yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
 
 
 class _FilteringReader(_WalReader):
@@ -282,6 +286,12 @@ class AuditJournal(DataSource):
         return _JournalReader(self.options)
 
 
+def read_from(spark: SparkSession, path: str, offset: int, max_record_size: int = records.MAX_PAYLOAD) -> DataFrame:
+    """The records of one segment from a place on, by seeking there: bytes before it are not read. A place within a record begins with the next one."""
+    spark.dataSource.register(AuditWal)
+    return spark.read.format("auditwal").options(path=path, maxRecordSize=max_record_size, startOffset=offset).load()
+
+
 def _chosen(path: str, files: list[str] | None, generation: int | None) -> dict:
     """Options that name what is read: a managed log's generation is the newest one now, and stays so for the DataFrame."""
     generation = manifest.newest(path) if generation is None else generation
@@ -307,11 +317,11 @@ def write_log(ev: DataFrame, path: str, segment_bytes: int = 64 << 20, config: L
 
 
 def read_headers(spark: SparkSession, path: str, max_record_size: int = records.MAX_PAYLOAD, files: list[str] | None = None, generation: int | None = None) -> DataFrame:
-    """path, offset, size, flags, ts_nanos, sequence, prev_hash of a log's records: an index scan that goes from header to header and neither checks nor reads what
+    """path, offset, size, flags, ts_nanos, sequence, prev_hash, checksum of a log's records: an index scan that goes from header to header and neither checks nor reads what
     long records hold. A file is one task's, in blocks of 256 KB at most."""
     spark.dataSource.register(AuditWal)
     rec = spark.read.format("auditwal").options(path=path, maxRecordSize=max_record_size, headers="true", **_chosen(path, files, generation)).load()
-    return rec.where("parse_error is null").select("path", "offset", "size", "flags", "ts_nanos", "sequence", "prev_hash")
+    return rec.where("parse_error is null").select("path", "offset", "size", "flags", "ts_nanos", "sequence", "prev_hash", F.conv("hash", 16, 10).cast("long").alias("checksum"))
 
 
 def checked_scan(rec: DataFrame, most: int = 10) -> DataFrame:
