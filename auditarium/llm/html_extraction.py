@@ -7,10 +7,11 @@ element count less (NEAR where one's element is around the other's, else FAR), s
 links and the weight of the elements around; paths whose best block reaches THRESHOLD of the page's mean or deviation are content paths.
 The smallest element that holds all blocks of content paths is the article; its blocks are the result, short ones too.
 
-Elements that are scripts, forms, menus, footers and the like by their tag, or hidden, never count. Names in role, class and id only lower weights:
-WHOLE for a name that is such a word, NAMED for one that holds it, none at all for a name whose elements hold most of the page's text, and
-a whole name outside the article or main element of a page that has one weighs nothing. Elements with a name have paths of their own, and their short
-blocks only stay if one of their paths is content. Ids made from headings name a topic and say nothing. Inside running text only adverts
+Elements that are forms, menus, footers and the like by their tag don't count, unless they hold the main element, or the h1 and most of the text outside links, or
+most of that on a page without h1, article and main (a page in a form, a menu that nobody closed). Hidden elements, scripts and styles never count. Names in role, class and id only lower weights: WHOLE for a
+name that is such a word or is made with one (cookie-banner), NAMED for one that also speaks of content or layout (entry-header, has-sidebar), none at all for a name whose
+elements hold most of the page's text, and one of the first kind outside the article or main element of a page that has one weighs nothing. Elements with a name have paths of their
+own, and their short blocks only stay if one of their paths is content. Ids made from headings name a topic and say nothing. Inside running text only adverts
 and hidden elements are left out.
 
 Rows are independent: there is no shuffle. Time and memory are linear in the page, whatever its nesting: a block holds its element's number,
@@ -35,8 +36,8 @@ from .shared import table
 SMOOTHING, THRESHOLD = 1.0, 0.1
 #: What neighbours count whose parent elements differ by one level, and by more.
 NEAR, FAR = 0.5, 0.1
-#: Weights of elements with a furniture word inside a name, and as a whole name; share of the page's text that no furniture holds.
-NAMED, WHOLE, MOST = 0.25, 0.05, 0.5
+#: Weights of elements with a furniture word in a name that also speaks of content, and in others; shares of the page's text that no furniture holds, by name and by tag.
+NAMED, WHOLE, MOST, MOST_TAG = 0.25, 0.002, 0.85, 0.5
 
 #: Fixed values of HTML: elements without content, of raw text, of running text, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,13 +47,18 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: A start tag ends open elements of these, up to the given border.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("html body article section div table td th main aside nav header footer form ul ol".split())
+#: Furniture that a page may stand in.
+KEPT = frozenset("nav form footer aside menu dialog fieldset".split())
 #: Furniture by tag, and by the words of role, class and id.
 FURNITURE_TAGS = frozenset("nav aside footer form button menu dialog select input label fieldset legend head".split())
 FURNITURE = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|adbox|sponsor(?:ed)?|promos?|promotion|banner|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side|rail|footer|foot|masthead|topbar|toolbar|header|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|tags?|pagination|pager|comments?|respond|replies|reply|disqus|discussion|complementary|contentinfo|dialog|hidden|skip)(?:$|[_-])", re.I)
+#: Words that make a name with a furniture word one of content or layout.
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|not|with|without|layout|enabled|disabled|content|article|entry|post|story|page|title|xs|sm|md|lg|xl|above|below|to|wrap|wrapper|container|inner|grid|row|col|columns?|my|works?)(?:$|[_-])", re.I)
 ADVERT = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|adbox|sponsor(?:ed)?)(?:$|[_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.S)
 _NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MARK = re.compile(r"[.,;:!?、。，！？]")
 
@@ -62,11 +68,30 @@ class Page:
 
     def __init__(self, page: str):
         self.parent, self.depth, self.tag, self.end = [0], [0], [""], [0]
-        self.out, self.article = [False], [False]  # furniture whatever it holds; inside an article or main element
+        self.hidden, self.furniture, self.article = [False], [False], [False]  # inside a hidden element; furniture by its own tag; inside an article or main element
         self.names: list[list[tuple[str, str, str, bool]]] = [[]]
         #: Element, text, text without adverts inside it, characters in links.
         self.blocks: list[tuple[int, str, str, int]] = []
         self._parse(page)
+        self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Drops the blocks of furniture by tag, but for furniture that the page itself stands in."""
+        n = len(self.parent)
+        chars, heads, mains = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for e, text, _, linked in self.blocks:
+            chars[e + 1] += max(0, len(text) - linked)
+        for e in range(n):
+            chars[e + 1] += chars[e]
+            heads[e + 1] = heads[e] + (self.tag[e] == "h1")
+            mains[e + 1] = mains[e] + (self.tag[e] == "main")
+        told = heads[n] or any(self.article)
+        out = [False] * n
+        for e in range(1, n):
+            end = self.end[e] + 1
+            kept = self.tag[e] in KEPT and (mains[end] > mains[e] or chars[end] - chars[e] > MOST_TAG * chars[n] and (heads[end] > heads[e] if told else self.tag[e] != "footer"))
+            out[e] = out[self.parent[e]] or self.furniture[e] and not kept
+        self.blocks = [b for b in self.blocks if not out[b[0]]]
 
     def _parse(self, page: str) -> None:
         stack = [0]
@@ -78,7 +103,7 @@ class Page:
 
         def end_block() -> None:
             if parts:
-                if not self.out[stack[-1]]:
+                if not self.hidden[stack[-1]]:
                     text = _plain(p for p, _, kind in parts if kind < 2)
                     if text:
                         clean = text if all(kind == 0 for *_, kind in parts) else _plain(p for p, _, kind in parts if not kind)
@@ -166,7 +191,8 @@ class Page:
                 self.depth.append(self.depth[up] + 1)
                 self.tag.append(tag)
                 self.end.append(e)
-                self.out.append(self.out[up] or hidden or tag in FURNITURE_TAGS or tag == "header" and not inside)
+                self.hidden.append(self.hidden[up] or hidden)
+                self.furniture.append(tag in FURNITURE_TAGS or tag == "header" and not inside)
                 self.article.append(inside)
                 self.names.append(_named(tag, attributes))
                 stack.append(e)
@@ -181,16 +207,16 @@ def _plain(parts) -> str:
 
 
 def _named(tag: str, attributes: str) -> list[tuple[str, str, str, bool]]:
-    """The furniture names of an element: its tag, attribute, name, and whether the whole name is such a word."""
+    """The furniture names of an element: its tag, attribute, name, and whether the name speaks of nothing else."""
     if not attributes or tag in ("html", "body", "article", "main", "header"):
         return []
     out = []
     for kind, a, b, c in _NAMES.findall(attributes):
         kind = kind.lower()
         if kind != "id" or tag not in _HEADING:
-            for name in (a or b or c).lower().split():
-                if m := FURNITURE.search(name):
-                    out.append((tag, kind, name, len(m[0]) == len(name)))
+            for name in _HUMP.sub("-", a or b or c).lower().split():
+                if FURNITURE.search(name):
+                    out.append((tag, kind, name, not LAYOUT.search(name)))
     return out
 
 
@@ -232,7 +258,7 @@ def weighed(page: Page) -> tuple[list[tuple[int, str, int]], list[float], list[i
     for e in range(1, n):
         up = page.parent[e]
         outside = told and not page.article[e]
-        own = [0.0 if whole and outside else WHOLE if whole else NAMED for *_, whole in (x for x in page.names[e] if held[x] <= MOST * total or x[3] and outside)]
+        own = [0.0 if clear and outside else WHOLE if clear else NAMED for *_, clear in (x for x in page.names[e] if held[x] <= MOST * total or x[3] and outside)]
         weight[e] = min([weight[up], *own])
         around[e] = around[up] or (e if own else 0)
         path[e] = number.setdefault((path[up], page.tag[e] + "~" * bool(own)), len(number) + 1)

@@ -3,12 +3,13 @@
 A text's bytes (A-Z lower-cased) go through two gated recurrent layers, one in each direction; at every position the two states give the
 probability of each language, and a document's probabilities are the means over its positions. Texts are cut
 into windows of `window` bytes, so a long text is many columns of one matrix, all bytes count and memory is bounded. Before a window's first position each state
-has run over the `context` bytes in front of it (for the way back, those behind it), so borders of windows don't cut what a position sees, and texts of
-up to `window` bytes are run as a whole.
+has run over the `context` bytes in front of it (for the way back, those behind it). Where a window's first state is not, to within `CLOSE`, the last one of the window before it, the window is
+run again from that one, until all agree: so a document's probabilities are those of a run over the whole text.
 
 Training uses a sample that is bounded by parameters, whatever the corpus: at most `per_language` windows of each
-language (each cut out where the documents are read, so whole texts never travel), and the `max_languages`
-most frequent languages. Backpropagation through time over windows, with Adam; every position is labelled with its
+language and `sample` in all (each cut out where the documents are read, so whole texts never travel), and the `max_languages`
+most frequent languages. Texts are drawn by their hash, equal ones once; tasks keep the least hashes of each language, and of these Spark keeps the least, before the driver gets
+any. Documents of languages beyond `max_languages` are predicted, as one of those. Backpropagation through time over windows, with Adam; every position is labelled with its
 document's language. The sample's order and all random numbers come from fixed seeds and content hashes.
 
 Prediction sends the weights (some kB) with the task and needs no shuffle. Nulls: a text that is null or has no letter gets `und` and a score of
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,18 +33,21 @@ from .shared import lowered, slices, split_of, table
 
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+#: How far a unit's state may be from that of a run over the whole text where a window begins.
+CLOSE = 0.25
 
 
 @dataclass(frozen=True)
 class Settings:
-    hidden: int = 8
-    window: int = 256
-    context: int = 32
+    hidden: int = 12
+    window: int = 1024
+    context: int = 128
     train_window: int = 64
     per_language: int = 6000
     windows_per_document: int = 4
+    sample: int = 400_000
     max_languages: int = 256
-    steps: int = 250
+    steps: int = 500
     batch: int = 256
     rate: float = 0.02
     seed: int = 7
@@ -105,8 +109,8 @@ class Layer:
         table[letters] = np.add.reduceat(pushed.reshape(-1, table.shape[1])[order], first)
         return table, recurrent
 
-    def states(self, x: np.ndarray, inside: np.ndarray, skip: int) -> np.ndarray:
-        """States (time, unit, column) for bytes x (time by column) from time skip on, quicker than forward: units lie together. inside: 0 beyond a text."""
+    def states(self, x: np.ndarray, inside: np.ndarray, skip: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States (time, unit, column) for bytes x (time by column) from time skip on, quicker than forward: units lie together; and those before that. inside: 0 beyond a text."""
         steps, n = x.shape
         hidden = self.recurrent.shape[0]
         rows, weights = np.ascontiguousarray(self.table.T), np.ascontiguousarray(self.recurrent.T)
@@ -114,19 +118,19 @@ class Layer:
             w[: 2 * hidden] *= -1
             w[2 * hidden :] *= -2
         out = np.empty((steps - skip, hidden, n), np.float32)
-        state, a, r, whole = np.zeros((hidden, n), np.float32), np.empty((3 * hidden, n), np.float32), np.empty((3 * hidden, n), np.float32), inside.all(1)
+        state = np.zeros((hidden, n), np.float32) if start is None else np.array(start, np.float32)
+        begin, a, r, whole = state.copy(), np.empty((3 * hidden, n), np.float32), np.empty((3 * hidden, n), np.float32), inside.all(1)
         gates, candidate, reset, update, inner = a[: 2 * hidden], a[2 * hidden :], a[hidden : 2 * hidden], a[:hidden], r[2 * hidden :]
+        np.seterr(over="ignore")
         for t in range(steps):
             np.take(rows, x[t], axis=1, out=a, mode="clip")
             np.matmul(weights, state, out=r)
             gates += r[: 2 * hidden]
-            np.minimum(gates, 80, out=gates)
-            np.exp(gates, out=gates)
+            np.exp(gates, out=gates)  # to infinity where it must, whose reciprocal is 0
             gates += 1
             np.reciprocal(gates, out=gates)
             np.multiply(reset, inner, out=inner)
             candidate += inner
-            np.minimum(candidate, 80, out=candidate)
             np.exp(candidate, out=candidate)
             candidate += 1
             np.divide(2, candidate, out=candidate)
@@ -138,7 +142,9 @@ class Layer:
             if not whole[t]:
                 into *= inside[t]
             state = into
-        return out
+            if t == skip - 1:
+                begin = state.copy()
+        return out, begin
 
 
 @dataclass
@@ -153,12 +159,13 @@ class Model:
         hidden = ahead.shape[-1]
         return ahead @ self.out[:hidden] + back @ self.out[hidden:] + self.bias
 
-    def probabilities(self, x: np.ndarray, inside: np.ndarray, own: np.ndarray, context: int) -> np.ndarray:
-        """Of each language, summed over the positions of each column (a row a column). x: bytes (time by column) with `context` of them before and behind;
-        inside, own: which belong to the text, and to the column."""
+    def probabilities(self, x: np.ndarray, inside: np.ndarray, own: np.ndarray, context: int, start: tuple | None = None) -> tuple:
+        """Of each language, summed over the positions of each column (a row a column); and of both directions the states (a row a column) before a column's first position and
+        after its last. x: bytes (time by column) with `context` of them before and behind; inside, own: which belong to the text, and to the column; start: states to begin with."""
         steps = len(x) - context
-        ahead = self.ahead.states(x[:steps], inside[:steps], context)
-        back = self.back.states(x[: context - 1 if context else None : -1], inside[: context - 1 if context else None : -1], context)[::-1]
+        ahead, into = self.ahead.states(x[:steps], inside[:steps], context, start and start[0].T)
+        back, from_behind = self.back.states(x[: context - 1 if context else None : -1], inside[: context - 1 if context else None : -1], context, start and start[1].T)
+        back = back[::-1]
         hidden = ahead.shape[1]
         z = np.matmul(self.out[:hidden].T, ahead)
         z += np.matmul(self.out[hidden:].T, back)
@@ -166,7 +173,7 @@ class Model:
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z *= (own[context:steps] / z.sum(1))[:, None]
-        return z.sum(0).T
+        return z.sum(0).T, (into.T, ahead[-1].T), (from_behind.T, back[0].T)
 
 
 def train(samples: list[tuple[bytes, int]], languages: list[str], own: Settings) -> Model:
@@ -219,27 +226,36 @@ def _cut(n: int, size: int, seed: int, most: int) -> list[int]:
 def sample(docs: DataFrame, own: Settings) -> tuple[list[tuple[bytes, int]], list[str]]:
     """Windows for training with the numbers of their languages, and the languages by name. docs: text, lang."""
     docs = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(own.max_languages).collect()
+    key = F.xxhash64("text")
+    counts = docs.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(key).alias("texts")).orderBy(F.desc("count"), "lang").limit(own.max_languages).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * own.per_language / own.windows_per_document / r["count"]))))
-    key = F.xxhash64("text")
-    picked = docs.where(F.pmod(key, F.lit(1 << 24)) < F.element_at(share, F.col("lang")) * (1 << 24))
+    most = min(own.per_language, own.sample // len(languages))  # windows of a language
+    texts = -(-2 * most // own.windows_per_document)  # and texts that they come from, more than enough
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, texts / max(1, r["texts"])))))
+    picked = docs.withColumn("key", key).where(F.pmod("key", F.lit(1 << 24)) < F.element_at(share, F.col("lang")) * (1 << 24))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[int, list]] = {}
         for batch in batches:
-            rows = []
             for lang, key, text in zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                own_texts = kept.setdefault(lang, {})
+                if key in own_texts:
+                    continue
                 data = text.as_buffer().to_pybytes()
-                rows += [(lang, key, at, data[at : at + own.train_window]) for at in _cut(len(data), own.train_window, key & (1 << 63) - 1, own.windows_per_document)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["lang", "key", "at", "text"])
+                own_texts[key] = [(lang, key, at, data[at : at + own.train_window]) for at in _cut(len(data), own.train_window, key & (1 << 63) - 1, own.windows_per_document)]
+                if len(own_texts) > 2 * texts:
+                    kept[lang] = {k: own_texts[k] for k in sorted(own_texts)[:texts]}
+        rows = [row for own_texts in kept.values() for k in sorted(own_texts)[:texts] for row in own_texts[k]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["lang", "key", "at", "text"])
 
-    found: dict[str, list] = {lang: [] for lang in languages}
-    for r in picked.withColumn("key", key).mapInArrow(windows, "lang string, key long, at long, text binary").collect():
-        found[r["lang"]].append((r["key"], r["at"], bytes(r["text"])))
-    return [(lowered(np.frombuffer(t, np.uint8)).tobytes(), k) for k, lang in enumerate(languages) for _, _, t in sorted(found[lang])[: own.per_language]], languages
+    rows = picked.select("lang", "key", "text").mapInArrow(windows, "lang string, key long, at long, text binary").dropDuplicates(["lang", "key", "at"])
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "at"))).where(F.col("place") <= most)
+    number = {lang: k for k, lang in enumerate(languages)}
+    found = [(number[r["lang"]], r["place"], bytes(r["text"])) for r in rows.select("lang", "place", "text").collect()]
+    return [(lowered(np.frombuffer(t, np.uint8)).tobytes(), k) for k, _, t in sorted(found)], languages
 
 
 def fit(docs: DataFrame, own: Settings | None = None) -> Model | None:
@@ -252,22 +268,49 @@ def fit(docs: DataFrame, own: Settings | None = None) -> Model | None:
 def scores(model: Model, column: pa.Array, window: int, context: int, columns: int = 1024) -> np.ndarray:
     """Mean probabilities of each text's positions; rows of 0 for empty texts."""
     out = np.zeros((len(column), len(model.languages)))
-    for row, data, offsets in slices(column, 1 << 20):
+    hidden = model.ahead.recurrent.shape[0]
+    for row, data, offsets in slices(column, 2 << 20):
         data = lowered(data)
         size = np.diff(offsets)
         n = -(-size // window)
         owner = np.repeat(np.arange(len(size)), n)
         begin = np.repeat(offsets[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * window
         length = np.minimum(window, offsets[1:][owner] - begin)
-        order = np.argsort(-length, kind="stable")  # columns of a length together
-        for at in range(0, len(order), columns):
-            k = order[at : at + columns]
+        found = np.zeros((len(owner), len(model.languages)))
+        edges = np.zeros((2, 2, len(owner), hidden), np.float32)  # ahead, back: states before the first position, after the last
+
+        def run(k: np.ndarray, context: int, start: tuple | None = None) -> None:
             steps = np.arange(-context, int(length[k].max()) + context, dtype=np.int64)[:, None]
             place = begin[k] + steps
             inside = (place >= offsets[:-1][owner[k]]) & (place < offsets[1:][owner[k]])
             own = inside & (steps >= 0) & (steps < length[k])
+            if start is not None:
+                inside &= own  # what stands before and behind is in the states
             x = data[np.clip(place, 0, max(0, len(data) - 1))]
-            np.add.at(out, row + owner[k], model.probabilities(x, inside.astype(np.float32), own.astype(np.float32), context))
+            found[k], *ends = model.probabilities(x, inside.astype(np.float32), own.astype(np.float32), context, start)
+            for d, (first, last) in enumerate(ends):
+                edges[d, 0, k], edges[d, 1, k] = first, last
+
+        order = np.argsort(-length, kind="stable")  # columns of a length together
+        for at in range(0, len(order), columns):
+            run(order[at : at + columns], context)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])  # windows with one behind them
+        while len(inner):
+            off = [np.abs(edges[0, 0, inner + 1] - edges[0, 1, inner]).max(1) > CLOSE, np.abs(edges[1, 0, inner] - edges[1, 1, inner + 1]).max(1) > CLOSE]
+            again = np.unique(np.concatenate((inner[off[0]] + 1, inner[off[1]])))
+            if not len(again):
+                break
+            behind = np.zeros(len(owner), bool)
+            behind[inner + 1] = True
+            before = np.zeros(len(owner), bool)
+            before[inner] = True
+            start = (np.where(behind[again, None], edges[0, 1, again - 1], 0), np.where(before[again, None], edges[1, 1, np.minimum(again + 1, len(owner) - 1)], 0))
+            for size_now in np.unique(length[again])[::-1]:  # the way back begins at a column's own end
+                k = np.flatnonzero(length[again] == size_now)
+                for at in range(0, len(k), columns):
+                    part = k[at : at + columns]
+                    run(again[part], 0, (start[0][part], start[1][part]))
+        np.add.at(out, row + owner, found)
         out[row : row + len(size)] /= np.maximum(size, 1)[:, None]
     return out
 

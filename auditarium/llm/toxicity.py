@@ -100,8 +100,13 @@ def sample(docs: DataFrame, labels: DataFrame, own: Settings) -> tuple[DataFrame
     counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = {k: min(1.0, own.per_class / n) for k, n in counts.items()}
     picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * (1 << 24))
+    # an id may have many rows: equal ones count once, and of others rows are drawn again, by id and text
     rows = docs.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("key"))
-    return rows, float(np.log(share.get(1, 1.0) / share.get(0, 1.0)))
+    texts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    again = {k: min(1.0, 1.2 * own.per_class / max(1, n)) for k, n in texts.items()}
+    if min(again.values(), default=1.0) < 1:
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) < F.when(F.col("toxic") == 1, again.get(1, 1.0)).otherwise(again.get(0, 1.0)) * (1 << 24))
+    return rows.dropDuplicates(["key"]), float(np.log(share.get(1, 1.0) / share.get(0, 1.0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, own: Settings | None = None) -> tuple[np.ndarray, np.ndarray] | None:

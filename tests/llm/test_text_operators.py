@@ -266,7 +266,27 @@ def test_language_probabilities_by_a_plain_recurrence():
     assert np.allclose(whole, [pooled(d) for d in data], atol=1e-5)
     for columns in (1, 1000):  # with as much context as there is text, windows change nothing
         assert np.allclose(language_id.scores(model, pa.array(texts), 16, 200, columns), whole, atol=1e-5)
-    assert np.abs(language_id.scores(model, pa.array(texts), 16, 16) - whole).max() < np.abs(language_id.scores(model, pa.array(texts), 16, 0) - whole).max()
+    for context in (0, 16):  # with less, windows that don't begin as the one before ends are run again
+        assert np.abs(language_id.scores(model, pa.array(texts), 16, context) - whole).max() < 0.005
+
+
+def test_language_sample_draws_a_hot_text_once(spark):
+    """A text of a third of all rows is one text of the sample, and no task or driver gets its copies."""
+    own = language_id.Settings(per_language=40, windows_per_document=2, train_window=16)
+    rows = [(f"text number {k} of many words that differ {k * k}", "en") for k in range(4000)] + [("the hot text of so many rows", "en")] * 2000 + [(f"ein Satz {k}", "de") for k in range(30)] + [("", "de"), (None, "de"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    samples, languages = language_id.sample(df, own)
+    assert languages == ["de", "en"] and len([1 for _, k in samples if k == 1]) == 40 and sum(t.startswith(b"the hot") for t, _ in samples) <= 1
+    assert samples == language_id.sample(df.repartition(3), own)[0]
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    own = toxicity.Settings(per_class=100)
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(5000)] + [(2, "same")] * 3000 + [(k, "other") for k in range(3, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(1, 40)], "doc_id long, toxic int")
+    rows, _ = toxicity.sample(docs, labels, own)
+    found = [r["text"] for r in rows.collect()]
+    assert len(found) < 250 and found.count("same") <= 1
 
 
 def test_language_id(spark):
