@@ -125,11 +125,11 @@ def _from_offset(ev: DataFrame) -> DataFrame:
     return wal.read_from(spark, at["path"], at["end"]).where("parse_error is null").select("sequence")
 
 
-_NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY sequence) - 1 AS place, sum(size) OVER (PARTITION BY segment ORDER BY sequence) - size AS at FROM ev)"
+_NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY sequence) - 1 AS place, sum(size) OVER (PARTITION BY segment ORDER BY sequence) - size AS begins FROM ev)"
 
 simple("deletion_vectors", "SELECT sequence, event_data, CASE WHEN sequence % 7 = 0 OR sequence % 11 = 0 THEN 1 ELSE flags END AS flags FROM ev", _marked)
 simple("vacuum_commit", f"SELECT sequence, segment, (flags & 1 = 1 OR (segment % 2 = 0 AND sequence % 4 = 0))::INTEGER AS deleted FROM ev WHERE NOT (segment % 2 = 0 AND segment < {_LAST} AND (flags & 1 = 1 OR sequence % 4 = 0))", _vacuumed)
 simple("find_by_index", "SELECT sequence, event_data, flags FROM ev WHERE sequence % 100 = 5", _found)
 simple("range_by_index", f"SELECT sequence, event_data, flags FROM ev WHERE ts BETWEEN '{START}' AND '{END}'", _between)
-simple("record_index", "SELECT min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) AS records, sum(size)::BIGINT AS bytes, min(at)::BIGINT AS offset, max(flags) AS flags FROM numbered GROUP BY segment, place // 10", _indexed, SEG + ", " + _NUMBERED)
+simple("record_index", "SELECT min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) AS records, sum(size)::BIGINT AS bytes, min(begins)::BIGINT AS offset, max(flags) AS flags FROM numbered GROUP BY segment, place // 10", _indexed, SEG + ", " + _NUMBERED)
 simple("positional_scan_bytes", "SELECT sequence FROM ev WHERE segment = 0 AND sequence > 20", _from_offset)
