@@ -11,16 +11,17 @@ import argparse
 import csv
 import json
 import sys
-import time
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditarium.functions.model import LEVEL_CODES, CompactionPolicy
+from auditarium.functions.session import shared_dir
 from auditarium.functions.timeexpr import parse_range
 from auditarium.operators import maintain, recover, replay, stats
-from auditarium.sources import catalog, export, wal
+from auditarium.sources import catalog, export, managed, manifest, wal
+from auditarium.streaming import live, source
 
 VERSION = "0.1.0"
 PAYLOAD = "Timestamp string, Level int, MessageTemplate string, Properties map<string,string>, Exception string"
@@ -55,11 +56,15 @@ def _emit(ev: DataFrame, fmt: str, output: str | None) -> None:
 
 
 def verify(spark: SparkSession, a) -> int:
+    """Of a managed log by its seals (and a noted one); of others by their chains, in one scan."""
+    if manifest.newest(a.wal) is not None:
+        row = managed.report(spark, a.wal, a.seal).first()
+        print(json.dumps(row.asDict() | {"seal": manifest.load(a.wal).seal}))
+        return 0 if row["valid"] else 1
     rec = wal.read_log(spark, a.wal)
-    bad = rec.agg(F.count_if(F.col("parse_error").isNotNull())).first()[0]
-    row = wal.check_records(rec).agg(F.count("*").alias("total"), F.count_if(~F.col("linked")).alias("breaks"), F.max("sequence").alias("last")).first()
-    ok = not bad and not row["breaks"]
-    print(json.dumps({"valid": ok, "records": row["total"], "damaged": bad, "chain_breaks": row["breaks"], "last_sequence": row["last"]}))
+    row = wal.check_records(rec, damaged=True).agg(F.count_if(F.col("parse_error").isNull()).alias("records"), F.count_if(F.col("parse_error").isNotNull()).alias("damaged"), F.count_if(~F.col("linked")).alias("chain_breaks"), F.max("sequence").alias("last_sequence")).first()
+    ok = not row["damaged"] and not row["chain_breaks"]
+    print(json.dumps({"valid": ok} | row.asDict()))
     return 0 if ok else 1
 
 
@@ -128,21 +133,22 @@ def do_recover(spark: SparkSession, a) -> int:
 def do_monitor(spark: SparkSession, a) -> int:
     if a.interval < 1:
         raise SystemExit("the interval must be a second or more")
-    before, known = None, {}
-    for k in range(a.checks or sys.maxsize):
-        if k:
-            time.sleep(a.interval)
-        now = dict(wal.files(a.wal, ".wal"))
-        grown = [p for p, size in now.items() if known.get(p, (None,))[0] != size]  # files that are as they were aren't read again
-        known = {p: x for p, x in known.items() if p in now and p not in grown}
-        if grown:
-            rec = wal.read_log(spark, a.wal, files=[p.rpartition("/")[2] for p in grown])
-            found = {r["path"]: r for r in rec.groupBy("path").agg(F.count_if(F.col("parse_error").isNull()).alias("records"), F.count_if(F.col("parse_error").isNotNull()).alias("errors"), F.sum("size").alias("bytes")).collect()}
-            known |= {p: (now[p], found[p]["records"], found[p]["errors"], found[p]["bytes"]) if p in found else (now[p], 0, 0, 0) for p in grown}
-        records, errors, size = (sum(x[j] for x in known.values()) for j in (1, 2, 3))
-        rate = 0.0 if before is None else (records - before) / a.interval
-        before = records
-        print(json.dumps({"records": records, "errors": errors, "bytes": size, "rate": rate, "alert": errors >= a.threshold}), flush=True)
+    seen: list = []
+    query = live.monitor(source.follow(spark, a.wal), a.checkpoint or shared_dir(spark, "monitor"), seen.append, f"{a.interval} seconds")
+    before = None
+    try:
+        for k in range(a.checks or sys.maxsize):
+            if k:
+                query.awaitTermination(a.interval)
+            else:
+                query.processAllAvailable()
+            row = seen[-1].asDict() if seen else {"records": 0, "errors": 0, "bytes": 0, "last_sequence": None}
+            del seen[:-1]
+            rate = 0.0 if before is None else (row["records"] - before) / a.interval
+            before = row["records"]
+            print(json.dumps(row | {"rate": rate, "alert": row["errors"] >= a.threshold}), flush=True)
+    finally:
+        query.stop()
     return 0
 
 
@@ -159,14 +165,14 @@ def parser() -> argparse.ArgumentParser:
         c.set_defaults(run=run)
 
     times = [("--start", {}), ("--end", {})]
-    command("verify", verify)
+    command("verify", verify, ("--seal", {}))
     command("replay", do_replay, *times, ("--format", {"choices": ["text", "json", "csv"], "default": "text"}), ("--output", {}), ("--filter", {}))
     command("export", do_replay, *times, ("--format", {"choices": list(export.FORMATS), "default": "jsonl"}), ("--output", {"required": True}), ("--filter", {}))
     command("stats", do_stats, ("--format", {"choices": ["table", "json"], "default": "table"}), ("--verbose", {"action": "store_true"}))
     command("compact", do_compact, ("--threshold", {"type": float, "default": 0.5}), ("--dry-run", {"action": "store_true"}), ("--force", {"action": "store_true"}), ("--output", {}), ("--start", {"type": int}), ("--end", {"type": int}))
     command("vacuum", do_vacuum, ("--threshold", {"type": float, "default": 0.1}), ("--output", {"required": True}))
     command("recover", do_recover, ("--output", {}), ("--skip-corrupted", {"action": argparse.BooleanOptionalAction, "default": True}), ("--verify-checksum", {"action": "store_true"}), ("--forensic", {"action": "store_true"}), ("--shadow", {}), ("--max-record-size", {"type": int, "default": 10 << 20}))
-    command("monitor", do_monitor, ("--interval", {"type": float, "default": 10}), ("--threshold", {"type": int, "default": 10}), ("--checks", {"type": int}))
+    command("monitor", do_monitor, ("--interval", {"type": float, "default": 10}), ("--threshold", {"type": int, "default": 10}), ("--checks", {"type": int}), ("--checkpoint", {}))
     command("version", None)
     return p
 

@@ -52,6 +52,7 @@ class Split(InputPartition):
     end: int
     size: int
     vector: str | None = None  #: a file of offsets of records that are deleted
+    border: bool = False  #: whether a record ends where it begins, so that damage there is its own
 
 
 @dataclass
@@ -124,14 +125,15 @@ class _WalReader(DataSourceReader):
             handle.seek(split.start)
             data = handle.read(min(split.size, split.end + more) - split.start)
         begin = 0
-        if split.start and not isinstance(records.record_at(data, 0, self.most), records.Record):
+        inside = split.start and not split.border
+        if inside and not isinstance(records.record_at(data, 0, self.most), records.Record):
             # what leads up to the first record here belongs to the split before
             begin = data.find(records.MARK)
             while begin >= 0 and not isinstance(records.record_at(data, begin, self.most), records.Record):
                 begin = data.find(records.MARK, begin + 1)
         rows: list[tuple] = []
         lost = (len(data) if begin < 0 else begin) - more  # the split before read no further
-        if split.start and lost > 0 and not self.tests:
+        if inside and lost > 0 and not self.tests:
             rows.append((split.path, split.start + more, lost, None, None, None, None, None, None, "magic"))
         if begin < 0:
             begin = len(data)
@@ -386,22 +388,23 @@ def incomplete(journal: DataFrame) -> DataFrame:
     return journal.where("status = 0 and error is null").select("position", "data")
 
 
-def check_records(rec: DataFrame, first_sequence: int | None = 1) -> DataFrame:
+def check_records(rec: DataFrame, first_sequence: int | None = 1, damaged: bool = False) -> DataFrame:
     """Records with linked: whether prev_hash is the hash of the record before; and inner: the same within a file, where its first record has none before it.
 
     A file's first record may name the last one of the file before it, or none if its sequence goes on from there (segments are written at once); a log's first record must be
     first_sequence (None: any), without a hash before it. So a file that is missing, the first one too, leaves a record that isn't linked. bound: whether the record's hash alone proves what is
     before it. A first record that names none isn't bound: a file that was replaced as a whole shows only against a manifest's seals (managed.check).
-    The window over files has one row for each."""
+    damaged: damaged runs stay, too, with linked null. The window over files has one row for each."""
     from pyspark.sql import Window
 
     good = rec.where("parse_error is null")
     files = good.groupBy("path").agg(F.min_by("sequence", "offset").alias("start"), F.max_by(F.struct("hash", "sequence"), "offset").alias("last"))
     ends = files.select("path", F.lag("last").over(Window.orderBy("start", "path")).alias("ahead"))
-    before = F.lag("hash").over(Window.partitionBy("path").orderBy("offset"))
+    whole = F.col("parse_error").isNull()
+    before = F.last(F.when(whole, F.col("hash")), True).over(Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)) if damaged else F.lag("hash").over(Window.partitionBy("path").orderBy("offset"))
     none = F.col("prev_hash") == F.lit(records.ZERO.hex())
     opens = F.lit(True) if first_sequence is None else none & (F.col("sequence") == first_sequence)
     begins = F.when(F.col("ahead").isNull(), opens).otherwise((F.col("ahead.hash") == F.col("prev_hash")) | none & (F.col("sequence") == F.col("ahead.sequence") + 1))
-    rows = good.withColumn("before", before).join(ends, "path", "left")
+    rows = (rec if damaged else good).withColumn("before", before).join(ends, "path", "left")
     rows = rows.withColumn("inner", F.col("before").isNull() | (F.col("before") == F.col("prev_hash"))).withColumn("bound", F.coalesce(F.col("before") == F.col("prev_hash"), F.col("ahead.hash") == F.col("prev_hash"), F.lit(False)))
-    return rows.withColumn("linked", F.when(F.col("before").isNull(), begins).otherwise(F.col("before") == F.col("prev_hash"))).drop("before", "ahead")
+    return rows.withColumn("linked", F.when(whole, F.when(F.col("before").isNull(), begins).otherwise(F.col("before") == F.col("prev_hash")))).drop("before", "ahead")

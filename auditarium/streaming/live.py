@@ -1,4 +1,4 @@
-"""Structured Streaming: ingest into Parquet, counts by event time with late data, and alerts."""
+"""Structured Streaming: ingest into Parquet or a managed log, a monitor of a log, counts by event time with late data, and alerts."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditarium.functions.model import ERROR
+from auditarium.sources import managed, manifest
 
 
 def _timed(ev: DataFrame) -> DataFrame:
@@ -48,6 +49,39 @@ def ingest(ev: DataFrame, path: str, checkpoint: str, every: str | None = None):
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+def append(ev: DataFrame, path: str, checkpoint: str, name: str = "stream", segment_bytes: int = 64 << 20, every: str | None = None):
+    """Starts appending a stream of events (ts, event_data, flags) to a managed log: a generation a batch, sequences in order of time behind the log's last one.
+
+    A batch that the log has already (the query ended between the log's commit and its own) is told by its number and changes nothing. Each batch is put down beside the checkpoint
+    first, so that numbering and writing see the same rows; the one before is removed."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession  # the stream's own
+        if manifest.load(path).epochs.get(name, -1) >= number:
+            return
+        own = f"{checkpoint.rstrip('/')}-batches/{number}"
+        batch.select("ts", "event_data", "flags").write.mode("overwrite").parquet(own)
+        rows = spark.read.schema(batch.select("ts", "event_data", "flags").schema).parquet(own)
+        managed.append(managed.numbered(rows, path), path, segment_bytes, name, number)
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}-batches/{number - 1}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    out = ev.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def totals(rec: DataFrame) -> DataFrame:
+    """Records, damaged runs and bytes of a stream of a log's records (source.follow) so far: state is one row."""
+    bad = F.col("parse_error").isNotNull()
+    return rec.agg(F.count_if(~bad).alias("records"), F.count_if(bad).alias("errors"), F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0)).alias("bytes"), F.max(F.when(~bad, F.col("sequence"))).alias("last_sequence"))
+
+
+def monitor(rec: DataFrame, checkpoint: str, tell, every: str | None = None):
+    """Starts telling the totals of a log's stream: tell gets a row (records, errors, bytes, last_sequence) after each batch. A restart with the same checkpoint goes on counting."""
+    out = totals(rec).writeStream.outputMode("complete").foreachBatch(lambda batch, number: tell(batch.first())).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
 def replicate(ev: DataFrame, targets: dict[str, str], checkpoint: str):
     """Starts copying a stream to several Parquet targets; each batch has a folder of its own, so a repeated batch replaces itself."""
 
