@@ -41,7 +41,7 @@ def plausible(rec: DataFrame, as_of: str) -> DataFrame:
 
 
 def salvage(spark: SparkSession, path: str, max_bytes: int = records.MAX_PAYLOAD) -> DataFrame:
-    """A forensic pass over damaged runs: records whose header has one wrong bit, and runs of balanced braces. Rows path, offset, kind, data.
+    """A forensic pass over damaged runs: records of which one bit is wrong (kind header, payload or footer, by where it is), and runs of balanced braces (json). Rows path, offset, kind, data.
 
     Damaged runs are found by recover and read again by their place, each independently."""
     runs = recover(spark, path, max_bytes).where("parse_error is not null").select("path", "offset", "size")
@@ -68,7 +68,7 @@ def _read(runs: DataFrame, path: str, found) -> DataFrame:
 
 
 def chain_map(rec: DataFrame) -> DataFrame:
-    """sequence, hash of every record that holds: what later records may name as the one before them."""
+    """sequence, hash of every record that holds: what later records may name as the one before them. chains.branches puts them together."""
     return rec.where("parse_error is null").select("sequence", "hash").distinct()
 
 
@@ -96,7 +96,7 @@ def tails(spark: SparkSession, path: str, max_bytes: int = records.MAX_PAYLOAD)
 
 
 def forensic(spark: SparkSession, path: str, shadow: str | None = None, max_bytes: int = records.MAX_PAYLOAD) -> DataFrame:
-    """method, path, offset, data of all that can be had: records that hold (standard), damaged runs' records and JSON (header, json), truncated ends (tail), and
+    """method, path, offset, data of all that can be had: records that hold (standard), damaged runs' records with one wrong bit and JSON (header, payload, footer, json), truncated ends (tail), and
     records of a shadow log that the log lacks (shadow)."""
     rec = recover(spark, path, max_bytes)
     out = rec.where("parse_error is null").select(F.lit("standard").alias("method"), "path", "offset", F.col("event_data").alias("data"))

@@ -328,9 +328,9 @@ simple(
 simple("scenario_summary", "SELECT event_type AS scenario, count(*) FILTER (value <= 50) AS passed, count(*) FILTER (value > 50) AS failed, count(*) FILTER (value > 50) = 0 AS success FROM ev GROUP BY 1", lambda ev: ev.groupBy(F.col("event_type").alias("scenario")).agg(F.count_if(F.col("value") <= 50).alias("passed"), F.count_if(F.col("value") > 50).alias("failed"), (F.count_if(F.col("value") > 50) == 0).alias("success")))
 
 # written logs ------------------------------------------------------------------------------------------------------
-# A log of the events, each segment a file; segment 0 has a changed byte in its fifth record and a changed header bit in its tenth, the last segment ends within its last record.
+# A log of the events, each segment a file; segment 0 has a wrong bit in its fifth record's payload and in its tenth's header, two in the hash before its fifteenth, and the last segment ends within its last record.
 _N = "(SELECT max(segment) FROM ev)"
-_DAMAGED = EV + f""", good AS (SELECT *, sequence = 5 OR sequence = 10 OR sequence = (SELECT max(sequence) FROM ev) AS bad FROM ev)"""
+_DAMAGED = EV + f""", good AS (SELECT *, sequence IN (5, 10, 15) OR sequence = (SELECT max(sequence) FROM ev) AS bad FROM ev)"""
 
 
 def written_log(ev: DataFrame, damage: bool = False, lose: int | None = None) -> str:
@@ -338,42 +338,52 @@ def written_log(ev: DataFrame, damage: bool = False, lose: int | None = None) ->
     spark = ev.sparkSession
     path = shared_dir(spark, "wal")
     wal.write_log(ev, path)
-    store, base = wal.store_of(path)
+    store, _ = wal.store_of(path)
     found = [p for p, _ in wal.files(path, ".wal")]
     if lose is not None:
         for p in found:
             if int(p.rpartition("/")[2].split("-")[0]) == lose:
                 store.delete_file(p)
     if damage:
-        for p in dict.fromkeys((found[0], found[-1])):
-            with store.open_input_file(p) as handle:
+        hit = list(dict.fromkeys((found[0], found[-1])))
+        spark.range(0, len(hit), 1, len(hit)).mapInArrow(lambda batches: _damage(path, hit, batches), "id long").count()
+    return path
+
+
+def _damage(path: str, files: list[str], batches):
+    """Writes a task's files again with what is wrong in them: the first of a log, and the last."""
+    store, _ = wal.store_of(path)
+    for batch in batches:
+        for k in batch.column(0).to_pylist():
+            with store.open_input_file(files[k]) as handle:
                 data = bytearray(handle.read())
             rows = list(records.split(bytes(data)))
-            if p == found[0]:
+            if k == 0:
                 data[rows[4].offset + records.HEAD.size + 1] ^= 1
                 data[rows[9].offset + 13] ^= 2
-            if p == found[-1]:
+                data[rows[14].offset + 40] ^= 3
+            if k == len(files) - 1:
                 del data[rows[-1].offset + records.HEAD.size + 3 :]
-            with store.open_output_stream(p) as handle:
+            with store.open_output_stream(files[k]) as handle:
                 handle.write(bytes(data))
-    return path
+        yield batch
 
 
 def read(ev: DataFrame, damage: bool = False, lose: int | None = None, mode: str = "RESYNC") -> DataFrame:
     return wal.read_log(ev.sparkSession, written_log(ev, damage, lose), mode)
 
 
-simple("recovery_report", "SELECT count(*) FILTER (NOT bad) AS recovered, count(*) FILTER (bad) AS corrupted, sum(CASE WHEN NOT bad THEN 0 WHEN sequence < 11 THEN size ELSE 67 END)::BIGINT AS bytes_skipped, max(sequence) FILTER (NOT bad) AS last_good_sequence FROM good", lambda ev: recover.report(recover.recover(ev.sparkSession, written_log(ev, True))), _DAMAGED)
+simple("recovery_report", "SELECT count(*) FILTER (NOT bad) AS recovered, count(*) FILTER (bad) AS corrupted, sum(CASE WHEN NOT bad THEN 0 WHEN sequence < 16 THEN size ELSE 67 END)::BIGINT AS bytes_skipped, max(sequence) FILTER (NOT bad) AS last_good_sequence FROM good", lambda ev: recover.report(recover.recover(ev.sparkSession, written_log(ev, True))), _DAMAGED)
 simple("recovered_log", "SELECT row_number() OVER (ORDER BY sequence) AS sequence, event_data, true AS linked FROM good WHERE NOT bad", lambda ev: _recovered(ev), _DAMAGED)
-simple("broken_links", f"SELECT sequence, 'lost' AS kind FROM good WHERE sequence IN (6, 11) UNION ALL SELECT min(sequence), 'start' FROM good GROUP BY segment", lambda ev: recover.broken_links(read(ev, True)).select("sequence", "kind"), _DAMAGED)
+simple("broken_links", f"SELECT sequence, 'lost' AS kind FROM good WHERE sequence IN (6, 11, 16) UNION ALL SELECT min(sequence), 'start' FROM good GROUP BY segment", lambda ev: recover.broken_links(read(ev, True)).select("sequence", "kind"), _DAMAGED)
 simple("chain_map", "SELECT sequence FROM good WHERE NOT bad", lambda ev: recover.chain_map(read(ev, True)).where(F.length("hash") == 64).select("sequence"), _DAMAGED)
-simple("forensic_report", "SELECT 'standard' AS method, count(*) FILTER (NOT bad) AS pieces, sum(size - 72) FILTER (NOT bad)::BIGINT AS bytes FROM good UNION ALL SELECT 'header', 1, size - 72 FROM good WHERE sequence = 10 UNION ALL SELECT 'tail', 1, 3 FROM range(1)", lambda ev: recover.forensic_report(recover.forensic(ev.sparkSession, written_log(ev, True)).where("method <> 'json'")), _DAMAGED)
+simple("forensic_report", "SELECT 'standard' AS method, count(*) FILTER (NOT bad) AS pieces, sum(size - 72) FILTER (NOT bad)::BIGINT AS bytes FROM good UNION ALL SELECT 'header', 1, size - 72 FROM good WHERE sequence = 10 UNION ALL SELECT 'payload', 1, size - 72 FROM good WHERE sequence = 5 UNION ALL SELECT 'json', 1, strlen(props) FROM good WHERE sequence = 15 UNION ALL SELECT 'tail', 1, 3 FROM range(1) UNION ALL SELECT 'shadow', count(*), sum(size - 72)::BIGINT FROM good WHERE bad", lambda ev: recover.forensic_report(recover.forensic(ev.sparkSession, written_log(ev, True), written_log(ev))), _DAMAGED)
 simple("strict_scan", "SELECT sequence, event_data FROM good WHERE NOT bad AND (segment > 0 OR sequence < 5)", lambda ev: read(ev, True, mode="STOP_AT_ERROR").where("parse_error is null").select("sequence", F.col("event_data").cast("string").alias("event_data")), _DAMAGED)
 simple("skipping_scan", "SELECT sequence, event_data FROM good WHERE NOT bad AND (segment > 0 OR sequence < 10)", lambda ev: read(ev, True, mode="SKIP").where("parse_error is null").select("sequence", F.col("event_data").cast("string").alias("event_data")), _DAMAGED)
 simple("chain_breaks_lost_segment", "SELECT min(sequence) AS sequence FROM ev WHERE segment > 0", lambda ev: wal.check_records(read(ev, lose=0)).where("not linked").groupBy().agg(F.min("sequence").alias("sequence")))
 _LOST = EV + ", left_over AS (SELECT *, segment = 1 AND sequence = (SELECT min(sequence) FROM ev WHERE segment = 1) AS first_left FROM ev WHERE segment <> 0)"
 simple("integrity_lost_first_segment", "SELECT count(*) AS total, 0::BIGINT AS damaged, count(*) FILTER (first_left) AS chain_breaks, count(*) FILTER (first_left) AS corrupted, max(sequence) AS last_sequence, count(*) FILTER (first_left) = 0 AS valid FROM left_over", lambda ev: verify.integrity_report(verify.check_chain(verify.chained(ev).where("segment <> 0"))).drop("last_time"), _LOST)
-simple("integrity_damaged_log", "SELECT count(*) FILTER (NOT bad) AS records, count(*) FILTER (bad) AS damaged, 2::BIGINT AS chain_breaks, false AS valid FROM good", lambda ev: _integrity(ev), _DAMAGED)
+simple("integrity_damaged_log", "SELECT count(*) FILTER (NOT bad) AS records, count(*) FILTER (bad) AS damaged, (SELECT count(*) FROM good a JOIN good b ON b.sequence = a.sequence + 1 AND b.segment = a.segment WHERE a.bad AND NOT b.bad) AS chain_breaks, false AS valid FROM good", lambda ev: _integrity(ev), _DAMAGED)
 simple("log_stats_files", f"SELECT count(*) AS total, count(DISTINCT segment) AS files, true AS has_corruption, false AS is_sealed, true AS in_order FROM good WHERE NOT bad", lambda ev: _file_stats(ev), _DAMAGED)
 simple("log_continued", "SELECT sequence, event_data, true AS linked FROM ev UNION ALL SELECT sequence + (SELECT max(sequence) FROM ev), event_data, true FROM ev", lambda ev: _continued(ev))
 simple("segment_catalog", "SELECT segment, min(sequence) AS start_seq, max(sequence) AS end_seq, count(*) AS record_count, sum(size)::BIGINT AS size, segment < (SELECT max(segment) FROM ev) AS sealed, false AS damaged FROM ev GROUP BY segment", lambda ev: _catalog(ev))
@@ -395,7 +405,8 @@ simple("csv_read_back", f"SELECT * FROM ({_EXPORT})", lambda ev: _csv(ev))
 simple("replay_csv", f"SELECT {_TIME} AS Timestamp, (['VRB','DBG','INF','WRN','ERR','FTL'])[level + 1] AS Level, {_TEXT} AS Message, '{{\"Action\":\"' || event_type || '\",\"UserId\":\"' || entity_id || '\"}}' AS Properties FROM ev", lambda ev: export.replay_table(messages(ev)))
 simple("bad_blocks", "SELECT page_id, CASE WHEN page_id % 4 = 1 AND strlen(html) > 1024 THEN 1 ELSE -1 END AS block FROM pages", lambda spark, d: table(spark, d, "pages").select("page_id", checksum.bad_block(F.when((F.col("page_id") % 4 == 1) & (F.octet_length("html") > 1024), F.concat(F.substring(F.col("html").cast("binary"), 1, 1024), F.lit(b"!"), F.substring(F.col("html").cast("binary"), 1026, 1 << 30))).otherwise(F.col("html").cast("binary")), checksum.block_sums(F.col("html").cast("binary"), 1024), 1024).alias("block")), "")
 simple("checksum_crc32", "SELECT item_id, length(text) > 0 AS any FROM benchmark", lambda spark, d: table(spark, d, "benchmark").select("item_id", (F.length("text") > 0).alias("any")).where(checksum.checksum(F.col("text"), "CRC32") == F.crc32(F.col("text").cast("binary"))), "")
-simple("stream_counts", f"WITH {EV} SELECT segment, count(*) AS events, count(*) FILTER (level >= 4) AS errors FROM ev GROUP BY segment", lambda spark, d: _streamed(spark, d), "")
+simple("stream_counts", f"WITH {EV} SELECT date_trunc('day', ts)::TIMESTAMP AS start, segment, count(*) AS events, count(*) FILTER (level >= 4) AS errors FROM ev WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR GROUP BY ALL", lambda spark, d: _streamed(spark, d), "")
+simple("stream_alerts", f"WITH {EV}, e AS (SELECT segment, count(*) FILTER (level >= 4) // 7 AS alerts FROM ev GROUP BY segment) SELECT * FROM e WHERE alerts > 0", lambda spark, d: _alerted(spark, d), "")
 
 
 def _recovered(ev: DataFrame) -> DataFrame:
@@ -494,13 +505,30 @@ def _csv(ev: DataFrame) -> DataFrame:
     return ev.sparkSession.read.option("header", True).option("escape", "\\").schema(", ".join(f"{c} string" for c in export.COLUMNS)).csv(path).fillna("", ["Exception"])
 
 
+def stream_of(spark: SparkSession, d: str, parts: int = 1) -> DataFrame:
+    """The events as a stream, a file a batch."""
+    path = shared_dir(spark, "stream")
+    events(spark, d).repartitionByRange(parts, "sequence").write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _sunk(out: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives as it runs to its end."""
+    spark, path = out.sparkSession, shared_dir(out.sparkSession, "sunk")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream, counted by event time as it runs to its end."""
-    path, out = shared_dir(spark, "stream"), shared_dir(spark, "counts")
-    events(spark, d).write.parquet(path)
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    live.ingest(source, out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(out).groupBy("segment").agg(F.count("*").alias("events"), F.count_if(F.col("level") >= 4).alias("errors"))
+    """Counts by day of event time; days that aren't over by the watermark stay open."""
+    counts = live.counts(stream_of(spark, d), "1 day", "1 hour")
+    return _sunk(counts, "append").select(F.col("start").cast("timestamp_ntz").alias("start"), "segment", "events", "errors")
+
+
+def _alerted(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts for each seventh error of a segment, over batches that cut segments."""
+    return _sunk(live.alerts(stream_of(spark, d, 3), 7), "append").groupBy("segment").agg(F.sum("alerts").alias("alerts"))
 
 
 # checksums (no SQL engine at hand has these) --------------------------------------------------------------------

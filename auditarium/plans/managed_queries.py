@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from auditarium.functions.model import CompactionPolicy
 from auditarium.functions.session import shared_dir
-from auditarium.plans.catalogue import AS_OF, END, SEG, START, simple
+from auditarium.operators import chains, verify
+from auditarium.plans.catalogue import AS_OF, END, EV, SEG, START, simple, stream_of
 from auditarium.sources import index, managed, manifest, wal
+from auditarium.streaming import live, source
 
 _EVENT = ("sequence", "ts", "event_data", "flags", "segment")
 _LAST = "(SELECT max(segment) FROM ev)"
@@ -133,3 +135,57 @@ simple("find_by_index", "SELECT sequence, event_data, flags FROM ev WHERE sequen
 simple("range_by_index", f"SELECT sequence, event_data, flags FROM ev WHERE ts BETWEEN '{START}' AND '{END}'", _between)
 simple("record_index", "SELECT min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) AS records, sum(size)::BIGINT AS bytes, min(begins)::BIGINT AS offset, max(flags) AS flags FROM numbered GROUP BY segment, place // 10", _indexed, SEG + ", " + _NUMBERED)
 simple("positional_scan_bytes", "SELECT sequence FROM ev WHERE segment = 0 AND sequence > 20", _from_offset)
+
+
+def _branches(ev: DataFrame) -> DataFrame:
+    """A log in which each 977th record is lost and twenty others were written from the middle on as well, with its records in no order."""
+    rows = verify.chained(ev).select("sequence", "hash", "prev_hash", "event_data")
+    middle = ev.agg(F.max("sequence")).first()[0] // 2 + 1
+    other = F.sha2(F.concat("event_data", F.lit("~")), 256)
+    forged = rows.where(F.col("sequence").between(middle, middle + 20)).withColumn("own", other)
+    ahead = forged.select((F.col("sequence") + 1).alias("sequence"), F.when(F.col("sequence") == middle, F.col("hash")).otherwise(F.col("own")).alias("prev_hash"))
+    forged = forged.where(F.col("sequence") > middle).select("sequence", F.col("own").alias("hash")).join(ahead, "sequence")
+    rec = rows.where("sequence % 977 <> 500").select("sequence", "hash", "prev_hash").unionByName(forged)
+    rec = rec.select(F.concat(F.lit("file"), F.pmod(F.xxhash64("hash"), F.lit(13))).alias("path"), F.xxhash64("hash", F.lit(1)).alias("offset"), "sequence", "hash", "prev_hash")
+    return chains.branches(rec).select("kind", "main", "first_sequence", "last_sequence", "records", "fork_sequence")
+
+
+def _monitored(spark, d: str) -> DataFrame:
+    """The totals that a monitor tells after a log's first half, and after the rest was written and it went on from its checkpoint."""
+    from auditarium.plans.catalogue import events
+
+    ev, path, checkpoint, told = events(spark, d), shared_dir(spark, "wal"), shared_dir(spark, "checkpoint"), []
+    last = _last(ev)
+    for low, high in ((0, last // 2), (last // 2 + 1, last)):
+        wal.write_log(ev.where(F.col("segment").between(low, high)), path)
+        live.monitor(source.follow(spark, path), checkpoint, told.append).awaitTermination()
+    rows = [spark.range(1).select(F.lit(k).alias("run"), *(F.lit(r[c]).cast("long").alias(c) for c in ("records", "errors", "bytes", "last_sequence"))) for k, r in ((1, told[0]), (2, told[-1]))]
+    return rows[0].unionByName(rows[1])
+
+
+def _ingested(spark, d: str) -> DataFrame:
+    """The events as a stream of three batches that becomes a managed log: its records, and whether the seals hold."""
+    path = shared_dir(spark, "managed")
+    live.append(stream_of(spark, d, 3), path, shared_dir(spark, "checkpoint")).awaitTermination()
+    valid, state = managed.report(spark, path).first()["valid"], manifest.load(path)
+    return managed.read(spark, path).select(F.col("event_data").cast("string").alias("event_data"), "flags").withColumn("valid", F.lit(valid)).withColumn("last_sequence", F.lit(state.last_sequence()).cast("long")).withColumn("generations", F.lit(state.generation))
+
+
+def _followed(ev: DataFrame) -> DataFrame:
+    """What a stream of a managed log brings: each record once, whatever is rewritten."""
+    spark, path, out, checkpoint = ev.sparkSession, shared_dir(ev.sparkSession, "managed"), shared_dir(ev.sparkSession, "out"), shared_dir(ev.sparkSession, "checkpoint")
+    last = _last(ev)
+    for low, high in ((0, last // 2), (last // 2 + 1, last)):
+        managed.append(ev.where(F.col("segment").between(low, high)).select(*_EVENT), path)
+        managed.vacuum(spark, path, 0.0001)
+        source.follow(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _text(spark.read.schema(wal.SCHEMA).parquet(out))
+
+
+_KEPT = EV + ", kept AS (SELECT sequence, sequence - row_number() OVER (ORDER BY sequence) AS island FROM ev WHERE sequence % 977 <> 500), m AS (SELECT max(sequence) // 2 + 1 AS m FROM ev)"
+_KIND = "CASE WHEN min(sequence) = 1 THEN 'start' ELSE 'lost' END"
+simple("chain_branches", f"SELECT {_KIND} AS kind, true AS main, min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) AS records, NULL::BIGINT AS fork_sequence FROM kept GROUP BY island UNION ALL SELECT (SELECT {_KIND} FROM kept WHERE island = (SELECT island FROM kept WHERE sequence = m)), false, m + 1, m + 20, 20, m FROM m", _branches, _KEPT)
+_HALF = "(SELECT max(segment) // 2 FROM ev)"
+simple("stream_monitor", f"WITH {EV} SELECT r.run, count(*) AS records, 0::BIGINT AS errors, sum(size)::BIGINT AS bytes, max(sequence) AS last_sequence FROM ev JOIN (VALUES (1), (2)) r(run) ON r.run = 2 OR ev.segment <= {_HALF} GROUP BY r.run", _monitored, "")
+simple("stream_ingest", f"WITH {EV} SELECT event_data, flags, true AS valid, (SELECT count(*) FROM ev) AS last_sequence, 3 AS generations FROM ev", _ingested, "")
+simple("stream_follow", "SELECT sequence, event_data, flags FROM ev", _followed)

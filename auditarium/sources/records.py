@@ -7,6 +7,7 @@ sequence (64), previous record's SHA-256 (32 bytes), payload, CRC32 of all befor
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -167,33 +168,129 @@ def journal(data: bytes) -> Iterator[tuple[int, int, int, bytes, str | None]]:
         at += JOURNAL_HEAD.size + n
 
 
-def flipped_header(data: bytes, at: int, most: int = MAX_PAYLOAD) -> Record | None:
-    """The record at a place whose header has one wrong bit, if setting it right makes the whole record valid but for the header."""
-    part = bytearray(data[at : at + OVERHEAD + most])
-    if len(part) < OVERHEAD:
-        return None
-    for bit in range(160):
-        part[bit >> 3] ^= 1 << (bit & 7)
-        got = record_at(bytes(part), 0, most)
-        if isinstance(got, Record):
-            return got._replace(offset=at)
-        part[bit >> 3] ^= 1 << (bit & 7)
+# CRC-32 is linear: what one wrong bit changes in it depends on the bit's distance from the end alone. So the difference of a stored and a computed checksum, the syndrome, names the bit.
+_POLYNOMIAL = 0xEDB88320  # fixed value of the checksum
+_STEP = 1024  #: bytes that are looked up at once
+
+
+def _table() -> list[int]:
+    """What a byte adds to the checksum's state, by its value."""
+    out = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (_POLYNOMIAL if k & 1 else 0)
+        out.append(k)
+    return out
+
+
+_BYTES = _table()
+_TOPS = {x >> 24: k for k, x in enumerate(_BYTES)}
+
+
+def _earlier(s: int) -> int:
+    """The state a zero byte before."""
+    k = _TOPS[s >> 24]
+    return (s ^ _BYTES[k]) << 8 & 0xFFFFFFFF | k
+
+
+def _syndromes() -> dict[int, int]:
+    """Distance from the end, in bits, by syndrome, for the last _STEP bytes."""
+    out, states = {}, [_BYTES[1 << j] for j in range(8)]
+    for k in range(_STEP):
+        for j in range(8):
+            out[states[j]] = 8 * k + j
+            states[j] = states[j] >> 8 ^ _BYTES[states[j] & 255]
+    return out
+
+
+def _jump() -> list[list[int]]:
+    """For each byte of a state what it becomes _STEP zero bytes before."""
+    single = []
+    for j in range(32):
+        s = 1 << j
+        for _ in range(_STEP):
+            s = _earlier(s)
+        single.append(s)
+    tables = []
+    for k in range(4):
+        row = [0] * 256
+        for v in range(1, 256):
+            low = v & -v
+            row[v] = row[v ^ low] ^ single[8 * k + low.bit_length() - 1]
+        tables.append(row)
+    return tables
+
+
+_found: tuple | None = None
+
+
+def wrong_bit(syndrome: int, size: int) -> tuple[int, int] | None:
+    """Place and bit of the one wrong bit in size bytes whose CRC-32 differs from the right one by syndrome; None if no single bit does that."""
+    global _found
+    _found = _found or (_syndromes(), _jump())
+    near, (a, b, c, d) = _found
+    for done in range(0, size, _STEP):
+        if (at := near.get(syndrome)) is not None:
+            place = size - 1 - done - (at >> 3)
+            return (place, at & 7) if place >= 0 else None
+        syndrome = a[syndrome & 255] ^ b[syndrome >> 8 & 255] ^ c[syndrome >> 16 & 255] ^ d[syndrome >> 24]
     return None
 
 
+def one_bit_off(data, at: int, most: int = MAX_PAYLOAD, doubt: float = 1e-3) -> tuple[str, Record] | None:
+    """The record at a place of which one bit is wrong, and where that is: header (or its checksum), payload (or sequence, previous hash, checksum) or footer. Payloads so
+    long that a random checksum would name one of their bits with a probability over doubt are left alone."""
+    head = bytearray(data[at : at + 20])
+    if at + OVERHEAD > len(data):
+        return None
+    kind, part = "", None
+    syndrome = zlib.crc32(head) ^ int.from_bytes(data[at + 20 : at + 24], "little")
+    if syndrome:
+        stored = syndrome.bit_count() == 1  # the checksum's own bit
+        bit = None if stored else wrong_bit(syndrome, 20)
+        if not stored and bit is None:
+            return None
+        if bit:
+            head[bit[0]] ^= 1 << bit[1]
+        kind = "header"
+    n = int.from_bytes(head[8:12], "little")
+    if head[:4] != MARK or n > most or at + OVERHEAD + n > len(data):
+        return None
+    part = bytearray(data[at : at + OVERHEAD + n])
+    part[:20] = head
+    part[20:24] = zlib.crc32(head).to_bytes(4, "little")
+    if not kind:
+        syndrome = zlib.crc32(memoryview(part)[:-8]) ^ int.from_bytes(part[-8:-4], "little")
+        if syndrome:
+            if 8 * len(part) / 2**32 > doubt:
+                return None
+            bit = None if syndrome.bit_count() == 1 else wrong_bit(syndrome, len(part) - 8)
+            if bit:
+                part[bit[0]] ^= 1 << bit[1]
+            else:
+                part[-8:-4] = zlib.crc32(memoryview(part)[:-8]).to_bytes(4, "little") if syndrome.bit_count() == 1 else part[-8:-4]
+            kind = "payload"
+        elif (int.from_bytes(part[-4:], "little") ^ FOOTER).bit_count() == 1:
+            part[-4:] = FOOT
+            kind = "footer"
+    got = record_at(bytes(part), 0, most)
+    return (kind, got._replace(offset=at)) if isinstance(got, Record) and kind else None
+
+
+def flipped_header(data: bytes, at: int, most: int = MAX_PAYLOAD) -> Record | None:
+    """The record at a place whose header has one wrong bit, if setting it right makes the whole record valid."""
+    got = one_bit_off(data, at, most)
+    return got[1] if got and got[0] == "header" else None
+
+
 def salvaged(data: bytes, most: int = MAX_PAYLOAD) -> Iterator[tuple[int, str, bytes]]:
-    """Offset, kind and data of all that a damaged run holds: records with one wrong header bit, wherever they begin, and balanced braces between them."""
+    """Offset, kind and data of all that a damaged run holds: records with one wrong bit, wherever they begin (header, payload, footer: see one_bit_off), and balanced braces between them."""
     done = 0
     for at in _begins(data):
-        if at < done:
-            continue
-        n = int.from_bytes(data[at + 8 : at + 12], "little")
-        for size in (OVERHEAD + m for m in (n, *(n ^ (1 << bit) for bit in range(32))) if m <= most):
-            if at + size <= len(data) and data[at + size - 4 : at + size] == FOOT and (got := flipped_header(data[at : at + size], 0, most)) and got.size == size:
-                yield from ((done + k, "json", piece) for k, piece in json_objects(data[done:at]))
-                yield at, "header", got.event_data
-                done = at + size
-                break
+        if at >= done and (got := one_bit_off(data, at, most)):
+            yield from ((done + k, "json", piece) for k, piece in json_objects(data[done:at]))
+            yield at, got[0], got[1].event_data
+            done = at + got[1].size
     yield from ((done + k, "json", piece) for k, piece in json_objects(data[done:]))
 
 
@@ -219,19 +316,26 @@ def _begins(data: bytes) -> list[int]:
     return sorted(at for at in found if at >= 0 and (int.from_bytes(data[at : at + 4], "little") ^ MAGIC).bit_count() <= 1)
 
 
+_OUTSIDE, _INSIDE = re.compile(rb'[{}"]'), re.compile(rb'"|\\.', re.S)
+
+
 def json_objects(data: bytes, least: int = 2) -> list[tuple[int, bytes]]:
-    """Runs of bytes with balanced braces outside strings: what may be events in damaged bytes."""
-    out, depth, begin, quoted, escaped = [], 0, 0, False, False
-    for at, c in enumerate(data):
-        if quoted:
-            quoted, escaped = not (c == 0x22 and not escaped), c == 0x5C and not escaped
-        elif c == 0x22 and depth:
-            quoted = True
-        elif c == 0x7B:
-            begin = at if not depth else begin
+    """Runs of bytes with balanced braces outside strings: what may be events in damaged bytes. Goes from brace to brace and quote to quote."""
+    out, depth, begin, at = [], 0, 0, 0
+    while m := _OUTSIDE.search(data, at):
+        at = m.end()
+        c = m[0]
+        if c == b"{":
+            begin = m.start() if not depth else begin
             depth += 1
-        elif c == 0x7D and depth:
+        elif c == b"}" and depth:
             depth -= 1
-            if not depth and at - begin + 1 >= least:
-                out.append((begin, bytes(data[begin : at + 1])))
+            if not depth and at - begin >= least:
+                out.append((begin, bytes(data[begin:at])))
+        elif c == b'"' and depth:
+            while (m := _INSIDE.search(data, at)) and m[0] != b'"':
+                at = m.end()
+            if not m:
+                break
+            at = m.end()
     return out

@@ -172,6 +172,8 @@ def test_salvage_goes_on_within_a_run():
     raws = [bytearray(records.encode(k, 9, b'{"a":%d}' % k)) for k in range(4)]
     for raw, place in zip(raws, (13, 1, 60, 9), strict=True):
         raw[place] ^= 4
+    assert list(records.salvaged(bytes(raws[2]))) == [(0, "payload", b'{"a":2}')]  # a wrong bit of the hash before it
+    raws[2][61] ^= 1  # and another: what is left is its JSON
     run = b"??" + b"".join(map(bytes, raws))
     size = len(raws[0])
     assert [tuple(x) for x in records.salvaged(run)] == [(2, "header", b'{"a":0}'), (2 + size, "header", b'{"a":1}'), (2 + 2 * size + records.HEAD.size, "json", b'{"a":2}'), (2 + 3 * size, "header", b'{"a":3}')]

@@ -284,14 +284,15 @@ def test_forensics(spark, folder):
     data = bytearray(open(path, "rb").read())
     rows = [x for x in records.split(bytes(data)) if isinstance(x, records.Record)]
     data[rows[5].offset + 13] ^= 2  # a bit of the header
-    data[rows[9].offset + 62] ^= 2  # a bit of the sequence's hash: the JSON is whole
+    data[rows[9].offset + 62] ^= 3  # two bits of the hash before it: the JSON is whole
+    data[rows[14].offset + 70] ^= 2  # a bit of the payload
     del data[rows[29].offset + records.HEAD.size + 20 :]
     open(path, "wb").write(data)
     found = {r["method"]: r["pieces"] for r in recover.forensic_report(recover.forensic(spark, folder, f"{folder}/shadow")).collect()}
-    assert found == {"standard": 57, "header": 1, "json": 1, "tail": 1, "shadow": 3}
+    assert found == {"standard": 56, "header": 1, "payload": 1, "json": 1, "tail": 1, "shadow": 4}
     rec = recover.recover(spark, folder)
-    assert {(r["sequence"], r["kind"]) for r in recover.broken_links(rec).collect()} == {(1, "start"), (31, "start"), (7, "lost"), (11, "lost")}
-    assert recover.chain_map(rec).count() == 57
+    assert {(r["sequence"], r["kind"]) for r in recover.broken_links(rec).collect()} == {(1, "start"), (31, "start"), (7, "lost"), (11, "lost"), (16, "lost")}
+    assert recover.chain_map(rec).count() == 56
     assert {r["kind"] for r in recover.broken_links(rec.where("sequence not in (3)").union(rec.where("sequence = 3").withColumn("offset", F.lit(10**9).cast("long")))).where("sequence in (3, 4)").collect()} == {"fork"}
 
 
