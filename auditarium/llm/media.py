@@ -7,10 +7,12 @@ read by its offset.
 
 `format("imagearchive")` writes one archive a task and a new one after `archiveBytes`; names are unique for
 each attempt, and only archives of committed tasks get into the manifest, so retried or lost tasks leave no
-rows. Each commit has a manifest of its own: appending adds one, overwriting removes those before. Reading plans partitions from the manifests as byte ranges of at most `rangeBytes`: the driver sees
-archives, never members. A task reads the archive's directory, takes the members that begin in its range and
+rows. Each commit has a manifest of its own: appending adds one, overwriting removes those before. Reading plans partitions from the manifests as byte ranges of about `rangeBytes`, or of a
+`PARTITIONS`-th of all bytes if that is more, so their number is bounded; a range may go on into the next archives. The driver sees
+archives, never members. A task reads an archive's directory, takes the members that begin in its range and
 sends them on as Arrow batches of at most `batchBytes`. A member that can't be read is tried again by its
-offset, on a new handle, `tries` times; then its row has `error` instead of `media`, and the others go on.
+offset, on a new handle, `tries` times; then its row has `error` instead of `media`, and the others go on. An archive whose directory can't be read
+gives one row, with its name and the error, and a member whose entry there is damaged one row with its place.
 
 Nulls: a null text counts as empty (one row of 192 spaces), a null doc_id stays null. Repeated rows, ties and all: one
 member and one row for each. A very long text is one image, held by one task. An empty table gives an empty manifest and no rows. Other columns are left out.
@@ -40,6 +42,9 @@ from .shared import shared_dir, table
 WIDTH = 192
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+PARTITIONS = 20_000
+#: What damage to an archive's directory, or to a member, makes readers raise.
+DAMAGE = (OSError, ValueError, KeyError, IndexError, RuntimeError, NotImplementedError, EOFError, struct.error, zlib.error, zipfile.BadZipFile)
 MANIFEST = "_archives.json"  #: End of the names of manifests, one for each commit.
 
 
@@ -94,9 +99,7 @@ def _open(path: str):
 
 @dataclass
 class Range(InputPartition):
-    path: str
-    start: int
-    end: int
+    parts: list[tuple[str, int, int]]  #: archive, from, to
 
 
 @dataclass
@@ -180,7 +183,17 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Range]:
         store, base = _open(self.path)
         archives = [a for path in _manifests(store, base) for a in _listed(store, path)]
-        return [Range(name, at, at + self.range) for name, size, _ in archives for at in range(0, size, self.range)] or [Range("", 0, 0)]
+        target, out, held = max(self.range, sum(size for _, size, _ in archives) // PARTITIONS), [], 0
+        for name, size, _ in archives:
+            at = 0
+            while at < size:
+                if not out or held >= target:
+                    out.append(Range([]))
+                    held = 0
+                end = min(size, at + target - held)
+                out[-1].parts.append((name, at, end))
+                held, at = held + end - at, end
+        return out or [Range([])]
 
     def _member(self, archive, store, path: str, info) -> tuple[bytes | None, str | None]:
         for attempt in range(self.tries):
@@ -189,31 +202,45 @@ class _Reader(DataSourceReader):
                 if zlib.crc32(media) != info.CRC:
                     raise ValueError("damaged member")
                 return media, None
-            except (OSError, ValueError, zipfile.BadZipFile) as e:
+            except DAMAGE as e:
                 error = f"{type(e).__name__}: {e}"
                 time.sleep(0.05 * attempt)
         return None, error
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
         store, base = _open(self.path)
-        path = f"{base}/{partition.path}"
         rows, held = [], 0
-        with store.open_input_file(path) as handle, zipfile.ZipFile(handle) as archive:
-            for info in archive.infolist():
-                if not partition.start <= info.header_offset < partition.end:
-                    continue
-                media, error = self._member(archive, store, path, info)
-                key = info.filename.split(".")[1]
-                rows.append((int(key) if key else None, partition.path, info.header_offset, media, error))
-                held += len(media or b"")
+        for name, start, end in partition.parts:
+            for row in self._part(store, f"{base}/{name}", name, start, end):
+                rows.append(row)
+                held += len(row[3] or b"")
                 if held >= self.batch:
                     yield _rows(rows)
                     rows, held = [], 0
         if rows:
             yield _rows(rows)
 
+    def _part(self, store, path: str, name: str, start: int, end: int) -> Iterator[tuple]:
+        """Rows of an archive's members that begin in a range; one row with an error for a directory that can't be read, from the range it begins in."""
+        try:
+            handle = store.open_input_file(path)
+            archive = zipfile.ZipFile(handle)
+        except DAMAGE as e:
+            if start == 0:
+                yield None, name, None, None, f"directory: {type(e).__name__}: {e}"
+            return
+        with handle, archive:
+            for info in archive.infolist():
+                if start <= info.header_offset < end:
+                    media, error = self._member(archive, store, path, info)
+                    key = None
+                    try:
+                        text = info.filename.split(".")[1]
+                        key = int(text) if text else None
+                    except DAMAGE as e:
+                        media, error = None, f"name: {type(e).__name__}: {e}"
+                    yield key, name, info.header_offset, media, error
+
 
 def _rows(rows: list) -> pa.RecordBatch:
     kinds = (("doc_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string()))

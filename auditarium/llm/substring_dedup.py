@@ -44,6 +44,8 @@ WINDOW, PHRASE = 20, 4
 HOT = 2000
 #: Text of a shard of documents; words of runs whose windows are confirmed together.
 SHARD_BYTES, CONFIRM_WORDS, MOST_TASKS = 8 << 20, 200_000, 100_000
+#: Windows that are laid out at once; what a run costs beside its text while it is held.
+BLOCK, HELD = 1 << 15, 400
 NO_ID = -(1 << 63)
 WHITE = " \t\n\v\f\r"
 #: Kinds of a shard's rows, in the order in which they come.
@@ -60,7 +62,10 @@ def names(h: np.ndarray, at: np.ndarray, window: int, phrase: int):
     owner = np.repeat(np.arange(len(n)), n)
     first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = at[:-1][owner] + first
-    least = np.lib.stride_tricks.sliding_window_view(grams, window - phrase + 1)[start].argmin(1) + start
+    view, least = np.lib.stride_tricks.sliding_window_view(grams, window - phrase + 1), np.empty(len(start), np.int64)
+    for a in range(0, len(start), BLOCK):  # a block's windows are laid out, not all of a long text
+        part = start[a : a + BLOCK]
+        least[a : a + BLOCK] = view[part].argmin(1) + part
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
     head = np.flatnonzero(new)
@@ -171,8 +176,11 @@ class _Units:
             return
         if self.names is None:
             every = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-            order = np.argsort(every[0], kind="stable")
-            self.names = tuple(x[order] for x in every)
+            order = np.lexsort(every[::-1])
+            every = [x[order] for x in every]
+            new = np.ones(len(order), bool)  # a repeated row names its windows again
+            new[1:] = np.any([x[1:] != x[:-1] for x in every], 0)
+            self.names, self.parts = tuple(x[new] for x in every), [()]
         dk, own, h, lo, hi = self.names
         begin, end = np.searchsorted(dk, keys, "left").tolist(), np.searchsorted(dk, keys, "right").tolist()
         for k, (doc, key) in enumerate(zip(ids.tolist(), keys.tolist(), strict=True)):
@@ -188,16 +196,16 @@ class _Units:
                 here = (doc, key, first)
                 got = self.found.get((name, unit))
                 if got is None:
-                    self.found[name, unit] = [{here}, here]
-                    self.held += len(unit)
+                    self.found[name, unit] = [1, here]
+                    self.held += len(unit) + HELD
                 else:
-                    got[0].add(here)
+                    got[0] += 1
                     got[1] = min(got[1], here)
             if self.held > 4 * SHARD_BYTES:
                 yield from self.end()
 
     def end(self) -> Iterator[pa.RecordBatch]:
-        rows = [(h, mark_of(unit), unit, len(places), *least, self.shard) for (h, unit), (places, least) in self.found.items()]
+        rows = [(h, mark_of(unit), unit, n, *least, self.shard) for (h, unit), (n, least) in self.found.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _UNIT, strict=True)], schema=_UNIT)
         self.found, self.held = {}, 0
