@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditarium.functions.model import GUARDS, MISSING, PATTERNS, PROFILES, REDACTED, Profile, bounded
@@ -118,6 +118,25 @@ def rotate(rows: DataFrame, keys: DataFrame, key: bytes) -> DataFrame:
     return new.withColumn("key_id", F.when(kept, F.col("old.key_id")).otherwise(F.col("key_id"))).withColumn("sealed", F.when(kept, F.col("old.sealed")).otherwise(F.col("sealed"))).select(rows.columns)
 
 
+def epochs(ev: DataFrame, every: int = 1_000_000) -> DataFrame:
+    """ev with epoch: which key's turn it is when a key is used `every` times. The place of a record in the log is its place in the segment plus the records of those before: one
+    row a segment is summed, no task sees all records."""
+    counts = ev.groupBy("segment").agg(F.count("*").alias("__n"))
+    ahead = counts.select("segment", (F.sum("__n").over(Window.orderBy("segment")) - F.col("__n")).alias("__ahead"))
+    place = F.row_number().over(Window.partitionBy("segment").orderBy("sequence")) - 1
+    return ev.withColumn("__place", place).join(ahead, "segment").withColumn("epoch", F.floor((F.col("__ahead") + F.col("__place")) / every)).drop("__place", "__ahead")
+
+
+def protect_by_epoch(ev: DataFrame, keys: DataFrame, every: int = 1_000_000, data: str = "event_data") -> DataFrame:
+    """ev with sealed and key_id by the key that is valid in a record's epoch: the latest of keys (first_epoch, key) that began by then; null before the first one."""
+    rows = epochs(ev, every)
+    found = rows.select("epoch").distinct().withColumn("key", F.lit(None).cast("binary"))  # a row for each `every` records
+    marks = found.select("epoch", F.lit(1).alias("__asks"), "key").unionByName(keys.select(F.col("first_epoch").cast("long").alias("epoch"), F.lit(0).alias("__asks"), "key"))
+    valid = marks.withColumn("key", F.last("key", True).over(Window.orderBy("epoch", "__asks"))).where("__asks = 1").select("epoch", "key")
+    sealed = F.aes_encrypt(F.col(data).cast("binary"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"))
+    return rows.join(valid, "epoch", "left").withColumn("sealed", sealed).withColumn("key_id", F.substring(F.sha2("key", 256), 1, 16)).drop("key")
+
+
 def needs(names: DataFrame, profiles: DataFrame) -> DataFrame:
     """For each id with an array of profile names: does any ask for encryption, for signing, and the longest retention. Unknown names count as asking nothing."""
     rows = names.select("id", F.explode_outer("names").alias("name")).join(F.broadcast(profiles), "name", "left")

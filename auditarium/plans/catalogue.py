@@ -23,6 +23,9 @@ ORACLES: dict[str, str] = {}
 START, END, AS_OF = "2024-01-06 00:00:00", "2024-01-21 00:00:00", "2024-02-01 00:00:00"
 POLICY = CompactionPolicy(min_segments=2, target_size=250_000, min_segment_size=60_000, ratio=0.7)
 
+#: About the median of the segments' live ratios.
+CYCLE = 0.15
+
 EV = """ev AS (SELECT event_id + 1 AS sequence, ts,
   CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS level,
   user_id::VARCHAR AS entity_id, event_type, value, props, concat_ws('|', event_id, user_id, event_type, props) AS event_data,
@@ -390,7 +393,7 @@ simple("segment_catalog", "SELECT segment, min(sequence) AS start_seq, max(seque
 simple("index_saved", "SELECT segment, start_seq, end_seq FROM seg", lambda ev: _index(ev), SEG)
 simple("compact_range", "SELECT CASE WHEN segment BETWEEN 1 AND 2 AND (SELECT max(segment) FROM ev) > 1 THEN 1 ELSE segment END AS segment, sequence FROM ev WHERE NOT (segment BETWEEN 1 AND 2 AND (SELECT max(segment) FROM ev) > 1 AND flags & 1 = 1)", lambda ev: maintain.compact_range(ev, replay.segments(ev), 1500, 2500).select("segment", "sequence"))
 simple("index_scan", "SELECT sequence, flags, size::INTEGER AS size FROM ev", lambda ev: wal.read_headers(ev.sparkSession, written_log(ev)).select("sequence", "flags", "size"))
-simple("compact_cycle", f"SELECT e.sequence, e.event_data FROM ev e JOIN seg s USING (segment) WHERE NOT (e.flags & 1 = 1 AND s.record_count = 1000 AND s.start_time <= TIMESTAMP '{AS_OF}' - INTERVAL {POLICY.max_age_hours} HOUR)", lambda ev: maintain.compact_cycle(ev, seg_of(ev).withColumn("ratio", F.lit(0.0)), CompactionPolicy(min_segments=1, target_size=POLICY.target_size, ratio=POLICY.ratio), AS_OF).select("sequence", "event_data"), SEG)
+simple("compact_cycle", f"SELECT e.sequence, e.event_data FROM ev e JOIN seg s USING (segment) JOIN ratios r USING (segment) WHERE NOT (e.flags & 1 = 1 AND s.record_count = 1000 AND r.ratio < {CYCLE} AND s.start_time <= TIMESTAMP '{AS_OF}' - INTERVAL {POLICY.max_age_hours} HOUR)", lambda ev: maintain.compact_cycle(ev, seg_of(ev).join(stats.live_ratio(ev).select("segment", "ratio"), "segment"), CompactionPolicy(min_segments=1, target_size=POLICY.target_size, min_segment_size=1, ratio=CYCLE), AS_OF).select("sequence", "event_data"), LIVE)
 simple("vacuum_rewrite", "SELECT sequence, segment FROM ev JOIN seg USING (segment) WHERE NOT (record_count = 1000 AND deleted::DOUBLE / record_count >= 0.1 AND flags & 1 = 1)", lambda ev: maintain.vacuumed(ev, seg_of(ev)).select("sequence", "segment"), SEG)
 simple("merkle_proofs", "SELECT sequence, sha256(event_data) AS hash, ceil(log2((SELECT count(*) FROM ev)))::INTEGER AS steps, true AS valid FROM ev WHERE sequence % 97 = 1", lambda ev: _proofs(ev))
 simple("signature_chain", "SELECT count(*) AS records, 0::BIGINT AS wrong_data, 0::BIGINT AS wrong_signatures, 0::BIGINT AS broken_links, true AS valid FROM nation", lambda spark, d: _signed(spark, d), "")
@@ -404,7 +407,33 @@ simple("days_manifest", "SELECT count(*) AS total, count(DISTINCT date_trunc('ho
 simple("csv_read_back", f"SELECT * FROM ({_EXPORT})", lambda ev: _csv(ev))
 simple("replay_csv", f"SELECT {_TIME} AS Timestamp, (['VRB','DBG','INF','WRN','ERR','FTL'])[level + 1] AS Level, {_TEXT} AS Message, '{{\"Action\":\"' || event_type || '\",\"UserId\":\"' || entity_id || '\"}}' AS Properties FROM ev", lambda ev: export.replay_table(messages(ev)))
 simple("bad_blocks", "SELECT page_id, CASE WHEN page_id % 4 = 1 AND strlen(html) > 1024 THEN 1 ELSE -1 END AS block FROM pages", lambda spark, d: table(spark, d, "pages").select("page_id", checksum.bad_block(F.when((F.col("page_id") % 4 == 1) & (F.octet_length("html") > 1024), F.concat(F.substring(F.col("html").cast("binary"), 1, 1024), F.lit(b"!"), F.substring(F.col("html").cast("binary"), 1026, 1 << 30))).otherwise(F.col("html").cast("binary")), checksum.block_sums(F.col("html").cast("binary"), 1024), 1024).alias("block")), "")
-simple("checksum_crc32", "SELECT item_id, length(text) > 0 AS any FROM benchmark", lambda spark, d: table(spark, d, "benchmark").select("item_id", (F.length("text") > 0).alias("any")).where(checksum.checksum(F.col("text"), "CRC32") == F.crc32(F.col("text").cast("binary"))), "")
+_BYTES = "list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(text), (2 * i - 1)::INTEGER, 2))::UTINYINT::UBIGINT)"
+
+
+def _crc_table(name: str, polynomial: int) -> str:
+    """The table of a cyclic sum's polynomial in SQL, eight shifts an entry."""
+    step = f"CASE WHEN v & 1 = 1 THEN xor(v >> 1, {polynomial}::UBIGINT) ELSE v >> 1 END"
+    return f"{name} AS (WITH RECURSIVE t AS (SELECT i, i::UBIGINT AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, {step}, k + 1 FROM t WHERE k < 8) SELECT list(v ORDER BY i) AS {name}_of FROM t WHERE k = 8)"
+
+
+def _crc(name: str, bits: int) -> str:
+    """A cyclic sum in SQL: a fold over the bytes."""
+    most = 2**bits - 1
+    return f"xor(list_reduce(list_prepend({most}::UBIGINT, bytes), lambda c, b: xor(c >> 8, {name}_of[((xor(c, b) & 255) + 1)::BIGINT])), {most}::UBIGINT)::VARCHAR AS {name}"
+
+
+simple("checksum_crcs", f"WITH {_crc_table('crc32', 0xEDB88320)}, {_crc_table('crc32c', 0x82F63B78)}, {_crc_table('crc64', 0xD800000000000000)}, b AS (SELECT item_id, {_BYTES} AS bytes FROM benchmark) SELECT item_id, {_crc('crc32', 32)}, {_crc('crc32c', 32)}, {_crc('crc64', 64)} FROM b, crc32, crc32c, crc64", lambda spark, d: _crcs(spark, d), "")
+
+
+simple("checksum_crc32", f"WITH {_crc_table('crc32', 0xEDB88320)}, b AS (SELECT page_id, {_BYTES.replace('text', 'url')} AS bytes FROM pages) SELECT page_id, {_crc('crc32', 32)} FROM b, crc32", lambda spark, d: table(spark, d, "pages").select("page_id", checksum.checksum(F.col("url"), "CRC32").cast("string").alias("crc32")), "")
+
+
+def _crcs(spark: SparkSession, d: str) -> DataFrame:
+    """As text: the largest sums of 64 bits have no signed number."""
+    sums = (("CRC32", "crc32"), ("CRC32C", "crc32c"), ("CRC64", "crc64"))
+    return table(spark, d, "benchmark").select("item_id", *(F.conv(F.hex(checksum.checksum(F.col("text"), a)), 16, 10).alias(name) for a, name in sums))
+
+
 simple("stream_counts", f"WITH {EV} SELECT date_trunc('day', ts)::TIMESTAMP AS start, segment, count(*) AS events, count(*) FILTER (level >= 4) AS errors FROM ev WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR GROUP BY ALL", lambda spark, d: _streamed(spark, d), "")
 simple("stream_alerts", f"WITH {EV}, e AS (SELECT segment, count(*) FILTER (level >= 4) // 7 AS alerts FROM ev GROUP BY segment) SELECT * FROM e WHERE alerts > 0", lambda spark, d: _alerted(spark, d), "")
 
