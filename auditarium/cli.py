@@ -16,7 +16,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditarium.functions.model import LEVEL_CODES, CompactionPolicy
+from auditarium.functions.events import decode
+from auditarium.functions.model import CompactionPolicy
 from auditarium.functions.session import shared_dir
 from auditarium.functions.timeexpr import parse_range
 from auditarium.operators import maintain, recover, replay, stats
@@ -24,19 +25,6 @@ from auditarium.sources import catalog, export, managed, manifest, wal
 from auditarium.streaming import live, source
 
 VERSION = "0.1.0"
-PAYLOAD = "Timestamp string, Level int, MessageTemplate string, Properties map<string,string>, Exception string"
-
-
-def decode(rec: DataFrame) -> DataFrame:
-    """Records as events. A payload is a JSON event; anything else is its own message."""
-    text = F.col("event_data").cast("string")
-    body = F.from_json(text, PAYLOAD)
-    at = F.timestamp_micros(F.expr("ts_nanos div 1000")).cast("timestamp_ntz")
-    return rec.where("parse_error is null").select(
-        "path", "offset", "sequence", at.alias("ts"), F.coalesce(body["Level"], F.lit(LEVEL_CODES.index("INF"))).alias("level"), F.coalesce(body["MessageTemplate"], text).alias("message_template"),
-        F.coalesce(body["Properties"], F.create_map().cast("map<string,string>")).alias("properties"), body["Exception"].alias("exception"), body["Properties"]["entity_id"].alias("entity_id"),
-        "flags", F.xxhash64("path").alias("segment"), "event_data", F.col("size").cast("long").alias("size"), "prev_hash", "hash",
-    )
 
 
 def _emit(ev: DataFrame, fmt: str, output: str | None) -> None:
@@ -89,6 +77,10 @@ def do_stats(spark: SparkSession, a) -> int:
 
 def do_compact(spark: SparkSession, a) -> int:
     policy = CompactionPolicy(ratio=a.threshold)
+    if manifest.newest(a.wal) is not None and not a.output and not a.dry_run:  # a managed log, in place
+        state = managed.compact(spark, a.wal, policy, str(datetime.now(UTC).replace(tzinfo=None)))
+        print(json.dumps({"generation": state.generation, "segments": len(state.segments), "seal": state.seal}))
+        return 0
     ev = decode(wal.read_log(spark, a.wal))
     ratios = stats.live_ratio(ev)
     if a.dry_run:
@@ -110,6 +102,12 @@ def do_compact(spark: SparkSession, a) -> int:
 
 
 def do_vacuum(spark: SparkSession, a) -> int:
+    if manifest.newest(a.wal) is not None and not a.output:
+        state = managed.vacuum(spark, a.wal, a.threshold)
+        print(json.dumps({"generation": state.generation, "segments": len(state.segments), "seal": state.seal}))
+        return 0
+    if not a.output:
+        raise SystemExit("vacuum writes a new log: name it by --output")
     ev = decode(wal.read_log(spark, a.wal))
     wal.write_log(maintain.vacuumed(ev, replay.segments(ev).withColumn("sealed", F.lit(True)), a.threshold), a.output)
     return 0
@@ -170,7 +168,7 @@ def parser() -> argparse.ArgumentParser:
     command("export", do_replay, *times, ("--format", {"choices": list(export.FORMATS), "default": "jsonl"}), ("--output", {"required": True}), ("--filter", {}))
     command("stats", do_stats, ("--format", {"choices": ["table", "json"], "default": "table"}), ("--verbose", {"action": "store_true"}))
     command("compact", do_compact, ("--threshold", {"type": float, "default": 0.5}), ("--dry-run", {"action": "store_true"}), ("--force", {"action": "store_true"}), ("--output", {}), ("--start", {"type": int}), ("--end", {"type": int}))
-    command("vacuum", do_vacuum, ("--threshold", {"type": float, "default": 0.1}), ("--output", {"required": True}))
+    command("vacuum", do_vacuum, ("--threshold", {"type": float, "default": 0.1}), ("--output", {}))
     command("recover", do_recover, ("--output", {}), ("--skip-corrupted", {"action": argparse.BooleanOptionalAction, "default": True}), ("--verify-checksum", {"action": "store_true"}), ("--forensic", {"action": "store_true"}), ("--shadow", {}), ("--max-record-size", {"type": int, "default": 10 << 20}))
     command("monitor", do_monitor, ("--interval", {"type": float, "default": 10}), ("--threshold", {"type": int, "default": 10}), ("--checks", {"type": int}), ("--checkpoint", {}))
     command("version", None)

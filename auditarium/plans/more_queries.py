@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditarium.functions.events import decode, typed
 from auditarium.functions.session import shared_dir
 from auditarium.operators import blocks, compliance, holds, metrics
 from auditarium.plans.catalogue import EV, SEG, _damage, simple, table, written_log
-from auditarium.sources import wal
+from auditarium.sources import export, wal
 
 BLOCK, EPOCH, CUTOFF = 512, 700, "2024-01-20 00:00:00"
 
@@ -99,3 +100,22 @@ simple(
     "SELECT start, series, sum(grown)::DOUBLE AS increase FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, sequence % 3 AS series, CASE WHEN b IS NULL THEN 0 WHEN v >= b THEN v - b ELSE v END AS grown FROM (SELECT *, sequence % 500 AS v, lag(sequence % 500) OVER (PARTITION BY sequence % 3 ORDER BY ts, sequence % 500) AS b FROM ev)) GROUP BY ALL",
     lambda ev: metrics.increase(ev.select((F.col("sequence") % 3).alias("series"), "ts", (F.col("sequence") % 500).alias("v")), "v", "ts", "1 day", "series").select("start", "series", "increase"),
 )
+
+
+def _decoded(ev: DataFrame) -> DataFrame:
+    """Events that were written as JSON, their properties in their types."""
+    spark, path = ev.sparkSession, shared_dir(ev.sparkSession, "wal")
+    body = F.to_json(F.struct(F.col("level").alias("Level"), F.concat(F.lit("{user} did "), "event_type").alias("MessageTemplate"), F.struct(F.col("entity_id").cast("long").alias("user"), "value", (F.col("sequence") % 2 == 0).alias("even"), F.col("event_type").alias("kind")).alias("Properties")))
+    wal.write_log(ev.withColumn("event_data", body), path)
+    rows = decode(wal.read_log(spark, path))
+    return rows.select("sequence", "level", "message_template", typed("user", "long").alias("user_id"), F.round(typed("value", "double"), 6).alias("value"), typed("even", "boolean").alias("even"), typed("kind", "string").alias("kind"), typed("kind", "long").alias("no_number"), F.col("properties")["even"].alias("as_text"))
+
+
+def _array(ev: DataFrame) -> DataFrame:
+    path = shared_dir(ev.sparkSession, "array")
+    export.export_array(ev.select("sequence", "level", "event_type"), path)
+    return ev.sparkSession.read.text(path).select(F.col("value").alias("line"))
+
+
+simple("event_decode", "SELECT sequence, level, '{user} did ' || event_type AS message_template, entity_id::BIGINT AS user_id, round(value, 6) AS value, sequence % 2 = 0 AS even, event_type AS kind, NULL::BIGINT AS no_number, (sequence % 2 = 0)::VARCHAR AS as_text FROM ev", _decoded)
+simple("export_array", """SELECT CASE WHEN sequence = min(sequence) OVER () THEN '[' ELSE '' END || '{"sequence":' || sequence || ',"level":' || level || ',"event_type":"' || event_type || '"}' || CASE WHEN sequence = max(sequence) OVER () THEN ']' ELSE ',' END AS line FROM ev""", _array)

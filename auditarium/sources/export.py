@@ -106,6 +106,15 @@ def write_backend(ev: DataFrame, path: str, shadow: str | None = None, compressi
     names.mapInArrow(copied, "name string").count()
 
 
+def export_array(rows: DataFrame, path: str, order: str = "sequence", pretty: bool = False) -> None:
+    """Rows as one JSON array over all parts, in order of a column whose values differ: the parts, one behind the other by name, are the array. No task has all rows."""
+    ends = rows.agg(F.min(order).alias("__first"), F.max(order).alias("__last"))
+    body = F.to_json(F.struct(*rows.columns), {"pretty": "true"} if pretty else {})
+    line = F.concat(F.when(F.col(order) == F.col("__first"), "[").otherwise(""), body, F.when(F.col(order) == F.col("__last"), "]").otherwise(","))
+    dealt = rows.repartitionByRange(order).sortWithinPartitions(order)
+    dealt.crossJoin(F.broadcast(ends)).select(line.alias("value")).write.text(path)
+
+
 def manifest(spark, path: str) -> DataFrame:
     """name, size, records, first and last ts, and md5_b64 of each object that write_days wrote: what stores keep as its metadata."""
     objects = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(path)

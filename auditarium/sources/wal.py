@@ -61,8 +61,9 @@ class Group(InputPartition):
 
 
 def grouped(splits: list[Split], most: int) -> list[Group]:
-    """Splits in order, several small ones together: at least 32 groups if there is work for them, each of about a 32nd of all bytes or `most`."""
-    target, out, held = max(1 << 20, min(most, sum(s.end - s.start for s in splits) // 32)), [], 0
+    """Splits in order, several small ones together: at least 32 groups if there is work for them, each of about a 32nd of all bytes or `most`, but no more than 20,000."""
+    total = sum(s.end - s.start for s in splits)
+    target, out, held = max(1 << 20, min(most, total // 32), total // 20_000), [], 0
     for s in splits:
         if not out or held >= target:
             out.append(Group([]))

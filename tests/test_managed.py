@@ -225,3 +225,30 @@ def test_headers_by_seeking():
     got = list(records.walked(lambda n, at: bytes(bad[at : at + n]), len(bad), block=1024))
     assert [getattr(r, "sequence", r[-1]) for r in got] == [1, 2, "header checksum", 4, 5, 6] and got[2].offset == rows[2].offset and got[2].size == rows[2].size
     assert list(records.walked(lambda n, at: raw[at : at + n], len(raw) - 3, block=1024))[-1].error == "short"
+
+
+def test_commands_on_a_managed_log(spark, folder, capsys):
+    import json
+
+    from auditarium import cli
+
+    managed.mark_deleted(spark, folder, spark.createDataFrame([(k,) for k in range(1, 10)], "sequence long"))
+    assert cli.main(["vacuum", "--wal", folder], spark) == 0
+    assert json.loads(capsys.readouterr().out)["generation"] == 3 and sequences(managed.read(spark, folder)) == list(range(10, 41))
+    assert cli.main(["compact", "--wal", folder, "--threshold", "1.0"], spark) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["seal"] == manifest.load(folder).seal and sequences(managed.read(spark, folder)) == list(range(10, 41))
+    assert cli.main(["verify", "--wal", folder, "--seal", out["seal"]], spark) == 0
+
+
+def test_an_array_over_all_parts(spark, tmp_path):
+    import json
+
+    from auditarium.sources import export
+
+    df = spark.createDataFrame([(k, f'text "{k}"', None if k % 3 else 1.5) for k in range(200)], "sequence long, m string, v double").repartition(7)
+    for pretty in (False, True):
+        path = tmp_path / f"a{pretty}"
+        export.export_array(df, str(path), pretty=pretty)
+        text = "".join(f.read_text() for f in sorted(path.glob("part-*")))
+        assert [r["sequence"] for r in json.loads(text)] == list(range(200)) and ("\n  " in text) == pretty
