@@ -1,15 +1,17 @@
-"""Queries over blocks of shadows, holds, key epochs and metrics."""
+"""Queries over blocks of shadows, holds, key epochs, metrics, and what the first catalogue left out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditarium.functions import checksum
 from auditarium.functions.events import decode, typed
 from auditarium.functions.session import shared_dir
-from auditarium.operators import blocks, compliance, holds, metrics
-from auditarium.plans.catalogue import EV, SEG, _damage, simple, table, written_log
-from auditarium.sources import export, wal
+from auditarium.operators import blocks, compliance, holds, metrics, recover
+from auditarium.plans.catalogue import AS_OF, END, EV, SEG, START, _damage, _sunk, simple, stream_of, table, written_log
+from auditarium.sources import catalog, export, wal
+from auditarium.streaming import live
 
 BLOCK, EPOCH, CUTOFF = 512, 700, "2024-01-20 00:00:00"
 
@@ -119,3 +121,61 @@ def _array(ev: DataFrame) -> DataFrame:
 
 simple("event_decode", "SELECT sequence, level, '{user} did ' || event_type AS message_template, entity_id::BIGINT AS user_id, round(value, 6) AS value, sequence % 2 = 0 AS even, event_type AS kind, NULL::BIGINT AS no_number, (sequence % 2 = 0)::VARCHAR AS as_text FROM ev", _decoded)
 simple("export_array", """SELECT CASE WHEN sequence = min(sequence) OVER () THEN '[' ELSE '' END || '{"sequence":' || sequence || ',"level":' || level || ',"event_type":"' || event_type || '"}' || CASE WHEN sequence = max(sequence) OVER () THEN ']' ELSE ',' END AS line FROM ev""", _array)
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that are over by the watermark: no event of the entity for a day, ten minutes before the latest of all."""
+    return _sunk(live.sessions(stream_of(spark, d), "1 day", "10 minutes"), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "entity_id", "events")
+
+
+def _replicated(spark: SparkSession, d: str) -> DataFrame:
+    """What two targets of a replicated stream hold."""
+    targets = {k: shared_dir(spark, f"target-{k}") for k in ("a", "b")}
+    live.replicate(stream_of(spark, d, 2).select("sequence", "event_data"), targets, shared_dir(spark, "checkpoint")).awaitTermination()
+    first, second = (spark.read.parquet(f"{path}/batch=*").select(F.lit(k).alias("target"), "sequence", "event_data") for k, path in targets.items())
+    return first.unionByName(second)
+
+
+def _pruned(ev: DataFrame) -> DataFrame:
+    """A backend's files by day, of which those that begin after the range are not read: the events in it, and how many files were."""
+    spark, path = ev.sparkSession, shared_dir(ev.sparkSession, "backend")
+    days = shared_dir(spark, "days")
+    ev.select(F.to_json(F.struct("sequence", "ts")).alias("value"), F.date_format("ts", "yyyyMMdd").alias("day")).repartition("day").write.partitionBy("day").text(days)
+    names = [(r["path"], r["day"]) for r in spark.read.format("binaryFile").load(days).select("path", F.col("day").cast("string").alias("day")).collect()]  # a row a file
+
+    def move(batches):
+        source, base = wal.store_of(days)[0], wal.store_of(path)[1]
+        source.create_dir(base, recursive=True)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                with source.open_input_file(wal.store_of(names[k][0])[1]) as a, source.open_output_stream(f"{base}/audit-{names[k][1]}-000000.jsonl") as b:
+                    b.write(a.read())
+            yield batch
+
+    spark.range(0, len(names), 1, len(names)).mapInArrow(move, "id long").count()
+    read = catalog.lines_until(path, END)
+    return catalog.read_lines(spark, path, "sequence long, ts timestamp_ntz", START, END).select("sequence", F.lit(len(read)).cast("long").alias("files"))
+
+
+def _plausible(ev: DataFrame) -> DataFrame:
+    """Records that a recovery may believe: of these times, with known flags, of JSON."""
+    spark, path = ev.sparkSession, shared_dir(ev.sparkSession, "wal")
+    odd = F.when(F.col("sequence") % 5 == 0, F.lit("{no json")).otherwise(F.to_json(F.struct("sequence")))
+    late = F.when(F.col("sequence") % 7 == 0, F.col("ts") - F.expr("interval 11 years")).otherwise(F.col("ts"))
+    wal.write_log(ev.withColumn("event_data", odd).withColumn("ts", late).withColumn("flags", F.when(F.col("sequence") % 11 == 0, 64).otherwise(F.col("flags"))), path)
+    return recover.plausible(wal.read_log(spark, path), AS_OF).select("sequence")
+
+
+def _mismatched(spark: SparkSession, d: str) -> DataFrame:
+    """The first checksum that isn't the stored one: each fifth item's CRC32C was stored wrong, each third one's CRC32."""
+    rows = table(spark, d, "benchmark").withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id"))).withColumn("data", F.col("text").cast("binary"))  # a benchmark's items are few
+    wrong = lambda c, n: F.when(F.col("k") % n == 0, c + 1).otherwise(c)
+    return rows.select("item_id", checksum.first_mismatch(F.col("data"), {"CRC32C": wrong(checksum.crc32c(F.col("data")), 5), "CRC32": wrong(F.crc32("data"), 3)}).alias("first"))
+
+
+_DAY = "INTERVAL 1 DAY"
+simple("stream_sessions", f"WITH {EV}, s AS (SELECT *, coalesce(ts > lag(ts) OVER w + {_DAY}, true) AS opens FROM ev WINDOW w AS (PARTITION BY entity_id ORDER BY ts)), n AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY entity_id ORDER BY ts) AS k FROM s), r AS (SELECT min(ts) AS start, max(ts) + {_DAY} AS \"end\", entity_id, count(*) AS events FROM n GROUP BY entity_id, k) SELECT * FROM r WHERE \"end\" <= date_trunc('millisecond', (SELECT max(ts) FROM ev)) - INTERVAL 10 MINUTE", _sessions, "")
+simple("stream_replicas", f"WITH {EV} SELECT t.target, sequence, event_data FROM ev, (VALUES ('a'), ('b')) t(target)", _replicated, "")
+simple("backend_files_pruned", f"SELECT sequence, (SELECT count(DISTINCT ts::DATE) FROM ev WHERE ts::DATE <= TIMESTAMP '{END}') AS files FROM ev WHERE ts > '{START}' AND ts < '{END}'", _pruned)
+simple("plausible_records", f"SELECT sequence FROM ev WHERE sequence % 5 <> 0 AND sequence % 7 <> 0 AND sequence % 11 <> 0", _plausible)
+simple("first_mismatch", "WITH k AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k FROM benchmark) SELECT item_id, CASE WHEN k % 5 = 0 THEN 'CRC32C' WHEN k % 3 = 0 THEN 'CRC32' END AS first FROM k", _mismatched, "")
