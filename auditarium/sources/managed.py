@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditarium.functions.model import FLAG_DELETED, CompactionPolicy
+from auditarium.functions.session import shared_dir
 from auditarium.operators import maintain
 
 from . import manifest, records, wal
@@ -76,11 +77,11 @@ def append(ev: DataFrame, path: str, segment_bytes: int = 64 << 20, stream: str
 
 
 def numbered(ev: DataFrame, path: str, order: str = "ts") -> DataFrame:
-    """ev (a table, read twice) with sequences behind the log's last one, in order of a column: ranges of it, their counts, and places in them; no task sees all rows."""
-    from pyspark.sql import Window
-
-    first = manifest.load(path).last_sequence()
-    dealt = ev.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id())
+    """ev with sequences behind the log's last one, in order of a column: ranges of it, their counts, and places in them; no task sees all rows. Ranges are put down as a table first, since
+    their borders come from a sample, and counts and places must be of the same ones."""
+    first, own = manifest.load(path).last_sequence(), shared_dir(ev.sparkSession, "numbered")
+    ev.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id()).write.parquet(own)
+    dealt = ev.sparkSession.read.parquet(own)
     part = F.shiftright("__id", 33)
     counts = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
@@ -110,7 +111,8 @@ def check(spark: SparkSession, path: str, generation: int | None = None) -> Data
     state = manifest.load(path, generation)
     rows = segments(spark, path, state.generation)
     there = {f.base_name for f in store_of(path)[0].get_file_info(fs.FileSelector(store_of(path)[1])) if f.type == fs.FileType.File}
-    rec = wal.read_log(spark, path, generation=state.generation, files=[n for n in state.segments if n in there])
+    left = [n for n in state.segments if n in there]
+    rec = wal.read_log(spark, path, generation=state.generation, files=None if len(left) == len(state.segments) else left)
     good = F.col("parse_error").isNull()
     linked = wal.check_records(rec, None).groupBy(_name("path").alias("name")).agg(
         F.count("*").alias("records"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), F.sum(F.col("size").cast("long")).alias("size"), F.max_by("hash", "offset").alias("last_hash"), F.count_if(~F.col("inner")).alias("breaks")
