@@ -3,6 +3,9 @@
 Every step is a minimum for each node (combined before the shuffle, so a hub's rows shrink where they are) and a
 join back on the node, which the planner can split where a hub is hot. Steps end in tables of the shared folder.
 Nothing of the graph goes to the driver but its size and a checksum, which tell when it no longer changes.
+
+Edges with a null end are left out, repeated edges count once, an edge from a node to itself makes no component; without edges there are no rows. Nodes may be of any type that has an order; other
+columns are left out.
 """
 
 from __future__ import annotations

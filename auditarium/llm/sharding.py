@@ -9,7 +9,7 @@ The table has `size` rows, which is a parameter, so it is broadcast whatever the
 is one map-side hash lookup, without a shuffle, and a key with a third of all rows costs nothing special.
 Only built-in functions are used on rows.
 
-Nulls: a null key is placed as the empty text. Ties and repeated rows: equal keys get equal shards, each
+Nulls: a null key is placed as the empty text. Very long keys are hashed as a whole where they are. Ties and repeated rows: equal keys get equal shards, each
 row is returned once. An empty table gives no rows. Other columns of the input are kept unless they are
 named slot or shard; those are replaced.
 """
