@@ -2,7 +2,8 @@
 
 Writing: each task writes archives (one gzip member a record, so that a record can be read by its offset) and, while it does, collects index entries. After `run_entries` of
 them, and at its end, it sorts what it has and writes it as a run: an Arrow file of blocks of `BLOCK` entries. Names are unique for each attempt, and only runs
-and archives that committed tasks have listed are read, so lost or repeated tasks leave no records.
+and archives that committed tasks have listed are read, so lost or repeated tasks leave no records. What `LISTS` tasks list goes into one file, not a file of a row from each;
+it is dealt by the task's number, so that a repeated task, whose names differ, takes the place of its whole list.
 
 Of pages with equal payloads the one with the largest page_id is a response, the others revisit it: they name it and have the digest and the length of the payload, but not
 the payload. Who is the response comes from one aggregate by the payload's SHA-256 (combined before the shuffle) that is joined back, one row a key, so a payload
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from .shared import shared_dir, table, written
 
 ARCHIVE_BYTES, RUN_ENTRIES, FAN, BLOCK, RANGE, LEVEL = 256 << 20, 1 << 16, 64, 512, 1 << 13, 4
+#: Tasks whose lists of runs share a file.
+LISTS = 64
 #: Marks that a run gives for cutting, and their length.
 MARKS, MARK_BYTES = 512, 200
 #: Captures that are read from archives at once, and bytes of them.
@@ -181,7 +184,8 @@ def write_archives(pages: DataFrame, path: str, captured: Column | None = None,
     other = F.col("first.page_id").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
     refers = [F.when(other, F.col(f"first.{c}")).alias(name) for c, name in (("page_id", "refers_to"), ("url", "refers_url"), ("captured", "refers_captured"))]
     runs = joined.select("page_id", "url", "captured", "payload", *refers).mapInArrow(_archiver(path, archive_bytes, run_entries, level), _RUN_SQL)
-    return written(runs, "runs")
+    dealt = runs.withColumn("lists", F.floor(F.spark_partition_id() / LISTS)).repartition("lists").drop("lists")
+    return written(dealt, "runs")
 
 
 class Losers:

@@ -70,6 +70,21 @@ def test_merging_of_many_runs(spark, tmp_path, run_entries, fan, entries):
         assert len({r["range_no"] for r in found}) > 3
 
 
+def test_tasks_share_files_of_lists(spark, tmp_path):
+    rows, held = collection(), {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        runs = warc.write_archives(spark.createDataFrame(rows, SCHEMA), str(tmp_path), F.timestamp_seconds("at"))
+        listed, files = runs.count(), [f for f in runs.inputFiles() if spark.read.parquet(f).count()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert listed > 2 * len(files) and listed == len(list(tmp_path.glob("*.run")))
+    assert got(warc.read_records(warc.merged(runs, str(tmp_path))).collect()) == brute([(r[0], r[2]) for r in rows])
+
+
 def test_archives_are_plain_gzip_and_damage_is_told(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.b/c", "<p>one</p>", 1, ""), (2, "http://a.b/c", "<p>one</p>", 2, "")], SCHEMA).coalesce(1)
     runs = warc.write_archives(df, str(tmp_path), F.timestamp_seconds("at"))
