@@ -14,7 +14,7 @@ document's language. The sample's order and all random numbers come from fixed s
 
 Prediction sends the weights (some kB) with the task and needs no shuffle. Nulls: a text that is null or has no letter gets `und` and a score of
 0, as do all if there is nothing to learn from; a null lang is never learnt from; a null doc_id counts as an empty text for the fold. Repeated rows
-are each returned. Ties go to the first language by name. Very long texts are many windows, worked on by the megabyte. An empty table gives no rows. Other columns are left out.
+are each returned. Ties go to the first language by name. Very long texts are many windows, worked on by slices of 16 MB. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: How far a unit's state may be from that of a run over the whole text where a window begins.
 CLOSE = 0.25
+#: Probabilities are worked out for so many positions times languages at a time.
+Z_VALUES = 1 << 18
+#: Texts are scored by so many bytes: enough for full columns, and for what is run again to run together.
+SLICE = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -110,22 +114,30 @@ class Layer:
         return table, recurrent
 
     def states(self, x: np.ndarray, inside: np.ndarray, skip: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States (time, unit, column) for bytes x (time by column) from time skip on, quicker than forward: units lie together; and those before that. inside: 0 beyond a text."""
+        """States (time, column, unit) for bytes x (time by column) from time skip on, quicker than forward: each gate lies by itself; and those before that. inside: False beyond a text,
+        where states are 0. At each time only the first columns run, as far as those that have begun and haven't ended: columns with longer texts should come first."""
         steps, n = x.shape
         hidden = self.recurrent.shape[0]
-        rows, weights = np.ascontiguousarray(self.table.T), np.ascontiguousarray(self.recurrent.T)
+        rows, weights = (np.array(w.reshape(-1, 3, hidden).swapaxes(0, 1), np.float32, order="C") for w in (self.table, self.recurrent))
         for w in (rows, weights):  # as exp takes them in 1 / (1 + exp(-x)) and tanh(x) = 2 / (1 + exp(-2x)) - 1
-            w[: 2 * hidden] *= -1
-            w[2 * hidden :] *= -2
-        out = np.empty((steps - skip, hidden, n), np.float32)
-        state = np.zeros((hidden, n), np.float32) if start is None else np.array(start, np.float32)
-        begin, a, r, whole = state.copy(), np.empty((3 * hidden, n), np.float32), np.empty((3 * hidden, n), np.float32), inside.all(1)
-        gates, candidate, reset, update, inner = a[: 2 * hidden], a[2 * hidden :], a[hidden : 2 * hidden], a[:hidden], r[2 * hidden :]
+            w[:2] *= -1
+            w[2] *= -2
+        reach = np.where(inside.any(1), n - inside[:, ::-1].argmax(1), 0)
+        live = np.minimum(np.maximum.accumulate(reach), np.maximum.accumulate(reach[::-1])[::-1]).tolist()
+        out = np.zeros((steps - skip, n, hidden), np.float32)
+        all_states = np.zeros((n, hidden), np.float32) if start is None else np.array(start, np.float32)
+        begin, whole, m, room = all_states.copy(), inside.all(1), -1, np.empty((2, 3 * n * hidden), np.float32)
         np.seterr(over="ignore")
         for t in range(steps):
-            np.take(rows, x[t], axis=1, out=a, mode="clip")
-            np.matmul(weights, state, out=r)
-            gates += r[: 2 * hidden]
+            if live[t] != m:
+                if live[t] < m:
+                    all_states[live[t] :] = 0
+                m = live[t]
+                a, r = (b[: 3 * m * hidden].reshape(3, m, hidden) for b in room)
+                gates, (update, reset, candidate), inner, state = a[:2], a, r[2], all_states[:m]
+            np.take(rows, x[t, :m], axis=1, out=a, mode="clip")
+            np.matmul(state, weights, out=r)
+            gates += r[:2]
             np.exp(gates, out=gates)  # to infinity where it must, whose reciprocal is 0
             gates += 1
             np.reciprocal(gates, out=gates)
@@ -135,15 +147,15 @@ class Layer:
             candidate += 1
             np.divide(2, candidate, out=candidate)
             candidate -= 1
-            into = state if t < skip else out[t - skip]
-            np.subtract(state, candidate, out=into)
-            into *= update
-            into += candidate
+            state -= candidate
+            state *= update
+            state += candidate
             if not whole[t]:
-                into *= inside[t]
-            state = into
-            if t == skip - 1:
-                begin = state.copy()
+                state *= inside[t, :m, None]
+            if t >= skip:
+                out[t - skip, :m] = state
+            elif t == skip - 1:
+                begin = all_states.copy()
         return out, begin
 
 
@@ -162,18 +174,20 @@ class Model:
     def probabilities(self, x: np.ndarray, inside: np.ndarray, own: np.ndarray, context: int, start: tuple | None = None) -> tuple:
         """Of each language, summed over the positions of each column (a row a column); and of both directions the states (a row a column) before a column's first position and
         after its last. x: bytes (time by column) with `context` of them before and behind; inside, own: which belong to the text, and to the column; start: states to begin with."""
-        steps = len(x) - context
-        ahead, into = self.ahead.states(x[:steps], inside[:steps], context, start and start[0].T)
-        back, from_behind = self.back.states(x[: context - 1 if context else None : -1], inside[: context - 1 if context else None : -1], context, start and start[1].T)
-        back = back[::-1]
-        hidden = ahead.shape[1]
-        z = np.matmul(self.out[:hidden].T, ahead)
-        z += np.matmul(self.out[hidden:].T, back)
-        z += self.bias[:, None]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z *= (own[context:steps] / z.sum(1))[:, None]
-        return z.sum(0).T, (into.T, ahead[-1].T), (from_behind.T, back[0].T)
+        steps, n, k = len(x) - context, x.shape[1], len(self.bias)
+        ahead, into = self.ahead.states(x[:steps], inside[:steps], context, start and start[0])
+        back, from_behind = self.back.states(x[: context - 1 if context else None : -1], inside[: context - 1 if context else None : -1], context, start and start[1])
+        hidden, total, some = ahead.shape[2], np.zeros((k, n)), max(1, Z_VALUES // max(1, n * k))
+        for at in range(0, steps - context, some):
+            end = min(at + some, steps - context)
+            z = self.out[:hidden].T @ ahead[at:end].reshape(-1, hidden).T
+            z += self.out[hidden:].T @ back[::-1][at:end].reshape(-1, hidden).T
+            z += self.bias[:, None]
+            z -= z.max(0)
+            np.exp(z, out=z)
+            z *= own[context + at : context + end].ravel() / z.sum(0)
+            total += z.reshape(k, end - at, n).sum(1)
+        return total.T, (into, ahead[-1]), (from_behind, back[-1])
 
 
 def train(samples: list[tuple[bytes, int]], languages: list[str], own: Settings) -> Model:
@@ -269,7 +283,7 @@ def scores(model: Model, column: pa.Array, window: int, context: int, columns: i
     """Mean probabilities of each text's positions; rows of 0 for empty texts."""
     out = np.zeros((len(column), len(model.languages)))
     hidden = model.ahead.recurrent.shape[0]
-    for row, data, offsets in slices(column, 2 << 20):
+    for row, data, offsets in slices(column, SLICE):
         data = lowered(data)
         size = np.diff(offsets)
         n = -(-size // window)
@@ -287,11 +301,11 @@ def scores(model: Model, column: pa.Array, window: int, context: int, columns: i
             if start is not None:
                 inside &= own  # what stands before and behind is in the states
             x = data[np.clip(place, 0, max(0, len(data) - 1))]
-            found[k], *ends = model.probabilities(x, inside.astype(np.float32), own.astype(np.float32), context, start)
+            found[k], *ends = model.probabilities(x, inside, own, context, start)
             for d, (first, last) in enumerate(ends):
                 edges[d, 0, k], edges[d, 1, k] = first, last
 
-        order = np.argsort(-length, kind="stable")  # columns of a length together
+        order = np.argsort(-np.minimum(offsets[1:][owner] - begin, window + context), kind="stable")  # longer columns first, as they run
         for at in range(0, len(order), columns):
             run(order[at : at + columns], context)
         inner = np.flatnonzero(owner[1:] == owner[:-1])  # windows with one behind them
@@ -305,11 +319,10 @@ def scores(model: Model, column: pa.Array, window: int, context: int, columns: i
             before = np.zeros(len(owner), bool)
             before[inner] = True
             start = (np.where(behind[again, None], edges[0, 1, again - 1], 0), np.where(before[again, None], edges[1, 1, np.minimum(again + 1, len(owner) - 1)], 0))
-            for size_now in np.unique(length[again])[::-1]:  # the way back begins at a column's own end
-                k = np.flatnonzero(length[again] == size_now)
-                for at in range(0, len(k), columns):
-                    part = k[at : at + columns]
-                    run(again[part], 0, (start[0][part], start[1][part]))
+            longer = np.argsort(-length[again], kind="stable")  # all lengths together: a column shorter than others ends its text, and its way back begins there from 0
+            for at in range(0, len(longer), columns):
+                part = longer[at : at + columns]
+                run(again[part], 0, (start[0][part], start[1][part]))
         np.add.at(out, row + owner, found)
         out[row : row + len(size)] /= np.maximum(size, 1)[:, None]
     return out

@@ -270,6 +270,41 @@ def test_language_probabilities_by_a_plain_recurrence():
         assert np.abs(language_id.scores(model, pa.array(texts), 16, context) - whole).max() < 0.005
 
 
+def test_language_windows_of_all_lengths_are_run_again_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    h, n = 4, 3
+    value = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+    model = language_id.Model(["a", "b", "c"], *(language_id.Layer(value(256, 3 * h), value(h, 3 * h)) for _ in range(2)), value(2 * h, n), value(n))
+    texts = ["".join(map(chr, rng.integers(97, 123, 32 + k))) for k in range(60)] + ["", "x", None]
+    whole = language_id.scores(model, pa.array(texts), 1 << 10, 0)
+    runs, plain = [], language_id.Model.probabilities
+    monkeypatch.setattr(language_id.Model, "probabilities", lambda self, *args: runs.append(args) or plain(self, *args))
+    assert np.abs(language_id.scores(model, pa.array(texts), 32, 0) - whole).max() < 0.05
+    again = [x.shape[1] for x, _, _, _, start in runs if start is not None]
+    assert sum(again) > 60 and len(again) <= 6  # 32 before, by length
+
+
+def test_language_states_of_columns_in_any_order(monkeypatch):
+    """Columns run only from where they begin to where they end, whatever their order; states are those of a plain run."""
+    rng = np.random.default_rng(7)
+    layer = language_id.Layer(rng.standard_normal((256, 9)).astype(np.float32), rng.standard_normal((3, 9)).astype(np.float32))
+    x, steps, start = rng.integers(0, 256, (40, 7)).astype(np.uint8), np.arange(40)[:, None], rng.standard_normal((7, 3)).astype(np.float32)
+    for begin, end in (([0] * 7, [40, 31, 30, 9, 8, 2, 0]), ([0, 2, 9, 0, 38, 39, 0], [40, 3, 30, 0, 40, 40, 1]), ([5] * 7, [7] * 7)):
+        inside = (steps >= begin) & (steps < end)
+        states = layer.forward(x, inside.astype(np.float32))
+        out, before = layer.states(x, inside, 4)
+        assert np.allclose(out, states[4:], atol=1e-5) and np.allclose(before, states[3], atol=1e-5)
+    inside = steps < [40, 31, 30, 9, 8, 2, 1]
+    ahead, _ = layer.states(x, inside, 0, start)
+    for k, n in enumerate(inside.sum(0)):
+        alone, _ = layer.states(x[:n, k : k + 1], np.ones((n, 1), bool), 0, start[k : k + 1])
+        assert np.allclose(ahead[:n, k], alone[:, 0], atol=1e-5) and not ahead[n:, k].any()
+    taken, take = [], np.take
+    monkeypatch.setattr(language_id.np, "take", lambda rows, at, **how: taken.append(len(at)) or take(rows, at, **how))
+    layer.states(x, inside, 0)
+    assert sum(taken) == inside.sum()  # 280 before
+
+
 def test_language_sample_draws_a_hot_text_once(spark):
     """A text of a third of all rows is one text of the sample, and no task or driver gets its copies."""
     own = language_id.Settings(per_language=40, windows_per_document=2, train_window=16)
