@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditarium.functions import checksum, crypto
@@ -406,7 +406,14 @@ simple("days_read", f"SELECT sequence FROM ev WHERE ts > '{START}' AND ts < '{EN
 simple("days_manifest", "SELECT count(*) AS total, count(DISTINCT date_trunc('hour', ts)) AS hours, min(ts) AS first_time, max(ts) AS last_time FROM ev", lambda ev: _days(ev)[1])
 simple("csv_read_back", f"SELECT * FROM ({_EXPORT})", lambda ev: _csv(ev))
 simple("replay_csv", f"SELECT {_TIME} AS Timestamp, (['VRB','DBG','INF','WRN','ERR','FTL'])[level + 1] AS Level, {_TEXT} AS Message, '{{\"Action\":\"' || event_type || '\",\"UserId\":\"' || entity_id || '\"}}' AS Properties FROM ev", lambda ev: export.replay_table(messages(ev)))
-simple("bad_blocks", "SELECT page_id, CASE WHEN page_id % 4 = 1 AND strlen(html) > 1024 THEN 1 ELSE -1 END AS block FROM pages", lambda spark, d: table(spark, d, "pages").select("page_id", checksum.bad_block(F.when((F.col("page_id") % 4 == 1) & (F.octet_length("html") > 1024), F.concat(F.substring(F.col("html").cast("binary"), 1, 1024), F.lit(b"!"), F.substring(F.col("html").cast("binary"), 1026, 1 << 30))).otherwise(F.col("html").cast("binary")), checksum.block_sums(F.col("html").cast("binary"), 1024), 1024).alias("block")), "")
+
+
+def _altered(data: Column, at: int) -> Column:
+    """data with another byte at a place, counted from 0: "!", or "?" where "!" stands already."""
+    return F.concat(F.substring(data, 1, at), F.when(F.substring(data, at + 1, 1) == F.lit(b"!"), F.lit(b"?")).otherwise(F.lit(b"!")), F.substring(data, at + 2, 1 << 30))
+
+
+simple("bad_blocks", "SELECT page_id, CASE WHEN page_id % 4 = 1 AND strlen(html) > 1024 THEN 1 ELSE -1 END AS block FROM pages", lambda spark, d: table(spark, d, "pages").select("page_id", checksum.bad_block(F.when((F.col("page_id") % 4 == 1) & (F.octet_length("html") > 1024), _altered(F.col("html").cast("binary"), 1024)).otherwise(F.col("html").cast("binary")), checksum.block_sums(F.col("html").cast("binary"), 1024), 1024).alias("block")), "")
 _BYTES = "list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(text), (2 * i - 1)::INTEGER, 2))::UTINYINT::UBIGINT)"
 
 
