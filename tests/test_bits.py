@@ -69,3 +69,26 @@ def test_carving_equals_a_walk():
         assert records.json_objects(data) == walked(data), data
     event = json.dumps({"a": {"b": 'x"}{'}}).encode()
     assert records.json_objects(b"\xff}" + event * 3 + b"{") == [(2 + k * len(event), event) for k in range(3)]
+
+
+def test_carving_isnt_misled_by_what_stands_before():
+    event = b'{"a":{"b":"x}\xc3\xa9"}}'
+    for junk in (b"", b"{", b"{{", b'{"', b"}{\xff", b'{"a":', b'{ "q{', b'\\{"\\'):
+        assert records.carved(junk + event + b"|") == [(len(junk), event)], junk
+        assert records.carved(junk + event + b"|" + event) == [(len(junk), event), (len(junk) + len(event) + 1, event)], junk
+    assert records.carved(b'{a {"b":1}}') == [(0, b'{a {"b":1}}')]  # damaged JSON is kept as a whole
+    deep = b'{"a":' * 5000
+    assert records.carved(deep + b"{}") == [(len(deep), b"{}")]
+
+
+@pytest.mark.parametrize("hashed", [b"{", b"}{", b'{"', b"{}", b"{x}", b'"{"{', b"GL"])
+def test_braces_in_heads_hide_and_give_nothing(hashed):
+    """What a hash holds is never JSON, and the JSON behind it is found."""
+    raw = records.encode(15, 1, b'7|{"k": 21}', hashed.ljust(32, b"\x01"))
+    data = bytearray(raw)
+    data[records.HEAD.size - 4] ^= 3
+    want = [(records.HEAD.size + 2, "json", b'{"k": 21}')]
+    assert list(records.salvaged(bytes(data))) == want
+    assert list(records.salvaged(raw[: records.HEAD.size + 3])) == []  # an end that is missing
+    data[9] ^= 3  # nor does the header hold
+    assert b'{"k": 21}' in b"".join(piece for _, _, piece in records.salvaged(bytes(data)))
