@@ -1,8 +1,9 @@
 """Chains of records as a graph: records name the hash of the one before them, and from that alone, whatever their order, chains are put together.
 
-Records that stand together are first taken as runs: a window over each file (and no window over the log) finds records that name their neighbour, and runs are cut where a record
-elsewhere names one inside. What is left is a row a run: its parent is the run whose last hash it names. On these, pointer doubling finds the first run of each chain and the
-records on the way (list ranking), and at the same time the deepest end below each run, in as many rounds as the logarithm of the longest chain of runs. A round is a join of the
+Records that stand together are first taken as runs: a task finds, in each batch of its records, those that name another one of the batch, and runs are cut where a record elsewhere names one inside. Where
+records lie in files doesn't matter to branches: it lays them together by ranges of their sequences, which a chain follows as a rule. Records whose sequences tell nothing of their place are put together all the
+same, from more runs. All records travel once, as 32 bytes a hash; what is left is a row a run: its parent is the run whose last hash it names. On these, pointer doubling finds the first run of each chain and
+the records on the way (list ranking), and at the same time the deepest end below each run, in as many rounds as the logarithm of the longest chain of runs. A round is a join of the
 runs with themselves and an aggregate; rounds end as tables.
 
 A fork is a hash that several records name. Of its ways the one with most records below goes on as the branch, the others are branches of their own (ties go to the least hash of their ends). A
@@ -11,34 +12,86 @@ chain's first record names no hash ("start"), or one that no record has ("lost":
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditarium.functions.model import NO_HASH
 from auditarium.functions.session import shared_dir
 
+SPAN = 4096  #: sequences that are laid together
+_NAMED = pa.schema([("before", pa.binary()), ("hashes", pa.list_(pa.binary())), ("sequences", pa.list_(pa.int64()))])
+
 
 def _table(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def runs(rec: DataFrame) -> DataFrame:
-    """id, last (hashes of its first and last record), before (the hash that the first one names), n, first_sequence, last_sequence of each run. rec: path, offset, sequence, hash, prev_hash; a
-    hash that occurs twice (a record that was found twice) counts once."""
-    once = rec.select("path", "offset", "sequence", "hash", "prev_hash").withColumn("copy", F.row_number().over(Window.partitionBy("hash").orderBy("path", "offset"))).where("copy = 1").drop("copy")
-    order = Window.partitionBy("path").orderBy("offset")
-    rows = _table(once.withColumn("ahead", F.lag("hash").over(order)), "links")
-    opens = F.col("ahead").isNull() | (F.col("ahead") != F.col("prev_hash"))
-    named = rows.where(opens).select(F.col("prev_hash").alias("ahead"), F.lit(True).alias("cut")).distinct()  # at most one a run
-    rows = rows.join(named, "ahead", "left")  # behind a record that is named elsewhere, too, a run begins
-    begins = opens | F.col("cut").isNotNull()
-    rows = rows.withColumn("run", F.sum(begins.cast("int")).over(order))
-    first, last = F.min_by(F.struct("hash", "prev_hash", "sequence"), "offset"), F.max_by(F.struct("hash", "sequence"), "offset")
-    return rows.groupBy("path", "run").agg(first.alias("a"), last.alias("z"), F.count("*").alias("n")).select(
-        F.col("a.hash").alias("id"), F.col("z.hash").alias("last"), F.col("a.prev_hash").alias("before"), "n", F.col("a.sequence").alias("first_sequence"), F.col("z.sequence").alias("last_sequence")
-    )
+def _packed(digest: Column) -> Column:
+    """The 32 bytes of a SHA-256; any other text as more bytes than that."""
+    return F.when(digest.rlike("^[0-9a-f]{64}$"), F.unhex(digest)).otherwise(F.concat(digest.cast("binary"), F.lit(b"\xff" * 33)))
+
+
+def _text(packed: Column) -> Column:
+    return F.when(F.octet_length(packed) == 32, F.lower(F.hex(packed))).otherwise(F.substring(packed, F.lit(1), F.octet_length(packed) - 33).cast("string"))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs within each batch of part, sequence, hash, prev_hash: each record goes on the run of the one that it names if that stands before it in its part and no other names that."""
+    for batch in batches:
+        part, sequence, own, prev = (c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns)
+        known: dict[tuple, int] = {}
+        for k, name in enumerate(zip(part, own, strict=True)):
+            at = known.get(name)
+            if at is None or min(k, at, key=lambda x: (sequence[x] is not None, sequence[x] or 0, prev[x] or b"")) == k:
+                known[name] = k
+        kept = sorted(known.values())
+        ahead = [known.get((part[k], prev[k])) if prev[k] is not None else None for k in kept]
+        ahead = [at if at is not None and at < k else None for k, at in zip(kept, ahead, strict=True)]
+        named, run, runs = Counter(ahead), {}, []
+        for k, at in zip(kept, ahead, strict=True):
+            if at is None or named[at] > 1:
+                run[k] = []
+                runs.append(run[k])
+            else:
+                run[k] = run[at]
+            run[k].append(k)
+        rows = [[prev[x[0]] for x in runs], [[own[k] for k in x] for x in runs], [[sequence[k] for k in x] for x in runs]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, _NAMED.types, strict=True)], schema=_NAMED)
+
+
+def runs(rec: DataFrame, part: str = "path", order: str = "offset") -> DataFrame:
+    """id, last (hashes of its first and last record), before (the hash that the first one names), n, first_sequence, last_sequence of each run. rec: sequence, hash, prev_hash, and what part and order (the records
+    that lie together, and how) are made of; a hash that occurs twice (a record that was found twice) counts once, with the least of its sequences."""
+    rows = rec.withColumns({c: _packed(F.col(c)) for c in ("hash", "prev_hash")}).repartition(F.expr(part)).sortWithinPartitions(F.expr(part), F.expr(order))
+    rows = rows.select(F.expr(part).alias("part"), "sequence", "hash", "prev_hash")
+    span = _table(rows.mapInArrow(_linked, "before binary, hashes array<binary>, sequences array<long>").withColumn("run", F.monotonically_increasing_id()), "spans")
+
+    # 64 bits of each hash tell all that may be named from elsewhere, or be there twice; a run that is cut without need is only two
+    member = span.select("run", F.size("hashes").alias("n"), F.posexplode("hashes").alias("place", "hash")).select(F.xxhash64("hash").alias("mark"), "run", "place", (F.col("place") + 1 < F.col("n")).alias("inner"))
+    named = span.select(F.xxhash64("before").alias("mark")).distinct().select("mark", F.lit(None).cast("long").alias("run"), F.lit(0).alias("place"), F.lit(False).alias("inner"))
+    same = Window.partitionBy("mark")
+    met = member.unionByName(named).withColumn("copies", F.count("run").over(same)).withColumn("names", F.count_if(F.col("run").isNull()).over(same))
+    met = met.where(F.col("run").isNotNull() & ((F.col("copies") > 1) | (F.col("names") > 0) & F.col("inner")))
+    at = F.when(F.col("copies") > 1, F.array(F.col("place"), F.col("place") + 1)).otherwise(F.array(F.col("place") + 1))
+    cuts = _table(met.groupBy("run").agg(F.flatten(F.collect_list(at)).alias("cuts")), "cuts")
+
+    begins = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")))))
+    pieces = span.join(cuts, "run", "left").withColumn("n", F.size("hashes")).withColumn("begins", F.filter(begins, lambda k: k < F.size("hashes")))
+
+    def piece(begin: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("begins", k + 1), F.col("n"))
+        before = F.when(begin == 0, F.col("before")).otherwise(F.get("hashes", begin - 1))
+        return F.struct(F.get("hashes", begin).alias("id"), F.get("hashes", end - 1).alias("last"), before.alias("before"), (end - begin).cast("long").alias("n"), F.get("sequences", begin).alias("first_sequence"), F.get("sequences", end - 1).alias("last_sequence"))
+
+    pieces = pieces.select(F.inline(F.transform("begins", piece)))
+    pieces = pieces.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("first_sequence", "before"))).where("copy = 1")
+    return pieces.select(_text(F.col("id")).alias("id"), _text(F.col("last")).alias("last"), _text(F.col("before")).alias("before"), "n", "first_sequence", "last_sequence")
 
 
 def ranked(run: DataFrame) -> DataFrame:
@@ -73,7 +126,7 @@ def _least(column: str):
 def branches(rec: DataFrame) -> DataFrame:
     """One row for each branch: chain (the hash of its chain's first record), kind (start, lost), main, first_sequence, last_sequence, records (of the branch alone), tip (its last hash), fork_sequence (of the record
     that it leaves another branch at; null of main ones), before (the hash that its first record names)."""
-    rows = _table(ranked(runs(rec)), "ranked")
+    rows = _table(ranked(runs(rec, f"sequence div {SPAN}", "sequence")), "ranked")
     first = rows.where("top = id").select(F.col("id").alias("top"), F.col("before").alias("chain_before"), F.col("tip").alias("main_tip"))
     forks = rows.select(F.col("id").alias("parent"), F.col("last_sequence").alias("fork_sequence"))
     head, end = F.min_by(F.struct("before", "first_sequence", "parent"), "above"), F.max_by(F.struct("last", "last_sequence"), "above")

@@ -139,10 +139,10 @@ simple("positional_scan_bytes", "SELECT sequence FROM ev WHERE segment = 0 AND s
 
 def _branches(ev: DataFrame) -> DataFrame:
     """A log in which each 977th record is lost and twenty others were written from the middle on as well, with its records in no order."""
-    rows = verify.chained(ev).select("sequence", "hash", "prev_hash", "event_data")
+    rows = verify.chained(ev.select("segment", "sequence", "event_data").repartition("segment"))
     middle = ev.agg(F.max("sequence")).first()[0] // 2 + 1
     other = F.sha2(F.concat("event_data", F.lit("~")), 256)
-    forged = rows.where(F.col("sequence").between(middle, middle + 20)).withColumn("own", other)
+    forged = verify.hashed(ev).where(F.col("sequence").between(middle, middle + 20)).withColumn("own", other)
     ahead = forged.select((F.col("sequence") + 1).alias("sequence"), F.when(F.col("sequence") == middle, F.col("hash")).otherwise(F.col("own")).alias("prev_hash"))
     forged = forged.where(F.col("sequence") > middle).select("sequence", F.col("own").alias("hash")).join(ahead, "sequence")
     rec = rows.where("sequence % 977 <> 500").select("sequence", "hash", "prev_hash").unionByName(forged)

@@ -1,6 +1,7 @@
 """Chains put together from hashes alone, against a walk in plain Python: forks, lost records, any order, repeated records."""
 
 import hashlib
+import os
 import random
 
 import pytest
@@ -86,3 +87,48 @@ def test_lost_and_empty(spark):
     found = chains.lost(chains.branches(df)).orderBy("sequence").collect()
     assert [(r["sequence"], r["records"], r["branches"]) for r in found] == [(12, 8, 1), (21, 10, 1)] and found[0]["missing"] == rows[9][2]
     assert chains.branches(df.where("false")).count() == 0
+
+
+@pytest.fixture
+def small(spark, monkeypatch):
+    """Few records lie together, and fewer are seen at once."""
+    monkeypatch.setattr(chains, "SPAN", 16)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize(("seed", "order"), [(5, "scattered"), (6, "scattered"), (7, "permuted"), (8, "backwards"), (9, "equal")])
+def test_branches_of_records_that_lie_apart(spark, small, seed, order):
+    """Chains go through many batches; sequences may tell nothing of a record's place."""
+    rng = random.Random(seed)
+    rows = forest(rng, 60, 6, 4)
+    want = brute(rows)
+    numbers = sorted({r[0] for r in rows})
+    other = {"scattered": numbers, "permuted": rng.sample(numbers, len(numbers)), "backwards": numbers[::-1], "equal": [3] * len(numbers)}[order]
+    number = dict(zip(numbers, other, strict=True)) | {None: None}
+    want = sorted(((*r[:3], number[r[3]], number[r[4]], *r[5:7], number[r[7]], r[8]) for r in want), key=str)
+    again = [rows[k] for k in (0, 7, 8, 30, len(rows) - 1)]
+    again += [(s + 1000, h, p) for s, h, p in again] if order == "scattered" else []  # found with later numbers, too
+    placed = [(f"f{rng.randrange(9)}", k, number.get(s, s), h, p) for k, (s, h, p) in enumerate(rows + again)]
+    rng.shuffle(placed)
+    assert sorted(map(tuple, chains.branches(spark.createDataFrame(placed, SCHEMA).repartition(5)).collect()), key=str) == want
+
+
+def test_names_of_any_form(spark):
+    names = ["", "ab", "x" * 32, "\xff" * 16, "AB" * 32, "ab" * 32, "z" * 64, "f" * 63]
+    df = spark.createDataFrame([(f"f{k % 3}", k, k + 1, h, p) for k, (h, p) in enumerate(zip(names, [NO_HASH, *names], strict=False))], SCHEMA)
+    assert [tuple(r) for r in chains.branches(df).collect()] == [(names[0], "start", True, 1, len(names), len(names), names[-1], None, NO_HASH)]
+
+
+def test_scattered_records_are_stored_once(spark):
+    """What is stored grows with the records, by 32 bytes each and a little, however they lie: not by rounds over all of them."""
+    n, folder = 4000, spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    held = lambda: sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(folder) for x in names if x.startswith("part-"))
+    rng = random.Random(3)
+    df = spark.createDataFrame([(f"f{rng.randrange(13)}", rng.randrange(10**9), *r) for r in forest(rng, n, 0, 0)], SCHEMA)
+    before = held()
+    assert [r["records"] for r in chains.branches(df).collect()] == [n]
+    assert held() - before < 64 * n + 100_000
